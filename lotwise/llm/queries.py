@@ -11,6 +11,7 @@ from .bpe_count import count_tokens
 from .common import table
 from .fingerprints import fingerprint_edits
 from .html_text import extract_pages
+from .near_dedup import near_duplicate_classes
 from .secrets import scan_secrets
 
 
@@ -31,6 +32,10 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, keep_ids=False)
 
 
+def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_classes(table(spark, sf_dir, "documents"))
+
+
 def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan_secrets(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans", "n_random")
@@ -41,6 +46,7 @@ QUERIES = {
     "op6_document_fingerprints": op6_document_fingerprints,
     "op7_token_counts": op7_token_counts,
     "op8_byte_bpe": op8_byte_bpe,
+    "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_secret_scans": op10_secret_scans,
 }
 
