@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 #: Rows that a mapped function sees at once; Arrow batches are cut to this so that long texts stay within memory.
 SLICE_ROWS = 512
@@ -36,6 +36,26 @@ def map_rows(df: DataFrame, fn: Callable[[pa.RecordBatch], dict[str, list]], sch
     return df.mapInArrow(run, schema)
 
 
+def add_columns(df: DataFrame, inputs: list[Column], fn: Callable[[pa.RecordBatch], dict[str, list]], schema: str, slice_rows: int = SLICE_ROWS) -> DataFrame:
+    """The rows of ``df`` as they are, with the columns of ``schema`` that ``fn`` makes of the ``inputs``; their names must
+    be new to ``df``."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    own, new = df.schema, StructType.fromDDL(schema)
+    n, new_arrow, whole = len(own), to_arrow_schema(new), to_arrow_schema(StructType([*own, *new]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, slice_rows):
+                part = batch.slice(start, slice_rows)
+                out = fn(part.select(range(n, part.num_columns)))
+                made = [out[f.name] if isinstance(out[f.name], pa.Array) else pa.array(out[f.name], type=f.type) for f in new_arrow]
+                yield pa.RecordBatch.from_arrays([part.column(i).cast(whole.field(i).type) for i in range(n)] + made, names=whole.names)
+
+    return df.select(*df.columns, *(c.alias(f"__input_{i}") for i, c in enumerate(inputs))).mapInArrow(run, StructType([*own, *new]))
+
+
 _STATE: dict = {}
 
 

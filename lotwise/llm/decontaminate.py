@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, texts_of, worker_state
+from .common import add_columns, map_rows, texts_of, worker_state
 
 Q = 8
 #: The shortest region that counts as a leak, in characters (shorter items must be there whole), and its edit rate.
@@ -231,3 +231,16 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
         part = map_rows(rows, search, schema)
         found = part if found is None else found.union(part)
     return (spark.createDataFrame([], schema) if found is None else found).withColumnRenamed("id", id_col)
+
+
+def drop_leaked(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` without any benchmark passage, with their columns as they are."""
+    for number, block in enumerate(benchmark_blocks(benchmark, item_col, item_text_col)):
+        shared = docs.sparkSession.sparkContext.broadcast(block)
+
+        def search(batch, shared=shared, key=("benchmark", number, hash(tuple(block)))):
+            index = worker_state(key, lambda: BenchmarkIndex(shared.value))
+            return {"__leaks": [len(leaks(t, index)) for t in texts_of(batch.column(0))]}
+
+        docs = add_columns(docs, [F.col(text_col)], search, "__leaks bigint").filter("__leaks = 0").drop("__leaks")
+    return docs

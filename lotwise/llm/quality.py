@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, texts_of
+from .common import add_columns, map_rows, texts_of
 
 #: Bounds of the fit: labelled rows, and unlabelled rows in the pool.
 MOST_LABELLED, MOST_POOL = 20_000, 20_000
@@ -192,16 +192,27 @@ def score_quality(docs: DataFrame, model: CoTrained, id_col: str = "doc_id", tex
     like any other; a null id stays null; repeated rows are scored each; an empty table gives no rows; further columns are
     ignored.
     """
+    n, id_type = len(meta_cols), docs.schema[id_col].dataType.simpleString()
+    rows = docs.select(*_columns(docs, text_col, meta_cols), F.col(id_col).alias("id"))
+    score = _scorer(docs, model, n)
+    scored = map_rows(rows, lambda batch: {"id": batch.column(1 + n)} | score(batch), f"id {id_type}, score double, text_score double, meta_score double")
+    return scored.withColumn("keep", F.col("score") >= least).withColumnRenamed("id", id_col)
+
+
+def _scorer(docs: DataFrame, model: CoTrained, n: int):
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    id_type = docs.schema[id_col].dataType.simpleString()
-    n = len(meta_cols)
 
     def score(batch):
         texts = texts_of(batch.column(0))
         meta = list(zip(*(batch.column(1 + i).to_pylist() for i in range(n)), strict=True)) if n else [()] * len(texts)
         both, a, b = shared.value.score(np.array([text_features(t) for t in texts]), meta_matrix([meta_features(m) for m in meta]))
-        return {"id": batch.column(1 + n), "score": both.tolist(), "text_score": a.tolist(), "meta_score": b.tolist()}
+        return {"score": both.tolist(), "text_score": a.tolist(), "meta_score": b.tolist()}
 
-    rows = docs.select(*_columns(docs, text_col, meta_cols), F.col(id_col).alias("id"))
-    scored = map_rows(rows, score, f"id {id_type}, score double, text_score double, meta_score double")
-    return scored.withColumn("keep", F.col("score") >= least).withColumnRenamed("id", id_col)
+    return score
+
+
+def keep_good(docs: DataFrame, model: CoTrained, text_col: str = "text", meta_cols: tuple[str, ...] = ("lang", "source", "n_chars"), least: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` whose score is at least ``least``, with their columns as they are."""
+    score = _scorer(docs, model, len(meta_cols))
+    scored = add_columns(docs, _columns(docs, text_col, meta_cols), lambda batch: {"__score": score(batch)["score"]}, "__score double")
+    return scored.filter(F.col("__score") >= least).select(*docs.columns)

@@ -9,16 +9,39 @@ from pyspark.sql import functions as F
 from .bpe_codec import encode_documents
 from .bpe_count import count_tokens
 from .common import table
+from .decontaminate import find_leaks
 from .fingerprints import fingerprint_edits
 from .html_text import extract_pages
 from .near_dedup import near_duplicate_classes
+from .pseudo_likelihood import fit_network, score_documents
+from .quality import fit_quality, score_quality
 from .secrets import scan_secrets
+from .toxicity import fit_toxicity, score_toxicity
 
 
 def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(table(spark, sf_dir, "pages"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return score_toxicity(docs, fit_toxicity(docs, labels))
+
+
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return score_documents(docs, *fit_network(docs))
+
+
+def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return score_quality(docs, fit_quality(docs, labels))
+
+
 def op6_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_edits(table(spark, sf_dir, "documents"))
 
@@ -43,6 +66,10 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_html_extraction": op1_html_extraction,
+    "op2_toxicity": op2_toxicity,
+    "op3_lm_scoring": op3_lm_scoring,
+    "op4_benchmark_decontamination": op4_benchmark_decontamination,
+    "op5_quality_classifier": op5_quality_classifier,
     "op6_document_fingerprints": op6_document_fingerprints,
     "op7_token_counts": op7_token_counts,
     "op8_byte_bpe": op8_byte_bpe,

@@ -17,7 +17,7 @@ import sys
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, worker_state
+from .common import add_columns, map_rows, worker_state
 
 #: The base kinds and their patterns.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -140,3 +140,18 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     schema = f"id {id_type}, base_spans string, spans string, " + ", ".join(f"n_{k} bigint" for k in KINDS) + ", redacted string" * with_text
     out = map_rows(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), scan, schema)
     return out.withColumnRenamed("id", id_col)
+
+
+def redact_secrets(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_chars", threshold: float = 0.6) -> DataFrame:
+    """The rows of ``docs`` with secrets in the text replaced; ``length_col``, if there is one, is counted anew for changed texts."""
+
+    def scan(batch):
+        scanner = worker_state(("secrets", threshold), lambda: SecretScanner(threshold=threshold))
+        return {"__redacted": [t and redacted(t, scanner.scan(t)[1]) for t in batch.column(0).to_pylist()]}
+
+    made = add_columns(docs, [F.col(text_col)], scan, "__redacted string")
+    changed = ~F.col(text_col).eqNullSafe(F.col("__redacted"))
+    new = {text_col: F.col("__redacted")}
+    if length_col in docs.columns:
+        new[length_col] = F.when(changed, F.length("__redacted").cast(docs.schema[length_col].dataType)).otherwise(F.col(length_col))
+    return made.select(*(new.get(c, F.col(c)).alias(c) for c in docs.columns))
