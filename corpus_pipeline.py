@@ -31,12 +31,13 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     stays; rows without an id stay."""
     classes, _ = persist_table(near_duplicate_classes(docs).filter("doc_id is not null"))
     gone = classes.filter("class_id <> doc_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    # these ids grow with the documents, so the joins must not turn into broadcasts at some sizes
+    kept = docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
     repeated = classes.filter("class_id = doc_id").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id")
     if repeated.isEmpty():
         return kept
-    once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(once.select(*docs.columns))
+    once = kept.join(repeated.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return kept.join(repeated.hint("merge"), "doc_id", "left_anti").select(*docs.columns).unionByName(once.select(*docs.columns))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
