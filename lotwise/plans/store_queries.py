@@ -180,7 +180,7 @@ UNION ALL SELECT CAST(conv_id AS VARCHAR), 'tool', sum(length(substr(text, 1, 30
 def event_stream_availablenow(spark, sf_dir):
     """The same splitting as a stream over all turns: characters by session and kind equal those of the batch."""
     turns = stream_table(spark, sf_dir, "conversations")
-    rows = run_available(split_stream(act_events(turns)), spark, _scratch(spark))
+    rows = run_available(split_stream(act_events(turns), idle_ms=None), spark, _scratch(spark))
     return rows.groupBy("session", "kind").agg(F.sum(F.length("content")).alias("chars"))
 
 

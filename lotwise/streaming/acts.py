@@ -49,11 +49,12 @@ class ActionSplitter:
         return out
 
 
-def split_stream(events: DataFrame, idle_ms: int = 3_600_000) -> DataFrame:
+def split_stream(events: DataFrame, idle_ms: int | None = 3_600_000) -> DataFrame:
     """Stream of (session, seq, kind, content) to (session, seq, kind, content) with prose and actions apart.
 
     Events of a micro-batch are sorted by ``seq`` inside the operator. A session that is silent for ``idle_ms`` is drained and
-    forgotten, so the state is bounded by the sessions alive."""
+    forgotten, so the state is bounded by the sessions alive. A run over what is there now takes None: it would never end
+    while it waits for silence."""
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         kind, held, tail, seq = state.get if state.exists else ("message", "", "", -1)
@@ -72,11 +73,12 @@ def split_stream(events: DataFrame, idle_ms: int = 3_600_000) -> DataFrame:
                     if kind in ("status", "error"):
                         splitter = ActionSplitter(splitter.kind)
             state.update((*splitter.state, int(seq)))
-            state.setTimeoutDuration(idle_ms)
+            if idle_ms is not None:
+                state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(rows, columns=["session", "seq", "kind", "content"])
 
     return events.groupBy("session").applyInPandasWithState(
-        step, "session string, seq bigint, kind string, content string", "kind string, held string, tail string, seq bigint", "append", GroupStateTimeout.ProcessingTimeTimeout
+        step, "session string, seq bigint, kind string, content string", "kind string, held string, tail string, seq bigint", "append", GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout
     )
 
 
