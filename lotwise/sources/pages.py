@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.scalars import first_of, per_area, to_integer, to_number, truthy
 
@@ -21,15 +20,17 @@ BOX = ((1.15, 1.50), (103.55, 104.10))
 ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&copy;", "©"), ("&middot;", "·"), ("&nbsp;", " "), ("&amp;", "&"))
 
 _ITEMS = "struct<items: array<struct<caption: string, src: string>>>"
-CARD = T.StructType.fromDDL(
-    "kevel string,"
-    "listingData struct<id: string, price: struct<value: string>, bedrooms: string, bathrooms: string, floorArea: string, url: string, fullAddress: string, localizedTitle: string,"
+_OWN = (
+    "struct<id: string, price: struct<value: string>, bedrooms: string, bathrooms: string, floorArea: string, url: string, fullAddress: string, localizedTitle: string,"
     " postedOn: struct<text: string, unix: string>, agent: struct<name: string>, agency: struct<name: string>, property: struct<id: string>,"
-    f" products: struct<isPromoted: boolean, isPromotedListing: boolean>, mediaCarousel: struct<previewMedia: struct<floorPlans: {_ITEMS}, images: {_ITEMS}>>>,"
-    "segment struct<parameters: struct<metaData: struct<listingData: struct<listingId: string, price: string, floorArea: string, bedroom: string, bathroom: string, listingTitle: string,"
-    " district: string, districtName: string, regionName: string, tenure: string, projectId: string, propertyType: string, propertyTypeGroup: string, adProduct: string, property: struct<developerName: string>>>>>"
+    f" products: struct<isPromoted: boolean, isPromotedListing: boolean>, mediaCarousel: struct<previewMedia: struct<floorPlans: {_ITEMS}, images: {_ITEMS}>>>"
 )
-PAGE = T.StructType().add("props", T.StructType().add("pageProps", T.StructType().add("pageData", T.StructType().add("data", T.StructType().add("listingsData", T.ArrayType(CARD)).add("paginationData", T.StructType().add("totalPages", T.StringType()))))))
+_META = (
+    "struct<listingId: string, price: string, floorArea: string, bedroom: string, bathroom: string, listingTitle: string, district: string, districtName: string, regionName: string,"
+    " tenure: string, projectId: string, propertyType: string, propertyTypeGroup: string, adProduct: string, property: struct<developerName: string>>"
+)
+CARD = f"struct<kevel: string, listingData: {_OWN}, segment: struct<parameters: struct<metaData: struct<listingData: {_META}>>>>"
+PAGE = f"props struct<pageProps: struct<pageData: struct<data: struct<listingsData: array<{CARD}>, paginationData: struct<totalPages: string>>>>>"
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
