@@ -116,7 +116,7 @@ def test_models_without_labels(spark, odd):
 def test_network_learns_and_scores_sum_over_words(spark, documents, texts):
     vocabulary = pseudo_likelihood.corpus_vocabulary(documents, "text")
     counted = sorted(((-n, w) for w, n in __import__("collections").Counter(w for t in texts.values() for w in pseudo_likelihood.words_of(t)).items()))
-    assert list(vocabulary) == [w for _, w in counted[: pseudo_likelihood.WORDS - 1]]
+    assert vocabulary.words == [w for _, w in counted[: pseudo_likelihood.WORDS - 1]]
     start = pseudo_likelihood.start_network()
     trained = pseudo_likelihood.train_round(documents, "doc_id", "text", vocabulary, start, 0)
     mean = lambda net: sum(r.log_likelihood for r in pseudo_likelihood.score_documents(documents, vocabulary, net).collect())
