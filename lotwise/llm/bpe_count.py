@@ -19,7 +19,7 @@ from .common import map_rows, texts_of, worker_state
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 #: Distinct words that a worker remembers before it starts afresh.
-CACHE = 500_000
+CACHE = 300_000
 
 #: Rank of a pair that no merge has.
 NEVER = 1 << 60

@@ -11,7 +11,7 @@ WORDS = re.compile(r"\w+").findall
 #: Words in a shingle.
 WIDTH = 5
 _STEP = np.uint64(0x9E3779B97F4A7C15)
-_CACHE = 500_000
+_CACHE = 200_000
 
 
 def mixed(h: np.ndarray) -> np.ndarray:

@@ -33,7 +33,7 @@ class TermHashes(dict):
     def __missing__(self, word: str) -> tuple[int, ...]:
         terms = [word, *(f"{word[:n]}*" for n in PREFIXES if len(word) > n)]
         found = tuple(zlib.crc32(t.encode("utf-8")) % BUCKETS for t in terms)
-        if len(self) > 300_000:
+        if len(self) > 150_000:
             self.clear()
         if len(word) < 100:
             self[word] = found
