@@ -71,8 +71,9 @@ class _Element:
 class LineReader(HTMLParser):
     """Parser events to lines: text, length of text that counts, tags, container element, heading or not, link share."""
 
-    def __init__(self):
+    def __init__(self, around: frozenset[str] = AROUND, by_name: bool = True):
         super().__init__(convert_charrefs=True)
+        self.around, self.by_name = around, by_name
         root = _Element(0, "", NO, None)
         self.open, self.elements = [root], [root]
         self.silent = 0
@@ -110,11 +111,11 @@ class LineReader(HTMLParser):
         if tag == "main":
             why = why if why == TAG else NO
         elif why == NO:
-            if tag in AROUND:
+            if tag in self.around:
                 why = TAG
             elif tag == "header" and not any(e.tag in ("article", "main") for e in self.open):
                 why = TAG
-            elif attrs and tag not in ("html", "body", "article", "a", "span", "b", "i", "em", "strong", "h1") and named_around(attrs, tag):
+            elif attrs and self.by_name and tag not in ("html", "body", "article", "a", "span", "b", "i", "em", "strong", "h1") and named_around(attrs, tag):
                 why = NAMED
         self._push(tag, why)
         self.links += tag == "a"
@@ -220,6 +221,14 @@ def main_text(html: str, sigma: float = 1.0, spread: float = 0.5) -> str:
         return ""
     reader = LineReader()
     lines = reader.read(html)
+    if not any(c for *_, c in lines):  # a page inside one form, or inside an element with an unlucky name
+        prose = lambda x: any(len(t) >= 60 and e.tag in ("p", "article", "main", "section", "div") for t, _, _, e, _ in x)
+        for around, by_name in ((AROUND - {"form"}, True), (AROUND - {"form"}, False)):
+            again = LineReader(around, by_name)
+            found = again.read(html)
+            if prose([x for x in found if x[4]]):
+                reader, lines = again, found
+                break
     menus = link_lists(lines)
     counts = np.array([c and not (e.tag == "li" and e.parent.id in menus) for _, _, _, e, c in lines], dtype=bool)
     if not counts.any():
