@@ -221,8 +221,8 @@ def main_text(html: str, sigma: float = 1.0, spread: float = 0.5) -> str:
         return ""
     reader = LineReader()
     lines = reader.read(html)
-    if not any(c for *_, c in lines):  # a page inside one form, or inside an element with an unlucky name
-        prose = lambda x: any(len(t) >= 60 and e.tag in ("p", "article", "main", "section", "div") for t, _, _, e, _ in x)
+    if not any(c for *_, c in lines):  # a page with a title inside one form, or inside an element with an unlucky name
+        prose = lambda x: any(len(t) >= 60 and e.tag in ("p", "article", "main", "section", "div") for t, _, _, e, _ in x) and any(e.tag in ("h1", "article", "main") for _, _, _, e, _ in x)
         for around, by_name in ((AROUND - {"form"}, True), (AROUND - {"form"}, False)):
             again = LineReader(around, by_name)
             found = again.read(html)
