@@ -161,3 +161,21 @@ def test_empty_tables(spark):
     rows = spark.createDataFrame([], LISTING)
     assert L.unit_types(rows).count() == 0 and L.properties(rows, ["listed_at"]).count() == 0
     assert V.facet_values(rows, {"t": F.col("tenure_code")}).count() == 0
+
+
+def test_requests_are_checked():
+    from lotwise.functions.requests import checked_filters, checked_searches, whole_number
+
+    assert whole_number(12.9) == 12 and whole_number("7") == 7 and whole_number(None) is None
+    for bad in (True, -1, float("inf"), "12.7"):
+        with pytest.raises(ValueError):
+            whole_number(bad)
+    assert checked_filters({"minPrice": 0, "bedrooms": [3], "isVerified": True, "sort": "price"}) == {"minPrice": 0, "bedrooms": ["3"], "isVerified": True, "sort": "price"}
+    for bad in ({"minPrice": 2, "maxPrice": 1}, {"bedrooms": ["x"] * 31}, {"sort": "other"}, {"districtCode": ["D 1"]}):
+        with pytest.raises(ValueError):
+            checked_filters(bad)
+    assert checked_searches({"maxPages": 0, "filters": {"minPsf": 5}}) == [{"propertyTypeGroup": "N", "maxPages": 0, "filters": {"minPsf": 5}}]
+    assert [s["maxPages"] for s in checked_searches({"searches": [{"propertyTypeGroup": "H"}, {"propertyTypeGroup": "L", "maxPages": 25}]})] == [1, 10]
+    for bad in ({"searches": []}, {"searches": [{"propertyTypeGroup": "H"}, {"propertyTypeGroup": "H"}]}, {"searches": [{"propertyTypeGroup": "Z"}]}):
+        with pytest.raises(ValueError):
+            checked_searches(bad)
