@@ -132,6 +132,17 @@ def test_network_learns_and_scores_sum_over_words(spark, documents, texts):
     assert got[i].n_words == len(numbers) and abs(got[i].log_likelihood - brute) < 1e-3 * abs(brute)
 
 
+def test_scores_do_not_depend_on_how_the_input_is_split(documents, monkeypatch):
+    monkeypatch.setattr(pseudo_likelihood, "SHARD_BYTES", 150_000)
+    monkeypatch.setattr(pseudo_likelihood.shard_count, "__defaults__", (150_000,))
+    assert pseudo_likelihood.shard_count(documents, "text") > 2
+    found = []
+    for n in (1, 7):
+        vocabulary, net = pseudo_likelihood.fit_network(documents.repartition(n))
+        found.append({r.doc_id: r.log_likelihood for r in pseudo_likelihood.score_documents(documents, vocabulary, net).collect()})
+    assert all(abs(found[0][i] - found[1][i]) <= 1e-4 * abs(found[0][i]) for i in found[0])
+
+
 def test_probabilities_sum_to_one():
     net = pseudo_likelihood.start_network(5)
     context = np.tile(np.array([[3, 9, 27, 81]]), (pseudo_likelihood.VOCABULARY, 1))
