@@ -10,8 +10,10 @@ coordinates are joined; each candidate pair is then checked exactly.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,6 +26,8 @@ BANDS, ROWS = 25, 5
 SIMILARITY = 0.8
 #: Masks that choose the pivot of a bucket, by band; an exclusive or is one to one, so a minimum of masked ids tells the id.
 MASKS = (0, 0x2A5C96B1D37E, 0x15D3E8A64B29, 0x36E9174DA8C5)
+#: Members and set elements that one side of a block of the complete comparison holds on average; they bound its memory.
+BLOCK, BLOCK_ELEMENTS = 1024, 4_000_000
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 #: Distribution of a Poisson variable of mean 1, over 64-bit hashes.
 _POISSON = np.array([int(min(1.0, math.exp(-1) * sum(1 / math.factorial(j) for j in range(n + 1))) * (2**64 - 1)) for n in range(16)], dtype=np.uint64)
@@ -114,9 +118,8 @@ def sketch_documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return map_rows(rows, sketch, "id bigint, k1 bigint, k2 bigint, bands array<bigint>")
 
 
-def verified_links(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, similarity: float) -> DataFrame:
-    """Pairs (``a``, ``b``) whose exact weighted Jaccard similarity is at least ``similarity``. Only texts of some pair are
-    shingled; ``pairs`` must be a stored table, as it is read more than once."""
+def stored_sets(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``id`` and ``set`` (the occurrences of its shingles) of each id of ``pairs``, as a stored table."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
 
@@ -125,7 +128,11 @@ def verified_links(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str
 
     # the ids grow with the documents, so this join must not turn into a broadcast at some sizes
     sets = map_rows(rows.join(ids.hint("merge"), "id", "left_semi"), shingle, "id bigint, set array<int>").dropDuplicates(["id"])
-    sets, _ = persist_table(sets)
+    return persist_table(sets)[0]
+
+
+def verified_links(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (``a``, ``b``) whose exact weighted Jaccard similarity is at least ``similarity``."""
 
     def compare(batch):
         one, two = batch.column(2), batch.column(3)
@@ -136,6 +143,76 @@ def verified_links(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str
     return map_rows(pairs.join(left, "a").join(right, "b").select("a", "b", "one", "two"), compare, "a bigint, b bigint")
 
 
+def similar_labels(rows: list[tuple[int, int, np.ndarray]], similarity: float) -> set[tuple[int, int]]:
+    """Pairs of different labels (less, greater) of which some sets have at least the Jaccard ``similarity``.
+
+    Rows are side, label and set. Rows of two sides are compared across; rows of one side with each other."""
+    rows = sorted((r for r in rows if len(r[2])), key=lambda r: len(r[2]))
+    if not rows:
+        return set()
+    sides = {r[0] for r in rows}
+    left = [r for r in rows if r[0] == min(sides)]
+    right = [r for r in rows if r[0] == max(sides)]
+    label, size = np.array([r[1] for r in right]), np.array([len(r[2]) for r in right])
+    elements, codes = np.unique(np.concatenate([r[2] for r in right]), return_inverse=True)
+    starts, marked, found = np.r_[0, np.cumsum(size)], np.zeros(len(elements), bool), set()
+    for k, (_, own, x) in enumerate(left):
+        low = max(int(np.searchsorted(size, math.floor(similarity * len(x)))), k + 1 if len(sides) == 1 else 0)
+        high = int(np.searchsorted(size, math.ceil(len(x) / similarity), "right"))  # sets of other sizes can't reach it
+        if low >= high:
+            continue
+        at = np.minimum(np.searchsorted(elements, x), len(elements) - 1)
+        at = at[elements[at] == x]
+        marked[at] = True
+        shared = np.add.reduceat(marked[codes[starts[low] : starts[high]]], starts[low:high] - starts[low], dtype=np.int64)
+        marked[at] = False
+        near = (shared / (size[low:high] + len(x) - shared) >= similarity) & (label[low:high] != own)
+        found.update((min(own, other), max(own, other)) for other in np.unique(label[low:high][near]).tolist())
+    return found
+
+
+def unmet_links(met: DataFrame, sets: DataFrame, labels: DataFrame, similarity: float) -> DataFrame:
+    """Pairs of labels (``a``, ``b``) that similar texts of one bucket link, over all pairs of a bucket whose labels differ.
+
+    Up to three members have all met as pivots, and a bucket of one label is settled. Of what is left, equal buckets are
+    taken once. Members are dealt into blocks by hash, and a task compares two blocks completely."""
+    spark = met.sparkSession
+    # all of these grow with the documents, so the joins must not turn into broadcasts at some sizes
+    nodes = sets.join(labels.select(F.col("node").alias("id"), "label").hint("merge"), "id", "left").select("id", "set", F.coalesce("label", "id").alias("label"))
+    many = met.filter("n > 3").select("id", "bucket").distinct()
+    known = many.join(nodes.select("id", "label", F.size("set").alias("size")).hint("merge"), "id")
+    same = [F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("ids"), F.min("id").alias("first"), F.max("id").alias("last")]
+    unsettled = known.groupBy("bucket").agg(*same, F.min("label").alias("low"), F.max("label").alias("high"), F.sum("size").alias("elements")).filter("low < high")
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("elements") / BLOCK_ELEMENTS)).cast("int")
+    unsettled = unsettled.groupBy("n", "ids", "first", "last").agg(F.min(F.struct("bucket", blocks.alias("blocks"))).alias("one")).select("one.*")
+    members = many.join(unsettled.hint("merge"), "bucket").withColumn("side", F.pmod(F.xxhash64("id", "bucket"), F.col("blocks")).cast("int"))
+    members = members.select("id", "bucket", "side", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other"))
+    dealt = members.join(nodes.hint("merge"), "id").select("bucket", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "label", "set")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, found = None, [], set()
+        for batch in batches:
+            for bucket, i, j, side, label, x in zip(*(c.to_pylist() for c in batch.columns[:5]), batch.column(5), strict=True):
+                if (bucket, i, j) != key:
+                    found |= compared(key, held)
+                    key, held = (bucket, i, j), []
+                held.append((side, label, x.values.to_numpy()))
+            yield pairs_batch(found)
+            found = set()
+        yield pairs_batch(compared(key, held))
+
+    def compared(key, held):
+        # a block may be empty; then there is nothing across
+        return similar_labels(held, similarity) if key and (key[1] == key[2] or len({r[0] for r in held}) == 2) else set()
+
+    def pairs_batch(found):
+        return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["a", "b"])
+
+    # the work grows with the pairs, not with the bytes, so small partitions stay apart
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return dealt.repartition(parts, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(compare, "a bigint, b bigint").distinct()
+
+
 def components(links: DataFrame) -> DataFrame:
     """``node`` and the least node it is linked with (``label``), over a stored table of links (``a``, ``b``).
 
@@ -161,9 +238,10 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     """Per row of ``docs``: the id, ``class_id`` (the least id of its class) and ``copies`` (rows with the same words).
 
     Rows with the same words in the same order are copies and share one node. Within every bucket of a band, all nodes are
-    checked against two pivots, which differ between four sets of bands, and links are closed transitively. So two similar
-    texts are in one class unless in all the buckets that they share both miss the class of the pivots. Work is linear in
-    the rows, however large a group of copies or near copies is.
+    checked against two pivots, which differ between four sets of bands, and links are closed transitively. Buckets that
+    still hold several classes are then compared completely, so two similar texts are in one class whenever they share a
+    bucket. Work is linear in the rows for a group of copies or near copies of any size; it is quadratic in a bucket whose
+    members are alike but below ``similarity``.
 
     Texts without any word are copies only of equal texts; null texts are empty. Rows of one id are one document; where
     their texts differ, one of them is checked. A null id has a null class. Repeated rows get a row each; an empty table gives no rows;
@@ -174,13 +252,19 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     buckets = sketches.join(copies.select(F.col("node").alias("id")).distinct(), "id", "left_semi").select("id", F.posexplode("bands").alias("band", "bucket"))
     mask = F.element_at(F.lit(list(MASKS)), F.col("band") % len(MASKS) + 1)
     buckets = buckets.select("id", "bucket", mask.alias("mask")).withColumn("masked", F.col("id").bitwiseXOR(F.col("mask")))
-    least = buckets.groupBy("bucket").agg(F.min("masked").alias("least"), F.max("masked").alias("most")).filter("least < most")
-    pivot = F.explode(F.array(F.col("least").bitwiseXOR(F.col("mask")), F.col("most").bitwiseXOR(F.col("mask"))))
-    met = buckets.join(least, "bucket").select("id", pivot.alias("pivot")).filter("pivot <> id")
-    pairs, _ = persist_table(met.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct())
-    links, _ = persist_table(verified_links(pairs, docs, id_col, text_col, similarity))
+    least = buckets.groupBy("bucket").agg(F.min("masked").alias("least"), F.max("masked").alias("most"), F.count("*").alias("n")).filter("least < most")
+    pivots = F.array(F.col("least").bitwiseXOR(F.col("mask")), F.col("most").bitwiseXOR(F.col("mask")))
+    met, _ = persist_table(buckets.join(least, "bucket").select("id", "bucket", "n", pivots.alias("pivots")))
+    apart = met.select("id", F.explode("pivots").alias("pivot")).filter("pivot <> id")
+    pairs, _ = persist_table(apart.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct())
+    sets = stored_sets(pairs, docs, id_col, text_col)
+    links, _ = persist_table(verified_links(pairs, sets, similarity))
     labels = components(links)
-    rows = sketches.select("id", "k1", "k2").join(copies, ["k1", "k2"]).join(labels, "node", "left")
-    found = rows.select("id", F.coalesce("label", "node").alias("class_id"), "copies")
+    rows = sketches.select("id", "k1", "k2").join(copies, ["k1", "k2"]).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    more, _ = persist_table(unmet_links(met, sets, labels, similarity))
+    if not more.isEmpty():
+        tops = components(more).select(F.col("node").alias("label"), F.col("label").alias("top"))
+        rows = rows.join(tops.hint("merge"), "label", "left").withColumn("label", F.coalesce("top", "label"))
+    found = rows.select("id", F.col("label").alias("class_id"), "copies")
     nulls = docs.filter(F.col(id_col).isNull()).select(F.lit(None).cast("bigint").alias("id"), F.lit(None).cast("bigint").alias("class_id"), F.lit(1).cast("bigint").alias("copies"))
     return found.union(nulls).withColumnRenamed("id", id_col)

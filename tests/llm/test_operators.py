@@ -301,6 +301,22 @@ def test_classes_equal_brute_force(spark, texts):
     assert {i: got[i].class_id for i in more} == want
 
 
+@pytest.mark.parametrize("block", [1024, 40])
+def test_pairs_inside_a_family_below_the_threshold_are_found(spark, monkeypatch, block):
+    """Texts on one template fill the buckets with pairs below the threshold; similar pairs among them still meet."""
+    monkeypatch.setattr(near_dedup, "BLOCK", block, raising=False)
+    rnd, words, family = random.Random(4), [f"w{k}" for k in range(200)], {}
+    for i in range(360):
+        own = words[:] if i < 300 else family[5 * (i - 300)].split()
+        for k in rnd.sample(range(200), 4 if i < 300 else 3):
+            own[k] = f"x{i}y{k}"
+        family[i] = " ".join(own)
+    got = by_id(near_dedup.near_duplicate_classes(spark.createDataFrame(list(family.items()), "doc_id bigint, text string")))
+    want = brute_classes(family)
+    assert 290 < len(set(want.values())) < 320
+    assert {i: got[i].class_id for i in family} == want
+
+
 def test_a_large_group_and_repeated_rows(spark):
     rnd = random.Random(3)
     words = [f"w{k}" for k in range(200)]
