@@ -2,9 +2,10 @@
 
 A region of n characters that differs from a benchmark passage by at most e edits shares at least n + 1 - q (e + 1) of its
 q-grams with it, all on diagonals (document position minus item position) at most e apart. So shared q-grams are counted
-in overlapping bands of diagonals; bands that reach the count of the shortest region that matters are retained, and a
-banded local alignment decides. Texts are compared in lower case with each run of other characters than letters and
-digits as one space; spans are of the text as it stands.
+in overlapping bands of diagonals; bands that reach the count of the shortest region that matters are retained. There a
+banded local alignment finds whole copies, and what it rejects or leaves is searched for every region within the budget.
+Texts are compared in lower case with each run of other characters than letters and digits as one space; spans are of the
+text as it stands.
 """
 
 from __future__ import annotations
@@ -72,7 +73,8 @@ class BenchmarkIndex:
         self.region = np.minimum(length, REGION)
         edits = (EDIT_RATE * self.region).astype(np.int64)
         self.least = np.maximum(1, self.region + 1 - Q * (edits + 1))  # shared q-grams of a region, by the lemma
-        self.width = 2 * int(edits.max(initial=1)) + 2  # of a band; bands overlap by half, so any e + 1 diagonals lie in one
+        # of a band; bands overlap by half, so the diagonals of any region of less than two shortest ones lie in one
+        self.width = 2 * max(1, budget(int(np.minimum(length, 2 * REGION - 1).max(initial=0)))) + 2
         hashes, item, offset = [], [], []
         for k, p in enumerate(self.points):
             g = gram_hashes(p)
@@ -175,6 +177,82 @@ def banded_alignment(doc: np.ndarray, item: np.ndarray, first: int, last: int, r
     return None
 
 
+def clean_windows(doc: np.ndarray, item: np.ndarray, first: int, width: int, rate: float = EDIT_RATE, region: int = REGION) -> list[tuple[int, int, int, int]]:
+    """Item start and end, document start and end of windows of ``item`` that one band of ``doc`` holds within the edit rate.
+
+    For every start in the item, edit distances are counted forward, from any diagonal of the band, and the longest window
+    of ``region`` to less than twice as many characters is taken (or the whole item if that is shorter than ``region``).
+    A longer region within the rate can be cut into such windows, and one of them is within the rate as well."""
+    n, need = len(item), min(len(item), region)
+    if need == 0:
+        return []
+    longest = n if n < region else min(n, 2 * region - 1)
+    most, far, k = int(rate * longest), np.int32(1 << 29), np.arange(width)
+    found = []
+    for low in range(0, n - need + 1, 4096):
+        start = np.arange(low, min(low + 4096, n - need + 1))
+        at = start[:, None] + first + k  # document position of each start and diagonal
+        # edits and, in the low bits, the diagonal of the start
+        cost = np.where((at >= 0) & (at <= len(doc)), k, far).astype(np.int32)
+        step = np.int32(1 << int(width).bit_length())
+        along = k.astype(np.int32) * step
+        best = np.zeros((len(start), 3), np.int64)  # of each start the length, and the diagonals of its start and end
+        for t in range(longest):
+            if not (live := (start + t < n) & (cost.min(axis=1) < (most + 1) * step)).all():
+                start, cost = start[live], cost[live]
+                if not len(start):
+                    break
+            at = start[:, None] + (first + t) + k
+            same = (at >= 0) & (at < len(doc)) & (doc[np.clip(at, 0, len(doc) - 1)] == item[start + t][:, None])
+            new = cost + np.where(same, np.int32(0), step)
+            np.minimum(new[:, :-1], cost[:, 1:] + step, out=new[:, :-1])  # item character left out
+            new[(at < -1) | (at >= len(doc))] = far
+            cost = np.minimum(np.minimum.accumulate(new - along, axis=1) + along, far)  # document characters between
+            cost[(at < -1) | (at >= len(doc))] = far
+            if t + 1 >= need:
+                end = cost.argmin(axis=1)
+                value = cost[np.arange(len(start)), end]
+                good = value < (int(rate * (t + 1)) + 1) * step
+                best[start[good] - low] = np.stack([np.full(int(good.sum()), t + 1), value[good] % step, end[good]], axis=1)
+        for b in np.flatnonzero(best[:, 0]).tolist():
+            length, one, two = best[b].tolist()
+            b += low
+            found.append((b, b + length, b + first + one, b + length + first + two))
+    return found
+
+
+def edit_distance(a: np.ndarray, b: np.ndarray) -> int:
+    along = np.arange(len(b) + 1)
+    row = along
+    for n, c in enumerate(a):
+        new = np.r_[n + 1, np.minimum(row[:-1] + (b != c), row[1:] + 1)]
+        row = np.minimum.accumulate(new - along) + along
+    return int(row[-1])
+
+
+def passages(doc: np.ndarray, item: np.ndarray, first: int, last: int, width: int) -> list[tuple[int, int, int]]:
+    """Document start and end and edits of the passages of ``item`` on the diagonals from ``first`` to ``last``.
+
+    The best alignment is taken if it is within the budget. What it leaves of the item, or all if it isn't, is searched for
+    windows within the budget; those that overlap in item and document are one passage, whose edits may be denser."""
+    hit = banded_alignment(doc, item, first, last)
+    found, rest = [], [(0, len(item))]
+    if hit is not None:
+        found, rest = [(hit[0], hit[1], hit[4])], [(a, b) for a, b in ((0, hit[2]), (hit[3], len(item))) if b - a >= REGION]
+    for begin, end in rest:
+        windows = sorted({(a + begin, b + begin, c, d) for at in range(first, last - width // 2, width // 2) for a, b, c, d in clean_windows(doc, item[begin:end], at + begin, width)})
+        spans: list[list[int]] = []
+        for a, b, c, d in windows:
+            for s in spans:
+                if a < s[1] and c < s[3] and s[2] < d:
+                    s[:] = min(a, s[0]), max(b, s[1]), min(c, s[2]), max(d, s[3])
+                    break
+            else:
+                spans.append([a, b, c, d])
+        found.extend((c, d, edit_distance(item[a:b], doc[c:d])) for a, b, c, d in spans)
+    return found
+
+
 def leaks(text: str, index: BenchmarkIndex) -> list[tuple[int, int, int, int]]:
     """(item id, start, end, edits) of the passages of ``text`` that come from the benchmark."""
     points, at = folded(text)
@@ -182,9 +260,7 @@ def leaks(text: str, index: BenchmarkIndex) -> list[tuple[int, int, int, int]]:
         return []
     found = []
     for k, first, last in index.regions(points):
-        hit = banded_alignment(points, index.points[k], first, last)
-        if hit is not None:
-            start, end, _, _, edits = hit
+        for start, end, edits in passages(points, index.points[k], first, last, index.width):
             found.append((index.ids[k], int(at[start]), int(at[end - 1]) + 1, edits))
     return sorted(found, key=lambda x: (x[1], x[0]))
 

@@ -186,6 +186,36 @@ def test_the_filter_keeps_every_region_within_the_budget():
             assert index.regions(decontaminate.folded(text)[0]), item
 
 
+def test_regions_inside_a_denser_alignment_are_found():
+    """Copies of which only a part is clean; the best alignment runs on through the other parts."""
+    rnd = random.Random(12)
+    for n in range(20):
+        item = "".join(rnd.choices("abcdefghijklm ", k=300)).replace("  ", " a").strip()
+        worn = "".join("z" if k % 6 == 5 else c for k, c in enumerate(item[120:]))
+        broken = "".join("z" if k % 3 == 2 else c for k, c in enumerate(item[100:180]))
+        index = decontaminate.BenchmarkIndex([(1, item)])
+        noise = "".join(rnd.choices("nopqrstuvwxy", k=50 + n))
+        head = decontaminate.leaks(noise + " " + item[:120] + worn + " " + noise, index)
+        assert any(s <= len(noise) + 11 and e >= len(noise) + 110 for _, s, e, _ in head), n
+        both = decontaminate.leaks(noise + " " + item[:100] + broken + item[180:] + " " + noise, index)
+        assert any(s <= len(noise) + 11 for _, s, _, _ in both) and any(e >= len(noise) + len(item) - 10 for _, _, e, _ in both), n
+        assert not decontaminate.leaks(noise + " " + "".join("z" if k % 9 == 8 else c for k, c in enumerate(item)) + " " + noise, index), n
+
+
+def test_windows_equal_brute_force():
+    rnd, seen = random.Random(13), set()
+    for _ in range(60):
+        item, doc = (np.array([rnd.choice([1, 2, 3]) for _ in range(rnd.randint(6, 14))], np.uint32) for _ in range(2))
+        need = min(len(item), 7)
+        spans = [(a, b, c, d) for a in range(len(item)) for b in range(a + need, len(item) + 1) for c in range(len(doc)) for d in range(c + 1, len(doc) + 1)]
+        want = any(decontaminate.edit_distance(item[a:b], doc[c:d]) <= int(0.3 * (b - a)) for a, b, c, d in spans)
+        got = decontaminate.clean_windows(doc, item, -len(item), len(item) + len(doc) + 1, 0.3, 7)
+        assert bool(got) == want
+        assert all(decontaminate.edit_distance(item[a:b], doc[c:d]) <= 0.3 * (b - a) for a, b, c, d in got)
+        seen.add(want)
+    assert seen == {True, False}
+
+
 def test_benchmark_in_blocks_and_edge_cases(spark, odd, data):
     benchmark = spark.createDataFrame([(1, "word " * 40), (2, None), (3, ""), (4, "ab"), (1, "word " * 40)], "item_id bigint, text string")
     assert [len(b) for b in decontaminate.benchmark_blocks(benchmark, "item_id", "text", 150)] == [1, 1, 3] or sum(len(b) for b in decontaminate.benchmark_blocks(benchmark, "item_id", "text", 150)) == 5
