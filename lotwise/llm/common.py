@@ -8,15 +8,46 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-#: Rows that a mapped function sees at once; Arrow batches are cut to this so that long texts stay within memory.
-SLICE_ROWS = 512
+#: Rows and bytes that a mapped function sees at once; Arrow batches are cut to this so that long texts stay within memory.
+SLICE_ROWS, SLICE_BYTES = 512, 4 << 20
+#: Rows in an Arrow batch between the JVM and Python, unless the session has a setting of its own.
+BATCH_ROWS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores behind it while ``df`` has a column of that name."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def slices(batch: pa.RecordBatch, rows: int = SLICE_ROWS, most_bytes: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Parts of at most ``rows`` rows; parts of more than ``most_bytes`` are halved down to single rows."""
+    for start in range(0, batch.num_rows, rows):
+        waiting = [batch.slice(start, rows)]
+        while waiting:
+            part = waiting.pop()
+            if part.num_rows > 1 and part.nbytes > most_bytes:
+                half = part.num_rows // 2
+                waiting += [part.slice(half), part.slice(0, half)]
+            else:
+                yield part
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Texts can be long, so batches of the default 10,000 rows are too large; a session's own setting stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def map_rows(df: DataFrame, fn: Callable[[pa.RecordBatch], dict[str, list]], schema: str, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """``fn`` over Arrow slices of ``df``; it returns the columns of ``schema`` as lists.
 
@@ -26,11 +57,12 @@ def map_rows(df: DataFrame, fn: Callable[[pa.RecordBatch], dict[str, list]], sch
     from pyspark.sql.types import StructType
 
     arrow_schema = to_arrow_schema(StructType.fromDDL(schema))
+    small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, slice_rows):
-                out = fn(batch.slice(start, slice_rows))
+            for part in slices(batch, slice_rows):
+                out = fn(part)
                 yield pa.RecordBatch.from_arrays([out[f.name] if isinstance(out[f.name], pa.Array) else pa.array(out[f.name], type=f.type) for f in arrow_schema], schema=arrow_schema)
 
     return df.mapInArrow(run, schema)
@@ -38,22 +70,23 @@ def map_rows(df: DataFrame, fn: Callable[[pa.RecordBatch], dict[str, list]], sch
 
 def add_columns(df: DataFrame, inputs: list[Column], fn: Callable[[pa.RecordBatch], dict[str, list]], schema: str, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """The rows of ``df`` as they are, with the columns of ``schema`` that ``fn`` makes of the ``inputs``; their names must
-    be new to ``df``."""
+    be new to ``df`` (see ``free_name``)."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
     own, new = df.schema, StructType.fromDDL(schema)
     n, new_arrow, whole = len(own), to_arrow_schema(new), to_arrow_schema(StructType([*own, *new]))
+    small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, slice_rows):
-                part = batch.slice(start, slice_rows)
+            for part in slices(batch, slice_rows):
                 out = fn(part.select(range(n, part.num_columns)))
                 made = [out[f.name] if isinstance(out[f.name], pa.Array) else pa.array(out[f.name], type=f.type) for f in new_arrow]
                 yield pa.RecordBatch.from_arrays([part.column(i).cast(whole.field(i).type) for i in range(n)] + made, names=whole.names)
 
-    return df.select(*df.columns, *(c.alias(f"__input_{i}") for i, c in enumerate(inputs))).mapInArrow(run, StructType([*own, *new]))
+    spare = free_name(df, "input")
+    return df.select(*(F.col(f"`{c}`") for c in df.columns), *(c.alias(f"{spare}{i}_") for i, c in enumerate(inputs))).mapInArrow(run, StructType([*own, *new]))
 
 
 _STATE: dict = {}

@@ -2,8 +2,9 @@
 
 A region of n characters that differs from a benchmark passage by at most e edits shares at least n + 1 - q (e + 1) of its
 q-grams with it, all on diagonals (document position minus item position) at most e apart. So shared q-grams are counted
-in overlapping bands of diagonals; bands that reach the count of the shortest region that matters are retained. There a
-banded local alignment finds whole copies, and what it rejects or leaves is searched for every region within the budget.
+in overlapping bands of diagonals; where a stretch of an item reaches the count that a region of that length needs, the
+band is retained together with the places where such a region can start. There a banded local alignment finds whole
+copies, and what it rejects or leaves is searched by banded alignments from every such place.
 Texts are compared in lower case with each run of other characters than letters and digits as one space; spans are of the
 text as it stands.
 """
@@ -11,14 +12,17 @@ text as it stands.
 from __future__ import annotations
 
 import sys
+import uuid
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import add_columns, map_rows, texts_of, worker_state
+from .common import add_columns, free_name, map_rows, texts_of, worker_state
 
-Q = 8
+#: Length of the q-grams, and that for items whose budget of edits leaves them no shared q-gram of that length.
+Q, SHORT_Q = 8, 4
 #: The shortest region that counts as a leak, in characters (shorter items must be there whole), and its edit rate.
 REGION, EDIT_RATE = 80, 0.08
 #: Benchmark characters in one block; each block is one pass over the documents, and only one block is broadcast at once.
@@ -49,13 +53,12 @@ def folded(text: str) -> tuple[np.ndarray, np.ndarray]:
     return points[at], at
 
 
-def gram_hashes(points: np.ndarray) -> np.ndarray:
-    """A hash of each of the Q-grams, by doubling."""
-    h, step, base = points.astype(np.uint64), 1, np.full(1, _BASE)
-    while step < Q:
-        h = h[:-step] * base + h[step:] if len(h) > step else h[:0]
-        base = base * base
-        step *= 2
+def gram_hashes(points: np.ndarray, q: int) -> np.ndarray:
+    """A hash of each of the q-grams."""
+    n = max(0, len(points) - q + 1)
+    h, wide = np.zeros(n, np.uint64), points.astype(np.uint64)
+    for j in range(q):
+        h = h * _BASE + wide[j : j + n]
     return h ^ (h >> np.uint64(29))
 
 
@@ -63,39 +66,34 @@ def budget(length: int) -> int:
     return int(EDIT_RATE * length)
 
 
-class BenchmarkIndex:
-    """Q-grams of one block of items, folded and joined with gaps."""
+class _Tier:
+    """Q-grams of items of like length, with the counts that the lemma asks of a stretch of each of them."""
 
-    def __init__(self, items: list[tuple[int, str]]):
-        self.ids = [i for i, _ in items]
-        self.points = [folded(t)[0] for _, t in items]
-        length = np.array([len(p) for p in self.points], np.int64)
-        self.region = np.minimum(length, REGION)
-        edits = (EDIT_RATE * self.region).astype(np.int64)
-        self.least = np.maximum(1, self.region + 1 - Q * (edits + 1))  # shared q-grams of a region, by the lemma
+    def __init__(self, numbers: list[int], points: list[np.ndarray], q: int):
+        self.numbers, self.q, length = numbers, q, [len(points[k]) for k in numbers]
         # of a band; bands overlap by half, so the diagonals of any region of less than two shortest ones lie in one
-        self.width = 2 * max(1, budget(int(np.minimum(length, 2 * REGION - 1).max(initial=0)))) + 2
-        hashes, item, offset = [], [], []
-        for k, p in enumerate(self.points):
-            g = gram_hashes(p)
-            hashes.append(g)
-            item.append(np.full(len(g), k, np.int64))
-            offset.append(np.arange(len(g), dtype=np.int64))
-        h = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
+        self.half = max(1, max(budget(min(n, 2 * REGION - 1)) for n in length)) + 1
+        # for each number of edits: the fewest q-grams of a region, and its greatest length (short items: their own, always)
+        classes = [(budget(m), m) for m in range(REGION, 2 * REGION)]
+        steps = [(min(m for d, m in classes if d == e), max(m for d, m in classes if d == e), e) for e in sorted({e for e, _ in classes})]
+        bound = lambda n, e: max(1, n + 1 - q * (e + 1))
+        self.fewest = np.array([[bound(low, e) if n >= REGION else bound(n, budget(n)) for n in length] for low, _, e in steps])
+        self.longest = np.array([[high if n >= REGION else n for n in length] for _, high, _ in steps])
+        if all(n < REGION for n in length):
+            self.fewest, self.longest = self.fewest[:1], self.longest[:1]
+        hashes = [gram_hashes(points[k], q) for k in numbers]
+        h = np.concatenate(hashes)
         order = np.argsort(h, kind="stable")
-        self.item = (np.concatenate(item) if item else np.zeros(0, np.int64))[order]
-        self.offset = (np.concatenate(offset) if offset else np.zeros(0, np.int64))[order]
+        self.item = np.repeat(np.arange(len(numbers)), [len(g) for g in hashes])[order]
+        self.offset = np.concatenate([np.arange(len(g)) for g in hashes])[order]
         self.hash, self.first, self.count = np.unique(h[order], return_index=True, return_counts=True)
         self.filter = np.zeros(1 << _FILTER_BITS, bool)
         self.filter[self.hash >> np.uint64(64 - _FILTER_BITS)] = True
 
     def hits(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Document positions, items and item offsets of the shared q-grams."""
-        none = np.zeros(0, np.int64)
-        h = gram_hashes(points)
+        """Document positions, items (places in ``numbers``) and item offsets of the shared q-grams."""
+        h = gram_hashes(points, self.q)
         at = np.flatnonzero(self.filter[h >> np.uint64(64 - _FILTER_BITS)])
-        if not len(at) or not len(self.hash):
-            return none, none, none
         h = h[at]
         slot = np.minimum(np.searchsorted(self.hash, h), len(self.hash) - 1)
         same = self.hash[slot] == h
@@ -104,26 +102,83 @@ class BenchmarkIndex:
         each = np.repeat(self.first[slot] - np.cumsum(many) + many, many) + np.arange(int(many.sum()))
         return np.repeat(at, many), self.item[each], self.offset[each]
 
-    def regions(self, points: np.ndarray) -> list[tuple[int, int, int]]:
-        """Retained bands: item, first diagonal and last one, neighbours of one item joined."""
+    def regions(self, points: np.ndarray) -> list[tuple[int, int, int, int]]:
+        """Retained bands: item number, first diagonal, first and last place of the item where a region can start."""
         position, item, offset = self.hits(points)
         if not len(position):
             return []
-        half = self.width // 2
-        diagonal = position - offset + (1 << 30)
-        bands = (1 << 31) // half + 2
-        low = item * bands + diagonal // half
-        keys, counts = np.unique(np.concatenate([low, low - 1]), return_counts=True)  # band b holds the diagonals from b * half to (b + 2) * half
-        kept = keys[counts >= self.least[keys // bands]] if len(keys) else keys
-        found: list[tuple[int, int, int]] = []
-        for key in kept.tolist():
-            k, band = divmod(key, bands)
-            start = band * half - (1 << 30)
-            if found and found[-1][0] == k and start <= found[-1][2]:
-                found[-1] = (k, found[-1][1], start + 2 * half)
-            else:
-                found.append((k, start, start + 2 * half))
-        return found
+        bands = (1 << 31) // self.half + 2
+        low = item * bands + (position - offset + (1 << 30)) // self.half
+        key, offset = np.concatenate([low, low - 1]), np.concatenate([offset, offset])  # band b holds the diagonals from b * half to (b + 2) * half
+        keys, slot, counts = np.unique(key, return_inverse=True, return_counts=True)
+        enough = (counts >= self.fewest.min(0)[keys // bands])[slot]
+        if not enough.any():
+            return []
+        both = np.unique(np.stack([key[enough], offset[enough]], 1), axis=0)  # each offset of the item once in a band
+        key, offset = both[:, 0], both[:, 1]
+        item, n = key // bands, len(key)
+        start, stop = np.full(n, 1 << 40), np.full(n, -1)
+        for fewest, longest in zip(self.fewest, self.longest, strict=True):
+            last = np.arange(n) + fewest[item] - 1
+            i = np.flatnonzero(last < n)
+            j = last[i]
+            good = (key[j] == key[i]) & (offset[j] - offset[i] <= longest[item[i]] - self.q)
+            i, j = i[good], j[good]
+            start[i] = np.minimum(start[i], offset[j] + self.q - longest[item[i]])
+            stop[i] = offset[i]
+        kept = np.flatnonzero(stop >= 0)
+        if not len(kept):
+            return []
+        keys, first = np.unique(key[kept], return_index=True)
+        begin, end = np.minimum.reduceat(start[kept], first), np.maximum.reduceat(stop[kept], first)
+        return [(self.numbers[k // bands], k % bands * self.half - (1 << 30), max(0, a), b) for k, a, b in zip(keys.tolist(), begin.tolist(), end.tolist(), strict=True)]
+
+
+class BenchmarkIndex:
+    """One block of items, by their texts or folded: those below Q characters as whole words, the others by their q-grams."""
+
+    def __init__(self, items: list[tuple[int, str | np.ndarray]]):
+        self.ids = [i for i, _ in items]
+        self.points = [folded(t)[0] if isinstance(t, str) else t for _, t in items]
+        tiers: dict[tuple, list[int]] = {}
+        self.words: dict[int, dict[bytes, list[int]]] = {}  # by length: items of fewer than Q characters, between spaces
+        for k, p in enumerate(self.points):
+            n = len(p)
+            if 0 < n < Q:
+                self.words.setdefault(n + 2, {}).setdefault(_padded(p).tobytes(), []).append(k)
+            elif n:
+                q = Q if n + 1 - Q * (budget(n) + 1) > 0 else SHORT_Q
+                tiers.setdefault((q, n >= REGION), []).append(k)
+        self.tiers = [_Tier(numbers, self.points, q) for (q, _), numbers in tiers.items()]
+        self.word_hashes = {n: np.array(sorted({int(gram_hashes(np.frombuffer(w, np.uint32), n)[0]) for w in words}), np.uint64) for n, words in self.words.items()}
+
+    def regions(self, points: np.ndarray) -> list[tuple[int, int, int, int]]:
+        return [r for tier in self.tiers for r in tier.regions(points)]
+
+    def found(self, points: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        """Item number, start, end and edits of the passages in folded ``points``."""
+        for tier in self.tiers:
+            regions, width = tier.regions(points), 2 * tier.half
+            at = 0
+            while at < len(regions):
+                k, group = regions[at][0], [regions[at]]
+                while at + len(group) < len(regions) and regions[at + len(group)][0] == k and regions[at + len(group)][1] <= group[-1][1] + width:
+                    group.append(regions[at + len(group)])
+                at += len(group)
+                for start, end, edits in passages(points, self.points[k], [r[1:] for r in group], width):
+                    yield k, start, end, edits
+        padded = _padded(points) if self.words else points
+        for n, words in self.words.items():
+            for i in np.flatnonzero(np.isin(gram_hashes(padded, n), self.word_hashes[n])).tolist():
+                for k in words.get(padded[i : i + n].tobytes(), ()):
+                    yield k, i, i + n - 2, 0
+
+
+def _padded(points: np.ndarray) -> np.ndarray:
+    """With a space at both ends."""
+    edge = np.full(1, 32, np.uint32)
+    inner = points[: len(points) - 1] if len(points) and points[-1] == 32 else points
+    return np.concatenate([edge, inner, edge])
 
 
 def banded_alignment(doc: np.ndarray, item: np.ndarray, first: int, last: int, rate: float = EDIT_RATE, region: int = REGION) -> tuple[int, int, int, int, int] | None:
@@ -177,10 +232,10 @@ def banded_alignment(doc: np.ndarray, item: np.ndarray, first: int, last: int, r
     return None
 
 
-def clean_windows(doc: np.ndarray, item: np.ndarray, first: int, width: int, rate: float = EDIT_RATE, region: int = REGION) -> list[tuple[int, int, int, int]]:
+def clean_windows(doc: np.ndarray, item: np.ndarray, first: int, width: int, rate: float = EDIT_RATE, region: int = REGION, starts: tuple[int, int] = (0, 1 << 40)) -> list[tuple[int, int, int, int]]:
     """Item start and end, document start and end of windows of ``item`` that one band of ``doc`` holds within the edit rate.
 
-    For every start in the item, edit distances are counted forward, from any diagonal of the band, and the longest window
+    For every start in the item (from ``starts[0]`` to ``starts[1]``), edit distances are counted forward, from any diagonal of the band, and the longest window
     of ``region`` to less than twice as many characters is taken (or the whole item if that is shorter than ``region``).
     A longer region within the rate can be cut into such windows, and one of them is within the rate as well."""
     n, need = len(item), min(len(item), region)
@@ -189,8 +244,9 @@ def clean_windows(doc: np.ndarray, item: np.ndarray, first: int, width: int, rat
     longest = n if n < region else min(n, 2 * region - 1)
     most, far, k = int(rate * longest), np.int32(1 << 29), np.arange(width)
     found = []
-    for low in range(0, n - need + 1, 4096):
-        start = np.arange(low, min(low + 4096, n - need + 1))
+    stop = min(starts[1], n - need) + 1
+    for low in range(max(0, starts[0]), stop, 4096):
+        start = np.arange(low, min(low + 4096, stop))
         at = start[:, None] + first + k  # document position of each start and diagonal
         # edits and, in the low bits, the diagonal of the start
         cost = np.where((at >= 0) & (at <= len(doc)), k, far).astype(np.int32)
@@ -230,19 +286,25 @@ def edit_distance(a: np.ndarray, b: np.ndarray) -> int:
     return int(row[-1])
 
 
-def passages(doc: np.ndarray, item: np.ndarray, first: int, last: int, width: int) -> list[tuple[int, int, int]]:
-    """Document start and end and edits of the passages of ``item`` on the diagonals from ``first`` to ``last``.
+def passages(doc: np.ndarray, item: np.ndarray, bands: list[tuple[int, int, int]], width: int) -> list[tuple[int, int, int]]:
+    """Document start and end and edits of the passages of ``item`` in neighbouring retained ``bands``, each given by its
+    first diagonal and the first and last place of the item where a region can start.
 
-    The best alignment is taken if it is within the budget. What it leaves of the item, or all if it isn't, is searched for
-    windows within the budget; those that overlap in item and document are one passage, whose edits may be denser."""
-    hit = banded_alignment(doc, item, first, last)
-    found, rest = [], [(0, len(item))]
-    if hit is not None:
-        found, rest = [(hit[0], hit[1], hit[4])], [(a, b) for a, b in ((0, hit[2]), (hit[3], len(item))) if b - a >= REGION]
+    An item of REGION characters or more: the best local alignment is taken if it is within the budget; what it leaves of
+    the item, or all if it isn't, is searched for windows within the budget. A shorter item is aligned whole. Windows that
+    overlap in item and document are one passage, whose edits may be denser."""
+    found, rest, n = [], [(0, len(item))], len(item)
+    if n >= REGION:
+        hit = banded_alignment(doc, item, bands[0][0], bands[-1][0] + width)
+        if hit is not None:
+            found, rest = [(hit[0], hit[1], hit[4])], [(a, b) for a, b in ((0, hit[2]), (hit[3], n)) if b - a >= REGION]
     for begin, end in rest:
-        windows = sorted({(a + begin, b + begin, c, d) for at in range(first, last - width // 2, width // 2) for a, b, c, d in clean_windows(doc, item[begin:end], at + begin, width)})
+        windows = set()
+        for first, low, high in bands:
+            starts = max(low, begin) - begin, min(high, end) - begin
+            windows.update((a + begin, b + begin, c, d) for a, b, c, d in clean_windows(doc, item[begin:end], first + begin, width, starts=starts))
         spans: list[list[int]] = []
-        for a, b, c, d in windows:
+        for a, b, c, d in sorted(windows):
             for s in spans:
                 if a < s[1] and c < s[3] and s[2] < d:
                     s[:] = min(a, s[0]), max(b, s[1]), min(c, s[2]), max(d, s[3])
@@ -256,48 +318,60 @@ def passages(doc: np.ndarray, item: np.ndarray, first: int, last: int, width: in
 def leaks(text: str, index: BenchmarkIndex) -> list[tuple[int, int, int, int]]:
     """(item id, start, end, edits) of the passages of ``text`` that come from the benchmark."""
     points, at = folded(text)
-    if len(points) < Q:
-        return []
-    found = []
-    for k, first, last in index.regions(points):
-        for start, end, edits in passages(points, index.points[k], first, last, index.width):
-            found.append((index.ids[k], int(at[start]), int(at[end - 1]) + 1, edits))
-    return sorted(found, key=lambda x: (x[1], x[0]))
+    found = {(index.ids[k], int(at[start]), int(at[end - 1]) + 1, edits) for k, start, end, edits in index.found(points) if end > start}
+    return sorted(found, key=lambda x: (x[1], x[2], str(x[0])))
 
 
-def benchmark_blocks(benchmark: DataFrame, item_col: str, text_col: str, block_chars: int = BLOCK_CHARS):
-    """Items in blocks of at most ``block_chars`` (a longer item is a block of its own), ascending by id."""
+def has_leak(text: str, index: BenchmarkIndex) -> bool:
+    return next(index.found(folded(text)[0]), None) is not None
+
+
+def benchmark_blocks(benchmark: DataFrame, item_col: str, text_col: str, block_chars: int = BLOCK_CHARS) -> Iterator[list[tuple[int, np.ndarray]]]:
+    """Folded items in blocks of at most ``block_chars``, ascending by id. A longer item is cut into parts that overlap by two
+    shortest regions, so no region is lost."""
     block, size = [], 0
     rows = benchmark.select(F.col(item_col).alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).orderBy("i", "t")
     for row in rows.toLocalIterator():
-        if block and size + len(row.t) > block_chars:
-            yield block
-            block, size = [], 0
-        block.append((row.i, row.t))
-        size += len(row.t)
+        points, shared = folded(row.t)[0], 2 * REGION
+        step = max(1, block_chars - shared)
+        parts = [points] if len(points) <= block_chars else [points[a : a + step + shared] for a in range(0, len(points) - shared, step)]
+        for part in parts:
+            if block and size + len(part) > block_chars:
+                yield block
+                block, size = [], 0
+            block.append((row.i, part))
+            size += len(part)
     if block:
         yield block
 
 
+def _shared_index(spark, block):
+    """A function that gives a task the index of a block; a Python worker builds it once."""
+    shared, key = spark.sparkContext.broadcast(block), ("benchmark", uuid.uuid4().hex)
+    return lambda: worker_state(key, lambda: BenchmarkIndex(shared.value))
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """A row for each benchmark passage found in a row of ``docs``: the id, ``item_id``, ``start``, ``end`` (code points, end
     exclusive) and ``edits``.
 
-    Documents are read whole, whatever their length. Null and empty texts and items, and items of fewer than Q folded
-    characters, match nothing; equal items are found each; repeated rows give their passages each; empty tables give no
-    rows; further columns are ignored. The benchmark is the query side: it is taken in blocks of bounded size.
+    A leak is a region of at least REGION characters of an item with at most EDIT_RATE edits a character; a shorter item must
+    be there whole within that rate (below 13 characters: without edits), one of fewer than Q characters as whole words.
+    Documents are read whole, whatever their length. Null and empty texts and items match nothing; items of equal
+    text and different ids are found each; repeated rows give their passages each; empty tables give no rows; further columns are ignored. The benchmark is
+    the query side: it is taken in blocks of bounded size.
     """
     spark = docs.sparkSession
     id_type, item_type = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
     schema = f"id {id_type}, item_id {item_type}, start bigint, end bigint, edits bigint"
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     found = None
-    for number, block in enumerate(benchmark_blocks(benchmark, item_col, item_text_col)):
-        shared = spark.sparkContext.broadcast(block)
+    for block in benchmark_blocks(benchmark, item_col, item_text_col):
+        index_of = _shared_index(spark, block)
 
-        def search(batch, shared=shared, key=("benchmark", number, hash(tuple(block)))):
-            index = worker_state(key, lambda: BenchmarkIndex(shared.value))
-            ids, out = batch.column(0).to_pylist(), {"id": [], "item_id": [], "start": [], "end": [], "edits": []}
+        def search(batch, index_of=index_of):
+            index, ids = index_of(), batch.column(0).to_pylist()
+            out = {"id": [], "item_id": [], "start": [], "end": [], "edits": []}
             for i, text in zip(ids, texts_of(batch.column(1)), strict=True):
                 for hit in leaks(text, index):
                     for name, value in zip(out, (i, *hit), strict=True):
@@ -310,13 +384,13 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 
 
 def drop_leaked(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` without any benchmark passage, with their columns as they are."""
-    for number, block in enumerate(benchmark_blocks(benchmark, item_col, item_text_col)):
-        shared = docs.sparkSession.sparkContext.broadcast(block)
+    """The rows of ``docs`` without any benchmark passage, with their columns as they are, whatever their names; rows with a
+    null or empty text stay, repeated rows are decided each, and an empty benchmark leaves all rows."""
+    for block in benchmark_blocks(benchmark, item_col, item_text_col):
+        index_of, flag = _shared_index(docs.sparkSession, block), free_name(docs, "leaked")
 
-        def search(batch, shared=shared, key=("benchmark", number, hash(tuple(block)))):
-            index = worker_state(key, lambda: BenchmarkIndex(shared.value))
-            return {"__leaks": [len(leaks(t, index)) for t in texts_of(batch.column(0))]}
+        def search(batch, index_of=index_of, flag=flag):
+            return {flag: [has_leak(t, index_of()) for t in texts_of(batch.column(0))]}
 
-        docs = add_columns(docs, [F.col(text_col)], search, "__leaks bigint").filter("__leaks = 0").drop("__leaks")
+        docs = add_columns(docs, [F.col(text_col)], search, f"{flag} boolean").filter(~F.col(flag)).drop(flag)
     return docs

@@ -202,6 +202,64 @@ def test_regions_inside_a_denser_alignment_are_found():
         assert not decontaminate.leaks(noise + " " + "".join("z" if k % 9 == 8 else c for k, c in enumerate(item)) + " " + noise, index), n
 
 
+def has_region(item, doc, rate=decontaminate.EDIT_RATE, region=decontaminate.REGION):
+    """Brute force over folded texts: some stretch of the item, of ``region`` characters or whole if it is shorter, is in the
+    document within the edit rate. Distances of all starts in the item to all places of the document."""
+    n, need = len(item), min(len(item), region)
+    starts = np.arange(n - need + 1)
+    row = np.zeros((len(starts), len(doc) + 1), np.int64)
+    along = np.arange(len(doc) + 1)
+    for t in range(n if n < region else min(n, 2 * region - 1)):
+        live = starts + t < n
+        starts, row = starts[live], row[live]
+        new = row + 1
+        new[:, 1:] = np.minimum(new[:, 1:], row[:, :-1] + (doc[None, :] != item[starts + t][:, None]))
+        row = np.minimum.accumulate(new - along, axis=1) + along
+        if t + 1 >= need and (row.min(1) <= int(rate * (t + 1))).any():
+            return True
+    return False
+
+
+def worn(text, rnd, kind):
+    """The text with edits in the middle, at the ends, or with one part left clean."""
+    n = len(text)
+    if kind == "ends":
+        return "z" * rnd.randint(1, 2) + text[rnd.randint(0, 2) : n - rnd.randint(0, 2)] + "z"
+    if kind == "part":
+        at, length = rnd.randrange(n), rnd.randint(n // 4, n)
+        return edited(text[:at], rnd, 0.15) + text[at : at + length] + edited(text[at + length :], rnd, rnd.choice([0.12, 0.2, 0.5]))
+    return edited(text, rnd, rnd.choice([0.02, 0.05, 0.08, 0.1, 0.14]))
+
+
+def test_leaks_equal_brute_force():
+    """Items of 5 to 400 characters, with edits at the ends, in the middle and in parts."""
+    rnd, seen = random.Random(21), {True: 0, False: 0}
+    lengths = [*range(5, 32), *range(5, 32), *range(36, 100, 5), *[rnd.randint(80, 400) for _ in range(60)]]
+    for number, n in enumerate(lengths):
+        item = "".join(rnd.choices("abcdefghijklm", k=n))
+        for kind in ("middle", "ends", "part"):
+            noise = lambda: "".join(rnd.choices("nopqrstuvw", k=rnd.randint(3, 60)))
+            text = f"{noise()} {worn(item, rnd, kind)} {noise()}"
+            index = decontaminate.BenchmarkIndex([(1, item)])
+            want = has_region(decontaminate.folded(item)[0], decontaminate.folded(text)[0])
+            if n < decontaminate.Q:
+                want = f" {item} " in f" {text} "
+            assert bool(decontaminate.leaks(text, index)) == want == decontaminate.has_leak(text, index), (number, n, kind)
+            seen[want] += 1
+    assert min(seen.values()) > 60
+
+
+def test_long_items_are_cut_without_loss(spark):
+    rnd = random.Random(5)
+    item = "".join(rnd.choices("abcdefghijklm ", k=3000)).replace("  ", " a")
+    benchmark = spark.createDataFrame([(1, item)], "item_id bigint, text string")
+    blocks = list(decontaminate.benchmark_blocks(benchmark, "item_id", "text", 500))
+    assert len(blocks) > 4 and all(len(p) <= 500 for block in blocks for _, p in block)
+    indexes = [decontaminate.BenchmarkIndex(b) for b in blocks]
+    for at in range(0, 2800, 37):
+        assert any(decontaminate.has_leak("nop " + item[at : at + 165] + " qrs", index) for index in indexes), at
+
+
 def test_windows_equal_brute_force():
     rnd, seen = random.Random(13), set()
     for _ in range(60):
@@ -218,9 +276,10 @@ def test_windows_equal_brute_force():
 
 def test_benchmark_in_blocks_and_edge_cases(spark, odd, data):
     benchmark = spark.createDataFrame([(1, "word " * 40), (2, None), (3, ""), (4, "ab"), (1, "word " * 40)], "item_id bigint, text string")
-    assert [len(b) for b in decontaminate.benchmark_blocks(benchmark, "item_id", "text", 150)] == [1, 1, 3] or sum(len(b) for b in decontaminate.benchmark_blocks(benchmark, "item_id", "text", 150)) == 5
+    sizes = [[len(p) for _, p in b] for b in decontaminate.benchmark_blocks(benchmark, "item_id", "text", 250)]
+    assert sizes == [[200], [200, 0, 0, 2]]
     got = decontaminate.find_leaks(odd, benchmark).collect()
-    assert {r.doc_id for r in got} == {9}
+    assert {(r.doc_id, r.item_id) for r in got} == {(9, 1)}
     nothing = spark.createDataFrame([], "item_id bigint, text string")
     assert decontaminate.find_leaks(odd, nothing).count() == 0
     assert decontaminate.drop_leaked(odd, nothing).count() == odd.count()
