@@ -1,19 +1,20 @@
 """The corpus pipeline: five stages over ``documents``, each written and read again by whoever runs them.
 
 Every stage takes ``(spark, docs, sf_dir)``. All but the last return the columns of ``documents``; the last one encodes
-what is left. Stages work on any columns besides ``doc_id``, ``text``, ``lang``, ``source`` and ``n_chars`` unchanged.
+what is left. Other columns than ``doc_id``, ``text``, ``lang``, ``source`` and ``n_chars`` pass through unchanged, whatever their
+names. Every stage takes rows with nulls in any column, empty and repeated texts, repeated ids and empty tables; it decides
+each row by its own values.
 """
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from lotwise.llm.bpe_codec import encode_documents
 from lotwise.llm.common import persist_table, table
 from lotwise.llm.decontaminate import drop_leaked
-from lotwise.llm.near_dedup import near_duplicate_classes
+from lotwise.llm.near_dedup import drop_near_duplicates
 from lotwise.llm.quality import fit_quality, keep_good
 from lotwise.llm.secrets import redact_secrets
 
@@ -22,26 +23,18 @@ ORACLE_SQL = None
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the co-trained classifier rejects go."""
+    """Documents that the co-trained classifier rejects go; empty texts are judged like any other."""
     return keep_good(docs, fit_quality(docs, table(spark, sf_dir, "labels")))
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates stays: the one with the least id. Of rows with that one id, one
-    stays; rows without an id stay."""
-    classes, _ = persist_table(near_duplicate_classes(docs).filter("doc_id is not null"))
-    gone = classes.filter("class_id <> doc_id").select("doc_id").distinct()
-    # these ids grow with the documents, so the joins must not turn into broadcasts at some sizes
-    kept = docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
-    repeated = classes.filter("class_id = doc_id").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id")
-    if repeated.isEmpty():
-        return kept
-    once = kept.join(repeated.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(repeated.hint("merge"), "doc_id", "left_anti").select(*docs.columns).unionByName(once.select(*docs.columns))
+    """One row of each class of near duplicates stays: the one with the least id. Rows are decided by their texts, so rows
+    of one id, or without an id, are decided each."""
+    return drop_near_duplicates(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark passage go."""
+    """Documents that hold a benchmark passage go; empty ones stay."""
     return drop_leaked(docs, table(spark, sf_dir, "benchmark"))
 
 
@@ -51,7 +44,7 @@ def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of each text; its decoded bytes are hashed for the round trip."""
+    """Ids of each text (none for null and empty ones); its decoded bytes are hashed for the round trip."""
     return encode_documents(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 

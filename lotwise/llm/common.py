@@ -85,8 +85,8 @@ def add_columns(df: DataFrame, inputs: list[Column], fn: Callable[[pa.RecordBatc
                 made = [out[f.name] if isinstance(out[f.name], pa.Array) else pa.array(out[f.name], type=f.type) for f in new_arrow]
                 yield pa.RecordBatch.from_arrays([part.column(i).cast(whole.field(i).type) for i in range(n)] + made, names=whole.names)
 
-    spare = free_name(df, "input")
-    return df.select(*(F.col(f"`{c}`") for c in df.columns), *(c.alias(f"{spare}{i}_") for i, c in enumerate(inputs))).mapInArrow(run, StructType([*own, *new]))
+    # by place, since names may clash or hold dots
+    return df.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(df.columns)), *(c.alias(f"x{i}") for i, c in enumerate(inputs))).mapInArrow(run, StructType([*own, *new]))
 
 
 _STATE: dict = {}

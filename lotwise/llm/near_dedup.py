@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_table, map_rows, persist_table, texts_of
+from .common import drop_table, free_name, map_rows, persist_table, small_batches, texts_of
 from .shingles import WIDTH, WORDS, mixed, shingle_hashes
 
 #: Bands of ROWS coordinates: a pair of similarity 0.8 shares a band with probability 1 - (1 - 0.8^5)^25 = 0.99995.
@@ -27,7 +27,7 @@ SIMILARITY = 0.8
 #: Masks that choose the pivot of a bucket, by band; an exclusive or is one to one, so a minimum of masked ids tells the id.
 MASKS = (0, 0x2A5C96B1D37E, 0x15D3E8A64B29, 0x36E9174DA8C5)
 #: Members and set elements that one side of a block of the complete comparison holds on average; they bound its memory.
-BLOCK, BLOCK_ELEMENTS = 1024, 4_000_000
+BLOCK, BLOCK_ELEMENTS = 1024, 2_000_000
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 #: Distribution of a Poisson variable of mean 1, over 64-bit hashes.
 _POISSON = np.array([int(min(1.0, math.exp(-1) * sum(1 / math.factorial(j) for j in range(n + 1))) * (2**64 - 1)) for n in range(16)], dtype=np.uint64)
@@ -87,7 +87,7 @@ def occurrences(text: str, width: int = WIDTH) -> np.ndarray:
     h = np.sort(shingle_hashes(text, width))
     first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.zeros(0, np.int64)
     turn = np.arange(len(h)) - np.repeat(first, np.diff(np.r_[first, len(h)]))
-    return np.unique(mixed(h + turn.astype(np.uint64) * _GOLD)).astype(np.uint32).view(np.int32)
+    return np.unique(mixed(h + turn.astype(np.uint64) * _GOLD).view(np.int64))
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -105,8 +105,8 @@ def content_key(text: str) -> tuple[int, int]:
     return (h >> 64) - (1 << 63), (h & (1 << 64) - 1) - (1 << 63)
 
 
-def sketch_documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``id``, the content key (``k1``, ``k2``) and the ``bands`` of each row."""
+def sketch_documents(rows: DataFrame) -> DataFrame:
+    """``id``, the content key (``k1``, ``k2``) and the ``bands`` of each row of (``id``, ``text``)."""
 
     def sketch(batch):
         texts = texts_of(batch.column(1))
@@ -114,21 +114,18 @@ def sketch_documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         bands = [band_keys(dart_signature(*shingle_weights(t))) for t in texts]
         return {"id": batch.column(0), "k1": [a for a, _ in keys], "k2": [b for _, b in keys], "bands": bands}
 
-    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).filter(F.col("id").isNotNull())
     return map_rows(rows, sketch, "id bigint, k1 bigint, k2 bigint, bands array<bigint>")
 
 
-def stored_sets(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def stored_sets(pairs: DataFrame, rows: DataFrame) -> tuple[DataFrame, str]:
     """``id`` and ``set`` (the occurrences of its shingles) of each id of ``pairs``, as a stored table."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
 
     def shingle(batch):
         return {"id": batch.column(0), "set": [occurrences(t) for t in texts_of(batch.column(1))]}
 
     # the ids grow with the documents, so this join must not turn into a broadcast at some sizes
-    sets = map_rows(rows.join(ids.hint("merge"), "id", "left_semi"), shingle, "id bigint, set array<int>").dropDuplicates(["id"])
-    return persist_table(sets)[0]
+    return persist_table(map_rows(rows.join(ids.hint("merge"), "id", "left_semi"), shingle, "id bigint, set array<bigint>"))
 
 
 def verified_links(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -208,6 +205,7 @@ def unmet_links(met: DataFrame, sets: DataFrame, labels: DataFrame, similarity:
     def pairs_batch(found):
         return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["a", "b"])
 
+    small_batches(spark)
     # the work grows with the pairs, not with the bytes, so small partitions stay apart
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return dealt.repartition(parts, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(compare, "a bigint, b bigint").distinct()
@@ -234,37 +232,89 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """Per row of ``docs``: the id, ``class_id`` (the least id of its class) and ``copies`` (rows with the same words).
+def classes_of(rows: DataFrame, sketches: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """``id``, ``class_id`` (the least id of the class) and ``copies`` of ``rows`` (``id``, ``text``) with ids that are all
+    different; ``sketches`` is their stored table of sketches.
 
     Rows with the same words in the same order are copies and share one node. Within every bucket of a band, all nodes are
     checked against two pivots, which differ between four sets of bands, and links are closed transitively. Buckets that
     still hold several classes are then compared completely, so two similar texts are in one class whenever they share a
-    bucket. Work is linear in the rows for a group of copies or near copies of any size; it is quadratic in a bucket whose
-    members are alike but below ``similarity``.
-
-    Texts without any word are copies only of equal texts; null texts are empty. Rows of one id are one document; where
-    their texts differ, one of them is checked. A null id has a null class. Repeated rows get a row each; an empty table gives no rows;
-    further columns are ignored. Ids are integers.
-    """
-    sketches, _ = persist_table(sketch_documents(docs, id_col, text_col))
+    bucket."""
+    spark = rows.sparkSession
     copies, _ = persist_table(sketches.groupBy("k1", "k2").agg(F.min("id").alias("node"), F.count("*").alias("copies")))
-    buckets = sketches.join(copies.select(F.col("node").alias("id")).distinct(), "id", "left_semi").select("id", F.posexplode("bands").alias("band", "bucket"))
+    buckets = sketches.join(copies.select(F.col("node").alias("id")), "id", "left_semi").select("id", F.posexplode("bands").alias("band", "bucket"))
     mask = F.element_at(F.lit(list(MASKS)), F.col("band") % len(MASKS) + 1)
     buckets = buckets.select("id", "bucket", mask.alias("mask")).withColumn("masked", F.col("id").bitwiseXOR(F.col("mask")))
     least = buckets.groupBy("bucket").agg(F.min("masked").alias("least"), F.max("masked").alias("most"), F.count("*").alias("n")).filter("least < most")
     pivots = F.array(F.col("least").bitwiseXOR(F.col("mask")), F.col("most").bitwiseXOR(F.col("mask")))
-    met, _ = persist_table(buckets.join(least, "bucket").select("id", "bucket", "n", pivots.alias("pivots")))
+    met, met_path = persist_table(buckets.join(least, "bucket").select("id", "bucket", "n", pivots.alias("pivots")))
     apart = met.select("id", F.explode("pivots").alias("pivot")).filter("pivot <> id")
-    pairs, _ = persist_table(apart.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct())
-    sets = stored_sets(pairs, docs, id_col, text_col)
-    links, _ = persist_table(verified_links(pairs, sets, similarity))
+    pairs, pairs_path = persist_table(apart.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct())
+    sets, sets_path = stored_sets(pairs, rows)
+    links, links_path = persist_table(verified_links(pairs, sets, similarity))
     labels = components(links)
-    rows = sketches.select("id", "k1", "k2").join(copies, ["k1", "k2"]).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    more, _ = persist_table(unmet_links(met, sets, labels, similarity))
-    if not more.isEmpty():
+    more, more_path = persist_table(unmet_links(met, sets, labels, similarity))
+    for path in (met_path, pairs_path, sets_path, links_path):
+        drop_table(spark, path)
+    found = sketches.select("id", "k1", "k2").join(copies, ["k1", "k2"]).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    if more.isEmpty():
+        drop_table(spark, more_path)
+    else:
         tops = components(more).select(F.col("node").alias("label"), F.col("label").alias("top"))
-        rows = rows.join(tops.hint("merge"), "label", "left").withColumn("label", F.coalesce("top", "label"))
-    found = rows.select("id", F.col("label").alias("class_id"), "copies")
-    nulls = docs.filter(F.col(id_col).isNull()).select(F.lit(None).cast("bigint").alias("id"), F.lit(None).cast("bigint").alias("class_id"), F.lit(1).cast("bigint").alias("copies"))
-    return found.union(nulls).withColumnRenamed("id", id_col)
+        found = found.join(tops.hint("merge"), "label", "left").withColumn("label", F.coalesce("top", "label"))
+    return found.select("id", F.col("label").alias("class_id"), "copies")
+
+
+def _different_ids(sketches: DataFrame) -> bool:
+    return sketches.filter("id is null").isEmpty() and sketches.groupBy("id").count().filter("count > 1").isEmpty()
+
+
+def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """Per row of ``docs``: the id, ``class_id`` (the least id of its class, null where no row of it has one) and ``copies``
+    (rows with the same words in the same order).
+
+    Two texts whose five-word shingles have at least ``similarity`` (weighted Jaccard, checked exactly) are in one class if
+    they share a bucket. Work is linear in the rows for a group of copies or near copies of any size; it is quadratic in a
+    bucket whose members are alike but below ``similarity``.
+
+    Texts without any word are copies only of equal texts; null texts are empty. Rows are compared by their texts: those of
+    one id, or without an id, are rows like any other, with a class each. An empty table gives no rows; further columns are
+    ignored. Ids are integers.
+    """
+    rows = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    sketches, path = persist_table(sketch_documents(rows))
+    if _different_ids(sketches):
+        return classes_of(rows, sketches, similarity).withColumnRenamed("id", id_col)
+    drop_table(docs.sparkSession, path)
+    numbered, _ = persist_table(rows.withColumn("row", F.monotonically_increasing_id()))
+    plain = numbered.select(F.col("row").alias("id"), "text")
+    classes, _ = persist_table(classes_of(plain, persist_table(sketch_documents(plain))[0], similarity))
+    joined = classes.join(numbered.select(F.col("row"), F.col("id").alias("own")).hint("merge"), F.col("id") == F.col("row"))
+    least = joined.groupBy("class_id").agg(F.min("own").alias("least"))
+    return joined.join(least.hint("merge"), "class_id").select(F.col("own").alias(id_col), F.col("least").alias("class_id"), "copies")
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """One row of ``docs`` of each class of near duplicates, with its columns as they are, whatever their names.
+
+    It is the row with the least id; a row without an id stays only where no row of its class has one. Among rows of one id
+    in one class, the least hash of the text, and then of the row as JSON, decides. Rows of one id whose texts differ are
+    in different classes and all stay. Null and empty texts are one class; an empty table stays empty.
+    """
+    id_name, text_name = f"`{id_col}`", f"`{text_col}`"
+    rows = docs.select(F.col(id_name).cast("bigint").alias("id"), F.col(text_name).alias("text"))
+    sketches, path = persist_table(sketch_documents(rows))
+    # what is joined below grows with the documents, so the joins must not turn into broadcasts at some sizes
+    if _different_ids(sketches):
+        gone = classes_of(rows, sketches, similarity).filter("class_id <> id").select(F.col("id").alias(free_name(docs, "gone")))
+        return docs.join(gone.hint("merge"), docs[id_name].cast("bigint") == gone[gone.columns[0]], "left_anti")
+    drop_table(docs.sparkSession, path)
+    row = free_name(docs, "row")
+    numbered, _ = persist_table(docs.withColumn(row, F.monotonically_increasing_id()))
+    plain = numbered.select(F.col(row).alias("id"), F.col(text_name).alias("text"))
+    classes = classes_of(plain, persist_table(sketch_documents(plain))[0], similarity).select("id", "class_id")
+    own = F.col(id_name).cast("bigint")
+    order = F.struct(own.isNull(), own, F.xxhash64(text_name), F.xxhash64(F.to_json(F.struct(*(F.col(f"`{c}`") for c in docs.columns)))), F.col(row))
+    ranked = numbered.select(F.col(row).alias("number"), order.alias("order")).join(classes.hint("merge"), F.col("number") == F.col("id"))
+    kept = ranked.groupBy("class_id").agg(F.min_by("number", "order").alias(f"{row}_"))
+    return numbered.join(kept.hint("merge"), F.col(row) == F.col(f"{row}_"), "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -1,29 +1,34 @@
 """Quality classifier by co-training two views of a document.
 
 One view sees numbers taken from the text, the other the page's metadata (language, source, stated length). Each view has
-a logistic model. In every round each model labels the unlabelled documents that it is most sure about, and these join
-the training rows of the *other* view. At last both views are calibrated on labelled rows kept apart and their evidence
-is added up.
+a logistic model. In every round each model labels all unlabelled documents that it is sure about, and the *other* view
+is fitted anew on the labelled rows and these. The features of all documents are kept as a table; the executors add up
+the gradient and the curvature over it, so no document is left out and nothing that grows with them reaches the driver.
+At last both views are calibrated on labelled rows kept apart, and their evidence is added up and calibrated again.
 """
 
 from __future__ import annotations
 
+import copy
 import operator
 import re
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import add_columns, map_rows, texts_of
+from .common import add_columns, drop_table, free_name, map_rows, persist_table, small_batches, texts_of
 
-#: Bounds of the fit: labelled rows, and unlabelled rows in the pool.
-MOST_LABELLED, MOST_POOL = 20_000, 20_000
-ROUNDS, SURE = 3, 0.97
-#: Share of the pool that a view may label in one round.
-ROUND_SHARE = 0.1
-META_BUCKETS = 256
+#: Bound of the labelled rows of the fit.
+MOST_LABELLED = 20_000
+#: Rounds, passes over the features in each of them, and how sure a view must be of the label that it gives.
+ROUNDS, PASSES, SURE = 3, 3, 0.97
+#: Weight of all labels given by the other view together, beside the labelled rows; one row weighs at most as much as a labelled one.
+TAUGHT_WEIGHT = 0.5
+META_BUCKETS = 128
 SYMBOLS = re.compile(r"[^\w\s.,;:!?'’\"()«»¿¡-]").findall
 ENDS = re.compile(r"[.!?…]").findall
 
@@ -49,139 +54,194 @@ def text_features(text: str) -> list[float]:
     return [0.0, *shares, *(s**0.5 for s in shares[:5]), float(np.log(n)), min(1.0, len(ENDS(text)) / n)]
 
 
+TEXT_SIZE = 16
+
+
 def meta_features(values: tuple) -> list[int]:
     """Hashed terms of the metadata: each column's value, a number by its order of magnitude, and the pair of the first two."""
-    terms = [f"{i}={int(np.log2(v + 1)) if isinstance(v, int | float) and v >= 0 else v}" for i, v in enumerate(values)]
+    terms = [f"{i}={int(np.log2(v + 1)) if isinstance(v, int | float) and 0 <= v < float('inf') else v}" for i, v in enumerate(values)]
     if len(terms) > 1:
         terms.append("&".join(terms[:2]))
-    return [zlib.crc32(t.encode("utf-8")) % META_BUCKETS for t in terms]
+    return [zlib.crc32(t.encode("utf-8", "surrogatepass")) % META_BUCKETS for t in terms]
 
 
-def meta_matrix(rows: list[list[int]]) -> np.ndarray:
-    out = np.zeros((len(rows), META_BUCKETS + 1))
-    out[:, -1] = 1
-    for i, slots in enumerate(rows):
-        out[i, slots] = 1
+def meta_matrix(slots: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(slots), META_BUCKETS))
+    out[np.arange(len(slots))[:, None], slots] = 1
     return out
 
 
+def sigmoid(x):
+    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+
+
 class Logistic:
-    """Ridge logistic regression by Newton steps, after standardizing."""
-
-    def __init__(self, x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 12):
-        self.mean, self.scale = x.mean(0) if len(x) else np.zeros(x.shape[1]), x.std(0) + 1e-6 if len(x) else np.ones(x.shape[1])
-        z = self._design(x)
-        w = np.zeros(z.shape[1])
-        penalty = np.full(len(w), ridge)
-        penalty[-1] = 1e-6
-        for _ in range(steps if len(x) else 0):
-            p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-            grad = z.T @ (y - p) - penalty * w
-            hess = (z * (p * (1 - p) + 1e-9)[:, None]).T @ z + np.diag(penalty)
-            step = np.linalg.solve(hess, grad)
-            w += np.clip(step, -5, 5)
-            if np.abs(step).max() < 1e-6:
-                break
-        self.w = w
+    """Ridge logistic regression by Newton steps; columns may be standardized first."""
+
+    def __init__(self, size: int, standard_of: np.ndarray | None = None, ridge: float = 1.0):
+        known = standard_of is not None and len(standard_of) > 0
+        self.mean, self.scale = (standard_of.mean(0), standard_of.std(0) + 1e-6) if known else (np.zeros(size), np.ones(size))
+        self.w = np.zeros(size + 1)
+        self.penalty = np.r_[np.full(size, ridge), 1e-6]
 
-    def _design(self, x: np.ndarray) -> np.ndarray:
-        z = np.clip((x - self.mean) / self.scale, -8, 8)
-        return np.hstack([z, np.ones((len(x), 1))])
+    def design(self, x: np.ndarray) -> np.ndarray:
+        return np.hstack([np.clip((x - self.mean) / self.scale, -8, 8), np.ones((len(x), 1))])
 
     def logit(self, x: np.ndarray) -> np.ndarray:
-        return self._design(x) @ self.w if len(x) else np.zeros(0)
+        return self.design(x) @ self.w
 
+    def sums(self, x: np.ndarray, y) -> tuple[np.ndarray, np.ndarray]:
+        """Gradient and curvature of the log-likelihood over rows."""
+        z = self.design(x)
+        p = sigmoid(z @ self.w)
+        return z.T @ (y - p), (z * (p * (1 - p))[:, None]).T @ z
+
+    def step(self, gradient: np.ndarray, curvature: np.ndarray) -> float:
+        move = np.linalg.solve(curvature + np.diag(self.penalty), gradient - self.penalty * self.w)
+        self.w = self.w + np.clip(move, -5, 5)
+        return float(np.abs(move).max())
+
+    def fit(self, x: np.ndarray, y: np.ndarray, steps: int = 12) -> Logistic:
+        for _ in range(steps if len(x) else 0):
+            if self.step(*self.sums(x, y)) < 1e-6:
+                break
+        return self
 
-def sigmoid(x):
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+
+def calibrated(logit: np.ndarray, y: np.ndarray) -> Logistic | None:
+    """A logistic model of a logit itself; none where the rows have one label only."""
+    return Logistic(1, logit[:, None]).fit(logit[:, None], y) if len(y) and y.min() < y.max() else None
 
 
 class View:
-    """A model of one view with its calibration (a logistic model of its own logit)."""
+    """A model of one view with its calibration."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, held_x: np.ndarray, held_y: np.ndarray):
-        self.model = Logistic(x, y)
-        own = self.model.logit(held_x)[:, None]
-        both = len(held_y) > 0 and held_y.min() < held_y.max()
-        self.calibration = Logistic(own, held_y) if both else None
+    def __init__(self, model: Logistic, held_x: np.ndarray, held_y: np.ndarray):
+        self.model = model
+        self.calibration = calibrated(model.logit(held_x), held_y)
 
     def logit(self, x: np.ndarray) -> np.ndarray:
         own = self.model.logit(x)
-        return self.calibration.logit(own[:, None]) if self.calibration is not None else own
+        return own if self.calibration is None else self.calibration.logit(own[:, None])
 
 
 class CoTrained:
-    """Two views that taught each other. ``text`` and ``meta`` matrices go row by row together."""
+    """Two views that taught each other: first of the text, second of the metadata. ``labelled`` and ``held`` hold a matrix
+    for each view and the labels. ``taught_sums(views, pupils)`` gives for each pupil and label (0 and 1) the number,
+    gradient and curvature of the unlabelled rows that the other view is sure of."""
 
-    def __init__(self, labelled: tuple, y: np.ndarray, held: tuple, held_y: np.ndarray, pool: tuple, rounds: int = ROUNDS, sure: float = SURE):
+    def __init__(self, labelled: tuple[np.ndarray, np.ndarray, np.ndarray], held: tuple[np.ndarray, np.ndarray, np.ndarray], taught_sums=None, rounds: int = ROUNDS):
+        *rows, y = labelled
         self.prior = float(np.clip(y.mean() if len(y) else 0.5, 1e-3, 1 - 1e-3))
-        rows, targets = [list(v for v in [view]) for view in labelled], [[y], [y]]
-        self.taught: list[tuple[int, int]] = []  # pseudo-labels that each view got from the other, by round
-        free = np.ones((2, len(pool[0])), bool)
-        for turn in range(rounds + 1):
-            self.views = [View(np.vstack(rows[v]), np.concatenate(targets[v]), held[v], held_y) for v in (0, 1)]
-            if turn == rounds or not len(pool[0]):
-                break
-            got = [0, 0]
-            for teacher, pupil in ((0, 1), (1, 0)):
-                p = sigmoid(self.views[teacher].logit(pool[teacher]))
-                for label, certain in ((1.0, p), (0.0, 1 - p)):
-                    share = self.prior if label else 1 - self.prior
-                    most = int(ROUND_SHARE * share * len(p))
-                    order = np.argsort(-certain, kind="stable")
-                    order = order[(certain[order] >= sure) & free[pupil][order]][:most]
-                    rows[pupil].append(pool[pupil][order])
-                    targets[pupil].append(np.full(len(order), label))
-                    free[pupil][order] = False
-                    got[pupil] += len(order)
-            self.taught.append(tuple(got))
+        models = [Logistic(TEXT_SIZE, rows[0]).fit(rows[0], y), Logistic(META_BUCKETS).fit(rows[1], y)]
+        self.views = [View(m, held[v], held[2]) for v, m in enumerate(models)]
+        self.taught: list[tuple[int, int]] = []  # rows that each view was taught by the other, by round
+        for _ in range(rounds if taught_sums is not None and len(y) else 0):
+            pupils = [copy.copy(m) for m in models]
+            for _ in range(PASSES):
+                found = taught_sums(self.views, pupils)
+                for v, pupil in enumerate(pupils):
+                    gradient, curvature = pupil.sums(rows[v], y)
+                    for label, (n, g, c) in enumerate(found[v]):
+                        if n:
+                            share = self.prior if label else 1 - self.prior
+                            weight = min(1.0, TAUGHT_WEIGHT * len(y) * share / n)
+                            gradient, curvature = gradient + weight * g, curvature + weight * c
+                    pupil.step(gradient, curvature)
+            self.taught.append(tuple(sum(n for n, _, _ in of_view) for of_view in found))
+            models = pupils
+            self.views = [View(m, held[v], held[2]) for v, m in enumerate(models)]
+        self.both = calibrated(self._sum(held[0], held[1]), held[2])
+
+    def _sum(self, text: np.ndarray, meta: np.ndarray) -> np.ndarray:
+        return self.views[0].logit(text) + self.views[1].logit(meta) - np.log(self.prior / (1 - self.prior))
 
     def score(self, text: np.ndarray, meta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Probabilities of good quality: of both views together, of the text and of the metadata."""
-        base = np.log(self.prior / (1 - self.prior))
-        a, b = self.views[0].logit(text), self.views[1].logit(meta)
-        return sigmoid(a + b - base), sigmoid(a), sigmoid(b)
+        both = self._sum(text, meta)
+        return sigmoid(both if self.both is None else self.both.logit(both[:, None])), sigmoid(self.views[0].logit(text)), sigmoid(self.views[1].logit(meta))
 
 
-def _featured(rows: DataFrame, n_meta: int, schema: str) -> DataFrame:
-    """``text`` and ``meta`` features of rows (text, metadata columns, then columns of ``schema`` that pass through)."""
-    names = [part.split()[0] for part in schema.split(", ") if part]
+def _columns(docs: DataFrame, text_col: str, meta_cols: tuple[str, ...]) -> list[Column]:
+    kinds = {f.name: f.dataType.typeName() for f in docs.schema}
+    number = ("byte", "short", "integer", "long", "float", "double", "decimal")
+    return [F.col(f"`{text_col}`").alias("text"), *(F.col(f"`{c}`").cast("double" if kinds[c] in number else "string").alias(f"m{i}") for i, c in enumerate(meta_cols))]
 
-    def features(batch):
-        texts = texts_of(batch.column(0))
-        meta = list(zip(*(batch.column(1 + i).to_pylist() for i in range(n_meta)), strict=True)) if n_meta else [()] * len(texts)
-        return {"text_f": [text_features(t) for t in texts], "meta_f": [meta_features(m) for m in meta]} | {c: batch.column(1 + n_meta + i) for i, c in enumerate(names)}
 
-    return map_rows(rows, features, "text_f array<double>, meta_f array<int>" + (", " + schema if schema else ""))
+def _features(batch: pa.RecordBatch, n_meta: int) -> tuple[list[list[float]], list[list[int]]]:
+    texts = texts_of(batch.column(0))
+    meta = list(zip(*(batch.column(1 + i).to_pylist() for i in range(n_meta)), strict=True)) if n_meta else [()] * len(texts)
+    return [text_features(t) for t in texts], [meta_features(m) for m in meta]
 
 
-def _columns(docs: DataFrame, text_col: str, meta_cols: tuple[str, ...]) -> list[Column]:
-    kinds = {f.name: f.dataType.typeName() for f in docs.schema}
-    number = ("byte", "short", "integer", "long", "float", "double", "decimal")
-    return [F.col(text_col).alias("text"), *(F.col(c).cast("double" if kinds[c] in number else "string").alias(f"m{i}") for i, c in enumerate(meta_cols))]
+def _matrices(batch) -> tuple[np.ndarray, np.ndarray]:
+    """Both views' matrices of a batch or table whose first columns are ``text_f`` and ``meta_f``."""
+    n = batch.num_rows
+    flat = lambda c: np.asarray((c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c).flatten())
+    return flat(batch.column(0)).reshape(n, TEXT_SIZE).astype(float), meta_matrix(flat(batch.column(1)).astype(np.int64).reshape(n, -1) if n else np.zeros((0, 1), np.int64))
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", meta_cols: tuple[str, ...] = ("lang", "source", "n_chars"), label_col: str = "quality", most_labelled: int = MOST_LABELLED, most_pool: int = MOST_POOL) -> CoTrained:
-    """Fit on at most ``most_labelled`` labelled documents and a pool of at most ``most_pool`` unlabelled ones, both the first
-    by a hash of the id. A fifth of the labelled rows is kept for the calibration."""
+def labelled_sample(labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", most_labelled: int = MOST_LABELLED) -> DataFrame:
+    """``id`` and ``label`` of the rows of the fit: at most ``most_labelled`` ids, the first by a hash."""
     known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("label"))
-    first = known.orderBy(F.xxhash64("id"), "id").limit(most_labelled)
-    ids = docs.select(F.col(id_col).alias("id")).join(known.select("id"), "id", "left_anti").filter("id is not null").distinct()
-    pool = ids.orderBy(F.xxhash64("id"), "id").limit(most_pool).withColumn("label", F.lit(-1))
-    chosen = F.broadcast(first.union(pool))  # bounded by both limits
-    rows = docs.withColumnRenamed(id_col, "id") if id_col != "id" else docs
-    rows = rows.select(*_columns(rows, text_col, meta_cols), "id").join(chosen, "id")
-    fold = (F.xxhash64("id", F.lit("fold")) % 5 == 0).cast("int").alias("fold")
-    got = _featured(rows.select("text", *(f"m{i}" for i in range(len(meta_cols))), "label", fold), len(meta_cols), "label int, fold int").collect()
-    got = sorted(got, key=lambda r: (r.label, r.fold, r.text_f, r.meta_f))
+    return known.orderBy(F.xxhash64("id"), "id").limit(most_labelled)
+
+
+def _taught_sums(features: DataFrame, views: list[View], pupils: list[Logistic]) -> list[list[tuple]]:
+    """For each pupil and label: number, gradient and curvature over all unlabelled rows that the other view is sure of.
+    Tasks send the entries that aren't zero; their number is bounded by the size of the models."""
+    spark = features.sparkSession
+    shared, sizes = spark.sparkContext.broadcast((views, pupils)), [len(m.w) for m in pupils]
+    parts = [1 + s + s * s for s in sizes for _ in (0, 1)]
+    starts = np.cumsum([0, *parts])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        views, pupils = shared.value
+        total = np.zeros(starts[-1])
+        for batch in batches:
+            rows = _matrices(batch)
+            for v, pupil in enumerate(pupils):
+                p = sigmoid(views[1 - v].logit(rows[1 - v]))
+                for label, sure in enumerate((p <= 1 - SURE, p >= SURE)):
+                    if sure.any():
+                        gradient, curvature = pupil.sums(rows[v][sure], float(label))
+                        at = starts[2 * v + label]
+                        total[at : at + parts[2 * v + label]] += np.r_[sure.sum(), gradient, curvature.ravel()]
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_pydict({"at": pa.array(at, pa.int64()), "value": pa.array(total[at], pa.float64())})
+
+    small_batches(spark)
+    got = features.filter("label < 0").select("text_f", "meta_f").mapInArrow(add, "at bigint, value double").groupBy("at").agg(F.sum("value").alias("value")).toArrow()
+    total = np.zeros(starts[-1])
+    total[got.column("at").to_numpy()] = got.column("value").to_numpy()
+    out = []
+    for v, size in enumerate(sizes):
+        pieces = [total[starts[2 * v + label] : starts[2 * v + label + 1]] for label in (0, 1)]
+        out.append([(int(round(x[0])), x[1 : 1 + size], x[1 + size :].reshape(size, size)) for x in pieces])
+    return out
+
+
+def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", meta_cols: tuple[str, ...] = ("lang", "source", "n_chars"), label_col: str = "quality", most_labelled: int = MOST_LABELLED) -> CoTrained:
+    """Fit on at most ``most_labelled`` labelled documents, a fifth of which is kept for the calibration, and on all
+    unlabelled ones. Of rows of one labelled id one is taken. Without labels every score is the same."""
+    sample, n = labelled_sample(labels, id_col, label_col, most_labelled), len(meta_cols)
+    rows = docs.select(*_columns(docs, text_col, meta_cols), F.col(f"`{id_col}`").alias("id")).join(F.broadcast(sample), "id", "left")  # bounded by most_labelled
+    id_type = docs.schema[id_col].dataType.simpleString()
+    fold = (F.xxhash64("id", F.lit("fold")) % 5 == 0).cast("int")
+    rows = rows.select("text", *(f"m{i}" for i in range(n)), F.coalesce("label", F.lit(-1)).alias("label"), fold.alias("fold"), "id")
 
-    def part(want) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray]:
-        mine = [r for r in got if want(r)]
-        return (np.array([r.text_f for r in mine]).reshape(len(mine), -1 if mine else len(text_features(""))), meta_matrix([r.meta_f for r in mine])), np.array([float(r.label) for r in mine])
+    def featured(batch):
+        text_f, meta_f = _features(batch, n)
+        return {"text_f": text_f, "meta_f": meta_f} | {c: batch.column(1 + n + i) for i, c in enumerate(("label", "fold", "id"))}
 
-    train, y = part(lambda r: r.label >= 0 and not r.fold)
-    held, held_y = part(lambda r: r.label >= 0 and r.fold)
-    return CoTrained(train, y, held, held_y, part(lambda r: r.label < 0)[0])
+    features, path = persist_table(map_rows(rows, featured, f"text_f array<float>, meta_f array<int>, label int, fold int, id {id_type}"))
+    mine = features.filter("label >= 0").groupBy("id").agg(F.min(F.struct("text_f", "meta_f", "label", "fold")).alias("r"))
+    known = mine.select("r.*").orderBy("label", "fold", "text_f", "meta_f").toArrow()  # at most most_labelled rows
+    text, meta = _matrices(known)
+    y, held = known.column("label").to_numpy().astype(float), known.column("fold").to_numpy() == 1
+    model = CoTrained((text[~held], meta[~held], y[~held]), (text[held], meta[held], y[held]), lambda views, pupils: _taught_sums(features, views, pupils))
+    drop_table(docs.sparkSession, path)
+    return model
 
 
 def score_quality(docs: DataFrame, model: CoTrained, id_col: str = "doc_id", text_col: str = "text", meta_cols: tuple[str, ...] = ("lang", "source", "n_chars"), least: float = 0.5) -> DataFrame:
@@ -190,10 +250,10 @@ def score_quality(docs: DataFrame, model: CoTrained, id_col: str = "doc_id", tex
 
     Null texts count as empty, and a null in the metadata is a value of its own; an empty text is scored by its features
     like any other; a null id stays null; repeated rows are scored each; an empty table gives no rows; further columns are
-    ignored.
+    ignored, whatever their names.
     """
     n, id_type = len(meta_cols), docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(*_columns(docs, text_col, meta_cols), F.col(id_col).alias("id"))
+    rows = docs.select(*_columns(docs, text_col, meta_cols), F.col(f"`{id_col}`").alias("id"))
     score = _scorer(docs, model, n)
     scored = map_rows(rows, lambda batch: {"id": batch.column(1 + n)} | score(batch), f"id {id_type}, score double, text_score double, meta_score double")
     return scored.withColumn("keep", F.col("score") >= least).withColumnRenamed("id", id_col)
@@ -203,16 +263,15 @@ def _scorer(docs: DataFrame, model: CoTrained, n: int):
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batch):
-        texts = texts_of(batch.column(0))
-        meta = list(zip(*(batch.column(1 + i).to_pylist() for i in range(n)), strict=True)) if n else [()] * len(texts)
-        both, a, b = shared.value.score(np.array([text_features(t) for t in texts]), meta_matrix([meta_features(m) for m in meta]))
+        text, meta = _features(batch, n)
+        both, a, b = shared.value.score(np.array(text).reshape(-1, TEXT_SIZE), meta_matrix(np.array(meta, np.int64).reshape(len(meta), -1)))
         return {"score": both.tolist(), "text_score": a.tolist(), "meta_score": b.tolist()}
 
     return score
 
 
 def keep_good(docs: DataFrame, model: CoTrained, text_col: str = "text", meta_cols: tuple[str, ...] = ("lang", "source", "n_chars"), least: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` whose score is at least ``least``, with their columns as they are."""
-    score = _scorer(docs, model, len(meta_cols))
-    scored = add_columns(docs, _columns(docs, text_col, meta_cols), lambda batch: {"__score": score(batch)["score"]}, "__score double")
-    return scored.filter(F.col("__score") >= least).select(*docs.columns)
+    """The rows of ``docs`` whose score is at least ``least``, with their columns as they are, whatever their names."""
+    score, name = _scorer(docs, model, len(meta_cols)), free_name(docs, "score")
+    scored = add_columns(docs, _columns(docs, text_col, meta_cols), lambda batch: {name: score(batch)["score"]}, f"{name} double")
+    return scored.filter(F.col(name) >= least).select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -17,7 +17,7 @@ import sys
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import add_columns, map_rows, worker_state
+from .common import add_columns, free_name, map_rows, worker_state
 
 #: The base kinds and their patterns.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -143,15 +143,19 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def redact_secrets(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_chars", threshold: float = 0.6) -> DataFrame:
-    """The rows of ``docs`` with secrets in the text replaced; ``length_col``, if there is one, is counted anew for changed texts."""
+    """The rows of ``docs`` with secrets in the text replaced; ``length_col``, if there is one, is counted anew for changed
+    texts. All rows stay, repeated ones and those without an id too; null texts stay null; other columns stay as they are,
+    whatever their names; an empty table stays empty."""
+
+    name = free_name(docs, "redacted")
 
     def scan(batch):
         scanner = worker_state(("secrets", threshold), lambda: SecretScanner(threshold=threshold))
-        return {"__redacted": [t and redacted(t, scanner.scan(t)[1]) for t in batch.column(0).to_pylist()]}
+        return {name: [t and redacted(t, scanner.scan(t)[1]) for t in batch.column(0).to_pylist()]}
 
-    made = add_columns(docs, [F.col(text_col)], scan, "__redacted string")
-    changed = ~F.col(text_col).eqNullSafe(F.col("__redacted"))
-    new = {text_col: F.col("__redacted")}
+    made = add_columns(docs, [F.col(f"`{text_col}`")], scan, f"{name} string")
+    changed = ~F.col(f"`{text_col}`").eqNullSafe(F.col(name))
+    new = {text_col: F.col(name)}
     if length_col in docs.columns:
-        new[length_col] = F.when(changed, F.length("__redacted").cast(docs.schema[length_col].dataType)).otherwise(F.col(length_col))
-    return made.select(*(new.get(c, F.col(c)).alias(c) for c in docs.columns))
+        new[length_col] = F.when(changed, F.length(name).cast(docs.schema[length_col].dataType)).otherwise(F.col(f"`{length_col}`"))
+    return made.select(*(new.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns))

@@ -92,16 +92,43 @@ def test_pairs_say_what_single_terms_do_not():
     assert both > 0.9 and first < 0.2 and second < 0.2
 
 
-def test_quality_of_rows(spark):
+def test_quality_of_rows_in_neither_fit_nor_calibration(spark):
     folder = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
-    model = quality.fit_quality(docs, labels, most_labelled=1500)
-    assert len(model.taught) == quality.ROUNDS and sum(map(sum, model.taught)) > 0
-    got = quality.score_quality(docs, model).join(labels, "doc_id").collect()
+    model = quality.fit_quality(docs, labels, most_labelled=1200)
+    assert len(model.taught) == quality.ROUNDS and all(t[1] > 0 for t in model.taught)
+    used = quality.labelled_sample(labels, most_labelled=1200).select(F.col("id").alias("doc_id"))
+    got = quality.score_quality(docs, model).join(labels, "doc_id").join(used, "doc_id", "left_anti").collect()
+    assert len(got) > 500
     assert sum(r.keep == (r.quality == 1) for r in got) / len(got) > 0.98
     assert sum(r.keep for r in got if r.quality == 1) / sum(r.quality for r in got) > 0.99
 
 
+def test_taught_rows_are_added_up_as_if_in_one_place(spark, documents, data):
+    """The executors' sums equal those over all rows in memory, however the rows are split."""
+    labels = spark.read.parquet(f"{data}/labels.parquet")
+    seen, real = [], quality._taught_sums
+
+    def spy(features, views, pupils):
+        rows = quality._matrices(features.filter("label < 0").select("text_f", "meta_f").toArrow())
+        got = real(features.repartition(5), views, pupils)
+        for v, pupil in enumerate(pupils):
+            p = quality.sigmoid(views[1 - v].logit(rows[1 - v]))
+            for label, sure in enumerate((p <= 1 - quality.SURE, p >= quality.SURE)):
+                gradient, curvature = pupil.sums(rows[v][sure], float(label))
+                n, g, c = got[v][label]
+                assert n == sure.sum() and np.allclose(g, gradient) and np.allclose(c, curvature)
+                seen.append((v, n))
+        return got
+
+    quality._taught_sums = spy
+    try:
+        quality.fit_quality(documents, labels)
+    finally:
+        quality._taught_sums = real
+    assert sum(n for v, n in seen if v == 0) > 0 and sum(n for v, n in seen if v == 1) > 0
+
+
 def test_models_without_labels(spark, odd):
     none = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
     scored = toxicity.score_toxicity(odd, toxicity.fit_toxicity(odd, none)).collect()
@@ -506,13 +533,80 @@ def test_pipeline_keeps_clean_documents_and_drops_the_rest(spark, data, document
 
 
 def test_stages_on_odd_tables(spark, odd, tmp_path):
+    """Rows through all stages: repeated ids with different texts, repeated rows, nulls, and names that clash with internal ones."""
     import corpus_pipeline
 
-    spark.createDataFrame([(0, 1)], "doc_id bigint, quality int").write.parquet(f"{tmp_path}/labels.parquet")
-    spark.createDataFrame([(1, "nothing of it")], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    for docs in (odd, odd.limit(0)):
-        for _, stage in corpus_pipeline.STAGES[1:]:
-            assert stage(spark, docs, str(tmp_path)).count() >= 0
-    deduped = corpus_pipeline.near_dedup_stage(spark, odd, str(tmp_path))
-    ids = [r.doc_id for r in deduped.collect()]
-    assert len(ids) == len(set(ids)) and None in ids
+    spark.createDataFrame([(0, 1), (1, 1)], "doc_id bigint, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "a passage of the benchmark that is long enough to count as a leak of it, whole and without edits")], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    clash = {"id": 1, "label": "l", "range": "r", "key": "k", "text_f": "f", "__score": 0.5, "score": 2.0, "leaked": True, "redacted": "x", "input0_": "y", "row": 7, "gone": 8, "a.b": 9}
+    first, second, third = (" ".join(f"{w}{k}" for k in range(40)) for w in ("alpha", "beta", "gamma"))
+    leak = "before it a passage of the benchmark that is long enough to count as a leak of it, whole and without edits after"
+    secret = third + " password=hunter2222 end"
+    texts = [(3, first), (5, first), (5, second), (5, second), (7, secret), (None, third + " delta"), (8, leak), (9, ""), (10, None), (None, first), (11, "!!!")]
+    rows = [(i, t, None if n % 2 else "en", "s", None if n % 3 else len(t or ""), *clash.values()) for n, (i, t) in enumerate(texts)]
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint, " + ", ".join(f"`{k}` {'string' if isinstance(v, str) else 'boolean' if isinstance(v, bool) else 'double' if isinstance(v, float) else 'int'}" for k, v in clash.items())
+    docs = spark.createDataFrame(rows, schema)
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == columns, name
+    left = sorted(((r.doc_id, r.text) for r in docs.collect()), key=str)
+    # the row without an id is a near copy of (7, ...), and (None, first) of (3, ...)
+    assert left == sorted([(3, first), (5, second), (7, third + " [SECRET] end"), (9, ""), (11, "!!!")], key=str)
+    assert all(r["a.b"] == 9 and r["__score"] == 0.5 and r["id"] == 1 for r in docs.collect())
+    ids = [r.doc_id for r in corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()]
+    assert sorted(ids, key=str) == [i for i, _ in sorted(left, key=lambda x: str(x[0]))]
+    for table in (odd, odd.limit(0)):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, table, str(tmp_path))
+            got = out.collect()
+            if table is not odd:
+                assert got == [], name
+            elif name != "minhash_near_dedup":
+                assert len(got) == odd.count(), name
+            if name != "byte_bpe":
+                assert out.columns == table.columns, name
+    kept = sorted((str(r.doc_id) for r in corpus_pipeline.near_dedup_stage(spark, odd, str(tmp_path)).collect()))
+    assert kept == sorted(str(i) for i in [0, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, None])
+
+
+def test_rows_of_one_id_are_decided_each(spark):
+    docs = spark.createDataFrame([(3, "a b c d e f"), (5, "A b, c d e f"), (5, "g h i j k l"), (None, "a b c d e f"), (None, "m n o p q r")], "doc_id bigint, text string")
+    assert sorted(map(str, [tuple(r) for r in near_dedup.drop_near_duplicates(docs).collect()])) == sorted(map(str, [(3, "a b c d e f"), (5, "g h i j k l"), (None, "m n o p q r")]))
+    classes = near_dedup.near_duplicate_classes(docs).collect()
+    assert sorted(((r.doc_id, r.class_id, r.copies) for r in classes), key=str) == sorted([(3, 3, 3), (5, 3, 3), (5, 5, 1), (None, 3, 3), (None, None, 1)], key=str)
+
+
+def test_recall_on_ten_thousand_documents(spark):
+    """Classes equal those of an exact join: pairs of 0.8 or more share an element of both prefixes."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    sets = {r.doc_id: near_dedup.occurrences(r.text or "") for r in docs.collect()}
+    elements, inverse = np.unique(np.concatenate(list(sets.values())), return_inverse=True)
+    rarity = np.argsort(np.argsort(np.bincount(inverse), kind="stable"), kind="stable")
+    ranked, at = {}, 0
+    for i, x in sets.items():
+        ranked[i] = np.sort(rarity[inverse[at : at + len(x)]])
+        at += len(x)
+    buckets, parent = {}, {i: i for i in sets}
+
+    def top(i):
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    pairs = 0
+    for i in sorted(ranked, key=lambda i: len(ranked[i])):
+        x, n = ranked[i], len(ranked[i])
+        prefix, seen = x[: n - int(np.ceil(0.8 * n - 1e-9)) + 1].tolist() if n else [], set()
+        for e in prefix:
+            for j in buckets.get(e, ()):
+                if j not in seen:
+                    seen.add(j)
+                    if len(ranked[j]) >= 0.8 * n and near_dedup.jaccard(ranked[j], x) >= 0.8:
+                        pairs += 1
+                        parent[max(top(i), top(j))] = min(top(i), top(j))
+            buckets.setdefault(e, []).append(i)
+    assert pairs > 1000
+    got = by_id(near_dedup.near_duplicate_classes(docs))
+    assert sum(got[i].class_id != top(i) for i in sets if len(sets[i])) <= 0.0001 * len(sets)
