@@ -65,6 +65,62 @@ def test_pages_match_their_articles(spark, data):
         assert got[r.page_id].text == want and got[r.page_id].n_chars == len(want)
 
 
+LONG = "<p>This is a long paragraph of the article with quite a number of words in it, so that it counts.</p>"
+SAID = LONG[3:-4]
+
+
+@pytest.mark.parametrize(
+    "extra, text",
+    [
+        ("<h2>Discussion</h2>" + LONG, "Discussion " + SAID),
+        ("<section id=discussion>" + LONG + "</section>", SAID),
+        ('<p class="legal-basis">Legal text.</p>', "Legal text."),
+        ("<ul><li><a href=1>One</a></li><li><a href=2>Two</a></li><li><a href=3>Three</a></li></ul>", "One Two Three"),
+        ("<p>so <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds</p>", "so x=1 holds"),
+        ("</article><article><p>A short part.</p></article><article>" + LONG, "A short part. " + SAID),
+        ('<div class="share-buttons">Tell friends</div><div class="ad">Buy</div><h2>3 Comments</h2><p>I liked it.</p>', ""),
+    ],
+)
+def test_an_article_keeps_what_is_its_own(extra, text):
+    html = PAGE % f"<article><h1>Head</h1>{LONG}{extra}</article>"
+    assert html_text.main_text(html) == f"Head {SAID} {text}".strip()
+
+
+SOUP = f"""<html><body><div><a href=/>Site</a> <a href=/n>News</a> <a href=/a>About us</a></div><div><div><h1>The title of it</h1>{LONG * 3}<div><a href=x>Share</a> <a href=y>Mail</a></div>
+<h2>Next</h2>{LONG * 2}<p>Short.</p></div><div><h3>More</h3><ul><li><a href=1>One</a></li><li><a href=2>Two</a></li><li><a href=3>Three</a></li></ul></div></div><div>Copyright 2020 <a href=i>Imprint</a></div></body></html>"""
+FLAT = f"<html><body><p><a href=/>Home</a> <a href=/n>News</a></p><h1>Title</h1>{LONG * 2}<p>Of.</p>{LONG}<p>End.</p><p><a href=1>x</a> | <a href=2>y</a></p></body></html>"
+
+
+def test_pages_without_telling_tags_or_names():
+    assert html_text.main_text(SOUP) == f"The title of it {SAID} {SAID} {SAID} Next {SAID} {SAID} Short."
+    assert html_text.main_text(FLAT) == f"Title {SAID} {SAID} Of. {SAID} End."
+
+
+def test_threshold_and_smoothing_decide():
+    """Other settings select other regions: of a page whose second part is thinner, and of one with a thin beginning."""
+    thin = "<p>Some <b>words</b> <i>here</i> and <b>there</b> in <i>this</i> part.</p>" * 6
+    page = f"<html><body><div><div>{LONG * 8}</div><div>{thin}</div></div></body></html>"
+    texts = {spread: html_text.main_text(page, spread=spread) for spread in (0.0, 0.5, 1.0, 1.5)}
+    assert len(texts[0.0]) > len(texts[1.5]) and SAID in texts[1.5]
+    assert "Some words" in texts[0.0] and "Some words" not in texts[1.5]
+    other = f"<html><body><div><div>{thin}</div><div>{LONG * 3}</div><div>{thin}</div></div></body></html>"
+    assert len({html_text.main_text(other, sigma=s) for s in (0.3, 1.0, 6.0)}) > 1
+
+
+def test_teasers_in_articles_lose_against_the_text():
+    cards = "".join(f"<article><h3><a href={k}>A teaser of page {k}</a></h3></article>" for k in range(8))
+    assert html_text.main_text(f"<html><body><div>{LONG * 4}</div><div>{cards}</div></body></html>") == " ".join([SAID] * 4)
+
+
+@pytest.mark.parametrize("page", ["<font><p>x</p>" * 100_000, "<div>" * 100_000 + "</table>" * 100_000, "<b><i>x</b>" * 100_000, "<ul><li>x" * 50_000])
+def test_broken_markup_takes_linear_time(page):
+    import time
+
+    began = time.process_time()
+    html_text.main_text(page)
+    assert time.process_time() - began < 30
+
+
 @pytest.mark.parametrize("page", ["", None, "plain text only", "<p>", "<html><head><title>x", "<div><div></p></b>text</div>", "<!-- x", "<script>var a", "<ul>" * 3000 + "deep"])
 def test_broken_pages(page):
     assert isinstance(html_text.main_text(page), str)
