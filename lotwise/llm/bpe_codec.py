@@ -20,6 +20,8 @@ from .bpe_count import CACHE
 from .common import map_rows, texts_of, worker_state
 
 NO_PAIR = 1 << 60
+#: Characters of the longest piece that a worker remembers; with CACHE this bounds the bytes that it keeps.
+LONGEST = 64
 
 #: The same in arrays.
 NONE = np.int32(2**31 - 1)
@@ -178,24 +180,27 @@ class Codec:
             self.tokens[i] = token
         self.known: dict[str, bytes] = {}
 
-    def learn(self, pieces: set[str]) -> None:
-        """Encode pieces that aren't known yet."""
+    def learn(self, pieces: set[str]) -> dict[str, bytes]:
+        """Encode pieces that aren't known yet. Those of up to LONGEST characters are remembered; longer ones are returned."""
         if len(self.known) + len(pieces) > CACHE:
             self.known.clear()
         by_size: dict[int, list[str]] = {}
+        long: dict[str, bytes] = {}
         for p in pieces:
             raw = p.encode("utf-8")
+            keep = self.known if len(p) <= LONGEST else long
             if raw in self.ranks:
-                self.known[p] = struct.pack("<I", self.ranks[raw])
+                keep[p] = struct.pack("<I", self.ranks[raw])
             elif len(raw) > 64:
                 ids = encode_piece(raw, self.ranks)
-                self.known[p] = struct.pack(f"<{len(ids)}I", *ids)
+                keep[p] = struct.pack(f"<{len(ids)}I", *ids)
             else:
                 by_size.setdefault(max(2, 1 << (len(raw) - 1).bit_length()), []).append(p)
         for size, group in by_size.items():
             for start in range(0, len(group), 4096):
                 part = group[start : start + 4096]
                 self.known.update(zip(part, encode_pieces([p.encode("utf-8") for p in part], size, self.pair), strict=True))
+        return long
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """Ids of each text. A single space between two other characters always starts a piece, so texts are cut there."""
@@ -218,10 +223,10 @@ class Codec:
             pieces.update(head)
         if len(self.known) + len(pieces) > CACHE:
             self.known.clear()
-        self.learn(pieces.difference(self.known))
-        known = self.known
-        of = {w: known[" " + w] for w in new - uneven if w not in joined} | {w: b"".join(map(known.__getitem__, p)) for w, p in joined.items()}
-        return [b"".join(map(known.__getitem__, head)) + (b"" if w else b"".join(map(of.__getitem__, words[1:]))) for head, words, w in zip(heads, cut, whole, strict=True)]
+        long, known = self.learn(pieces.difference(self.known)), self.known
+        ids_of = (lambda p: known[p] if p in known else long[p]) if long else known.__getitem__
+        of = {w: ids_of(" " + w) for w in new - uneven if w not in joined} | {w: b"".join(map(ids_of, p)) for w, p in joined.items()}
+        return [b"".join(map(ids_of, head)) + (b"" if w else b"".join(map(of.__getitem__, words[1:]))) for head, words, w in zip(heads, cut, whole, strict=True)]
 
     def encode(self, text: str) -> bytes:
         return self.encode_all([text])[0]

@@ -7,6 +7,7 @@ the whole, and two sketches estimate resemblance, containment and the number of
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, texts_of
+from .common import map_rows, slices, small_batches, texts_of
 from .shingles import shingle_hashes
 
 #: Hashes kept. The standard error of a resemblance J is sqrt(J (1 - J) / K), at most 0.045.
@@ -80,61 +81,76 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
 
 def id_ranges(docs: DataFrame, key: str, size_col: str) -> list[int]:
-    """Ascending bounds that cut the integer ``key`` into ranges of about RANGE_BYTES."""
+    """Ascending bounds that cut the integer ``key`` into ranges of about RANGE_BYTES; a key that fills several ranges is there
+    as often."""
     total = docs.agg(F.sum(F.octet_length(size_col))).first()[0] or 0
     n = int(min(MOST_RANGES, -(-total // RANGE_BYTES)))
     if n < 2:
         return []
-    cuts = docs.agg(F.percentile_approx(key, [i / n for i in range(1, n)], 20 * n)).first()[0]
-    return sorted(set(cuts or []))
+    return sorted(docs.agg(F.percentile_approx(key, [i / n for i in range(1, n)], 20 * n)).first()[0] or [])
 
 
-def with_range(docs: DataFrame, key: str, bounds: list[int]) -> DataFrame:
-    """Column ``range``: how many bounds are at most ``key``, by a search on two levels."""
-    step = max(1, int(len(bounds) ** 0.5))
-    groups = [bounds[i : i + step] for i in range(0, len(bounds), step)]
-    if not groups:
+def with_range(docs: DataFrame, key: str, tie: str, bounds: list[int]) -> DataFrame:
+    """Column ``range``, ascending with ``key`` and ``tie``: how many different bounds are at most ``key``, by a search on two
+    levels. The rows of a bound that is there several times are dealt over as many ranges by ``tie``, a hash of 63 bits."""
+    cuts = sorted(set(bounds))
+    if not cuts:
         return docs.withColumn("range", F.lit(0))
+    times = Counter(bounds)
+    many = [times[c] for c in cuts]
+    step = max(1, int(len(cuts) ** 0.5))
+    groups = [cuts[i : i + step] for i in range(0, len(cuts), step)]
     heads, rest = F.lit([g[0] for g in groups]), F.array(*[F.lit(g) for g in groups])
-    return (
-        docs.withColumn("range", F.size(F.filter(heads, lambda b: b <= F.col(key))))
-        .withColumn("range", F.when(F.col("range") == 0, 0).otherwise((F.col("range") - 1) * step + F.size(F.filter(F.element_at(rest, F.greatest("range", F.lit(1))), lambda b: b <= F.col(key)))))
+    found = docs.withColumn("range", F.size(F.filter(heads, lambda b: b <= F.col(key)))).withColumn(
+        "range", F.when(F.col("range") == 0, 0).otherwise((F.col("range") - 1) * step + F.size(F.filter(F.element_at(rest, F.greatest("range", F.lit(1))), lambda b: b <= F.col(key))))
     )
+    if max(many) == 1:
+        return found
+    first, place = [0], F.col("range") + 1
+    for m in [1, *many]:
+        first.append(first[-1] + m)
+    n = F.element_at(F.lit([1, *many]), place)
+    share = F.shiftright(F.shiftright(F.col(tie), 32) * n, 31).cast("int")  # of the rows with the bound's own key
+    return found.withColumn("range", F.element_at(F.lit(first[:-1]), place) + F.when(F.col(key) == F.element_at(F.lit([cuts[0], *cuts]), place), share).otherwise(n - 1))
 
 
 def with_next(docs: DataFrame, id_col: str, text_col: str, fn, schema: str) -> DataFrame:
     """``fn(ids, texts, next texts)`` over all rows by ascending integer id; the row after the last is the first.
 
-    Equal ids are ordered by a hash of their texts, a null id comes first. Each row goes to the task of its range of ids;
-    the first row of a range also goes to the range before, so that no task sees more than its range and one row.
+    Equal ids are ordered by a hash of their texts, a null id comes first. Each row goes to the task of its range of ids and
+    hashes; the first row of a range also goes to the range before, so that no task sees more than its range and one row.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
     least = -(1 << 63)
-    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("key", F.coalesce("id", F.lit(least)))
+    rows = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
+    rows = rows.withColumn("key", F.coalesce("id", F.lit(least))).withColumn("tie", F.shiftrightunsigned(F.xxhash64("text"), 1))
     bounds = id_ranges(rows, "key", "text")
-    keyed = with_range(rows, "key", bounds)
-    firsts = sorted((r["range"], r["first"]) for r in keyed.groupBy("range").agg(F.min("key").alias("first")).collect())  # a row a range
+    keyed = with_range(rows, "key", "tie", bounds)
+    firsts = sorted((r["range"], r["first"]) for r in keyed.groupBy("range").agg(F.min(F.struct("key", "tie")).alias("first")).collect())  # a row a range
     target = F.array(F.struct(F.col("range").alias("range"), F.lit(0).alias("after")))
     if firsts:
-        before = {first: firsts[i - 1][0] for i, (_, first) in enumerate(firsts)}
-        also = F.try_element_at(F.map_from_arrays(F.lit(list(before)), F.lit(list(before.values()))), F.col("key"))
-        target = F.when(also.isNull(), target).otherwise(F.concat(target, F.array(F.struct(also.alias("range"), F.lit(1).alias("after")))))
+        size = len(bounds) + 1
+        of = {r: (f["key"], f["tie"], firsts[i - 1][0]) for i, (r, f) in enumerate(firsts)}
+        column = lambda k, none: F.element_at(F.lit([of[r][k] if r in of else none for r in range(size)]), F.col("range") + 1)
+        is_first = (F.col("key") == column(0, 0)) & (F.col("tie") == column(1, 0))
+        target = F.when(is_first, F.concat(target, F.array(F.struct(column(2, 0).alias("range"), F.lit(1).alias("after"))))).otherwise(target)
     dealt = (
         keyed.withColumn("to", F.explode(target))
-        .select("to.range", "to.after", "key", "id", "text", F.xxhash64("text").alias("tie"))
+        .select("to.range", "to.after", "key", "id", "text", "tie")
         .repartitionById(len(bounds) + 1, F.col("range"))
         .sortWithinPartitions("range", "after", "key", "tie")
         .select("range", "after", "id", "text")
     )
     arrow_schema = to_arrow_schema(StructType.fromDDL(schema))
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None  # the row that waits for the next one
         for batch in batches:
-            for start in range(0, batch.num_rows, 512):
-                part, out = batch.slice(start, 512), []
+            for part in slices(batch):
+                out = []
                 for r, after, i, text in zip(*(part.column(c).to_pylist() for c in range(4)), strict=True):
                     if held is not None and held[0] == r:
                         out.append((held[1], held[2], text))

@@ -388,6 +388,24 @@ def test_many_ranges_give_the_same_rows(documents, monkeypatch):
     assert sorted(map(str, fingerprints.fingerprint_edits(documents).collect())) == one
 
 
+def test_null_and_equal_ids_are_spread_over_ranges(spark, monkeypatch):
+    """A third without an id and a third of one id: no range has them all, and each row still meets the next one."""
+    monkeypatch.setattr(fingerprints, "RANGE_BYTES", 2_000)
+    rnd = random.Random(3)
+    rows = [(None if n % 3 == 0 else 50 if n % 3 == 1 else n, " ".join(f"w{rnd.randrange(999)}" for _ in range(12))) for n in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    keyed = docs.selectExpr("coalesce(doc_id, -9223372036854775808) as key", "text", "shiftrightunsigned(xxhash64(text), 1) as tie")
+    bounds = fingerprints.id_ranges(keyed, "key", "text")
+    sizes = fingerprints.with_range(keyed, "key", "tie", bounds).groupBy("range").count().collect()
+    assert len(bounds) > 5 and max(r["count"] for r in sizes) < 80
+    tie = {r.text: r.tie for r in keyed.collect()}
+    order = sorted(rows, key=lambda r: (-(1 << 63) if r[0] is None else r[0], tie[r[1]]))
+    want = sorted((str(i), t, hashlib.sha256(fingerprints.edited(t, u).encode()).hexdigest()) for (i, t), (_, u) in zip(order, order[1:] + order[:1], strict=True))
+    got = fingerprints.fingerprint_edits(docs).collect()
+    texts = {fingerprints.written(fingerprints.bottom_k(t)): t for _, t in rows}
+    assert sorted((str(r.doc_id), texts[r.fingerprint], r.edited_sha256) for r in got) == want
+
+
 def test_sketches_merge_and_estimate():
     from lotwise.llm.shingles import shingle_hashes
 
@@ -430,6 +448,14 @@ def test_codec_equals_the_library_and_decodes(odd, documents, texts):
             assert r.decoded_sha256 == hashlib.sha256(of[r.doc_id].encode()).hexdigest()
 
 
+def test_long_pieces_are_not_remembered():
+    ranks = bpe_codec.load_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    codec, text = bpe_codec.Codec(ranks, public_tokenizers.PATTERN), "short " + "longword" * 500 + " " + "x" * 9000 + "!" * 300
+    first = codec.encode(text)
+    assert codec.encode(text) == first and codec.decode(first).decode() == text
+    assert max(map(len, codec.known)) <= bpe_codec.LONGEST
+
+
 def test_batched_trees_equal_the_single_one():
     ranks = bpe_codec.load_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     pair, rnd = bpe_codec.PairTable(ranks), random.Random(6)
