@@ -1,11 +1,15 @@
 """Masked pseudo-likelihood of documents under a bidirectional window network.
 
-The network sees the two words before and the two words after a masked one and gives a distribution over the vocabulary,
-first over classes of words of like frequency and then over the words of the class. A document's score is the sum of the
-log-probabilities of all its words. The vocabulary is counted over the whole corpus; the network is trained in numpy on
-every document: copies from a common start are trained on shards of the corpus and averaged, row by row, in a shuffle.
-Which shard a document is in, and its place there, follow from hashes of the row and from the size of the corpus, so the
-network doesn't depend on how files are split or on the number of executors.
+The network sees the two words before and the two words after a masked one and gives a distribution over the most frequent
+words and over groups of the others, in two steps: classes of outputs of like frequency, then the outputs of the class. A
+word of a group has its share of the group's count in all *other* documents (so what only one document says is not made
+likely by itself); these counts are a table of all words of the corpus, joined to the documents. A document's score is the
+sum of the log-probabilities of all its words, each predicted from both sides.
+
+The network is trained in numpy on every position of every document: copies from a common start are trained on shards of
+the corpus and averaged, row by row, in a shuffle. Which shard a document is in, and its place there, follow from hashes
+of the row and from the size of the corpus, so the network doesn't depend on how files are split or on the number of
+executors.
 """
 
 from __future__ import annotations
@@ -16,21 +20,23 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, texts_of
+from .common import map_rows, persist_table, slices, small_batches, texts_of, worker_state
 
-#: Vocabulary: the most frequent words, and classes of rarer words by their last two letters. The first entry is the edge of a text.
+#: Outputs: the most frequent words, and groups of all others by their last two letters. The first one is the edge of a text.
 WORDS, RARE = 1792, 256
 VOCABULARY = WORDS + RARE
 CLASSES = 32
 IN_CLASS = VOCABULARY // CLASSES
 RADIUS, DIM, HIDDEN = 2, 8, 16
-#: Every document trains the network on one position in so many; scores are summed over all positions.
-TRAIN_STRIDE = 4
-ROUNDS, BATCH, STEP = 2, 1024, 0.15
+ROUNDS, BATCH, STEP = 2, 4096, 0.15
+#: Words that a task counts before it sends them on.
 COUNT_MOST = 400_000
+#: What is added to the count of each word of a group, seen elsewhere or not.
+ADDED = 0.5
 #: Text that one copy of the network is trained on in all rounds together.
 SHARD_BYTES = 32 << 20
 MARKS = ".,;:!?()\""
@@ -64,12 +70,16 @@ class Vocabulary:
         self.number = {w: i + 1 for i, w in enumerate(self.words)}
 
     def numbers(self, text: str) -> np.ndarray:
+        return self.split_numbers(text)[0]
+
+    def split_numbers(self, text: str) -> tuple[np.ndarray, list[str]]:
+        """Outputs of all words, and the words that are in groups, in order."""
         words = words_of(text)
         found = np.fromiter(map(self.number.get, words, repeat(-1)), np.int64, len(words))
-        rare = np.flatnonzero(found < 0)
+        rare = [words[i] for i in np.flatnonzero(found < 0).tolist()]
         endings = self.endings
-        found[rare] = [endings[words[i][-2:]] for i in rare.tolist()]
-        return found
+        found[found < 0] = [endings[w[-2:]] for w in rare]
+        return found, rare
 
 
 def start_network(seed: int = 3) -> dict[str, np.ndarray]:
@@ -99,12 +109,6 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return z
 
 
-def by_class(classes: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    order = np.argsort(classes, kind="stable")
-    cuts = np.searchsorted(classes[order], np.arange(CLASSES + 1))
-    return ((c, order[cuts[c] : cuts[c + 1]]) for c in range(CLASSES) if cuts[c] < cuts[c + 1])
-
-
 def log_softmax_at(z: np.ndarray, column: np.ndarray, bounded: bool) -> np.ndarray:
     """Log-probability of one column a row; ``bounded``: no entry can overflow an exponential."""
     if not bounded:
@@ -145,59 +149,67 @@ class Trainer:
         self.square = {k: np.full(v.shape, 1e-3, np.float32) for k, v in net.items()}
         self.touched = {k: np.zeros(len(v)) for k, v in net.items()}
 
-    def _apply(self, part: str, rows, grad: np.ndarray) -> None:
-        self.square[part][rows] += grad * grad
-        self.net[part][rows] -= STEP * grad / np.sqrt(self.square[part][rows])
+    def _apply(self, part: str, grad: np.ndarray) -> None:
+        self.square[part] += grad * grad
+        self.net[part] -= STEP * grad / np.sqrt(self.square[part])
 
     def step(self, context: np.ndarray, target: np.ndarray) -> None:
         net, n = self.net, np.float32(len(target))
+        order = np.argsort(target, kind="stable")  # so that the outputs of a class stand together
+        context, target = context[order], target[order]
         x, h = hidden(net, context)
-        classes, word = target // IN_CLASS, target % IN_CLASS
+        classes, word, rows = target // IN_CLASS, target % IN_CLASS, np.arange(len(target))
         error = softmax(h @ net["of_class"].T + net["class_bias"].T)
-        error[np.arange(len(target)), classes] -= 1
+        error[rows, classes] -= 1
         back = error @ net["of_class"]
-        grads = {"of_class": error.T @ h / n, "class_bias": error.sum(0)[:, None] / n}
-        for c, rows in by_class(classes):
-            part = slice(c * IN_CLASS, (c + 1) * IN_CLASS)
-            hc = h[rows]
-            e = softmax(hc @ net["of_word"][part].T + net["word_bias"][part].T)
-            e[np.arange(len(rows)), word[rows]] -= 1
-            back[rows] += e @ net["of_word"][part]
-            self._apply("of_word", part, e.T @ hc / n)
-            self._apply("word_bias", part, e.sum(0)[:, None] / n)
+        grads = {"of_class": error.T @ h / n, "class_bias": error.sum(0)[:, None] / n, "of_word": np.zeros_like(net["of_word"]), "word_bias": np.zeros_like(net["word_bias"])}
+        cuts = np.searchsorted(classes, np.arange(CLASSES + 1))
+        for c in np.flatnonzero(np.diff(cuts)).tolist():
+            part, mine = slice(c * IN_CLASS, (c + 1) * IN_CLASS), slice(cuts[c], cuts[c + 1])
+            e = softmax(h[mine] @ net["of_word"][part].T + net["word_bias"][part].T)
+            e[rows[: len(e)], word[mine]] -= 1
+            back[mine] += e @ net["of_word"][part]
+            grads["of_word"][part] = e.T @ h[mine] / n
+            grads["word_bias"][part] = e.sum(0)[:, None] / n
         back *= 1 - h * h
+        down, flat = (back @ net["mix"].T).reshape(-1, DIM) / n, context.ravel()
         grads |= {"mix": x.T @ back / n, "mix_bias": back.sum(0)[None, :] / n}
-        down = (back @ net["mix"].T).reshape(-1, DIM) / n
-        flat = context.ravel()
-        order = np.argsort(flat, kind="stable")
-        seen, first = np.unique(flat[order], return_index=True)
-        self._apply("embed", seen, np.add.reduceat(down[order], first))
+        grads["embed"] = np.stack([np.bincount(flat, down[:, d], VOCABULARY) for d in range(DIM)], 1).astype(np.float32)
         for part, grad in grads.items():
-            self._apply(part, slice(None), grad)
-            self.touched[part] += len(target)
-        self.touched["embed"] += np.bincount(flat, minlength=VOCABULARY)
+            self._apply(part, grad)
         hits = np.bincount(target, minlength=VOCABULARY)
-        self.touched["of_word"] += hits
-        self.touched["word_bias"] += hits
+        for part, seen in (("embed", np.bincount(flat, minlength=VOCABULARY)), ("of_word", hits), ("word_bias", hits)):
+            self.touched[part] += seen
+        for part in ("of_class", "class_bias", "mix", "mix_bias"):
+            self.touched[part] += len(target)
 
 
-def corpus_vocabulary(docs: DataFrame, text_col: str) -> Vocabulary:
-    """The most frequent words over all texts: counted in the tasks, summed in a shuffle; only the top comes to the driver."""
+def corpus_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """``word``, ``n`` (its number in all texts) and ``h`` (its hash), as a stored table: counted in the tasks, summed in a shuffle."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
         for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                for text in texts_of(batch.slice(start, 256).column(0)):
+            for part in slices(batch, 256):
+                for text in texts_of(part.column(0)):
                     seen.update(words_of(text))
                 if len(seen) > COUNT_MOST:
-                    yield pa.RecordBatch.from_pydict({"word": pa.array(list(seen), pa.string()), "n": pa.array(list(seen.values()), pa.int64())})
+                    yield counted(seen)
                     seen.clear()
         if seen:
-            yield pa.RecordBatch.from_pydict({"word": pa.array(list(seen), pa.string()), "n": pa.array(list(seen.values()), pa.int64())})
+            yield counted(seen)
+
+    def counted(seen):
+        return pa.RecordBatch.from_pydict({"word": pa.array(list(seen), pa.string()), "n": pa.array(list(seen.values()), pa.int64())})
 
-    counts = docs.select(F.col(text_col).alias("text")).mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    return Vocabulary([r["word"] for r in counts.orderBy(F.desc("n"), "word").limit(WORDS - 1).collect()])
+    small_batches(docs.sparkSession)
+    counts = docs.select(F.col(f"`{text_col}`").alias("text")).mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    return persist_table(counts.withColumn("h", F.xxhash64("word")))[0]
+
+
+def corpus_vocabulary(words: DataFrame) -> Vocabulary:
+    """The most frequent words; only they come to the driver."""
+    return Vocabulary([r["word"] for r in words.orderBy(F.desc("n"), "word").limit(WORDS - 1).collect()])
 
 
 def shard_count(docs: DataFrame, text_col: str, shard_bytes: int = SHARD_BYTES) -> int:
@@ -208,10 +220,10 @@ def train_round(docs: DataFrame, id_col: str, text_col: str, vocabulary: Vocabul
     """One round of training over the documents whose hash falls into it; returns the average of the shards' networks."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast((vocabulary, net))
-    place = F.pmod(F.xxhash64(F.col(id_col), F.lit(1)), F.lit(ROUNDS * TRAIN_STRIDE))
+    place = F.pmod(F.xxhash64(F.col(id_col), F.lit(1)), F.lit(ROUNDS))
     order = F.xxhash64(F.col(id_col), F.col(text_col))
-    rows = docs.select(F.col(text_col).alias("text"), F.floor(place / ROUNDS).cast("int").alias("shift"), (place % ROUNDS).alias("turn"), order.alias("order")).filter(F.col("turn") == turn)
-    rows = rows.repartitionById(shards, F.pmod(F.col("order"), F.lit(shards)).cast("int")).sortWithinPartitions("order", "shift")
+    rows = docs.select(F.col(text_col).alias("text"), place.alias("turn"), order.alias("order")).filter(F.col("turn") == turn)
+    rows = rows.repartitionById(shards, F.pmod(F.col("order"), F.lit(shards)).cast("int")).sortWithinPartitions("order")
     starts = np.cumsum([0, *(s[0] for s in PARTS.values())])
     width = max(s[1] for s in PARTS.values())
 
@@ -232,15 +244,10 @@ def train_round(docs: DataFrame, id_col: str, text_col: str, vocabulary: Vocabul
             return len(target) - stop
 
         for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
-                numbers = [vocabulary.numbers(t) for t in texts_of(part.column(0))]
-                context, target = windows(numbers)
-                place = np.concatenate([np.arange(len(n)) + s for n, s in zip(numbers, part.column(1).to_pylist(), strict=True)]) if numbers else np.zeros(0)
-                chosen = place % TRAIN_STRIDE == 0
-                rest.append((context[chosen], target[chosen]))
-                waiting += int(chosen.sum())
-                if waiting >= 16 * BATCH:
+            for part in slices(batch, 256):
+                rest.append(windows([vocabulary.numbers(t) for t in texts_of(part.column(0))]))
+                waiting += len(rest[-1][1])
+                if waiting >= 4 * BATCH:
                     waiting = learn(False)
         learn(True)
         for k, (name, shape) in enumerate(PARTS.items()):
@@ -253,7 +260,7 @@ def train_round(docs: DataFrame, id_col: str, text_col: str, vocabulary: Vocabul
                 yield pa.RecordBatch.from_pydict(columns | {f"v{i}": pa.array(values[:, i], pa.float64()) for i in range(width)})
 
     names = [f"v{i}" for i in range(width)]
-    copies = rows.select("text", "shift").mapInArrow(train, "row bigint, weight double, " + ", ".join(f"{n} double" for n in names))
+    copies = rows.select("text").mapInArrow(train, "row bigint, weight double, " + ", ".join(f"{n} double" for n in names))
     sums = copies.groupBy("row").agg(F.sum("weight").alias("weight"), *(F.sum(n).alias(n) for n in names)).collect()  # a row a weight row, whatever the input
     out = {k: v.copy() for k, v in net.items()}
     parts = list(PARTS.items())
@@ -264,33 +271,97 @@ def train_round(docs: DataFrame, id_col: str, text_col: str, vocabulary: Vocabul
     return out
 
 
-def fit_network(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[Vocabulary, dict]:
-    vocabulary = corpus_vocabulary(docs, text_col)
+class Model:
+    """A vocabulary, a network, and the counts of the words of all groups: ``counts`` is a stored table (``h``, ``n``)."""
+
+    def __init__(self, vocabulary: Vocabulary, net: dict, counts: DataFrame, group_size: np.ndarray, group_words: np.ndarray):
+        self.vocabulary, self.net, self.counts, self.group_size, self.group_words = vocabulary, net, counts, group_size, group_words
+
+
+def group_counts(words: DataFrame, vocabulary: Vocabulary) -> tuple[DataFrame, np.ndarray, np.ndarray]:
+    """Counts of the words outside the vocabulary by their hash, and of each group the sum and the number of its words."""
+    shared = words.sparkSession.sparkContext.broadcast(vocabulary)
+
+    def grouped(batch):
+        number, endings = shared.value.number, shared.value.endings
+        found = [-1 if w in number else endings[w[-2:]] - WORDS for w in texts_of(batch.column(0))]
+        return {"grp": found, "h": batch.column(1), "n": batch.column(2)}
+
+    rare = map_rows(words.select("word", "h", "n"), grouped, "grp int, h bigint, n bigint", slice_rows=4096).filter("grp >= 0")
+    sums, found = rare.groupBy("grp").agg(F.sum("n").alias("n"), F.count("*").alias("words")).collect(), np.zeros((2, RARE))  # a row a group
+    for r in sums:
+        found[:, r["grp"]] = r["n"], r["words"]
+    return words.select("h", "n"), found[0], found[1]
+
+
+def fit_network(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
+    """The model of all documents."""
+    words = corpus_words(docs, text_col)
+    vocabulary = corpus_vocabulary(words)
     net, shards = start_network(), shard_count(docs, text_col)
     for turn in range(ROUNDS):
         net = train_round(docs, id_col, text_col, vocabulary, net, turn, shards)
-    return vocabulary, net
+    return Model(vocabulary, net, *group_counts(words, vocabulary))
 
 
-def score_documents(docs: DataFrame, vocabulary: Vocabulary, net: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row of ``docs``: the id, ``n_words``, ``log_likelihood`` (sum over all words of the log-probability given both
-    sides) and ``per_word`` (their mean, null without words).
-
-    Null and empty texts have no words and a sum of 0; a null id stays null; repeated rows are scored each; an empty table
-    gives no rows; further columns are ignored. Texts are scored whole, in blocks of bounded size.
-    """
-    shared = docs.sparkSession.sparkContext.broadcast((vocabulary, net))
-    id_type = docs.schema[id_col].dataType.simpleString()
-    block = 1 << 16
+def network_scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row of ``docs``: the id, ``n_words``, ``outputs`` (sum of the log-probabilities of the outputs of its words) and
+    ``rare``: for each different word of a group its hash, its number in the row, and the group with its number there."""
+    shared = docs.sparkSession.sparkContext.broadcast((model.vocabulary, model.net))
+    id_type, block = docs.schema[id_col].dataType.simpleString(), 1 << 16
 
     def score(batch):
         vocabulary, net = shared.value
-        numbers = [vocabulary.numbers(t) for t in texts_of(batch.column(1))]
+        both = [vocabulary.split_numbers(t) for t in texts_of(batch.column(1))]
+        numbers = [n for n, _ in both]
         context, target = windows(numbers)
         each = np.concatenate([log_probabilities(net, context[a : a + block], target[a : a + block]) for a in range(0, len(target), block)] or [np.zeros(0)])
         length = np.array([len(n) for n in numbers], np.int64)
         sums = np.bincount(np.repeat(np.arange(len(numbers)), length), each, len(numbers))
-        return {"id": batch.column(0), "n_words": length.tolist(), "log_likelihood": sums.tolist()}
+        counted = [Counter(words) for _, words in both]
+        many, flat = np.array([len(c) for c in counted], np.int64), [w for c in counted for w in c]
+        k = np.fromiter((n for c in counted for n in c.values()), np.int64, len(flat))
+        group = np.fromiter((vocabulary.endings[w[-2:]] - WORDS for w in flat), np.int64, len(flat))
+        cell = np.repeat(np.arange(len(many)), many) * RARE + group
+        own = np.bincount(cell, k, len(many) * RARE)[cell]
+        hashes = worker_state("word hashes", _WordHashes)
+        columns = {"h": pa.array(np.fromiter(map(hashes.__getitem__, flat), np.int64, len(flat))), "k": pa.array(k.astype(np.int32)), "grp": pa.array(group.astype(np.int32)), "own": pa.array(own.astype(np.int32))}
+        rare = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(many)].astype(np.int32)), pa.StructArray.from_arrays(list(columns.values()), list(columns)))
+        return {"id": batch.column(0), "n_words": length.tolist(), "outputs": sums.tolist(), "rare": rare}
+
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    return map_rows(rows, score, f"id {id_type}, n_words bigint, outputs double, rare array<struct<h: bigint, k: int, grp: int, own: int>>", slice_rows=256)
+
+
+class _WordHashes(dict):
+    """Spark's own hash of a word, ``xxhash64``."""
+
+    def __missing__(self, word: str) -> int:
+        h = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"), seed=42)
+        h -= (h >> 63) << 64
+        if len(self) >= 200_000:
+            self.clear()
+        if len(word) < 100:
+            self[word] = h
+        return h
+
+
+def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row of ``docs``: the id, ``n_words``, ``log_likelihood`` (sum over all words of the log-probability given both
+    sides) and ``per_word`` (their mean, null without words).
 
-    out = map_rows(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), score, f"id {id_type}, n_words bigint, log_likelihood double", slice_rows=128)
+    ``docs`` are the documents that the model was fitted on, or others, whose words may be new. Null and empty texts have no
+    words and a sum of 0; a null id stays null; repeated rows are scored each, as other documents of the same text; an empty
+    table gives no rows; further columns are ignored. Texts are scored whole, in blocks of bounded size.
+    """
+    scored, _ = persist_table(network_scores(docs, model, id_col, text_col).withColumn("row", F.monotonically_increasing_id()))
+    size, words = F.lit(model.group_size.tolist()), F.lit(model.group_words.tolist())
+    used = scored.select("row", F.inline("rare"))
+    # both sides grow with the documents, so this join must not turn into a broadcast at some sizes
+    met = used.join(model.counts.hint("shuffle_hash"), "h", "left")
+    elsewhere = F.greatest(F.coalesce("n", F.lit(0)) - F.col("k"), F.lit(0)) + ADDED
+    room = F.greatest(F.element_at(size, F.col("grp") + 1) - F.col("own"), F.lit(0.0)) + ADDED * (F.element_at(words, F.col("grp") + 1) + 1)
+    within = met.select("row", (F.col("k") * F.log(elsewhere / room)).alias("x")).groupBy("row").agg(F.sum("x").alias("within"))
+    both = scored.select("row", "id", "n_words", "outputs").join(within.hint("merge"), "row", "left")
+    out = both.select("id", "n_words", (F.col("outputs") + F.coalesce("within", F.lit(0.0))).alias("log_likelihood"))
     return out.withColumn("per_word", F.col("log_likelihood") / F.nullif(F.col("n_words"), F.lit(0))).withColumnRenamed("id", id_col)
