@@ -7,9 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .dimensions import DISTANCES, TYPES
+
 #: Fixed values of the request format.
 GROUPS = ("N", "H", "L")
-MOST_VALUES, MOST_PAGES = 30, 10
+MOST_VALUES, MOST_PAGES, MOST_KEYWORD = 30, 10, 100
 RANGES = (("minPrice", "maxPrice"), ("minSize", "maxSize"), ("minSizeLand", "maxSizeLand"), ("minTop", "maxTop"), ("minPsf", "maxPsf"))
 LISTS = ("bedrooms", "bathrooms", "propertyTypeCode", "districtCode", "tenureCode", "floorLevel", "furnishing", "unitFeatures", "projectFeatures")
 FLAGS = ("isVerified", "withFloorplans", "withStream")
@@ -33,15 +35,37 @@ def whole_number(value) -> int | None:
 
 
 def value_list(value) -> list[str]:
-    values = [] if value is None else [str(v).strip() for v in (value if isinstance(value, list | tuple) else [value])]
-    values = [v for v in values if v]
-    if len(values) > MOST_VALUES or not all(v.replace("_", "").isalnum() for v in values):
-        raise ValueError(f"expected at most {MOST_VALUES} plain codes")
-    return values
-
-
-def checked_filters(raw: dict) -> dict:
-    """The known filters of one group; fields that say nothing are left out."""
+    """Plain codes: numbers or texts of letters, digits and underscores, with at least one letter or digit."""
+    if value is None or value == [] or value == "":
+        return []
+    if not isinstance(value, list | tuple):
+        raise ValueError("expected a list")
+    codes = []
+    for entry in value:
+        code = "" if isinstance(entry, bool | float) or entry is None else str(entry).strip()
+        if not code or any(c != "_" and not c.isalnum() for c in code) or set(code) == {"_"}:
+            raise ValueError("expected numbers or plain codes")
+        codes.append(code)
+    if len(codes) > MOST_VALUES:
+        raise ValueError(f"expected at most {MOST_VALUES} values")
+    return codes
+
+
+def one_line(value, most: int) -> str:
+    """A text with runs of white space as one space, at most so long."""
+    if value is None or value == "":
+        return ""
+    if not isinstance(value, str):
+        raise ValueError("expected a text")
+    if len(line := " ".join(value.split())) > most:
+        raise ValueError(f"expected at most {most} characters")
+    return line
+
+
+def checked_filters(raw: dict, group: str | None = None) -> dict:
+    """The known filters of one group, with the default order; fields that say nothing are left out."""
+    if not isinstance(raw, dict):
+        raise ValueError("expected filters by name")
     out: dict = {}
     for low, high in RANGES:
         bounds = whole_number(raw.get(low)), whole_number(raw.get(high))
@@ -49,18 +73,25 @@ def checked_filters(raw: dict) -> dict:
             raise ValueError(f"{low} is greater than {high}")
         out |= {k: v for k, v in zip((low, high), bounds, strict=True) if v is not None}
     out |= {k: v for k in LISTS if (v := value_list(raw.get(k)))}
+    if group is not None and (strange := set(out.get("propertyTypeCode", ())) - set(TYPES[group])):
+        raise ValueError(f"{sorted(strange)[0]} is no type of group {group}")
     for k in FLAGS:
-        if raw.get(k) not in (None, False, True):
+        if raw.get(k) not in (None, "", False, True) or isinstance(raw.get(k), int) and not isinstance(raw.get(k), bool):
             raise ValueError(f"{k} must be true or false")
         if raw.get(k):
             out[k] = True
     if (days := whole_number(raw.get("lastPosted"))) is not None:
         out["lastPosted"] = days
-    for k, choices in zip(("sort", "order"), SORTS, strict=True):
-        if raw.get(k):
-            if raw[k] not in choices:
+    if keyword := one_line(raw.get("keyword"), MOST_KEYWORD):
+        out["keyword"] = keyword
+    for k, choices, default in (("distanceToMrt", tuple(DISTANCES), None), ("sort", SORTS[0], "date"), ("order", SORTS[1], "desc")):
+        if raw.get(k) not in (None, "") and not isinstance(raw[k], str):
+            raise ValueError(f"{k} must be a text")
+        value = (raw.get(k) or "").strip() or default
+        if value is not None:
+            if value not in choices:
                 raise ValueError(f"{k} must be one of {', '.join(choices)}")
-            out[k] = raw[k]
+            out[k] = value
     return out
 
 
@@ -75,7 +106,7 @@ def checked_searches(body: dict) -> list[dict]:
     if len(set(groups)) < len(groups) or not set(groups) <= set(GROUPS):
         raise ValueError("expected known groups, each once")
     pages = lambda s: 1 if s.get("maxPages") is None else min(whole_number(s["maxPages"]) or 0, MOST_PAGES)  # noqa: E731  0: all
-    return [{"propertyTypeGroup": s["propertyTypeGroup"], "maxPages": pages(s), "filters": checked_filters(s.get("filters") or {})} for s in searches]
+    return [{"propertyTypeGroup": s["propertyTypeGroup"], "maxPages": pages(s), "filters": checked_filters(s.get("filters") or {}, s["propertyTypeGroup"])} for s in searches]
 
 
 def form_number(text: Column) -> Column:
@@ -103,6 +134,32 @@ def query_string(scalars: dict[str, Column], lists: dict[str, Column], flags: di
     return F.array_join(F.array_compact(F.concat(*parts)), "&")
 
 
+#: Names of filters in links.
+SCALAR_NAMES = {
+    "minPrice": "minPrice", "maxPrice": "maxPrice", "minSize": "minSize", "maxSize": "maxSize", "minSizeLand": "minSizeLand", "maxSizeLand": "maxSizeLand", "minTop": "minTopYear", "maxTop": "maxTopYear",
+    "minPsf": "minPricePerArea", "maxPsf": "maxPricePerArea", "distanceToMrt": "distanceToMRT", "keyword": "keyword", "lastPosted": "lastPosted",
+}
+
+
+def search_url(base: str, group: Column, page: Column, filters: Column, has: Sequence[str]) -> Column:
+    """The link of a result page: the first page has no number in its path. ``filters`` is a struct with the fields ``has``;
+    type codes of other groups are left out; without an order of its own the newest come first."""
+    field = lambda k: filters[k] if k in has else F.lit(None)
+    codes = F.create_map(*(x for g, of in TYPES.items() for x in (F.lit(g), F.lit(list(of)))))
+    own = lambda k: F.array_intersect(field(k), F.coalesce(F.try_element_at(codes, group), F.array().cast("array<string>"))) if k == "propertyTypeCode" and k in has else field(k).cast("array<string>")
+    first = query_string({"propertyTypeGroup": group, "page": page, **{name: F.nullif(field(k).cast("string"), F.lit("")) for k, name in SCALAR_NAMES.items()}}, {k: own(k) for k in LISTS}, {k: field(k).cast("boolean") for k in FLAGS})
+    order = query_string({"sort": F.coalesce(field("sort").cast("string"), F.lit("date")), "order": F.coalesce(field("order").cast("string"), F.lit("desc"))}, {}, {})
+    path = F.when(page <= 1, F.lit("/property-for-sale")).otherwise(F.concat(F.lit("/property-for-sale/"), page.cast("string")))
+    return F.concat(F.lit(base), path, F.lit("?"), first, F.lit("&"), order)
+
+
+def number_problem(low: Column, high: Column) -> Column:
+    """Why two bounds given as texts can't be used: no whole number, negative, or crossed; null where they can."""
+    number = lambda c: F.trim(c).try_cast("decimal(38,0)")
+    bad = lambda c: (F.coalesce(c, F.lit("")) != "") & ~F.trim(c).rlike("^[+-]?[0-9]+$")
+    return F.when(bad(low) | bad(high), "number").when((number(low) < 0) | (number(high) < 0), "negative").when(number(low) > number(high), "range")
+
+
 def plain_session(text: Column) -> Column:
     return F.substring(F.regexp_replace(text, "[^A-Za-z0-9_-]", ""), 1, 64)
 

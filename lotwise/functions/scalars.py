@@ -65,8 +65,9 @@ def epoch_seconds(ts: Column) -> Column:
 
 
 def to_integer(text: Column) -> Column:
-    """The first number of a text, thousands separators left out, halves to even; null without one."""
-    return half_even(F.replace(F.nullif(F.regexp_extract(text, r"-?\d[\d,]*(\.\d+)?", 0), F.lit("")), F.lit(","), F.lit("")).try_cast("double"))
+    """The first number of a text, thousands separators left out, halves to even; null without one or beyond 64 bits."""
+    number = F.replace(F.nullif(F.regexp_extract(text, r"-?\d[\d,]*(\.\d+)?", 0), F.lit("")), F.lit(","), F.lit("")).try_cast("double")
+    return F.bround(number).try_cast("bigint")
 
 
 def to_number(text: Column) -> Column:
@@ -130,11 +131,27 @@ def money(n: Column) -> Column:
     return F.coalesce(F.concat(F.lit("S$ "), F.format_number(n, 0)), F.lit("Not available"))
 
 
-def day_label(at: Column, now: int) -> Column:
-    """today, yesterday, n days ago, or the date after a month (UTC)."""
+def or_missing(text: Column) -> Column:
+    return F.coalesce(present(text), F.lit("Not available"))
+
+
+def grouped_number(n: Column) -> Column:
+    return F.coalesce(F.format_number(n, 0), F.lit("Not available"))
+
+
+def money_per_area(n: Column) -> Column:
+    return F.coalesce(F.concat(F.lit("S$ "), F.format_number(n, 0), F.lit(" psf")), F.lit("Not available"))
+
+
+def area_label(n: Column) -> Column:
+    return F.coalesce(F.concat(F.format_number(n, 0), F.lit(" sqft")), F.lit("Not available"))
+
+
+def day_label(at: Column, now: int, before_date: str = "") -> Column:
+    """today, yesterday, n days ago, or the date after a week (UTC), with ``before_date`` before it."""
     days = F.floor((F.lit(now) - at) / SECONDS_PER_DAY)
     date = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(at / SECONDS_PER_DAY).cast("int"))
-    return F.when(days <= 0, "today").when(days == 1, "yesterday").when(days < 31, F.concat(days.cast("string"), F.lit(" days ago"))).otherwise(F.date_format(date, "d MMM yyyy"))
+    return F.when(days <= 0, "today").when(days == 1, "yesterday").when(days < 7, F.concat(days.cast("string"), F.lit(" days ago"))).otherwise(F.concat(F.lit(before_date), F.date_format(date, "d MMM yyyy")))
 
 
 def page_number(url: Column) -> Column:
@@ -165,3 +182,108 @@ def toggled_group(selected: Column, group: Column, order: tuple[str, ...] = ("N"
 
 def projected(lng: Column, lat: Column, min_lng: float, max_lat: float, scale: float) -> tuple[Column, Column]:
     return (lng - F.lit(min_lng)) * F.lit(scale), (F.lit(max_lat) - lat) * F.lit(scale)
+
+
+def map_query(latitude: Column, longitude: Column, address: Column, country: str = "Singapore") -> Column:
+    """What a map is asked for: coordinates if both are finite, else the address in its country, else null."""
+    finite = lambda c: c.isNotNull() & ~F.isnan(c.cast("double")) & (F.abs(c.cast("double")) < F.lit(float("inf")))
+    plain = present(F.trim(address))
+    return F.when(finite(latitude) & finite(longitude), F.concat_ws(",", latitude.cast("string"), longitude.cast("string"))).otherwise(F.concat(plain, F.lit(f", {country}")))
+
+
+def url_component(text: Column) -> Column:
+    """Percent-encoded like a component of a link: blanks too, and not the marks that links may hold."""
+    out = F.replace(F.url_encode(text), F.lit("+"), F.lit("%20"))
+    for code, mark in (("%21", "!"), ("%27", "'"), ("%28", "("), ("%29", ")"), ("%7E", "~")):
+        out = F.replace(out, F.lit(code), F.lit(mark))
+    return out
+
+
+def map_link(query: Column) -> Column:
+    return F.concat(F.lit("https://www.google.com/maps/search/?api=1&query="), url_component(query))
+
+
+def map_embed(query: Column) -> Column:
+    return F.concat(F.lit("https://www.google.com/maps?q="), url_component(query), F.lit("&z=17&output=embed"))
+
+
+def digits_and_point(typed: Column) -> Column:
+    """What was typed reduced to digits and its first point."""
+    kept = F.regexp_replace(typed, "[^0-9.]", "")
+    head = F.substring_index(kept, ".", 1)
+    rest = F.substring(kept, F.length(head) + 2, F.length(kept))
+    return F.when(F.contains(kept, F.lit(".")), F.concat(head, F.lit("."), F.replace(rest, F.lit("."), F.lit("")))).otherwise(kept)
+
+
+def grouped_digits(digits: Column) -> Column:
+    """Thousands grouped; the fraction stays as it is, a point at the end too."""
+    head = F.substring_index(digits, ".", 1)
+    whole = F.when(head == "", F.lit("")).otherwise(F.format_number(head.try_cast("decimal(38,0)"), 0))
+    return F.when(F.contains(digits, F.lit(".")), F.concat(whole, F.substring(digits, F.length(head) + 1, F.length(digits)))).otherwise(whole)
+
+
+def photo_file(url: Column, place: Column, served: Column) -> Column:
+    """A file name from a photo's link, its place and the type that was served."""
+    stem = F.regexp_replace(F.substring_index(F.substring_index(url, "?", 1), "/", -1), r"\.[A-Za-z0-9]+$", "")
+    end = F.when(served == "image/jpeg", "jpg").otherwise(F.substring_index(served, "/", -1))
+    return F.concat_ws(".", F.concat_ws("-", stem, F.lpad(place.cast("string"), 2, "0")), end)
+
+
+def progress_detail(phase: Column, done: Column, total: Column) -> Column:
+    """Page n of m while searching, n of m for details, cached where there are no details to fetch, else nothing."""
+    of = F.concat(done.cast("string"), F.lit(" of "), total.cast("string"))
+    return F.when(phase == "cached", "cached").when((phase == "detail") & (total == 0), "cached").when(phase == "search", F.concat(F.lit("page "), of)).when(phase == "detail", of).otherwise("")
+
+
+def bare_tool(name: Column) -> Column:
+    """A tool's name without the prefixes before its last double underscore."""
+    return F.element_at(F.split(name, "__"), -1)
+
+
+def tool_call(text: Column) -> Column:
+    """``name(args) → result`` as a struct of tool, args and result; a text of another form is a name."""
+    part = lambda g: F.regexp_extract(text, r"(?s)^([^(]*)\(([^)]*)\)(?: → (.*))?$", g)
+    whole = part(1) == ""
+    return F.struct(bare_tool(F.when(whole, text).otherwise(part(1))).alias("tool"), part(2).alias("args"), F.coalesce(part(3), F.lit("")).alias("result"))
+
+
+#: Arguments that say what some tools do, and the lengths of a shown argument and of a shown step.
+HIGHLIGHTS = {"WebSearch": ("query",), "WebFetch": ("url",)}
+MOST_ARGUMENT, MOST_STEP = 120, 300
+
+
+def tool_step(name: Column, keys: Column, values: Column) -> Column:
+    """A tool's step: its bare name with its telling arguments, or else its first short one, in 300 characters. ``keys`` and
+    ``values``: its scalar arguments as texts, in order."""
+    tool, pairs = bare_tool(name), F.arrays_zip(keys.alias("k"), values.alias("v"))
+    short = F.try_element_at(F.filter(values, lambda v: F.length(v) <= MOST_ARGUMENT), F.lit(1))
+    shown = short
+    for known, names in HIGHLIGHTS.items():
+        told = F.array_join(F.transform(F.filter(pairs, lambda p: p["k"].isin(*names)), lambda p: p["v"]), " ")  # noqa: B023
+        shown = F.when(tool == known, told).otherwise(shown)
+    return F.substring(F.when(F.coalesce(shown, F.lit("")) == "", tool).otherwise(F.concat(tool, F.lit("("), shown, F.lit(")"))), 1, MOST_STEP)
+
+
+def viewport(zoom: Column, x: Column, y: Column, width: float, height: float) -> Column:
+    """The box (least and greatest x and y) that a zoomed and moved view shows, or null while it is at rest. The move is kept
+    within the picture."""
+    held = lambda move, size: F.least(F.lit(0.0), F.greatest((1 - zoom) * size, move))
+    left, top = held(x, width), held(y, height)
+    box = F.struct((-left / zoom).alias("min_x"), (-top / zoom).alias("min_y"), ((width - left) / zoom).alias("max_x"), ((height - top) / zoom).alias("max_y"))
+    return F.when(~((zoom == 1) & (left == 0) & (top == 0)), box)
+
+
+def cover_first(photos: Column, cover: Column) -> Column:
+    """The cover goes first unless the photos have it or there is none."""
+    return F.when((F.coalesce(cover, F.lit("")) == "") | F.array_contains(photos, cover), photos).otherwise(F.array_prepend(photos, cover))
+
+
+def changed(old: Column, new: Column) -> Column:
+    """Whether two requests (structs) differ in their canonical texts, where a missing field and a null one are the same."""
+    return ~F.to_json(old).eqNullSafe(F.to_json(new))
+
+
+def selection_state(selected: Column, of: Column) -> Column:
+    """none, some or all of a region's districts are selected."""
+    n = F.size(F.array_intersect(selected, of))
+    return F.when(n == 0, "none").when(n == F.size(of), "all").otherwise("some")

@@ -95,18 +95,44 @@ def top_units(rows: DataFrame, arrival: Sequence[str], n: int = 10) -> DataFrame
     """The n cheapest units of each property with their place, and how many more there are."""
     keyed = rows.withColumn("property_key", property_key(F.col("property_id"), F.col("listing_id")))
     flat = Window.partitionBy("property_key").orderBy(truthy(F.col("price")).asc_nulls_last(), *arrival)
-    best = keyed.withColumn("place", F.row_number().over(flat)).filter(F.col("place") <= n)
-    more = keyed.groupBy("property_key").agg(F.greatest(F.count("*") - n, F.lit(0)).alias("remainder"))
-    return best.join(more, "property_key")
+    # one shuffle and one sort: the count is a window over the same rows
+    ranked = keyed.withColumn("place", F.row_number().over(flat)).withColumn("remainder", F.greatest(F.count("*").over(Window.partitionBy("property_key")) - n, F.lit(0)))
+    return ranked.filter(F.col("place") <= n)
+
+
+UNIT = ("listing_id", "price", "bathrooms", "floor_area", "psf", "url", "listed_at", "listed_label", "agent_name", "agency_name", "floorplans", "photos")
+
+
+def unit_struct(columns: Sequence[str]) -> Column:
+    """A unit as it hangs in the result tree: its own fields, of those that ``columns`` has, and the number of its photos."""
+    photos = [F.coalesce("photo_count" if "photo_count" in columns else F.lit(None).cast("int"), F.size("photos") if "photos" in columns else F.lit(None), F.lit(0)).cast("int").alias("photo_count")]
+    return F.struct(*(c for c in UNIT if c in columns), *photos)
 
 
 def nested_properties(rows: DataFrame, arrival: Sequence[str]) -> DataFrame:
-    """The result tree at the edge of the library: a property with an array of its unit types."""
-    types = unit_types(rows)
-    inner = F.array_sort(F.collect_list(F.struct("bedrooms", "label", "unit_count", "sqft_min", "sqft_max", "typical_sqft", "price_min", "price_max", "psf_min", "psf_max")))
+    """The result tree at the edge of the library: a property with an array of its unit types, each with an array of its units.
+
+    A property's tree is one row, so this is for results of a search, not for a corpus whose properties have no bound."""
+    keyed = rows.withColumn("property_key", property_key(F.col("property_id"), F.col("listing_id"))).withColumn("bedrooms", F.coalesce("bedrooms", F.lit(0)).cast("bigint"))
+    first_price = F.struct(F.coalesce("price", F.lit(0)).alias("p"), F.struct(*arrival).alias("a"))
+    units = keyed.groupBy("property_key", "bedrooms").agg(F.array_sort(F.collect_list(F.struct(first_price.alias("o"), unit_struct(rows.columns).alias("u")))).alias("sorted"))
+    units = units.select("property_key", "bedrooms", F.transform("sorted", lambda x: x["u"]).alias("units"))
+    types = unit_types(rows).join(units, ["property_key", "bedrooms"])
+    inner = F.array_sort(F.collect_list(F.struct("bedrooms", "label", "unit_count", "sqft_min", "sqft_max", "typical_sqft", "price_min", "price_max", "psf_min", "psf_max", "units")))
     return properties(rows, arrival).join(types.groupBy("property_key").agg(inner.alias("unit_types")), "property_key")
 
 
+def tree_units(tree: DataFrame) -> DataFrame:
+    """The tree opened again: one row a unit, with its property's key and its type."""
+    types = tree.select("property_key", F.inline("unit_types")).select("property_key", "bedrooms", "label", "units")
+    return types.select("property_key", "bedrooms", "label", F.inline("units"))
+
+
+def without_units(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """Units without those of ``gone``; types and properties that are left without any are gone in every grouping of it."""
+    return rows.join(gone.select("listing_id").distinct(), "listing_id", "left_anti")
+
+
 def enrich(props: DataFrame, records: DataFrame) -> DataFrame:
     """Properties with the facts of their project records; those without a record stay, marked unavailable."""
     got = props.join(records.withColumnRenamed("property_id", "property_key"), "property_key", "left")
@@ -123,7 +149,7 @@ def matches_property(types: Sequence[str] = (), tenures: Sequence[str] = (), min
     return ok & in_range_strict(F.col("top_year"), min_top, max_top)
 
 
-def matches_unit(price=(None, None), size=(None, None), psf=(None, None), bedrooms: Sequence[int] = (), bathrooms: Sequence[int] = (), days: int | None = None, now: int = 0) -> Column:
+def matches_unit(price=(None, None), size=(None, None), psf=(None, None), bedrooms: Sequence[int] = (), bathrooms: Sequence[int] = (), days: int | None = None, now: int = 0, floorplans: bool = False) -> Column:
     """Strict filter of units."""
     ok = in_range_strict(F.col("price"), *price) & in_range_strict(F.col("floor_area"), *size) & in_range_strict(F.col("psf"), *psf)
     if bedrooms:
@@ -132,7 +158,11 @@ def matches_unit(price=(None, None), size=(None, None), psf=(None, None), bedroo
         ok = ok & F.coalesce(bathroom_chip(F.col("bathrooms")).isin(*bathrooms), F.lit(False))
     if days is not None:
         ok = ok & posted_within(F.col("listed_at"), F.lit(days), now)
-    return ok
+    return ok & has_floorplans(F.col("floorplans")) if floorplans else ok
+
+
+def has_floorplans(plans: Column) -> Column:
+    return F.coalesce(F.size(plans), F.lit(0)) > 0
 
 
 def two_level(units: DataFrame, property_ok: Column, unit_ok: Column, hidden: DataFrame) -> DataFrame:
@@ -148,6 +178,7 @@ def two_level(units: DataFrame, property_ok: Column, unit_ok: Column, hidden: Da
 
 def filtered_units(units: DataFrame, property_ok: Column, unit_ok: Column, hidden: DataFrame) -> DataFrame:
     """Ids of units that a filter takes out of properties that stay."""
-    kept = two_level(units, property_ok, unit_ok, hidden).select("property_key")
-    out = units.filter(property_ok & ~unit_ok).join(hidden.select("listing_id").distinct(), "listing_id", "left_anti")
-    return out.join(kept, "property_key", "left_semi").select("property_key", "listing_id")
+    seen = units.filter(property_ok).join(hidden.select("listing_id").distinct().withColumn("__hidden", F.lit(True)), "listing_id", "left")
+    out = ~F.coalesce("__hidden", F.lit(False)) & ~unit_ok
+    shown = F.count_if(~F.coalesce("__hidden", F.lit(False)) & unit_ok).over(Window.partitionBy("property_key"))
+    return seen.select("property_key", "listing_id", out.alias("__out"), shown.alias("__shown")).filter("__out and __shown > 0").select("property_key", "listing_id")

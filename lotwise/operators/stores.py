@@ -22,8 +22,18 @@ def upsert_with_tombstones(old: DataFrame, records: DataFrame, failed: DataFrame
     return upsert(old, new, key)
 
 
-def capped_upsert(old: DataFrame, new: DataFrame, key: str, cap: int) -> DataFrame:
-    """Rows of known keys are replaced; new keys come in, least key first, while fewer than ``cap`` keys are there."""
+def refused(old: DataFrame, new: DataFrame, key: str, cap: int) -> DataFrame:
+    """Rows of ``new`` that a store of at most ``cap`` keys can't take: new keys, the greatest first, that have no room."""
+    return new.join(capped_upsert(old, new, key, cap, refuse=False).select(key), key, "left_anti").select(*new.columns)
+
+
+def capped_upsert(old: DataFrame, new: DataFrame, key: str, cap: int, refuse: bool = True) -> DataFrame:
+    """Rows of known keys are replaced; new keys come in, least key first, while fewer than ``cap`` keys are there.
+
+    A key for which there is no room is an error, so nothing that was to be kept vanishes; with ``refuse`` false such rows
+    are left out, and ``refused`` has them."""
+    if refuse and (bad := refused(old, new, key, cap).select(key).first()) is not None:
+        raise ValueError(f"the store is full: {cap} keys are there, and {bad[0]} is new")
     room = old.agg(F.greatest(F.lit(cap) - F.count("*"), F.lit(0)).alias("room"))
     known = new.join(old.select(key), key, "left_semi").select(*old.columns)
     unknown = new.join(old.select(key), key, "left_anti").select(*old.columns)
@@ -31,6 +41,38 @@ def capped_upsert(old: DataFrame, new: DataFrame, key: str, cap: int) -> DataFra
     return upsert(old, known.unionByName(fits), key)
 
 
+def replace_fields(old: DataFrame, new: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:
+    """The old rows, with ``fields`` from the new row of the same key; other columns (such as the time of creation) stay, and
+    new rows of unknown keys are ignored."""
+    spare = [f"__new_{f}" for f in fields]
+    got = old.join(new.select(key, *(F.col(f).alias(s) for f, s in zip(fields, spare, strict=True)), F.lit(True).alias("__there")), key, "left")
+    new_of = dict(zip(fields, spare, strict=True))
+    return got.select(*(F.when(F.col("__there"), F.col(new_of[c])).otherwise(F.col(c)).alias(c) if c in new_of else F.col(c) for c in old.columns))
+
+
+def stamped(old: DataFrame, keys: DataFrame, key: str, field: str, now: int) -> DataFrame:
+    """The old rows, with ``now`` in ``field`` where the key is among ``keys``."""
+    return replace_fields(old, keys.select(key).distinct().withColumn(field, F.lit(now).cast("bigint")), key, [field])
+
+
+def stamped_by_jobs(saved: DataFrame, jobs: DataFrame, key: str, field: str, now: int, job_key: str = "saved_search_id", status: str = "status") -> DataFrame:
+    """Saved searches, stamped where a job of theirs has succeeded; failed and cancelled jobs leave the stamp."""
+    done = jobs.filter((F.col(status) == "succeeded") & F.col(job_key).isNotNull()).select(F.col(job_key).alias(key))
+    return stamped(saved, done, key, field, now)
+
+
+def newest_first(rows: DataFrame, key: str, created: str = "created_at", lists: Sequence[str] = ()) -> DataFrame:
+    """Rows by their time of creation, newest first and those without one last; missing lists are empty."""
+    filled = rows.select(*(F.coalesce(F.col(c), F.array()).alias(c) if c in lists else F.col(c) for c in rows.columns))
+    return filled.orderBy(F.coalesce(F.col(created), F.lit(0)).desc(), key)
+
+
+def stored_photos(wanted: DataFrame, photos: DataFrame, key: str, now: int, ttl: int, at: str = "captured_at") -> DataFrame:
+    """The wanted keys with their photos, none where they are missing or too old."""
+    current = photos.filter(fresh(now, ttl, at)).select(key, "photos")
+    return wanted.join(current, key, "left").withColumn("photos", F.coalesce("photos", F.array().cast("array<string>")))
+
+
 def delete(old: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     """Rows of other keys; keys that aren't there don't matter."""
     return old.join(keys.select(key), key, "left_anti").select(*old.columns)
@@ -40,15 +82,38 @@ def fresh(now: int, ttl: int, at: str = "updated_at") -> Column:
     return F.coalesce(F.lit(now) - F.col(at) < F.lit(ttl), F.lit(False))
 
 
+def is_current(now: int, ttl: int, schema_version: int) -> Column:
+    return fresh(now, ttl) & F.coalesce(F.col("schema_version") >= schema_version, F.lit(False))
+
+
 def cache_lookup(wanted: DataFrame, cache: DataFrame, key: str, now: int, ttl: int, failure_ttl: int, schema_version: int) -> tuple[DataFrame, DataFrame]:
     """Current records among the wanted keys, and keys that failed not long ago."""
     asked = cache.join(wanted.select(key).distinct(), key, "left_semi")
-    hits = asked.filter(fresh(now, ttl) & (F.col("schema_version") >= schema_version))
-    return hits, asked.filter(fresh(now, failure_ttl, "failed_at")).select(key)
+    return asked.filter(is_current(now, ttl, schema_version)), asked.filter(fresh(now, failure_ttl, "failed_at")).select(key)
+
+
+def to_fetch(wanted: DataFrame, cache: DataFrame, key: str, now: int, ttl: int, failure_ttl: int, schema_version: int) -> DataFrame:
+    """The wanted rows whose key has neither a current record nor a failure not long ago: one join with the cache."""
+    known = cache.filter(is_current(now, ttl, schema_version) | fresh(now, failure_ttl, "failed_at")).select(key)
+    return wanted.join(known, key, "left_anti")
+
+
+def swept_results(results: DataFrame, jobs: DataFrame, key: str, now: int, ttl: int, created: str = "created_at") -> DataFrame:
+    """Results of jobs that are there and not older than their time to live."""
+    return results.join(swept(jobs, now, ttl, created).select(key), key, "left_semi")
+
+
+def job_views(jobs: DataFrame, results: DataFrame, key: str, counters: Sequence[str], status: str = "status", n: str = "n") -> DataFrame:
+    """Jobs with their counters (0 where missing) and the number of their results: only succeeded jobs show it, and one whose
+    result is gone has expired."""
+    done = F.col(status) == "succeeded"
+    got = jobs.join(results.select(key, n), key, "left")
+    return got.select(key, status, *(F.coalesce(c, F.lit(0)).alias(c) for c in counters), F.when(done, F.coalesce(n, F.lit(0))).otherwise(0).cast("bigint").alias("listings"), (done & F.col(n).isNull()).alias("expired"))
 
 
-def to_fetch(wanted: DataFrame, hits: DataFrame, failed: DataFrame, key: str) -> DataFrame:
-    return wanted.join(hits.select(key), key, "left_anti").join(failed.select(key), key, "left_anti")
+def fold_progress(events: DataFrame, key: str, phase: str, done: str, total: str) -> DataFrame:
+    """The farthest that each phase of a job got: counters never go back, whatever the order of the events."""
+    return events.groupBy(key, phase).agg(F.max(done).alias(done), F.max(total).alias(total))
 
 
 def swept(jobs: DataFrame, now: int, ttl: int, created: str = "created_at") -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,9 +17,10 @@ def last_turns(turns: DataFrame, n: int = 24, session: str = "session", order: s
 
 
 def merged_runs(events: DataFrame, kind: Column, session: str = "session", order: str = "seq", content: str = "content", merge: str = "reasoning", sep: str = "") -> DataFrame:
-    """Runs of events: neighbours of the kind ``merge`` are one step, every other step stands alone."""
+    """Steps of a session: fragments of the kind ``merge`` with no other step between them are one, every other step stands
+    alone. Prose and status are no steps, so they neither count nor break a run. A session is one task."""
     w = Window.partitionBy(session).orderBy(order)
-    marked = events.withColumn("kind", kind).withColumn("__start", ~((F.col("kind") == merge) & F.coalesce(F.lag("kind").over(w) == merge, F.lit(False))))
+    marked = events.withColumn("kind", kind).filter(F.col("kind").isin(*STEPS)).withColumn("__start", ~((F.col("kind") == merge) & F.coalesce(F.lag("kind").over(w) == merge, F.lit(False))))
     runs = marked.withColumn("step", F.sum(F.col("__start").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("bigint"))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, content))), lambda x: x[content]), sep)
     return runs.groupBy(session, "step").agg(F.min("kind").alias("kind"), F.count("*").alias("n"), F.min(order).alias("first"), text.alias("content"))
@@ -32,11 +35,69 @@ def separated(events: DataFrame, session: str = "session", order: str = "seq", k
 
 
 def running_text(pieces: DataFrame, session: str = "session", order: str = "seq", piece: str = "piece") -> DataFrame:
-    """All text of a session up to each of its pieces."""
+    """All text of a session up to each of its pieces. The result is quadratic in a session by what it is; ``so_far_length``
+    is the linear form of it."""
     w = Window.partitionBy(session).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     return pieces.withColumn("so_far", F.array_join(F.collect_list(piece).over(w), ""))
 
 
+def so_far_length(pieces: DataFrame, session: str = "session", order: str = "seq", piece: str = "piece") -> DataFrame:
+    """The length of the text of a session up to each of its pieces."""
+    w = Window.partitionBy(session).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    return pieces.withColumn("length_so_far", F.sum(F.length(piece)).over(w))
+
+
+def recorded_turns(events: DataFrame, turn: Sequence[str] = ("session", "turn"), order: str = "seq", kind: str = "kind", content: str = "content", at: str = "at") -> DataFrame:
+    """What a turn's reader saw: ``content`` (its prose, trimmed), ``tool_count``, and ``think_ms`` (from its first event to its
+    last). ``at`` is in milliseconds."""
+    rows = events.withColumn("__turn", F.struct(*turn))
+    pieces = separated(rows, "__turn", order, kind, content)
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, "piece"))), lambda x: x["piece"]), "")
+    prose = pieces.groupBy(*turn).agg(F.regexp_replace(text, r"^\s+|\s+$", "").alias("content"))
+    counts = events.groupBy(*turn).agg(F.count_if(F.col(kind) == "tool").alias("tool_count"), (F.max(at) - F.min(at)).alias("think_ms"))
+    return counts.join(prose, list(turn), "left").withColumn("content", F.coalesce("content", F.lit("")))
+
+
+def history(turns: DataFrame, session: str = "session", order: str = "turn", role: str = "role", content: str = "content") -> DataFrame:
+    """Earlier turns as a transcript: whole contents, each behind who said it, with a blank line between them."""
+    line = F.concat(F.when(F.col(role) == "user", F.lit("User: ")).otherwise(F.lit("Assistant: ")), F.coalesce(F.col(content), F.lit("")))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, line.alias("line")))), lambda x: x["line"]), "\n\n")
+    return turns.groupBy(session).agg(joined.alias("history"), F.count("*").alias("turns"))
+
+
+def action_text(name: Column, description: Column, keys: Column, values: Column, example: Column) -> Column:
+    """One action for a prompt: heading, description, its parameters and an example of a proposal."""
+    lines = F.transform(F.arrays_zip(keys.alias("k"), values.alias("v")), lambda p: F.concat(F.lit("  - "), p["k"], F.lit(": "), p["v"]))
+    parts = F.concat(F.array(F.concat(F.lit("### "), name), description), F.when(F.size(keys) > 0, F.concat(F.array(F.lit("Parameters:")), lines)).otherwise(F.array().cast("array<string>")), F.array_compact(F.array(F.when(example != "", F.concat(F.lit("Example: <act>"), example, F.lit("</act>"))))), F.array(F.lit("")))
+    return F.array_join(parts, "\n")
+
+
+def prompt_text(context: Column, actions: Column, conversation: Column, message: Column) -> Column:
+    """A prompt's envelope: the page, the actions, the conversation if there is one, and the message."""
+    part = lambda tag, text: F.concat(F.lit(f"<{tag}>\n"), text, F.lit(f"\n</{tag}>\n\n"))
+    return F.concat(part("page_context", context), part("page_actions", actions), F.when(F.coalesce(conversation, F.lit("")) != "", part("conversation_so_far", conversation)).otherwise(F.lit("")), part("user_message", message))
+
+
+def gave_up(polls: DataFrame, failed: Column, key: str, order: str, most: int) -> DataFrame:
+    """Where each poller stops: its ``most``-th failure in a row."""
+    w = Window.partitionBy(key).orderBy(order)
+    runs = polls.withColumn("__bad", failed).withColumn("__run", F.sum((~F.col("__bad")).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    nth = runs.filter("__bad").withColumn("__nth", F.row_number().over(Window.partitionBy(key, "__run").orderBy(order)))
+    return nth.filter(F.col("__nth") >= most).groupBy(key).agg(F.min(order).alias("gave_up"))
+
+
+def framed(kind: Column, content: Column) -> Column:
+    """An event as a server-sent frame."""
+    return F.concat(F.lit("data: "), F.to_json(F.struct(kind.alias("type"), content.alias("content"))), F.lit("\n\n"))
+
+
+def unframed(frames: DataFrame, frame: str, *keep: str) -> DataFrame:
+    """Events of frames; lines that aren't data and data that can't be read are skipped."""
+    lines = frames.select(*keep, F.explode(F.split(F.col(frame), "\n")).alias("line")).filter(F.col("line").startswith("data: "))
+    got = lines.select(*keep, F.from_json(F.substring(F.col("line"), F.lit(7), F.length("line")), "type string, content string").alias("e"))
+    return got.filter("e.type is not null").select(*keep, F.col("e.type").alias("kind"), F.col("e.content").alias("content"))
+
+
 def mapped_events(events: DataFrame, session: str = "session", order: str = "seq") -> DataFrame:
     """Raw events as the reader sees them: deltas as they come, a full text only where no delta was seen before it, a tool
     once per id, the end as status or error."""

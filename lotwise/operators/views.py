@@ -91,3 +91,24 @@ def new_first(units: DataFrame, new: Column, arrival: Sequence[str]) -> DataFram
     """Places within the property: new rows first, each half by price with missing prices last."""
     w = Window.partitionBy("property_key").orderBy(F.desc("is_new"), F.nullif(F.col("price"), F.lit(0)).asc_nulls_last(), *arrival)
     return units.withColumn("is_new", new).withColumn("place", F.row_number().over(w))
+
+
+def markers(points: DataFrame, key: str = "property_key") -> DataFrame:
+    """What a map draws: key, point, whether it stands at its district's anchor only, and the district; rows without a point go."""
+    return points.filter("x is not null").select(F.col(key).alias("id"), "x", "y", F.col("approximate").alias("dimmed"), "district")
+
+
+def facet_sets(rows: DataFrame, facets: dict[str, Column], groups: DataFrame, districts: Column, by: str = "grp") -> DataFrame:
+    """Per group of ``groups``: the sorted values of each facet (none for a group without rows), and the districts of all groups
+    together. A facet has as many values as its list of choices, so the sets are small."""
+    lists = rows.groupBy(by).agg(*(F.array_sort(F.collect_set(c.cast("string"))).alias(n) for n, c in facets.items()), F.lit(True).alias("present"))
+    shared = rows.agg(F.array_sort(F.collect_set(districts)).alias("districts"))
+    empty = F.array().cast("array<string>")
+    got = groups.select(by).join(lists, by, "left").crossJoin(F.broadcast(shared))  # one row
+    return got.select(by, *(F.coalesce(n, empty).alias(n) for n in facets), "districts", F.coalesce("present", F.lit(False)).alias("present"))
+
+
+def active_filters(forms: DataFrame, key: str, set_fields: Column, on: Column, districts: Column) -> DataFrame:
+    """Filters in use of each result view: the set fields of groups that are on, one if any group is off, one if districts are
+    chosen. ``forms`` has a row a group that the results have."""
+    return forms.groupBy(key).agg((F.sum(F.when(on, set_fields).otherwise(0)) + F.max((~on).cast("int")) + F.max((districts > 0).cast("int"))).cast("bigint").alias("active"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import first_of, tenure_label
 from ..operators import listings as L
+from ..operators import search_pages as G
 from ..operators import stores as S
 from . import hosts as H
 from .registry import query
@@ -98,8 +99,7 @@ def enrich_targets_anti(spark, sf_dir):
 
     rows = H.units(spark, sf_dir).filter("property_id <> ''")
     lead = L.first_by_arrival(rows, ["property_id"], H.ARRIVAL).select("property_id", "listing_id", project_path(F.col("name"), F.col("property_id")).alias("path")).filter("path <> ''")
-    hits, failed = S.cache_lookup(lead, H.cache(spark, sf_dir), "property_id", H.CACHE_NOW, H.CACHE_TTL, H.FAILURE_TTL, 2)
-    return S.to_fetch(lead, hits, failed, "property_id")
+    return S.to_fetch(lead, H.cache(spark, sf_dir), "property_id", H.CACHE_NOW, H.CACHE_TTL, H.FAILURE_TTL, 2)
 
 
 FILTERS = [("N", 20000, 60000, None, 1600, None, None, ["D01", "D02", "D05", "D09"], 1970, None), ("H", None, 50000, 200, None, 10, 90, [], None, 1990)]
@@ -163,15 +163,38 @@ def filtered_unit_ids(spark, sf_dir):
     return L.filtered_units(*_two_level_inputs(spark, sf_dir))
 
 
-@query("page_fanout", f"""WITH {H.LISTING}, totals AS (SELECT grp, max(page) AS total FROM rated GROUP BY grp), lasts AS (SELECT grp, total, least(total, CASE grp WHEN 'N' THEN 3 WHEN 'H' THEN 10 ELSE total END) AS last FROM totals)
-SELECT grp, page, last, total, total > 0 AND total > last AS truncated FROM lasts, unnest(generate_series(1, last)) AS t(page)""")
+WANTED = [("N", 3, 1), ("H", 10, 2), ("L", 0, 3), ("X", 2, 4), ("Y", 0, 5)]
+FANOUT = H.LISTING + """, wanted(grp, most) AS (VALUES ('N', 3), ('H', 10), ('L', 0), ('X', 2), ('Y', 0)),
+ lasts AS (SELECT w.grp, most, coalesce(max(page), 0) AS total FROM wanted w LEFT JOIN rated r ON r.grp = w.grp GROUP BY w.grp, most),
+ bounded AS (SELECT grp, total, CASE WHEN most = 0 AND total = 0 THEN 1 WHEN most = 0 THEN total WHEN total = 0 THEN most WHEN total < most THEN total ELSE most END AS last FROM lasts)"""
+
+
+def _wanted(spark, sf_dir):
+    groups = spark.createDataFrame(WANTED, "grp string, most bigint, place int")
+    totals = H.listings(spark, sf_dir).groupBy("grp").agg(F.max("page").alias("total"))
+    return groups.join(totals, "grp", "left").withColumn("total", F.coalesce("total", F.lit(0)))
+
+
+@query("page_fanout", f"""WITH {FANOUT} SELECT grp, page, last, total, total > 0 AND total > last AS truncated FROM bounded, unnest(generate_series(1, last)) AS t(page)""")
 def page_fanout(spark, sf_dir):
-    """Pages to read of each group: its first, and the others up to the group's bound (0: all of them)."""
-    bounds = spark.createDataFrame([("N", 3), ("H", 10), ("L", 0)], "grp string, most int")
-    totals = H.listings(spark, sf_dir).groupBy("grp").agg(F.max("page").alias("total")).join(bounds, "grp")
-    last = F.when(F.col("most") == 0, F.col("total")).otherwise(F.least(F.col("most").cast("bigint"), F.lit(10).cast("bigint"), F.col("total")))
-    lasts = totals.withColumn("last", last).filter("last >= 1")
-    return lasts.select("grp", F.explode(F.sequence(F.lit(1).cast("bigint"), "last")).alias("page"), "last", "total", ((F.col("total") > 0) & (F.col("total") > F.col("last"))).alias("truncated"))
+    """Pages to read of each group: its first, and the others up to the group's bound (0: all of them); of a group without a
+    known total all that are wanted, or the first."""
+    return G.page_targets(_wanted(spark, sf_dir))
+
+
+@query("page_scan_totals", f"""WITH {FANOUT}, target AS (SELECT grp, page, last, total FROM bounded, unnest(generate_series(1, last)) AS t(page)), scanned AS (SELECT count(*) AS n FROM target WHERE page <> 2 AND page <= total)
+SELECT CAST((SELECT sum(last) FROM bounded) AS BIGINT) AS pages_total, (SELECT n FROM scanned) AS pages_scanned, CAST((SELECT sum(total) FROM bounded) AS BIGINT) AS total_pages, (SELECT bool_or(total > 0 AND total > last) FROM bounded) AS truncated""")
+def page_scan_totals(spark, sf_dir):
+    """The join of targets with fetched pages: the second page of each group never came and is skipped; sums over the groups."""
+    fetched = H.listings(spark, sf_dir).filter("page <> 2").select("grp", "page").distinct().withColumn("html", F.lit("<html>"))
+    return G.scan_totals(G.fetched_targets(G.page_targets(_wanted(spark, sf_dir)), fetched))
+
+
+@query("first_page_problems", f"""WITH {FANOUT} SELECT grp, CASE WHEN total = 0 THEN 'no first page' WHEN grp = 'H' THEN 'no listings though there are pages' END AS problem FROM bounded WHERE total = 0 OR grp = 'H'""")
+def first_page_problems(spark, sf_dir):
+    """Groups whose first page can't be used: it never came, or nothing was read from it though there are pages."""
+    first = _wanted(spark, sf_dir).withColumn("html", F.when(F.col("total") > 0, "<html>")).withColumn("n", F.when(F.col("grp") != "H", 5))
+    return first.select("grp", G.page_problem(F.col("html"), F.col("total"), F.col("n")).alias("problem")).filter("problem is not null")
 
 
 @query("photo_split", f"""WITH {H.UNITS}, p AS (SELECT listing_id, CASE WHEN listing_id % 4 = 0 THEN [] ELSE list_transform(generate_series(1, listing_id % 4), lambda i: listing_id || '-' || i || '.jpg') END AS photos FROM unit)

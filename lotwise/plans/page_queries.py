@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.requests import search_url
 from ..functions.scalars import page_number, path_head, slug, to_integer, to_number
 from ..sources import pages as P
 from ..sources.tables import table
@@ -63,13 +64,13 @@ def project_pages(spark, sf_dir):
     shown = F.when(key % 4 == 2, F.concat(F.lit('<meta property="place:location:latitude" content="'), lat.cast("string"), F.lit('"><meta property="place:location:longitude" content="'), lng.cast("string"), F.lit('">'))).when(key % 4 == 3, F.concat(F.lit('<div id="map-canvas" data-latitude="'), lat.cast("string"), F.lit('" data-longitude="'), lng.cast("string"), F.lit('"></div>'))).otherwise(shown)
     year = F.when(size % 5 == 0, F.lit("N/A")).otherwise((1960 + size).cast("string"))
     gallery = F.concat(F.lit('<span class="gallery-item image"><img src="/placeholder.png" data-original="/a'), key.cast("string"), F.lit('.jpg"></span><span class="gallery-item image"><img src="/b.jpg"></span><span class="gallery-item image"><img src="/b.jpg"></span><span class="gallery-item image"><img src="/placeholder.png"></span>'))
-    html = F.concat(F.lit('<meta property="og:image" content="/o.jpg"><table>'), row("Completion Year", F.lit("1900")), row("Completion Year", year), row("Total Units", F.format_number(key, 0)), row("Developer", F.concat(F.col("p_brand"), F.lit(" &amp; <b>Co</b>"))), row("Tenure", F.lit("99-year Leasehold")), F.lit("</table>"), shown, gallery)
+    html = F.concat(F.lit('<meta property="og:image" content="/o.jpg"><table>'), row("Completion Year", F.lit("1900")), row("Completion Year", year), row("Total Units", F.format_number(key, 0)), row("Developer", F.concat(F.col("p_brand"), F.lit(" &amp; <b>Caf&eacute;</b> &#x27;&euro;&#39;"))), row("Tenure", F.lit("99-year Leasehold")), F.lit("</table>"), shown, gallery)
     return table(spark, sf_dir, "part").select(key.cast("string").alias("property_id"), html.alias("html"))
 
 
 @query("project_html_roundtrip", """WITH p AS (SELECT *, CAST(1.15 AS DOUBLE) + (p_partkey % 50) * CAST(0.01 AS DOUBLE) AS lat, CAST(103.55 AS DOUBLE) + (p_partkey % 60) * CAST(0.01 AS DOUBLE) AS lng FROM part),
  q AS (SELECT *, p_partkey % 4 >= 2 AND lat BETWEEN 1.15 AND 1.5 AND lng BETWEEN 103.55 AND 104.1 AS inside FROM p)
-SELECT CAST(p_partkey AS VARCHAR) AS property_id, CAST(CASE WHEN p_size % 5 <> 0 THEN 1960 + p_size END AS BIGINT) AS top_year, CAST(p_partkey AS BIGINT) AS total_units, p_brand || ' & Co' AS developer, '99-year Leasehold' AS tenure, '/o.jpg' AS image_url,
+SELECT CAST(p_partkey AS VARCHAR) AS property_id, CAST(CASE WHEN p_size % 5 <> 0 THEN 1960 + p_size END AS BIGINT) AS top_year, CAST(p_partkey AS BIGINT) AS total_units, p_brand || ' & Café ''€''' AS developer, '99-year Leasehold' AS tenure, '/o.jpg' AS image_url,
  '/a' || p_partkey || '.jpg,/b.jpg' AS photos, CASE WHEN inside THEN round(lat, 4) END AS latitude, CASE WHEN inside THEN round(lng, 4) END AS longitude FROM q""")
 def project_html_roundtrip(spark, sf_dir):
     got = P.projects(project_pages(spark, sf_dir))
@@ -89,12 +90,11 @@ def slug_url_shape(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", slug(url).alias("slug"), page_number(url).alias("page"), path_head(url).alias("head"))
 
 
-@query("numeric_coercion", """WITH t AS (SELECT doc_id, regexp_extract(text, '-?[0-9][0-9,]*(\\.[0-9]+)?', 0) AS first, substr(text, 1, 6) AS head FROM documents)
-SELECT doc_id, CAST(round_even(TRY_CAST(nullif(replace(first, ',', ''), '') AS DOUBLE), 0) AS BIGINT) AS number FROM t WHERE length(first) < 16""")
+@query("numeric_coercion", """WITH t AS (SELECT doc_id, regexp_extract(text, '-?[0-9][0-9,]*(\\.[0-9]+)?', 0) AS first FROM documents)
+SELECT doc_id, TRY_CAST(round_even(TRY_CAST(nullif(replace(first, ',', ''), '') AS DOUBLE), 0) AS BIGINT) AS number FROM t""")
 def numeric_coercion(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    first = F.regexp_extract("text", r"-?[0-9][0-9,]*(\.[0-9]+)?", 0)
-    return docs.filter(F.length(first) < 16).select("doc_id", to_integer(F.col("text")).alias("number"))
+    """The first number of every text; none, or one beyond 64 bits, is null."""
+    return table(spark, sf_dir, "documents").select("doc_id", to_integer(F.col("text")).alias("number"))
 
 
 @query("envelope_decode", """SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 200 WHEN event_id % 3 = 1 THEN 403 ELSE 0 END AS status, event_id % 3 = 1 AND event_id % 2 = 0 AS challenge, event_id % 3 = 0 AND event_id % 5 = 0 AS landed FROM events""")
@@ -112,3 +112,15 @@ def number_parse(spark, sf_dir):
     d = F.col("doc_id")
     text = F.when(d % 4 == 0, F.concat(F.lit(" "), d.cast("string"), F.lit(".5 "))).when(d % 4 == 1, "1e3").otherwise(F.concat(F.lit("x"), d.cast("string")))
     return table(spark, sf_dir, "documents").select("doc_id", to_number(text).alias("number"))
+
+
+@query("page_links", """SELECT c_custkey, 'https://x.example' || CASE WHEN c_custkey % 4 = 0 THEN '/property-for-sale' ELSE '/property-for-sale/' || (1 + c_custkey % 4) END || '?' || concat_ws('&', 'propertyTypeGroup=' || CASE c_custkey % 3 WHEN 0 THEN 'N' WHEN 1 THEN 'H' ELSE 'L' END,
+ 'page=' || (1 + c_custkey % 4), CASE WHEN c_custkey % 2 = 0 THEN 'minPrice=' || c_custkey END, 'minTopYear=1999', 'keyword=a+b', CASE WHEN c_custkey % 3 = 0 THEN 'propertyTypeCode=APT' END, CASE WHEN c_custkey % 3 = 2 THEN 'propertyTypeCode=SEMI' END, CASE WHEN c_custkey % 5 = 0 THEN 'isVerified=true' END,
+ 'sort=' || CASE WHEN c_custkey % 7 = 0 THEN 'price' ELSE 'date' END, 'order=desc') AS url FROM customer""")
+def page_links(spark, sf_dir):
+    """Links of result pages: type codes of other groups are left out, the first page has no number in its path."""
+    k = F.col("c_custkey")
+    group = F.element_at(F.array(F.lit("N"), F.lit("H"), F.lit("L")), (k % 3 + 1).cast("int"))
+    fields = {"minPrice": F.when(k % 2 == 0, k), "minTop": F.lit(1999), "keyword": F.lit("a b"), "propertyTypeCode": F.array(F.lit("APT"), F.lit("SEMI")), "isVerified": k % 5 == 0, "sort": F.when(k % 7 == 0, "price")}
+    url = search_url("https://x.example", group, 1 + k % 4, F.struct(*(c.alias(n) for n, c in fields.items())), list(fields))
+    return table(spark, sf_dir, "customer").select("c_custkey", url.alias("url"))

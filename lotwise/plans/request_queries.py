@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import dimensions as D
 from ..functions import requests as R
+from ..functions import scalars as X
 from ..operators import listings as L
+from ..operators import stores as S
+from ..operators import transcripts as T
 from ..sources.tables import table
 from . import hosts as H
 from .registry import query
@@ -15,12 +18,9 @@ from .registry import query
 @query("sse_roundtrip", "SELECT event_id, event_type AS kind, props AS content FROM events WHERE event_id % 5 <> 0")
 def sse_roundtrip(spark, sf_dir):
     """Events framed as server-sent lines and read again; broken frames are skipped."""
-    e = table(spark, sf_dir, "events")
-    frame = F.concat(F.lit("data: "), F.to_json(F.struct(F.col("event_type").alias("type"), F.col("props").alias("content"))), F.lit("\n\n"))
-    framed = e.select("event_id", F.when(F.col("event_id") % 5 == 0, F.when(F.col("event_id") % 10 == 0, F.lit("data: {broken\n\n")).otherwise(F.lit(": comment\n\n"))).otherwise(frame).alias("frame"))
-    lines = framed.select("event_id", F.explode(F.split("frame", "\n")).alias("line")).filter(F.col("line").startswith("data: "))
-    got = lines.select("event_id", F.from_json(F.substring("line", 7, 1 << 20), "type string, content string").alias("e"))
-    return got.filter("e.type is not null").select("event_id", F.col("e.type").alias("kind"), F.col("e.content").alias("content"))
+    frame = T.framed(F.col("event_type"), F.col("props"))
+    broken = F.when(F.col("event_id") % 10 == 0, F.lit("data: {broken\n\n")).otherwise(F.lit(": comment\n\n"))
+    return T.unframed(table(spark, sf_dir, "events").select("event_id", F.when(F.col("event_id") % 5 == 0, broken).otherwise(frame).alias("frame")), "frame", "event_id")
 
 
 @query("search_query_string", """SELECT c_custkey, concat_ws('&', 'minPrice=' || c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'keyword=a+b%26' || c_nationkey END, 'district=D01', CASE WHEN c_custkey % 3 = 0 THEN 'district=D02' END, CASE WHEN c_custkey % 5 = 0 THEN 'isVerified=true' END) AS query FROM customer""")
@@ -31,23 +31,23 @@ def search_query_string(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", R.query_string(scalars, lists, {"isVerified": k % 5 == 0, "withStream": F.lit(None).cast("boolean")}).alias("query"))
 
 
-@query("map_links", """SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN p_size || ',' || (p_size + 100) WHEN p_partkey % 3 = 1 THEN p_type || ', Singapore' END AS place FROM part""")
+PLACE = "CASE WHEN p_partkey % 3 = 0 THEN p_size || ',' || (p_size + 100) WHEN p_partkey % 3 = 1 THEN trim(p_type) || ', Singapore' END"
+
+
+@query("map_links", f"""SELECT p_partkey, {PLACE} AS place, 'https://www.google.com/maps/search/?api=1&query=' || replace(replace({PLACE}, ',', '%2C'), ' ', '%20') AS link, 'https://www.google.com/maps?q=' || replace(replace({PLACE}, ',', '%2C'), ' ', '%20') || '&z=17&output=embed' AS embed FROM part""")
 def map_links(spark, sf_dir):
-    """What a map is asked for: coordinates, else the address in its country, else nothing."""
+    """What a map is asked for: coordinates, else the address in its country, else nothing; and the links."""
     k, size = F.col("p_partkey"), F.col("p_size")
-    lat, lng, address = F.when(k % 3 == 0, size), F.when(k % 3 == 0, size + 100), F.when(k % 3 == 1, F.col("p_type"))
-    place = F.when(lat.isNotNull() & lng.isNotNull(), F.concat_ws(",", lat.cast("string"), lng.cast("string"))).when(F.coalesce(address, F.lit("")) != "", F.concat(address, F.lit(", Singapore")))
-    return table(spark, sf_dir, "part").select("p_partkey", place.alias("place"))
+    place = X.map_query(F.when(k % 3 == 0, size), F.when(k % 3 == 0, size + 100), F.when(k % 3 == 1, F.concat(F.lit(" "), "p_type")))
+    return table(spark, sf_dir, "part").select("p_partkey", place.alias("place"), X.map_link(place).alias("link"), X.map_embed(place).alias("embed"))
 
 
-@query("digits_grouped", """SELECT o_orderkey, format('{:,}', CAST(floor(o_totalprice) AS BIGINT)) || CASE WHEN o_orderkey % 2 = 0 THEN '.5' ELSE '' END AS shown FROM orders""")
+@query("digits_grouped", """SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN '.5' ELSE format('{:,}', CAST(floor(o_totalprice) AS BIGINT)) || CASE o_orderkey % 3 WHEN 1 THEN '.05' ELSE '.' END END AS shown FROM orders""")
 def digits_grouped(spark, sf_dir):
     """Typed text to digits with one point, thousands grouped, the fraction as typed."""
-    whole = F.floor("o_totalprice").cast("bigint").cast("string")
-    typed = F.concat(F.lit("S$ "), whole, F.when(F.col("o_orderkey") % 2 == 0, ".5 x").otherwise(""))
-    kept = F.regexp_replace(typed, "[^0-9.]", "")
-    head, tail = F.split_part(kept, F.lit("."), F.lit(1)), F.split_part(kept, F.lit("."), F.lit(2))
-    return table(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.format_number(head.try_cast("bigint"), 0), F.when(tail != "", F.concat(F.lit("."), tail)).otherwise("")).alias("shown"))
+    whole, k = F.floor("o_totalprice").cast("bigint").cast("string"), F.col("o_orderkey") % 3
+    typed = F.when(k == 0, F.lit("S$ .5")).otherwise(F.concat(F.lit("S$ "), whole, F.when(k == 1, ".0.5 x").otherwise(".")))
+    return table(spark, sf_dir, "orders").select("o_orderkey", X.grouped_digits(X.digits_and_point(typed)).alias("shown"))
 
 
 @query("photo_names", "SELECT p_partkey, 'img-' || p_partkey || '-' || lpad(CAST(1 + p_partkey % 9 AS VARCHAR), 2, '0') || CASE WHEN p_partkey % 2 = 0 THEN '.webp' ELSE '.jpg' END AS name FROM part")
@@ -55,29 +55,26 @@ def photo_names(spark, sf_dir):
     """File names from the link, the place in the carousel and the type that was served."""
     k = F.col("p_partkey")
     url = F.concat(F.lit("https://x.example/a/img-"), k.cast("string"), F.lit(".png?w=3"))
-    stem = F.regexp_replace(F.substring_index(F.substring_index(url, "?", 1), "/", -1), r"\.[A-Za-z0-9]+$", "")
-    kind = F.when(k % 2 == 0, "image/webp").otherwise("image/jpeg")
-    end = F.when(kind == "image/jpeg", "jpg").otherwise(F.substring_index(kind, "/", -1))
-    return table(spark, sf_dir, "part").select("p_partkey", F.concat_ws(".", F.concat_ws("-", stem, F.lpad((1 + k % 9).cast("string"), 2, "0")), end).alias("name"))
+    return table(spark, sf_dir, "part").select("p_partkey", X.photo_file(url, 1 + k % 9, F.when(k % 2 == 0, "image/webp").otherwise("image/jpeg")).alias("name"))
 
 
-@query("progress_text", "SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'cached' WHEN 1 THEN 'page ' || (o_orderkey % 7) || ' of 7' WHEN 2 THEN (o_orderkey % 5) || ' of 5' ELSE '' END AS detail FROM orders")
+@query("progress_text", "SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'cached' WHEN 1 THEN 'page ' || (o_orderkey % 7) || ' of 7' WHEN 2 THEN (o_orderkey % 5) || ' of 7' ELSE '' END AS detail FROM orders")
 def progress_text(spark, sf_dir):
     k = F.col("o_orderkey")
-    phase = F.when(k % 4 == 0, "cached").when(k % 4 == 1, "search").when(k % 4 == 2, "detail").otherwise("queued")
-    text = F.when(phase == "cached", "cached").when(phase == "search", F.concat(F.lit("page "), (k % 7).cast("string"), F.lit(" of 7"))).when(phase == "detail", F.concat((k % 5).cast("string"), F.lit(" of 5"))).otherwise("")
-    return table(spark, sf_dir, "orders").select("o_orderkey", text.alias("detail"))
+    phase = F.when(k % 4 == 1, "search").when(k % 4 == 3, "queued").otherwise("detail")
+    return table(spark, sf_dir, "orders").select("o_orderkey", X.progress_detail(phase, F.when(k % 4 == 1, k % 7).otherwise(k % 5), F.when(k % 4 == 0, 0).otherwise(7)).alias("detail"))
 
 
-@query("job_view", """SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'succeeded' WHEN 'O' THEN 'scraping' ELSE 'failed' END AS status, CASE WHEN o_orderstatus = 'F' AND n > 0 THEN n ELSE 0 END AS listings, o_orderstatus = 'F' AND n IS NULL AS expired
+@query("job_view", """SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'succeeded' WHEN 'O' THEN 'scraping' ELSE 'failed' END AS status, CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE o_orderkey % 9 END AS pages_fetched, 0 AS details_fetched,
+ CASE WHEN o_orderstatus = 'F' AND n > 0 THEN n ELSE 0 END AS listings, o_orderstatus = 'F' AND n IS NULL AS expired
 FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem WHERE l_linenumber > 2 GROUP BY l_orderkey) ON l_orderkey = o_orderkey""")
 def job_view(spark, sf_dir):
     """Jobs with their result: only succeeded ones show it, and one whose result is gone has expired."""
     results = table(spark, sf_dir, "lineitem").filter("l_linenumber > 2").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("n"))
     status = F.when(F.col("o_orderstatus") == "F", "succeeded").when(F.col("o_orderstatus") == "O", "scraping").otherwise("failed")
-    got = table(spark, sf_dir, "orders").select("o_orderkey", status.alias("status")).join(results, "o_orderkey", "left")
-    done = F.col("status") == "succeeded"
-    return got.select("o_orderkey", "status", F.when(done, F.coalesce("n", F.lit(0))).otherwise(0).cast("bigint").alias("listings"), (done & F.col("n").isNull()).alias("expired"))
+    pages = F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderkey") % 9)
+    jobs = table(spark, sf_dir, "orders").select("o_orderkey", status.alias("status"), pages.alias("pages_fetched"), F.lit(None).cast("bigint").alias("details_fetched"))
+    return S.job_views(jobs, results, "o_orderkey", ["pages_fetched", "details_fetched"])
 
 
 @query("request_by_group", """SELECT c_custkey, CASE c_custkey % 3 WHEN 2 THEN c_nationkey END AS land_size, CASE WHEN c_custkey % 3 <> 2 THEN c_mktsegment END AS floor_level, coalesce(CAST(CASE c_custkey % 3 WHEN 2 THEN c_nationkey END AS VARCHAR), '') AS land_text FROM customer""")
@@ -98,63 +95,76 @@ def shortlist_photos(spark, sf_dir):
     return entries.join(stored, "k", "left").select("event_id", F.array_join(photos, ",").alias("photos"))
 
 
-@query("hero_photo_first", "SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'a,b' ELSE 'hero,a,b' END AS photos FROM part")
+@query("hero_photo_first", "SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'a,b' WHEN p_partkey % 3 = 1 THEN 'a,b' ELSE 'hero,a,b' END AS photos FROM part")
 def hero_photo_first(spark, sf_dir):
-    """The cover goes first unless the photos have it."""
-    k, photos = F.col("p_partkey"), F.array(F.lit("a"), F.lit("b"))
-    hero = F.when(k % 3 == 0, "b").otherwise("hero")
-    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(F.when(F.array_contains(photos, hero), photos).otherwise(F.array_prepend(photos, hero)), ",").alias("photos"))
+    """The cover goes first unless the photos have it or there is none."""
+    k = F.col("p_partkey")
+    cover = F.when(k % 3 == 0, "b").when(k % 3 == 2, "hero")
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(X.cover_first(F.array(F.lit("a"), F.lit("b")), cover), ",").alias("photos"))
 
 
-@query("tree_roundtrip", f"""WITH {H.UNITS} SELECT property_key, coalesce(bedrooms, 0) AS bedrooms, count(*) AS unit_count, min(nullif(price, 0)) AS price_min FROM unit GROUP BY ALL""")
+@query("tree_roundtrip", f"""WITH {H.UNITS} SELECT property_key, coalesce(bedrooms, 0) AS bedrooms, CASE WHEN coalesce(bedrooms, 0) = 0 THEN 'Studio or unlisted' ELSE bedrooms || ' bedroom' END AS label, listing_id, price, bathrooms, floor_area, psf, listed_at, CAST(0 AS INTEGER) AS photo_count FROM unit""")
 def tree_roundtrip(spark, sf_dir):
-    """The nested result opened again: one row a unit type."""
-    tree = L.nested_properties(H.units(spark, sf_dir), H.ARRIVAL)
-    return tree.select("property_key", F.inline("unit_types")).select("property_key", "bedrooms", "unit_count", "price_min")
+    """The nested result opened again: one row a unit, with what it has of its own and its type."""
+    return L.tree_units(L.nested_properties(H.units(spark, sf_dir), H.ARRIVAL))
 
 
 @query("unit_removal", f"""WITH {H.UNITS}, kept AS (SELECT * FROM unit WHERE listing_id % 3 <> 0) SELECT property_key, count(DISTINCT coalesce(bedrooms, 0)) AS unit_types, count(*) AS units FROM kept GROUP BY property_key""")
 def unit_removal(spark, sf_dir):
     """Units taken out: types and properties that are left without any go as well."""
-    kept = H.units(spark, sf_dir).filter("listing_id % 3 <> 0")
+    units = H.units(spark, sf_dir)
+    kept = L.without_units(units, units.filter("listing_id % 3 = 0"))
     return L.unit_types(kept).groupBy("property_key").agg(F.count("*").alias("unit_types"), F.sum("unit_count").alias("units"))
 
 
-@query("district_codes", "SELECT n_name, 'D' || lpad(CAST(row_number() OVER (PARTITION BY n_regionkey ORDER BY n_name) AS VARCHAR), 2, '0') AS code FROM nation")
+@query("district_codes", "SELECT CASE WHEN n_regionkey < 2 THEN 'D' || lpad(CAST(n_regionkey + 1 AS VARCHAR), 2, '0') ELSE 'D' || lpad(CAST(n_regionkey + 19 AS VARCHAR), 2, '0') END AS code, count(*) AS nations, CASE n_regionkey WHEN 0 THEN 'City & South West' WHEN 1 THEN 'City & South West' WHEN 2 THEN 'Newton / Bt. Timah' ELSE 'West' END AS region FROM nation GROUP BY n_regionkey")
 def district_codes(spark, sf_dir):
-    """Codes from the place in a list."""
-    names = table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.array_sort(F.collect_list("n_name")).alias("names"))
-    return names.select(F.posexplode("names").alias("at", "n_name")).select("n_name", F.concat(F.lit("D"), F.lpad((F.col("at") + 1).cast("string"), 2, "0")).alias("code"))
+    """Codes from the place in a list, with their region, joined to rows that have them."""
+    rows = table(spark, sf_dir, "nation").select(F.when(F.col("n_regionkey") < 2, F.col("n_regionkey") + 1).otherwise(F.col("n_regionkey") + 19).alias("n"))
+    coded = rows.select(F.concat(F.lit("D"), F.lpad(F.col("n").cast("string"), 2, "0")).alias("code"))
+    return coded.join(D.districts(spark), "code").groupBy("code", "region").agg(F.count("*").alias("nations")).select("code", "nations", "region")
 
 
-@query("tool_calls", "SELECT event_id, 'find_' || event_type AS tool, 'k' || event_id % 9 AS args, CASE WHEN event_id % 2 = 0 THEN 'ok' ELSE '' END AS result FROM events")
+@query("tool_calls", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'plain' ELSE 'find_' || event_type END AS tool, CASE WHEN event_id % 3 = 0 THEN '' ELSE 'k' || event_id % 9 END AS args, CASE WHEN event_id % 3 <> 0 AND event_id % 2 = 0 THEN 'ok' ELSE '' END AS result FROM events")
 def tool_calls(spark, sf_dir):
     """Tool steps: the bare name is what follows the last double underscore; then arguments and result."""
     n = F.col("event_id")
     text = F.concat(F.lit("mcp__page__find_"), "event_type", F.lit("(k"), (n % 9).cast("string"), F.lit(")"), F.when(n % 2 == 0, " → ok").otherwise(""))
-    part = lambda g: F.regexp_extract(text, r"(?s)^([^(]*)\(([^)]*)\)(?: → (.*))?$", g)
-    return table(spark, sf_dir, "events").select("event_id", F.element_at(F.split(part(1), "__"), -1).alias("tool"), part(2).alias("args"), F.coalesce(part(3), F.lit("")).alias("result"))
+    return table(spark, sf_dir, "events").select("event_id", X.tool_call(F.when(n % 3 == 0, "plain").otherwise(text)).alias("c")).select("event_id", "c.*")
 
 
-@query("prompt_history", "SELECT conv_id, string_agg(role || ': ' || trim(regexp_replace(substr(text, 1, 300), '\\s+', ' ', 'g')), chr(10) ORDER BY turn) AS history, count(*) AS turns FROM conversations GROUP BY conv_id")
+@query("tool_steps", """SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'WebSearch(q' || event_id || ')' WHEN 1 THEN 'look(1' || event_type || ')' WHEN 2 THEN 'look' ELSE 'WebSearch' END AS step FROM events""")
+def tool_steps(spark, sf_dir):
+    """Steps from a tool's input: some tools have arguments that say what they do, others show their first short one."""
+    n = F.col("event_id")
+    name = F.when(n % 4 == 0, "x__WebSearch").when(n % 4 == 3, "WebSearch").otherwise("a__b__look")
+    keys = F.when(n % 4 == 0, F.array(F.lit("n"), F.lit("query"))).otherwise(F.array(F.lit("a"), F.lit("b")))
+    values = F.when(n % 4 == 0, F.array(F.lit("9"), F.concat(F.lit("q"), n.cast("string")))).when(n % 4 == 1, F.array(F.repeat(F.lit("y"), 121), F.concat(F.lit("1"), "event_type"))).otherwise(F.array(F.repeat(F.lit("y"), 121), F.repeat(F.lit("z"), 200)))
+    return table(spark, sf_dir, "events").select("event_id", X.tool_step(name, keys, values).alias("step"))
+
+
+@query("prompt_history", "SELECT conv_id, string_agg(CASE WHEN role = 'user' THEN 'User: ' ELSE 'Assistant: ' END || coalesce(text, ''), chr(10) || chr(10) ORDER BY turn) AS history, count(*) AS turns FROM conversations GROUP BY conv_id")
 def prompt_history(spark, sf_dir):
-    from ..functions.scalars import squeezed
+    """Whole turns as a transcript."""
+    return T.history(table(spark, sf_dir, "conversations"), "conv_id", "turn", "role", "text")
+
 
-    line = F.concat("role", F.lit(": "), squeezed(F.substring("text", 1, 300)))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", line.alias("line")))), lambda x: x["line"]), "\n")
-    return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(joined.alias("history"), F.count("*").alias("turns"))
+@query("prompt_envelope", """WITH h AS (SELECT conv_id, string_agg(CASE WHEN role = 'user' THEN 'User: ' ELSE 'Assistant: ' END || coalesce(text, ''), chr(10) || chr(10) ORDER BY turn) AS history FROM conversations GROUP BY conv_id)
+SELECT conv_id, '<page_context>' || chr(10) || 'page ' || conv_id || chr(10) || '</page_context>' || chr(10) || chr(10) || '<page_actions>' || chr(10) || '### hide' || chr(10) || 'Hides it' || chr(10) || CASE WHEN conv_id % 2 = 0 THEN 'Parameters:' || chr(10) || '  - id: the id' || chr(10) ELSE '' END || 'Example: <act>{}</act>' || chr(10) || chr(10) || '</page_actions>' || chr(10) || chr(10)
+ || CASE WHEN conv_id % 3 = 0 THEN '' ELSE '<conversation_so_far>' || chr(10) || history || chr(10) || '</conversation_so_far>' || chr(10) || chr(10) END || '<user_message>' || chr(10) || 'go' || chr(10) || '</user_message>' || chr(10) || chr(10) AS prompt FROM h""")
+def prompt_envelope(spark, sf_dir):
+    """Page, actions, conversation and message as one prompt."""
+    k, none = F.col("conv_id"), F.array().cast("array<string>")
+    action = T.action_text(F.lit("hide"), F.lit("Hides it"), F.when(k % 2 == 0, F.array(F.lit("id"))).otherwise(none), F.when(k % 2 == 0, F.array(F.lit("the id"))).otherwise(none), F.lit("{}"))
+    h = T.history(table(spark, sf_dir, "conversations"), "conv_id", "turn", "role", "text")
+    return h.select("conv_id", T.prompt_text(F.concat(F.lit("page "), k.cast("string")), action, F.when(k % 3 != 0, F.col("history")), F.lit("go")).alias("prompt"))
 
 
 @query("poll_gives_up", f"""WITH {H.ACTION}, e AS (SELECT user_id, event_id, event_type = 'error' AS bad FROM action), s AS (SELECT *, sum(CASE WHEN bad THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY event_id) AS run FROM e),
  r AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id, run ORDER BY event_id) AS nth FROM s WHERE bad) SELECT user_id, min(event_id) AS gave_up FROM r WHERE nth >= 2 GROUP BY user_id""")
 def poll_gives_up(spark, sf_dir):
     """The event at which a poller stops: the second error in a row."""
-    w = Window.partitionBy("user_id").orderBy("event_id")
-    a = H.actions(spark, sf_dir).withColumn("bad", F.col("event_type") == "error")
-    run = F.sum((~F.col("bad")).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    errors = a.select("user_id", "event_id", "bad", run.alias("run")).filter("bad")
-    nth = errors.withColumn("nth", F.row_number().over(Window.partitionBy("user_id", "run").orderBy("event_id")))
-    return nth.filter("nth >= 2").groupBy("user_id").agg(F.min("event_id").alias("gave_up"))
+    return T.gave_up(H.actions(spark, sf_dir), F.col("event_type") == "error", "user_id", "event_id", 2)
 
 
 @query("clean_links", "SELECT page_id, CASE WHEN page_id % 3 = 0 THEN url ELSE url || ',https://b.example/x' END AS links, 'a_' || page_id AS session, CASE WHEN page_id % 2 = 0 THEN CAST(page_id AS VARCHAR) END AS ref FROM pages")
@@ -164,12 +174,15 @@ def clean_links(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.array_join(R.clean_links(links), ",").alias("links"), R.plain_session(F.concat(F.lit("a_ /."), p.cast("string"))).alias("session"), R.optional_id(F.when(p % 2 == 0, F.concat(F.lit(" "), p.cast("string"))).otherwise(F.lit("  "))).alias("ref"))
 
 
-@query("viewport_of_view", "SELECT p_partkey, CASE WHEN p_size % 5 = 0 THEN NULL ELSE round(-least(0, greatest(-(1 + p_size % 5 - 1) * 100.0, -p_partkey % 300)) / (1 + p_size % 5), 6) END AS min_x FROM part")
+VIEW = "(SELECT p_partkey, 1 + p_size % 5 AS z, least(0.0, greatest((1 - (1 + p_size % 5)) * 100.0, -(p_partkey % 300))) AS x, least(0.0, greatest((1 - (1 + p_size % 5)) * 50.0, -(p_partkey % 70))) AS y FROM part)"
+
+
+@query("viewport_of_view", f"SELECT p_partkey, CASE WHEN z > 1 THEN round(-x / z, 6) END AS min_x, CASE WHEN z > 1 THEN round(-y / z, 6) END AS min_y, CASE WHEN z > 1 THEN round((100 - x) / z, 6) END AS max_x, CASE WHEN z > 1 THEN round((50 - y) / z, 6) END AS max_y FROM {VIEW}")
 def viewport_of_view(spark, sf_dir):
     """The part of the map that a zoomed and moved view shows; nothing while it is at rest."""
     zoom = (1 + F.col("p_size") % 5).cast("double")
-    moved = F.least(F.lit(0.0), F.greatest(-(zoom - 1) * 100.0, -(F.col("p_partkey") % 300).cast("double")))
-    return table(spark, sf_dir, "part").select("p_partkey", F.when(zoom != 1, F.round(-moved / zoom, 6)).alias("min_x"))
+    box = X.viewport(zoom, -(F.col("p_partkey") % 300).cast("double"), -(F.col("p_partkey") % 70).cast("double"), 100.0, 50.0)
+    return table(spark, sf_dir, "part").select("p_partkey", box.alias("b")).select("p_partkey", *(F.round(f"b.{c}", 6).alias(c) for c in ("min_x", "min_y", "max_x", "max_y")))
 
 
 @query("groups_in_both", f"WITH {H.UNITS} SELECT grp, string_agg(DISTINCT district, ',' ORDER BY district) AS districts FROM unit WHERE grp IN ('H', 'L') AND district IN ('D02', 'D04', 'D09', 'D11', 'D20') GROUP BY grp")
@@ -185,6 +198,4 @@ def number_rejects(spark, sf_dir):
     """Requests in a table: those whose bounds can't be read or cross, with the reason."""
     k = F.col("c_custkey") % 5
     low, high = F.when(k == 1, "-4").when(k == 2, "12.7").when(k == 3, "90").otherwise("10"), F.when(k == 4, F.lit(None).cast("string")).otherwise("50")
-    number = lambda c: c.try_cast("bigint")
-    reason = F.when((low.isNotNull() & number(low).isNull()) | low.contains("."), "number").when(number(low) < 0, "negative").when(number(low) > number(high), "range")
-    return table(spark, sf_dir, "customer").select("c_custkey", reason.alias("reason")).filter("reason is not null")
+    return table(spark, sf_dir, "customer").select("c_custkey", R.number_problem(low, high).alias("reason")).filter("reason is not null")

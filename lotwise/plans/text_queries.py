@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.scalars import bedroom_label, day_label, entity_key, half_up, money, squeezed, tenure_label, toggled_group, toggled_region
+from ..functions.scalars import bedroom_label, changed, day_label, entity_key, half_up, money, selection_state, squeezed, tenure_label, toggled_group, toggled_region
 from ..operators import listings as L
 from ..operators import text as X
 from ..sources.tables import table
@@ -16,7 +16,7 @@ from .registry import query
 @query("labels_formats", f"""WITH {H.LISTING}, d AS (SELECT *, ({H.NOW} - listed_at) // 86400 AS days FROM rated)
 SELECT listing_id, raw_price, CASE WHEN coalesce(bedrooms, 0) = 0 THEN 'Studio or unlisted' ELSE bedrooms || ' bedroom' END AS bedroom_label,
  CASE tenure_code WHEN 'L99' THEN '99-year leasehold' WHEN 'F' THEN 'Freehold' ELSE tenure_code END AS tenure_label, 'S$ ' || format('{{:,}}', price) AS price_label,
- CASE WHEN days <= 0 THEN 'today' WHEN days = 1 THEN 'yesterday' WHEN days < 31 THEN days || ' days ago' ELSE strftime(to_timestamp(listed_at), '%-d %b %Y') END AS listed_label FROM d""")
+ CASE WHEN days <= 0 THEN 'today' WHEN days = 1 THEN 'yesterday' WHEN days < 7 THEN days || ' days ago' ELSE strftime(to_timestamp(listed_at), '%-d %b %Y') END AS listed_label FROM d""")
 def labels_formats(spark, sf_dir):
     rows = H.listings(spark, sf_dir)
     return rows.select("listing_id", "raw_price", bedroom_label(F.col("bedrooms")).alias("bedroom_label"), tenure_label(F.col("tenure_code")).alias("tenure_label"), money(F.col("price")).alias("price_label"), day_label(F.col("listed_at"), H.NOW).alias("listed_label"))
@@ -93,7 +93,7 @@ SELECT r_regionkey, array_to_string(after, ',') AS after, CASE WHEN n = 0 THEN '
 def region_toggle(spark, sf_dir):
     names = table(spark, sf_dir, "nation").groupBy(F.col("n_regionkey").alias("r_regionkey")).agg(F.array_sort(F.collect_list("n_name")).alias("names"))
     s = names.withColumn("selected", F.when(F.col("r_regionkey") % 2 == 0, F.col("names")).otherwise(F.filter("names", lambda x: x < "J")))
-    state = F.when(F.size("selected") == 0, "none").when(F.size("selected") == F.size("names"), "all").otherwise("some")
+    state = selection_state(F.col("selected"), F.col("names"))
     return s.select("r_regionkey", F.array_join(toggled_region(F.col("selected"), F.col("names")), ",").alias("after"), state.alias("state"))
 
 
@@ -128,11 +128,10 @@ def entity_validation_rejects(spark, sf_dir):
 @query("request_change_detection", "SELECT c_custkey, c_custkey % 3 = 0 OR c_nationkey = 5 AS changed FROM customer")
 def request_change_detection(spark, sf_dir):
     """Requests compared in their canonical text, where a missing field and a null one are the same."""
-    c = table(spark, sf_dir, "customer")
-    request = lambda low, high: F.to_json(F.struct(low.alias("min"), high.alias("max"), F.col("c_mktsegment").alias("type")))
+    request = lambda low, high: F.struct(low.alias("min"), high.alias("max"), F.col("c_mktsegment").alias("type"))
     old = request(F.col("c_custkey"), F.lit(None).cast("int"))
     new = request(F.when(F.col("c_custkey") % 3 == 0, F.lit(-1)).otherwise(F.col("c_custkey")), F.when(F.col("c_nationkey") == 5, F.lit(9)))
-    return c.select("c_custkey", (~old.eqNullSafe(new)).alias("changed"))
+    return table(spark, sf_dir, "customer").select("c_custkey", changed(old, new).alias("changed"))
 
 
 @query("text_hygiene", "SELECT doc_id, length(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS n FROM documents")

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import dimensions as D
 from ..functions.scalars import bathroom_chip, bedroom_chip, is_new, tenure_code
+from ..operators import reports
 from ..operators import stores as S
 from ..operators import views as V
+from ..operators.listings import matches_unit
 from ..sources.tables import table
 from . import hosts as H
 from .listing_queries import ENRICHED, PROPERTY, enriched
@@ -53,6 +56,11 @@ def pin_clusters(spark, sf_dir):
     return pins.select("district", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"), "n", "dimmed")
 
 
+@query("map_markers", f"WITH {POINT} SELECT property_key AS id, round(x, 6) AS x, round(y, 6) AS y, approximate AS dimmed, district FROM point WHERE x IS NOT NULL")
+def map_markers(spark, sf_dir):
+    return V.markers(points(spark, sf_dir)).withColumn("x", F.round("x", 6)).withColumn("y", F.round("y", 6))
+
+
 CHIPS = """bedrooms AS b, CAST(CASE WHEN bedrooms >= 0 THEN least(bedrooms, 5) END AS VARCHAR) AS bedroom, CAST(CASE WHEN bathrooms >= 1 THEN least(bathrooms, 5) END AS VARCHAR) AS bathroom, tenure_code AS tenure, property_type AS type"""
 
 
@@ -147,3 +155,47 @@ def shortlist_regroup(spark, sf_dir):
 @query("tenure_codes", f"WITH {H.PROJECT} SELECT property_id, CASE WHEN lower(tenure) = 'freehold' THEN 'F' WHEN tenure LIKE '99-year%' THEN 'L99' END AS code FROM project")
 def tenure_codes(spark, sf_dir):
     return H.project_records(spark, sf_dir).select("property_id", tenure_code(F.col("tenure")).alias("code"))
+
+
+@query("facet_sets", f"""WITH {H.UNITS}, g(grp) AS (VALUES ('N'), ('H'), ('L'), ('X')), d AS (SELECT string_agg(DISTINCT district, ',' ORDER BY district) AS districts FROM unit)
+SELECT g.grp, coalesce(string_agg(DISTINCT CAST(CASE WHEN bedrooms >= 0 THEN least(bedrooms, 5) END AS VARCHAR), ',' ORDER BY CAST(CASE WHEN bedrooms >= 0 THEN least(bedrooms, 5) END AS VARCHAR)), '') AS bedroom,
+ coalesce(string_agg(DISTINCT tenure_code, ',' ORDER BY tenure_code), '') AS tenure, CASE WHEN count(*) FILTER (line % 2 = 0) > 0 THEN 'withFloorplans' ELSE '' END AS feature, (SELECT districts FROM d) AS districts, count(u.listing_id) > 0 AS present
+FROM g LEFT JOIN unit u ON u.grp = g.grp GROUP BY g.grp""")
+def facet_sets(spark, sf_dir):
+    """Choices of each group as sets, empty for a group without rows; districts are those of all groups."""
+    groups = spark.createDataFrame([("N",), ("H",), ("L",), ("X",)], "grp string")
+    facets = {"bedroom": bedroom_chip(F.col("bedrooms")), "tenure": F.col("tenure_code"), "feature": F.when(F.col("line") % 2 == 0, "withFloorplans")}
+    got = V.facet_sets(H.units(spark, sf_dir), facets, groups, F.col("district"))
+    return got.select("grp", *(F.array_join(c, ",").alias(c) for c in ("bedroom", "tenure", "feature", "districts")), "present")
+
+
+@query("hidden_table", f"WITH {HIDE} SELECT scope, id, 'This search' AS hidden_in FROM here UNION ALL SELECT scope, id, 'Every search' FROM always")
+def hidden_table(spark, sf_dir):
+    """Both lists of hidden entries with where each hides."""
+    always = H.actions(spark, sf_dir).filter("event_type = 'signup' and value > 20")
+    unit = (F.col("k").cast("bigint") * 10 + 1 + F.col("event_id") % 7).cast("string")
+    return reports.hidden_table(H.hidden(spark, sf_dir).select("scope", "id"), always.select("scope", F.when(F.col("scope") == "property", F.col("k")).otherwise(unit).alias("id")))
+
+
+@query("type_codes_and_groups", """SELECT c_custkey, CASE c_custkey % 6 WHEN 0 THEN 'CONDO' WHEN 1 THEN 'SEMI' WHEN 2 THEN 'LCLUS' WHEN 3 THEN NULL WHEN 4 THEN '4STD' ELSE NULL END AS code,
+ CASE WHEN c_custkey % 5 = 0 THEN 'H' ELSE CASE c_custkey % 6 WHEN 1 THEN 'L' WHEN 2 THEN 'L' WHEN 4 THEN 'H' ELSE 'N' END END AS grp FROM customer""")
+def type_codes_and_groups(spark, sf_dir):
+    """Stated types, as codes or labels, to codes; and the group of a property that doesn't state it."""
+    k = F.col("c_custkey")
+    stated = F.element_at(F.array(*map(F.lit, ("CONDO", " Semi-Detached House", "cluster house", "Palace", "4 Standard", None))), (k % 6 + 1).cast("int"))
+    return table(spark, sf_dir, "customer").select("c_custkey", D.type_code(stated).alias("code"), D.group_of(F.when(k % 5 == 0, "H").otherwise("?"), stated).alias("grp"))
+
+
+@query("active_result_filters", """WITH f AS (SELECT c_custkey // 3 AS view, CAST(c_custkey % 2 = 0 AS INTEGER) + CAST(c_nationkey > 10 AS INTEGER) AS n, c_custkey % 5 <> 0 AS is_on, c_custkey // 3 % 4 AS d FROM customer)
+SELECT view, CAST(sum(CASE WHEN is_on THEN n ELSE 0 END) + max(CAST(NOT is_on AS INTEGER)) + max(CAST(d > 0 AS INTEGER)) AS BIGINT) AS active FROM f GROUP BY view""")
+def active_result_filters(spark, sf_dir):
+    """Filters in use: set fields of the groups that are on, one if a type is off, one if districts are chosen."""
+    k = F.col("c_custkey")
+    forms = table(spark, sf_dir, "customer").select(F.floor(k / 3).alias("view"), ((k % 2 == 0).cast("int") + (F.col("c_nationkey") > 10).cast("int")).alias("n"), (k % 5 != 0).alias("is_on"), (F.floor(k / 3) % 4).alias("d"))
+    return V.active_filters(forms, "view", F.col("n"), F.col("is_on"), F.col("d"))
+
+
+@query("unit_filter_floorplans", f"WITH {H.UNITS} SELECT listing_id FROM unit WHERE coalesce(price >= 15000, false) AND line % 2 = 0")
+def unit_filter_floorplans(spark, sf_dir):
+    rows = H.units(spark, sf_dir).withColumn("floorplans", F.when(F.col("line") % 2 == 0, F.array(F.lit("plan"))).when(F.col("line") % 3 == 0, F.array().cast("array<string>")))
+    return rows.filter(matches_unit(price=(15000, None), floorplans=True)).select("listing_id")

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import html as html_entities
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.scalars import first_of, per_area, to_integer, to_number, truthy
 
@@ -17,7 +21,6 @@ LONGITUDE = r'<meta property="place:location:longitude" content="([^"]+)"'
 CANVAS = r'id="map-canvas"[^>]*?\bdata-latitude="([^"]*)"[^>]*?\bdata-longitude="([^"]*)"'
 #: The area that coordinates must lie in: latitude, then longitude.
 BOX = ((1.15, 1.50), (103.55, 104.10))
-ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&copy;", "©"), ("&middot;", "·"), ("&nbsp;", " "), ("&amp;", "&"))
 
 _ITEMS = "struct<items: array<struct<caption: string, src: string>>>"
 _OWN = (
@@ -90,18 +93,26 @@ def listings(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...] = (
     return flat.filter("coalesce(listing_id, 0) <> 0 and coalesce(price, 0) <> 0").withColumn("psf", per_area(F.col("price"), F.col("floor_area")))
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _decoded(cells: pd.Series) -> pd.Series:
+    return cells.map(lambda xs: None if xs is None else [x if x is None or "&" not in x else html_entities.unescape(x) for x in xs])
+
+
+def plain_texts(cells: Column) -> Column:
+    """Table cells without tags, with character references decoded, trimmed. Spark has no function that decodes all of them,
+    so these few short cells of a page go through an Arrow batch."""
+    bare = F.transform(cells, lambda c: F.regexp_replace(c, "<[^>]*>", ""))
+    return F.transform(_decoded(bare), lambda c: F.regexp_replace(c, r"^[\s\u00a0]+|[\s\u00a0]+$", ""))
+
+
 def plain_text(cell: Column) -> Column:
-    """A table cell without tags, with the usual entities decoded."""
-    text = F.regexp_replace(cell, "<[^>]*>", "")
-    for entity, char in ENTITIES:
-        text = F.replace(text, F.lit(entity), F.lit(char))
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    return F.element_at(plain_texts(F.array(cell)), 1)
 
 
 def project_record(html: Column) -> list[Column]:
     """The eleven facts of a project page."""
     labels, values = F.regexp_extract_all(html, F.lit(ATTRIBUTE_ROW), F.lit(1)), F.regexp_extract_all(html, F.lit(ATTRIBUTE_ROW), F.lit(2))
-    pairs = F.zip_with(labels, values, lambda a, b: F.struct(F.lower(plain_text(a)).alias("label"), plain_text(b).alias("value")))
+    pairs = F.zip_with(plain_texts(labels), plain_texts(values), lambda a, b: F.struct(F.lower(a).alias("label"), b.alias("value")))
     pairs = F.filter(pairs, lambda p: (p["label"] != "") & (p["value"] != ""))
     fact = lambda label: F.try_element_at(F.filter(pairs, lambda p: p["label"] == label), F.lit(-1))["value"]  # noqa: E731  the last one counts
     source = lambda a: F.when(F.regexp_extract(a, r'\bdata-original="([^"]*)"', 1) != "", F.regexp_extract(a, r'\bdata-original="([^"]*)"', 1)).otherwise(F.regexp_extract(a, r'(?<![\w-])src="([^"]*)"', 1))

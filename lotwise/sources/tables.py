@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from typing import Protocol
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from ..functions import requests, scalars
+from . import pages
+
 PARQUET = "parquet"
 
 
@@ -32,8 +37,54 @@ def json_store(spark: SparkSession, path: str, schema: T.StructType) -> DataFram
     return rows.filter(rows["_corrupt"].isNull()).drop("_corrupt")
 
 
-#: Readers by name; a new source is one more entry.
+class PageSource(Protocol):
+    """What a site's reader has to give. All of it is columns and DataFrames, so a new site is one more object of this form."""
+
+    marker: str  # what a fetched page must hold
+
+    def search_url(self, group: Column, page: Column, filters: Column, has: list[str]) -> Column: ...
+    def total_pages(self, html: Column) -> Column: ...
+    def listings(self, pages: DataFrame, keep: tuple[str, ...]) -> DataFrame: ...
+    def project_path(self, name: Column, key: Column) -> Column: ...
+    def projects(self, pages: DataFrame, keep: tuple[str, ...]) -> DataFrame: ...
+    def search_fields(self) -> str: ...
+    def project_fields(self) -> list[str]: ...
+
+
+class IslandPages:
+    """Search pages with a JSON island, project pages with microdata."""
+
+    marker = "__NEXT_DATA__"
+
+    def __init__(self, base: str = "https://www.propertyguru.com.sg"):
+        self.base = base
+
+    def search_url(self, group: Column, page: Column, filters: Column, has: list[str]) -> Column:
+        return requests.search_url(self.base, group, page, filters, has)
+
+    def total_pages(self, html: Column) -> Column:
+        return pages.total_pages(html)
+
+    def listings(self, rows: DataFrame, keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
+        return pages.listings(rows, keep=keep)
+
+    def project_path(self, name: Column, key: Column) -> Column:
+        return scalars.project_path(name, key)
+
+    def projects(self, rows: DataFrame, keep: tuple[str, ...] = ("property_id",)) -> DataFrame:
+        return pages.projects(rows, keep=keep)
+
+    def search_fields(self) -> str:
+        """The part of the island that is read; the rest is not parsed into rows."""
+        return pages.PAGE
+
+    def project_fields(self) -> list[str]:
+        return ["top_year", "total_units", "floors", "tenure", "developer", "property_type", "psf_range", "image_url", "photos", "latitude", "longitude"]
+
+
+#: Readers of tables and of sites by name; a new source is one more entry.
 SOURCES = {PARQUET: table}
+SITES: dict[str, PageSource] = {"propertyguru": IslandPages()}
 
 
 def source(name: str = ""):
@@ -41,3 +92,10 @@ def source(name: str = ""):
     if (found := SOURCES.get(name or PARQUET)) is None:
         raise ValueError(f"unknown source: {name}")
     return found
+
+
+def site(name: str = "") -> PageSource:
+    """The same for sites."""
+    if (found := SITES.get(name or next(iter(SITES)))) is None:
+        raise ValueError(f"unknown site: {name}")
+    return found

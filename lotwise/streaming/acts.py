@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..functions.scalars import MOST_STEP
 from ..operators.transcripts import TOKENS
 
 _TOKEN = re.compile(TOKENS, re.DOTALL)
@@ -49,8 +50,22 @@ class ActionSplitter:
         return out
 
 
+#: Rows of the streams: ``part`` is the place among the pieces of one event.
+ROW = "session string, seq bigint, part bigint, kind string, content string"
+
+
+def _numbered(rows: list[tuple], late: bool) -> pd.DataFrame:
+    """Rows with their place within their event; what comes out after a silence comes behind all else of its event."""
+    parts, last, n = [], None, 0
+    for row in rows:
+        n = n + 1 if row[1] == last else (1 << 20 if late else 0)
+        last = row[1]
+        parts.append((row[0], row[1], n, *row[2:]))
+    return pd.DataFrame(parts, columns=["session", "seq", "part", "kind", "content"])
+
+
 def split_stream(events: DataFrame, idle_ms: int | None = 3_600_000) -> DataFrame:
-    """Stream of (session, seq, kind, content) to (session, seq, kind, content) with prose and actions apart.
+    """Stream of (session, seq, kind, content) to (session, seq, part, kind, content) with prose and actions apart.
 
     Events of a micro-batch are sorted by ``seq`` inside the operator. A session that is silent for ``idle_ms`` is drained and
     forgotten, so the state is bounded by the sessions alive. A run over what is there now takes None: it would never end
@@ -75,10 +90,73 @@ def split_stream(events: DataFrame, idle_ms: int | None = 3_600_000) -> DataFram
             state.update((*splitter.state, int(seq)))
             if idle_ms is not None:
                 state.setTimeoutDuration(idle_ms)
-        yield pd.DataFrame(rows, columns=["session", "seq", "kind", "content"])
+        yield _numbered(rows, state.hasTimedOut)
+
+    return events.groupBy("session").applyInPandasWithState(
+        step, ROW, "kind string, held string, tail string, seq bigint", "append", GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout
+    )
+
+
+class TurnMapper:
+    """Raw events of a session to what its reader sees. ``state``: whether text came in fragments, and the tool ids seen."""
+
+    def __init__(self, fragments: bool = False, tools: list[str] | None = None):
+        self.fragments, self.tools = fragments, list(tools or [])
+
+    @property
+    def state(self) -> tuple[bool, list[str]]:
+        return self.fragments, self.tools
+
+    def feed(self, kind: str, tool_id: str | None, content: str | None, failed: bool) -> list[tuple[str, str]]:
+        content = content or ""
+        if kind == "text_delta":
+            self.fragments = self.fragments or bool(content)
+            return [("text", content)] if content else []
+        if kind == "thinking_delta":
+            return [("reasoning", content)] if content else []
+        if kind == "text_full":  # only where no fragment came before it
+            return [("text", content.strip())] if content.strip() and not self.fragments else []
+        if kind == "tool":
+            if tool_id in self.tools:
+                return []
+            self.tools.append(tool_id)
+            return [("tool", content[:MOST_STEP])]
+        if kind == "result":
+            return [("error", content.strip()[:1000] or "The turn could not be finished.")] if failed else [("status", "complete")]
+        return []
+
+
+def turn_stream(events: DataFrame, idle_ms: int | None = 3_600_000) -> DataFrame:
+    """Stream of raw events (session, seq, kind, tool_id, content, failed) to (session, seq, part, kind, content): mapped, and with
+    prose and proposed actions apart, in one stateful operator, so that the order of a session holds through both steps.
+
+    Any other event than text first drains what the splitter holds. The state of a session is a flag, its tool ids and what
+    can't be decided yet; it is forgotten after ``idle_ms`` of silence."""
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        fragments, tools, kind, held, tail, seq = state.get if state.exists else (False, [], "message", "", "", -1)
+        mapper, splitter, rows = TurnMapper(fragments, tools), ActionSplitter(kind, held, tail), []
+        if state.hasTimedOut:
+            rows += [(key[0], seq, *piece) for piece in splitter.drain()]
+            state.remove()
+        else:
+            batch = pd.concat(list(frames)).sort_values("seq", kind="stable")
+            for seq, *event in zip(*(batch[c].tolist() for c in ("seq", "kind", "tool_id", "content", "failed")), strict=True):
+                for what, content in mapper.feed(event[0], event[1], event[2], bool(event[3])):
+                    if what == "text":
+                        rows += [(key[0], seq, *piece) for piece in splitter.feed(content)]
+                        continue
+                    rows += [(key[0], seq, *piece) for piece in splitter.drain()]
+                    rows.append((key[0], seq, what, content))
+                    if what in ("status", "error"):
+                        splitter = ActionSplitter(splitter.kind)
+            state.update((*mapper.state, *splitter.state, int(seq)))
+            if idle_ms is not None:
+                state.setTimeoutDuration(idle_ms)
+        yield _numbered(rows, state.hasTimedOut)
 
     return events.groupBy("session").applyInPandasWithState(
-        step, "session string, seq bigint, kind string, content string", "kind string, held string, tail string, seq bigint", "append", GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout
+        step, ROW, "fragments boolean, tools array<string>, kind string, held string, tail string, seq bigint", "append", GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout
     )
 
 

@@ -87,8 +87,12 @@ def test_tombstone_erases_a_good_record_and_ttl_is_strict(spark):
 def test_capped_upsert_replaces_known_keys_when_full(spark):
     old = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
     new = spark.createDataFrame([(2, "B"), (3, "c"), (4, "d")], "k int, v string")
-    assert {r.k: r.v for r in S.capped_upsert(old, new, "k", 3).collect()} == {1: "a", 2: "B", 3: "c"}
-    assert {r.k: r.v for r in S.capped_upsert(old, new, "k", 2).collect()} == {1: "a", 2: "B"}
+    assert {r.k: r.v for r in S.capped_upsert(old, new, "k", 4).collect()} == {1: "a", 2: "B", 3: "c", 4: "d"}
+    for cap, fit, left in ((3, {1: "a", 2: "B", 3: "c"}, [4]), (2, {1: "a", 2: "B"}, [3, 4])):
+        with pytest.raises(ValueError, match="full"):
+            S.capped_upsert(old, new, "k", cap)
+        assert {r.k: r.v for r in S.capped_upsert(old, new, "k", cap, refuse=False).collect()} == fit
+        assert sorted(r.k for r in S.refused(old, new, "k", cap).collect()) == left
 
 
 def test_first_terminal_state_wins_and_null_patches_count(spark):
@@ -170,11 +174,15 @@ def test_requests_are_checked():
     for bad in (True, -1, float("inf"), "12.7"):
         with pytest.raises(ValueError):
             whole_number(bad)
-    assert checked_filters({"minPrice": 0, "bedrooms": [3], "isVerified": True, "sort": "price"}) == {"minPrice": 0, "bedrooms": ["3"], "isVerified": True, "sort": "price"}
-    for bad in ({"minPrice": 2, "maxPrice": 1}, {"bedrooms": ["x"] * 31}, {"sort": "other"}, {"districtCode": ["D 1"]}):
+    assert checked_filters({"minPrice": 0, "bedrooms": [3], "isVerified": True, "sort": "price", "keyword": " a\n b "}) == {"minPrice": 0, "bedrooms": ["3"], "isVerified": True, "sort": "price", "order": "desc", "keyword": "a b"}
+    for bad in ({"minPrice": 2, "maxPrice": 1}, {"bedrooms": ["x"] * 31}, {"sort": "other"}, {"districtCode": ["D 1"]}, {"bedrooms": [True]}, {"bedrooms": "3"}, {"bedrooms": ["_"]}, {"keyword": "x" * 101}, {"distanceToMrt": "2"}, {"isVerified": 1}, {"sort": 5}, []):
         with pytest.raises(ValueError):
             checked_filters(bad)
-    assert checked_searches({"maxPages": 0, "filters": {"minPsf": 5}}) == [{"propertyTypeGroup": "N", "maxPages": 0, "filters": {"minPsf": 5}}]
+    assert checked_filters({"propertyTypeCode": ["APT"]}, "N")["propertyTypeCode"] == ["APT"]
+    with pytest.raises(ValueError):
+        checked_filters({"propertyTypeCode": ["APT"]}, "L")
+    order = {"sort": "date", "order": "desc"}
+    assert checked_searches({"maxPages": 0, "filters": {"minPsf": 5}}) == [{"propertyTypeGroup": "N", "maxPages": 0, "filters": {"minPsf": 5} | order}]
     assert [s["maxPages"] for s in checked_searches({"searches": [{"propertyTypeGroup": "H"}, {"propertyTypeGroup": "L", "maxPages": 25}]})] == [1, 10]
     for bad in ({"searches": []}, {"searches": [{"propertyTypeGroup": "H"}, {"propertyTypeGroup": "H"}]}, {"searches": [{"propertyTypeGroup": "Z"}]}):
         with pytest.raises(ValueError):
