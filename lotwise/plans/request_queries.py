@@ -77,14 +77,6 @@ def job_view(spark, sf_dir):
     return S.job_views(jobs, results, "o_orderkey", ["pages_fetched", "details_fetched"])
 
 
-@query("request_by_group", """SELECT c_custkey, CASE c_custkey % 3 WHEN 2 THEN c_nationkey END AS land_size, CASE WHEN c_custkey % 3 <> 2 THEN c_mktsegment END AS floor_level, coalesce(CAST(CASE c_custkey % 3 WHEN 2 THEN c_nationkey END AS VARCHAR), '') AS land_text FROM customer""")
-def request_by_group(spark, sf_dir):
-    """Form to request and back: land size is for one group only, floor level for the others."""
-    c = table(spark, sf_dir, "customer").withColumn("grp", F.element_at(F.array(F.lit("N"), F.lit("H"), F.lit("L")), (F.col("c_custkey") % 3 + 1).cast("int")))
-    land = R.for_group(F.col("grp"), ["L"], R.form_number(F.concat(F.lit(" "), F.col("c_nationkey").cast("string"))).cast("int"))
-    return c.select("c_custkey", land.alias("land_size"), R.for_group(F.col("grp"), ["N", "H"], F.col("c_mktsegment")).alias("floor_level"), R.number_text(land).alias("land_text"))
-
-
 @query("shortlist_photos", f"""WITH {H.ACTION}, s AS (SELECT event_id, k FROM action WHERE event_type = 'purchase'), p AS (SELECT CAST(p_partkey AS VARCHAR) AS k, '/p' || p_partkey || '.jpg' AS photo FROM part WHERE p_partkey % 2 = 0)
 SELECT event_id, CASE WHEN event_id % 4 = 0 THEN '/own.jpg' ELSE coalesce(photo, '') END AS photos FROM s LEFT JOIN p USING (k)""")
 def shortlist_photos(spark, sf_dir):

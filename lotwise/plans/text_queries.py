@@ -27,15 +27,6 @@ def placeholder_half_up(spark, sf_dir):
     return H.listings(spark, sf_dir).select("listing_id", "raw_price", half_up(F.col("raw_price") / 8).alias("eighth"))
 
 
-@query("filter_summary", """SELECT c_custkey, CASE WHEN c_custkey % 6 = 5 THEN 'no filters set' ELSE concat_ws(', ', CASE c_custkey % 6 WHEN 0 THEN 'price 100 to 900' WHEN 1 THEN 'price from 100' WHEN 2 THEN 'price up to 900' END,
- CASE WHEN c_custkey % 6 IN (0, 3) THEN 'in ' || c_mktsegment END, CASE WHEN c_custkey % 6 IN (3, 4) THEN 'verified only' END) END AS summary FROM customer""")
-def filter_summary(spark, sf_dir):
-    k = F.col("c_custkey") % 6
-    low, high = F.when(k.isin(0, 1), 100), F.when(k.isin(0, 2), 900)
-    text = X.clauses(X.range_clause("price", low, high), F.when(k.isin(0, 3), F.concat(F.lit("in "), "c_mktsegment")), F.when(k.isin(3, 4), "verified only"))
-    return table(spark, sf_dir, "customer").select("c_custkey", text.alias("summary"))
-
-
 @query("suggested_name", """WITH t AS (SELECT c_custkey, c_name || ', ' || c_mktsegment || ', nation number ' || c_nationkey || ', balance ' || (c_custkey % 1000) || ' and some more' AS long FROM customer)
 SELECT c_custkey, CASE WHEN length(long) <= 60 THEN long ELSE coalesce(nullif(regexp_extract(substr(long, 1, 60), '^(.+), ', 1), ''), rtrim(substr(long, 1, 60))) END AS name FROM t""")
 def suggested_name(spark, sf_dir):
@@ -52,19 +43,6 @@ def context_lines(spark, sf_dir):
     return props.select("property_key", X.property_line(F.col("name"), F.col("price_min"), F.col("unit_count"), F.col("district")).alias("line"))
 
 
-@query("results_report", f"""WITH {PROPERTY}, n AS (SELECT grp AS section, 1 AS ord, count(*) || ' properties' AS text FROM property GROUP BY grp UNION ALL SELECT grp, 2, sum(unit_count) || ' units' FROM property GROUP BY grp
- UNION ALL SELECT grp, 3, 'least price ' || min(nullif(price_min, 0)) FROM property GROUP BY grp) SELECT section, string_agg(text, chr(10) ORDER BY ord) AS text, count(*) AS lines FROM n GROUP BY section""")
-def results_report(spark, sf_dir):
-    props = L.properties(H.units(spark, sf_dir), H.ARRIVAL)
-    sums = props.groupBy("grp").agg(F.count("*").alias("n"), F.sum("unit_count").alias("units"), F.min(F.nullif("price_min", F.lit(0))).alias("least"))
-    lines = F.array(
-        F.struct(F.lit(1).alias("ord"), F.concat(F.col("n").cast("string"), F.lit(" properties")).alias("text")),
-        F.struct(F.lit(2).alias("ord"), F.concat(F.col("units").cast("string"), F.lit(" units")).alias("text")),
-        F.struct(F.lit(3).alias("ord"), F.concat(F.lit("least price "), F.col("least").cast("string")).alias("text")),
-    )
-    return X.report(sums.select(F.col("grp").alias("section"), F.inline(lines)))
-
-
 @query("saved_search_summary", f"""WITH {H.HIDDEN}, c AS (SELECT scope, id, count(*) FILTER (event_type = 'error') AS h, count(*) FILTER (event_type = 'click') AS b FROM entity GROUP BY scope, id)
 SELECT scope, id, concat_ws(', ', CASE WHEN h > 0 THEN h || ' items hidden' END, CASE WHEN b > 0 THEN b || ' bookmarked' END) AS summary FROM c""")
 def saved_search_summary(spark, sf_dir):
