@@ -287,3 +287,13 @@ def selection_state(selected: Column, of: Column) -> Column:
     """none, some or all of a region's districts are selected."""
     n = F.size(F.array_intersect(selected, of))
     return F.when(n == 0, "none").when(n == F.size(of), "all").otherwise("some")
+
+
+def placeholder(what: str, bound: Column) -> Column:
+    """What an empty field shows, such as "Min 1,235": the bound rounded half up, empty without one."""
+    return F.coalesce(F.concat(F.lit(f"{what} "), F.format_number(half_up(bound), 0)), F.lit(""))
+
+
+def tail(text: Column, most: int = 4000) -> Column:
+    """The end of a long text, such as an error's details."""
+    return F.right(text, F.lit(most))

@@ -70,8 +70,13 @@ def properties(rows: DataFrame, arrival: Sequence[str]) -> DataFrame:
 def unit_types(rows: DataFrame) -> DataFrame:
     """One row a property and number of bedrooms (missing counts as 0), with the overview; 0 is ignored in all of it."""
     keyed = rows.withColumn("property_key", property_key(F.col("property_id"), F.col("listing_id"))).withColumn("bedrooms", F.coalesce("bedrooms", F.lit(0)).cast("bigint"))
+    return keyed.groupBy("property_key", "bedrooms").agg(*_overview()).withColumn("label", bedroom_label(F.col("bedrooms")))
+
+
+def _overview() -> list[Column]:
+    """What a type says of its units; a 0 is ignored in all of it."""
     area, price, psf = (truthy(F.col(c)) for c in ("floor_area", "price", "psf"))
-    return keyed.groupBy("property_key", "bedrooms").agg(
+    return [
         F.min(area).alias("sqft_min"),
         F.max(area).alias("sqft_max"),
         half_even(F.expr("percentile(nullif(floor_area, 0), 0.5)")).alias("typical_sqft"),
@@ -80,7 +85,7 @@ def unit_types(rows: DataFrame) -> DataFrame:
         F.max(price).alias("price_max"),
         F.min(psf).alias("psf_min"),
         F.max(psf).alias("psf_max"),
-    ).withColumn("label", bedroom_label(F.col("bedrooms")))
+    ]
 
 
 def unit_order(rows: DataFrame, arrival: Sequence[str]) -> DataFrame:
@@ -112,14 +117,15 @@ def unit_struct(columns: Sequence[str]) -> Column:
 def nested_properties(rows: DataFrame, arrival: Sequence[str]) -> DataFrame:
     """The result tree at the edge of the library: a property with an array of its unit types, each with an array of its units.
 
-    A property's tree is one row, so this is for results of a search, not for a corpus whose properties have no bound."""
+    One pass over the rows: types are grouped first, and properties from them. A property's tree is one row, so this is for
+    results of a search, not for a corpus whose properties have no bound."""
     keyed = rows.withColumn("property_key", property_key(F.col("property_id"), F.col("listing_id"))).withColumn("bedrooms", F.coalesce("bedrooms", F.lit(0)).cast("bigint"))
-    first_price = F.struct(F.coalesce("price", F.lit(0)).alias("p"), F.struct(*arrival).alias("a"))
-    units = keyed.groupBy("property_key", "bedrooms").agg(F.array_sort(F.collect_list(F.struct(first_price.alias("o"), unit_struct(rows.columns).alias("u")))).alias("sorted"))
-    units = units.select("property_key", "bedrooms", F.transform("sorted", lambda x: x["u"]).alias("units"))
-    types = unit_types(rows).join(units, ["property_key", "bedrooms"])
-    inner = F.array_sort(F.collect_list(F.struct("bedrooms", "label", "unit_count", "sqft_min", "sqft_max", "typical_sqft", "price_min", "price_max", "psf_min", "psf_max", "units")))
-    return properties(rows, arrival).join(types.groupBy("property_key").agg(inner.alias("unit_types")), "property_key")
+    first_price, order = F.struct(F.coalesce("price", F.lit(0)).alias("p"), F.struct(*arrival).alias("a")), F.struct(*arrival)
+    facts = F.struct(order.alias("order"), F.struct("name", "address", "district", "tenure_code", "property_type", "developer", "grp").alias("facts"))
+    types = keyed.groupBy("property_key", "bedrooms").agg(*_overview(), F.array_sort(F.collect_list(F.struct(first_price.alias("o"), unit_struct(rows.columns).alias("u")))).alias("sorted"), F.min(facts).alias("first"))
+    inner = F.struct("bedrooms", bedroom_label(F.col("bedrooms")).alias("label"), "unit_count", "sqft_min", "sqft_max", "typical_sqft", "price_min", "price_max", "psf_min", "psf_max", F.transform("sorted", lambda x: x["u"]).alias("units"))
+    grouped = types.groupBy("property_key").agg(F.min("first").alias("first"), F.coalesce(F.min("price_min"), F.lit(0)).cast("bigint").alias("price_min"), F.sum("unit_count").alias("unit_count"), F.array_sort(F.collect_list(inner)).alias("unit_types"))
+    return grouped.select("property_key", property_name(F.col("property_key"), F.col("first.facts.name"), F.col("first.facts.address")).alias("name"), *(F.col(f"first.facts.{c}").alias(c) for c in ("district", "tenure_code", "property_type", "developer", "grp")), "price_min", "unit_count", "unit_types")
 
 
 def tree_units(tree: DataFrame) -> DataFrame:
@@ -182,3 +188,25 @@ def filtered_units(units: DataFrame, property_ok: Column, unit_ok: Column, hidde
     out = ~F.coalesce("__hidden", F.lit(False)) & ~unit_ok
     shown = F.count_if(~F.coalesce("__hidden", F.lit(False)) & unit_ok).over(Window.partitionBy("property_key"))
     return seen.select("property_key", "listing_id", out.alias("__out"), shown.alias("__shown")).filter("__out and __shown > 0").select("property_key", "listing_id")
+
+
+#: What results can be ordered by.
+SORT_COLUMNS = {"date": "listed_at", "price": "price", "psf": "psf", "size": "floor_area"}
+
+
+def ordered_by(rows: DataFrame, sort: str = "date", order: str = "desc", tie: Sequence[str] = ("listing_id",)) -> DataFrame:
+    """Rows in one of the orders of a source, the newest first by default; missing values come last."""
+    column = F.col(SORT_COLUMNS[sort])
+    return rows.orderBy(column.asc_nulls_last() if order == "asc" else column.desc_nulls_last(), *tie)
+
+
+def split_photos(rows: DataFrame, key: str = "listing_id", photos: str = "photos") -> tuple[DataFrame, DataFrame]:
+    """Rows with the number of their photos instead of them, and the photos of rows that have any, in a table of their own."""
+    slim = rows.withColumn("photo_count", F.coalesce(F.size(photos), F.lit(0))).drop(photos)
+    return slim, rows.filter(F.size(photos) > 0).select(key, photos)
+
+
+def with_stored_photos(rows: DataFrame, stored: DataFrame, key: str, own: str = "photos") -> DataFrame:
+    """Rows without photos of their own get those that are stored for their key."""
+    got = rows.join(stored.select(key, F.col(own).alias("__stored")), key, "left")
+    return got.withColumn(own, F.when(F.size(own) > 0, F.col(own)).otherwise(F.coalesce("__stored", F.array().cast("array<string>")))).drop("__stored")

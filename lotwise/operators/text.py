@@ -43,3 +43,13 @@ def rejected(rows: DataFrame, rules: dict[str, Column]) -> DataFrame:
     """Rows with the names of the rules that they break (``reasons``); rows that break none are left out."""
     reasons = F.array_compact(F.array(*(F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in rules.items())))
     return rows.withColumn("reasons", reasons).filter(F.size("reasons") > 0)
+
+
+def page_context(now: Column, page: Column, title: Column, purpose: Column, layout: Column, sections: Column, notes: Column, details: Column, actions: Column) -> Column:
+    """A page as an assistant reads it. ``actions``: structs of name, description, parameters (a map) and example."""
+    lines = F.concat(F.array(F.concat(F.lit("Title: "), title), F.concat(F.lit("Purpose: "), purpose), F.concat(F.lit("Layout: "), layout)), F.transform(sections, lambda s: F.concat(F.lit("- "), s)), F.array(F.concat(F.lit("Notes: "), notes)))
+    parameters = lambda a: F.transform(F.map_entries(a["parameters"]), lambda e: F.concat(F.lit("  - "), e["key"], F.lit(": "), e["value"]))
+    action = lambda a: F.concat(F.array(F.concat(F.lit("- "), a["name"], F.lit(": "), a["description"])), parameters(a), F.array(F.concat(F.lit("  Example: "), a["example"])))
+    head = F.array(F.concat(F.lit("**Current date and time**: "), now), F.lit(""), F.concat(F.lit("**Current page**: "), page), F.lit(""), F.concat(F.lit("**Page description**:\n"), F.array_join(lines, "\n")), F.lit(""), details)
+    tail = F.when(F.size(actions) > 0, F.concat(F.array(F.lit(""), F.lit("**Available actions**:")), F.flatten(F.transform(actions, action)))).otherwise(F.array().cast("array<string>"))
+    return F.array_join(F.concat(head, tail), "\n")

@@ -203,5 +203,15 @@ def photo_split(spark, sf_dir):
     """Photos go to a table of their own; the listing keeps their number."""
     n = F.col("listing_id") % 4
     photos = F.when(n == 0, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1).cast("bigint"), F.greatest(n, F.lit(1))), lambda i: F.concat(F.col("listing_id").cast("string"), F.lit("-"), i.cast("string"), F.lit(".jpg"))))
-    rows = H.units(spark, sf_dir).select("listing_id", photos.alias("photos"))
-    return rows.select("listing_id", F.size("photos").cast("bigint").alias("photo_count"), F.explode_outer("photos").alias("photo"))
+    slim, side = L.split_photos(H.units(spark, sf_dir).select("listing_id", photos.alias("photos")))
+    return slim.join(side, "listing_id", "left").select("listing_id", F.col("photo_count").cast("bigint").alias("photo_count"), F.explode_outer("photos").alias("photo"))
+
+
+@query("source_order", f"WITH {H.UNITS} SELECT listing_id, psf, CAST(row_number() OVER (ORDER BY psf DESC NULLS LAST, listing_id) AS BIGINT) AS place FROM unit ORDER BY psf DESC NULLS LAST, listing_id LIMIT 100")
+def source_order(spark, sf_dir):
+    """The first hundred units by rate, the highest first."""
+    from pyspark.sql import Window
+
+    first = L.ordered_by(H.units(spark, sf_dir).select("listing_id", "psf"), "psf").limit(100)
+    return first.withColumn("place", F.row_number().over(Window.orderBy(F.col("psf").desc_nulls_last(), "listing_id")).cast("bigint"))  # of a hundred rows
+

@@ -81,10 +81,9 @@ def job_view(spark, sf_dir):
 SELECT event_id, CASE WHEN event_id % 4 = 0 THEN '/own.jpg' ELSE coalesce(photo, '') END AS photos FROM s LEFT JOIN p USING (k)""")
 def shortlist_photos(spark, sf_dir):
     """Entries without photos of their own get those that are stored."""
-    entries = H.actions(spark, sf_dir).filter("event_type = 'purchase'").select("event_id", "k", F.when(F.col("event_id") % 4 == 0, F.array(F.lit("/own.jpg"))).otherwise(F.array().cast("array<string>")).alias("own"))
-    stored = table(spark, sf_dir, "part").filter("p_partkey % 2 = 0").select(F.col("p_partkey").cast("string").alias("k"), F.array(F.concat(F.lit("/p"), F.col("p_partkey").cast("string"), F.lit(".jpg"))).alias("stored"))
-    photos = F.when(F.size("own") > 0, F.col("own")).otherwise(F.coalesce("stored", F.array().cast("array<string>")))
-    return entries.join(stored, "k", "left").select("event_id", F.array_join(photos, ",").alias("photos"))
+    entries = H.actions(spark, sf_dir).filter("event_type = 'purchase'").select("event_id", "k", F.when(F.col("event_id") % 4 == 0, F.array(F.lit("/own.jpg"))).otherwise(F.array().cast("array<string>")).alias("photos"))
+    stored = table(spark, sf_dir, "part").filter("p_partkey % 2 = 0").select(F.col("p_partkey").cast("string").alias("k"), F.array(F.concat(F.lit("/p"), F.col("p_partkey").cast("string"), F.lit(".jpg"))).alias("photos"))
+    return L.with_stored_photos(entries, stored, "k").select("event_id", F.array_join("photos", ",").alias("photos"))
 
 
 @query("hero_photo_first", "SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'a,b' WHEN p_partkey % 3 = 1 THEN 'a,b' ELSE 'hero,a,b' END AS photos FROM part")

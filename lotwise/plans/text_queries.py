@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.scalars import bedroom_label, changed, day_label, entity_key, half_up, money, selection_state, squeezed, tenure_label, toggled_group, toggled_region
+from ..functions.scalars import area_label, bedroom_label, changed, day_label, entity_key, half_up, money, money_per_area, placeholder, selection_state, tail, squeezed, tenure_label, toggled_group, toggled_region
 from ..operators import listings as L
 from ..operators import text as X
 from ..sources.tables import table
@@ -15,16 +15,16 @@ from .registry import query
 
 @query("labels_formats", f"""WITH {H.LISTING}, d AS (SELECT *, ({H.NOW} - listed_at) // 86400 AS days FROM rated)
 SELECT listing_id, raw_price, CASE WHEN coalesce(bedrooms, 0) = 0 THEN 'Studio or unlisted' ELSE bedrooms || ' bedroom' END AS bedroom_label,
- CASE tenure_code WHEN 'L99' THEN '99-year leasehold' WHEN 'F' THEN 'Freehold' ELSE tenure_code END AS tenure_label, 'S$ ' || format('{{:,}}', price) AS price_label,
+ CASE tenure_code WHEN 'L99' THEN '99-year leasehold' WHEN 'F' THEN 'Freehold' ELSE tenure_code END AS tenure_label, 'S$ ' || format('{{:,}}', price) AS price_label, CASE WHEN psf IS NULL THEN 'Not available' ELSE 'S$ ' || format('{{:,}}', psf) || ' psf' END AS psf_label, CASE WHEN floor_area IS NULL THEN 'Not available' ELSE format('{{:,}}', floor_area) || ' sqft' END AS area_label,
  CASE WHEN days <= 0 THEN 'today' WHEN days = 1 THEN 'yesterday' WHEN days < 7 THEN days || ' days ago' ELSE strftime(to_timestamp(listed_at), '%-d %b %Y') END AS listed_label FROM d""")
 def labels_formats(spark, sf_dir):
     rows = H.listings(spark, sf_dir)
-    return rows.select("listing_id", "raw_price", bedroom_label(F.col("bedrooms")).alias("bedroom_label"), tenure_label(F.col("tenure_code")).alias("tenure_label"), money(F.col("price")).alias("price_label"), day_label(F.col("listed_at"), H.NOW).alias("listed_label"))
+    return rows.select("listing_id", "raw_price", bedroom_label(F.col("bedrooms")).alias("bedroom_label"), tenure_label(F.col("tenure_code")).alias("tenure_label"), money(F.col("price")).alias("price_label"), money_per_area(F.col("psf")).alias("psf_label"), area_label(F.col("floor_area")).alias("area_label"), day_label(F.col("listed_at"), H.NOW).alias("listed_label"))
 
 
-@query("placeholder_half_up", f"WITH {H.LISTING} SELECT listing_id, raw_price, CAST(floor(raw_price / 8 + 0.5) AS BIGINT) AS eighth FROM rated")
+@query("placeholder_half_up", f"WITH {H.LISTING} SELECT listing_id, raw_price, CAST(floor(raw_price / 8 + 0.5) AS BIGINT) AS eighth, 'Min ' || format('{{:,}}', CAST(floor(raw_price / 8 + 0.5) AS BIGINT)) AS shown FROM rated")
 def placeholder_half_up(spark, sf_dir):
-    return H.listings(spark, sf_dir).select("listing_id", "raw_price", half_up(F.col("raw_price") / 8).alias("eighth"))
+    return H.listings(spark, sf_dir).select("listing_id", "raw_price", half_up(F.col("raw_price") / 8).alias("eighth"), placeholder("Min", F.col("raw_price") / 8).alias("shown"))
 
 
 @query("suggested_name", """WITH t AS (SELECT c_custkey, c_name || ', ' || c_mktsegment || ', nation number ' || c_nationkey || ', balance ' || (c_custkey % 1000) || ' and some more' AS long FROM customer)
@@ -115,3 +115,18 @@ def request_change_detection(spark, sf_dir):
 @query("text_hygiene", "SELECT doc_id, length(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS n FROM documents")
 def text_hygiene(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.length(squeezed(F.col("text"))).cast("bigint").alias("n"))
+
+
+@query("error_tails", "SELECT doc_id, right(text, 4000) AS detail FROM documents")
+def error_tails(spark, sf_dir):
+    """The end of long details."""
+    return table(spark, sf_dir, "documents").select("doc_id", tail(F.col("text")).alias("detail"))
+
+
+@query("page_context", """SELECT c_custkey, '**Current date and time**: now' || chr(10) || chr(10) || '**Current page**: ' || c_name || chr(10) || chr(10) || '**Page description**:' || chr(10) || 'Title: t' || chr(10) || 'Purpose: p' || chr(10) || 'Layout: l' || chr(10) || '- one' || chr(10) || '- two' || chr(10) || 'Notes: n' || chr(10) || chr(10) || 'details ' || c_custkey
+ || CASE WHEN c_custkey % 2 = 0 THEN chr(10) || chr(10) || '**Available actions**:' || chr(10) || '- hide: Hides it' || chr(10) || '  - id: the id' || chr(10) || '  Example: {}' ELSE '' END AS context FROM customer""")
+def page_context(spark, sf_dir):
+    action = F.struct(F.lit("hide").alias("name"), F.lit("Hides it").alias("description"), F.create_map(F.lit("id"), F.lit("the id")).alias("parameters"), F.lit("{}").alias("example"))
+    actions = F.filter(F.array(action), lambda a: F.col("c_custkey") % 2 == 0)
+    text = X.page_context(F.lit("now"), F.col("c_name"), F.lit("t"), F.lit("p"), F.lit("l"), F.array(F.lit("one"), F.lit("two")), F.lit("n"), F.concat(F.lit("details "), F.col("c_custkey").cast("string")), actions)
+    return table(spark, sf_dir, "customer").select("c_custkey", text.alias("context"))
