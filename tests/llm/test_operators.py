@@ -669,6 +669,28 @@ def test_redaction_keeps_rows(odd):
 # all -------------------------------------------------------------------------------------------------------------------
 
 
+def test_columns_that_sql_can_express(spark, data):
+    """Lengths, folds, edits and base counts of the registered queries against DuckDB."""
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW d AS SELECT * FROM '{data}/documents.parquet'")
+    sql = lambda q: {r[0]: r[1:] for r in con.execute(q).fetchall()}
+    got = queries.op6_document_fingerprints(spark, data).collect()
+    want = sql("""WITH n AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(lead(coalesce(text, '')) OVER (ORDER BY doc_id), first(coalesce(text, '')) OVER (ORDER BY doc_id)) AS u FROM d)
+      SELECT doc_id, length(t), sha256(substr(t, 1, length(t) - length(t) // 2) || substr(u, 1, length(t) // 2)) FROM n""")
+    assert {r.doc_id: (r.n_chars, r.edited_sha256) for r in got} == want
+    got = queries.op7_token_counts(spark, data).collect()
+    assert {r.doc_id: (r.n_bytes,) for r in got} == sql("SELECT doc_id, strlen(coalesce(text, '')) FROM d") and all(r.over_limit == (r.n_tokens > 1024) for r in got)
+    got = queries.op8_byte_bpe(spark, data).collect()
+    assert {r.doc_id: (r.decoded_sha256,) for r in got} == sql("SELECT doc_id, sha256(coalesce(text, '')) FROM d")
+    got = queries.op10_secret_scans(spark, data).collect()
+    want = sql("""SELECT doc_id, len(list_filter(regexp_extract_all(coalesce(text, ''), '(?i)(password|passwd|secret|token|api_?key)["'']?\\x20*[:=]\\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2), lambda x: length(x) >= 6)),
+      len(list_filter(regexp_extract_all(coalesce(text, ''), 'AKIA[A-Z0-9]+'), lambda x: length(x) >= 20)), len(list_filter(regexp_extract_all(coalesce(text, ''), '[0-9a-f]+'), lambda x: length(x) >= 24)) FROM d""")
+    assert {r.doc_id: (r.n_assign, r.n_access, r.n_hex) for r in got} == want
+    assert {r.doc_id for r in queries.op2_toxicity(spark, data).filter("held_out").collect()} == {i for (i,) in con.execute("SELECT doc_id FROM d").fetchall() if zlib.crc32(str(i).encode()) % 3 == 1}
+
+
 def test_queries_on_odd_and_empty_tables(spark, odd, tmp_path):
     labels = spark.createDataFrame([(0, 1, 0), (1, None, None), (None, 1, 1), (5, 0, 1), (5, 1, 0)], "doc_id bigint, quality int, toxic int")
     benchmark = spark.createDataFrame([(1, "word " * 40), (None, None)], "item_id bigint, text string")
@@ -680,7 +702,11 @@ def test_queries_on_odd_and_empty_tables(spark, odd, tmp_path):
             got = fn(spark, f"{tmp_path}/{name}").collect()
             if empty:
                 assert got == [], query
-            elif query not in ("op1_html_extraction", "op4_benchmark_decontamination"):
+            elif query == "op1_html_extraction":
+                assert sorted((str(r.page_id), r.url, r.text, r.n_chars) for r in got) == [("1", None, "", 0), ("None", "u", "x", 1)]
+            elif query == "op4_benchmark_decontamination":
+                assert {(r.doc_id, r.item_id) for r in got} == {(9, 1)}
+            else:
                 assert len(got) == odd.count(), query
 
 
