@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import first_of, tenure_label
 from ..operators import listings as L
 from ..operators import reports as P
+from ..sources.sinks import scratch
 from . import hosts as H
 from .listing_queries import PROPERTY
 from .registry import query
@@ -16,6 +17,13 @@ SCREEN_DISTRICT = "D04"
 
 
 def _units(spark, sf_dir):
+    """The screen's units, as the stored table that a finished search leaves."""
+    path = scratch(spark)
+    _screen(spark, sf_dir).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def _screen(spark, sf_dir):
     return H.units(spark, sf_dir).filter(F.col("district") == SCREEN_DISTRICT).withColumn("listed_label", F.when(F.col("line") % 2 == 0, "Listed recently"))
 
 

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -13,7 +10,7 @@ from ..operators import records as C
 from ..operators import stores as S
 from ..operators import transcripts as T
 from ..sources.tables import stream_table, table
-from ..sources.sinks import append_new, turn_sink, write_results
+from ..sources.sinks import append_new, scratch, turn_sink, write_results
 from ..streaming.acts import once_per_tool, split_stream, turn_stream
 from ..streaming.windows import run_available
 from . import hosts as H
@@ -261,21 +258,12 @@ def act_split_batch(spark, sf_dir):
     return split.groupBy("session", "kind").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("run", "piece", "content"))), lambda x: x["content"]), "").alias("content"))
 
 
-def _scratch(spark) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = tempfile.mkdtemp(prefix="spark-")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
-
-
 @query("event_stream_availablenow", f"""WITH {SPLIT} SELECT session, kind, string_agg(content, '' ORDER BY turn, nth) AS content FROM piece GROUP BY session, kind
 UNION ALL SELECT CAST(conv_id AS VARCHAR), 'tool', string_agg(translate(coalesce(text, ''), '<>', '{{}}'), '' ORDER BY turn) FROM conversations WHERE role <> 'assistant' GROUP BY conv_id""")
 def event_stream_availablenow(spark, sf_dir):
     """The same splitting as a stream over all turns: contents by session and kind equal those of the batch."""
     turns = stream_table(spark, sf_dir, "conversations")
-    rows = run_available(split_stream(act_events(turns), idle_ms=None), spark, _scratch(spark))
+    rows = run_available(split_stream(act_events(turns), idle_ms=None), spark, scratch(spark))
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "part", "content"))), lambda x: x["content"]), "")
     return rows.groupBy("session", "kind").agg(joined.alias("content"))
 
@@ -286,20 +274,20 @@ def turn_stream_availablenow(spark, sf_dir):
     kind = F.when(F.col("event_type") == "view", "text_delta").when(F.col("event_type") == "click", "text_full").when(F.col("event_type") == "signup", "thinking_delta").when(F.col("event_type") == "purchase", "tool").otherwise("result")
     k = F.regexp_extract("props", r'"k":\s*(\d+)', 1)
     raw = stream_table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("session"), F.col("event_id").alias("seq"), kind.alias("kind"), k.alias("tool_id"), k.alias("content"), (F.col("value") > 50).alias("failed"))
-    return run_available(turn_stream(raw, idle_ms=None), spark, _scratch(spark)).drop("part")
+    return run_available(turn_stream(raw, idle_ms=None), spark, scratch(spark)).drop("part")
 
 
 @query("tools_once_stream", """SELECT DISTINCT CAST(user_id AS VARCHAR) AS session, regexp_extract(props, '"k":\\s*(\\d+)', 1) AS tool_id FROM events""")
 def tools_once_stream(spark, sf_dir):
     """Each tool id of a session once, as a stream that forgets ids after the watermark."""
     raw = stream_table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("session"), F.regexp_extract("props", r'"k":\s*(\d+)', 1).alias("tool_id"), F.col("ts").cast("timestamp").alias("ts"))
-    return run_available(once_per_tool(raw, delay="400 days"), spark, _scratch(spark)).select("session", "tool_id")
+    return run_available(once_per_tool(raw, delay="400 days"), spark, scratch(spark)).select("session", "tool_id")
 
 
 @query("turns_appended_once", "SELECT conv_id AS session, turn, role, text FROM conversations")
 def turns_appended_once(spark, sf_dir):
     """Turns appended by a stream, after a batch of them had been appended before: none is there twice."""
-    path = _scratch(spark) + "/turns"
+    path = scratch(spark) + "/turns"
     rows = table(spark, sf_dir, "conversations").withColumnRenamed("conv_id", "session")
     append_new(rows.filter("session % 2 = 0"), path, ("session", "turn"))
     stream = stream_table(spark, sf_dir, "conversations").withColumnRenamed("conv_id", "session")
@@ -310,7 +298,7 @@ def turns_appended_once(spark, sf_dir):
 @query("results_by_job", "SELECT o_orderkey, o_custkey, o_orderkey % 4 AS job_id FROM orders WHERE o_orderkey % 4 <> 1 UNION ALL SELECT o_orderkey, -1, 1 FROM orders WHERE o_orderkey % 4 = 1")
 def results_by_job(spark, sf_dir):
     """Results in a folder a job: writing one job again replaces its own only."""
-    path = _scratch(spark) + "/results"
+    path = scratch(spark) + "/results"
     rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", (F.col("o_orderkey") % 4).alias("job_id"))
     write_results(rows, path)
     write_results(rows.filter("job_id = 1").withColumn("o_custkey", F.lit(-1).cast("bigint")), path)
