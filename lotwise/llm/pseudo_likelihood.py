@@ -19,12 +19,12 @@ from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, persist_table, slices, small_batches, texts_of, worker_state
+from .common import map_rows, persist_table, slices, small_batches, texts_of
 
 #: Outputs: the most frequent words, and groups of all others by their last two letters. The first one is the edge of a text.
 WORDS, RARE = 1792, 256
@@ -53,7 +53,7 @@ def words_of(text: str) -> list[str]:
 
 
 class Endings(dict):
-    """Numbers of the classes that rarer words fall into, by their last two letters."""
+    """Outputs of the groups that rarer words fall into, by their last two letters."""
 
     def __missing__(self, end: str) -> int:
         number = WORDS + sum(ord(c) * 31**i for i, c in enumerate(end)) % RARE
@@ -63,7 +63,7 @@ class Endings(dict):
 
 
 class Vocabulary:
-    """Word to number: the frequent words have one each, the others that of their ending's class."""
+    """Word to output: the frequent words have one each, the others that of their ending's group."""
 
     def __init__(self, words: list[str]):
         self.words, self.endings = words[: WORDS - 1], Endings()
@@ -76,12 +76,17 @@ class Vocabulary:
         """Outputs of all words, and the words that are in groups, in order."""
         words = words_of(text)
         found = np.fromiter(map(self.number.get, words, repeat(-1)), np.int64, len(words))
-        rare = [words[i] for i in np.flatnonzero(found < 0).tolist()]
-        endings = self.endings
-        found[found < 0] = [endings[w[-2:]] for w in rare]
+        at = np.flatnonzero(found < 0)
+        rare, endings = [words[i] for i in at.tolist()], self.endings
+        found[at] = [endings[w[-2:]] for w in rare]
         return found, rare
 
 
+def word_hashes(words: list[str]) -> np.ndarray:
+    """A 64-bit hash of each word, the same in every process."""
+    return pd.util.hash_array(np.array(words, dtype=object), categorize=False).view(np.int64) if words else np.zeros(0, np.int64)
+
+
 def start_network(seed: int = 3) -> dict[str, np.ndarray]:
     rnd = np.random.default_rng(seed)
     return {k: (rnd.normal(0, 0.1, shape) if "bias" not in k else np.zeros(shape)).astype(np.float32) for k, shape in PARTS.items()}
@@ -204,7 +209,8 @@ def corpus_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     small_batches(docs.sparkSession)
     counts = docs.select(F.col(f"`{text_col}`").alias("text")).mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    return persist_table(counts.withColumn("h", F.xxhash64("word")))[0]
+    hashed = map_rows(counts, lambda batch: {"word": batch.column(0), "n": batch.column(1), "h": word_hashes(texts_of(batch.column(0))).tolist()}, "word string, n bigint, h bigint", slice_rows=4096)
+    return persist_table(hashed)[0]
 
 
 def corpus_vocabulary(words: DataFrame) -> Vocabulary:
@@ -216,20 +222,45 @@ def shard_count(docs: DataFrame, text_col: str, shard_bytes: int = SHARD_BYTES)
     return max(1, -(-(docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0) // shard_bytes))
 
 
-def train_round(docs: DataFrame, id_col: str, text_col: str, vocabulary: Vocabulary, net: dict, turn: int, shards: int = 1) -> dict:
-    """One round of training over the documents whose hash falls into it; returns the average of the shards' networks."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((vocabulary, net))
-    place = F.pmod(F.xxhash64(F.col(id_col), F.lit(1)), F.lit(ROUNDS))
-    order = F.xxhash64(F.col(id_col), F.col(text_col))
-    rows = docs.select(F.col(text_col).alias("text"), place.alias("turn"), order.alias("order")).filter(F.col("turn") == turn)
+def encoded_documents(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """A stored table of the rows of ``docs``: ``row`` (a number of its own), ``id``, ``turn`` (the round that it trains), ``order``
+    (a hash that gives its place in training), ``numbers`` (the outputs of its words, two bytes each), and ``h`` and ``k``: for
+    each different word of a group its hash and its number in the row. Texts are split here once for training and scoring."""
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    own, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
+    rows = docs.select(text.alias("text"), own.alias("id"), F.pmod(F.xxhash64(own, F.lit(1)), F.lit(ROUNDS)).cast("int").alias("turn"), F.xxhash64(own, text).alias("order"))
+
+    def encode(batch):
+        both = [shared.value.split_numbers(t) for t in texts_of(batch.column(0))]
+        at = np.repeat(np.arange(len(both)), [len(words) for _, words in both])
+        h = word_hashes([w for _, words in both for w in words])
+        order = np.lexsort((h, at))
+        h, at = h[order], at[order]
+        first = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (at[1:] != at[:-1])]) if len(h) else np.zeros(0, np.int64)
+        starts = pa.array(np.searchsorted(at[first], np.arange(len(both) + 1)).astype(np.int32))
+        lists = [pa.ListArray.from_arrays(starts, pa.array(x)) for x in (h[first], np.diff(np.r_[first, len(h)]).astype(np.int32))]
+        return {"id": batch.column(1), "turn": batch.column(2), "order": batch.column(3), "numbers": [n.astype(np.int16).tobytes() for n, _ in both], "h": lists[0], "k": lists[1]}
+
+    id_type = docs.schema[id_col].dataType.simpleString()
+    made = map_rows(rows, encode, f"id {id_type}, turn int, order bigint, numbers binary, h array<bigint>, k array<int>", slice_rows=256)
+    return persist_table(made.withColumn("row", F.monotonically_increasing_id()))[0]
+
+
+def numbers_of(column: pa.Array) -> list[np.ndarray]:
+    return [np.frombuffer(b, np.int16).astype(np.int64) for b in column.to_pylist()]
+
+
+def train_round(encoded: DataFrame, net: dict, turn: int, shards: int = 1) -> dict:
+    """One round of training over the encoded documents whose hash falls into it; returns the average of the shards' networks."""
+    spark = encoded.sparkSession
+    shared = spark.sparkContext.broadcast(net)
+    rows = encoded.filter(F.col("turn") == turn).select("numbers", "order")
     rows = rows.repartitionById(shards, F.pmod(F.col("order"), F.lit(shards)).cast("int")).sortWithinPartitions("order")
     starts = np.cumsum([0, *(s[0] for s in PARTS.values())])
     width = max(s[1] for s in PARTS.values())
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, net = shared.value
-        trainer, rest = Trainer(net), []
+        trainer, rest = Trainer(shared.value), []
         waiting = 0
 
         def learn(all_of_it: bool) -> int:
@@ -245,7 +276,7 @@ def train_round(docs: DataFrame, id_col: str, text_col: str, vocabulary: Vocabul
 
         for batch in batches:
             for part in slices(batch, 256):
-                rest.append(windows([vocabulary.numbers(t) for t in texts_of(part.column(0))]))
+                rest.append(windows(numbers_of(part.column(0))))
                 waiting += len(rest[-1][1])
                 if waiting >= 4 * BATCH:
                     waiting = learn(False)
@@ -260,7 +291,7 @@ def train_round(docs: DataFrame, id_col: str, text_col: str, vocabulary: Vocabul
                 yield pa.RecordBatch.from_pydict(columns | {f"v{i}": pa.array(values[:, i], pa.float64()) for i in range(width)})
 
     names = [f"v{i}" for i in range(width)]
-    copies = rows.select("text").mapInArrow(train, "row bigint, weight double, " + ", ".join(f"{n} double" for n in names))
+    copies = rows.select("numbers").mapInArrow(train, "row bigint, weight double, " + ", ".join(f"{n} double" for n in names))
     sums = copies.groupBy("row").agg(F.sum("weight").alias("weight"), *(F.sum(n).alias(n) for n in names)).collect()  # a row a weight row, whatever the input
     out = {k: v.copy() for k, v in net.items()}
     parts = list(PARTS.items())
@@ -294,56 +325,51 @@ def group_counts(words: DataFrame, vocabulary: Vocabulary) -> tuple[DataFrame, n
     return words.select("h", "n"), found[0], found[1]
 
 
-def fit_network(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """The model of all documents."""
+def fit_encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[Model, DataFrame]:
+    """The model of all documents, and their encoded table."""
     words = corpus_words(docs, text_col)
     vocabulary = corpus_vocabulary(words)
+    encoded = encoded_documents(docs, vocabulary, id_col, text_col)
     net, shards = start_network(), shard_count(docs, text_col)
     for turn in range(ROUNDS):
-        net = train_round(docs, id_col, text_col, vocabulary, net, turn, shards)
-    return Model(vocabulary, net, *group_counts(words, vocabulary))
+        net = train_round(encoded, net, turn, shards)
+    return Model(vocabulary, net, *group_counts(words, vocabulary)), encoded
+
+
+def fit_network(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
+    return fit_encoded(docs, id_col, text_col)[0]
 
 
-def network_scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row of ``docs``: the id, ``n_words``, ``outputs`` (sum of the log-probabilities of the outputs of its words) and
-    ``rare``: for each different word of a group its hash, its number in the row, and the group with its number there."""
-    shared = docs.sparkSession.sparkContext.broadcast((model.vocabulary, model.net))
-    id_type, block = docs.schema[id_col].dataType.simpleString(), 1 << 16
+def network_scores(encoded: DataFrame, model: Model) -> DataFrame:
+    """Per encoded row: ``row``, ``id``, ``n_words``, ``outputs`` (sum of the log-probabilities of the outputs of its words) and
+    ``room`` (sum over its words in groups of the log of their group's count elsewhere)."""
+    shared, block = encoded.sparkSession.sparkContext.broadcast((model.net, model.group_size, model.group_words)), 1 << 16
 
     def score(batch):
-        vocabulary, net = shared.value
-        both = [vocabulary.split_numbers(t) for t in texts_of(batch.column(1))]
-        numbers = [n for n, _ in both]
+        net, group_size, group_words = shared.value
+        numbers = numbers_of(batch.column(2))
         context, target = windows(numbers)
         each = np.concatenate([log_probabilities(net, context[a : a + block], target[a : a + block]) for a in range(0, len(target), block)] or [np.zeros(0)])
         length = np.array([len(n) for n in numbers], np.int64)
-        sums = np.bincount(np.repeat(np.arange(len(numbers)), length), each, len(numbers))
-        counted = [Counter(words) for _, words in both]
-        many, flat = np.array([len(c) for c in counted], np.int64), [w for c in counted for w in c]
-        k = np.fromiter((n for c in counted for n in c.values()), np.int64, len(flat))
-        group = np.fromiter((vocabulary.endings[w[-2:]] - WORDS for w in flat), np.int64, len(flat))
-        cell = np.repeat(np.arange(len(many)), many) * RARE + group
-        own = np.bincount(cell, k, len(many) * RARE)[cell]
-        hashes = worker_state("word hashes", _WordHashes)
-        columns = {"h": pa.array(np.fromiter(map(hashes.__getitem__, flat), np.int64, len(flat))), "k": pa.array(k.astype(np.int32)), "grp": pa.array(group.astype(np.int32)), "own": pa.array(own.astype(np.int32))}
-        rare = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(many)].astype(np.int32)), pa.StructArray.from_arrays(list(columns.values()), list(columns)))
-        return {"id": batch.column(0), "n_words": length.tolist(), "outputs": sums.tolist(), "rare": rare}
-
-    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    return map_rows(rows, score, f"id {id_type}, n_words bigint, outputs double, rare array<struct<h: bigint, k: int, grp: int, own: int>>", slice_rows=256)
-
-
-class _WordHashes(dict):
-    """Spark's own hash of a word, ``xxhash64``."""
-
-    def __missing__(self, word: str) -> int:
-        h = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"), seed=42)
-        h -= (h >> 63) << 64
-        if len(self) >= 200_000:
-            self.clear()
-        if len(word) < 100:
-            self[word] = h
-        return h
+        row = np.repeat(np.arange(len(numbers)), length)
+        grouped = target >= WORDS
+        own = np.bincount(row[grouped] * RARE + target[grouped] - WORDS, minlength=len(numbers) * RARE).reshape(-1, RARE)
+        room = own * np.log(np.maximum(group_size - own, 0.0) + ADDED * (group_words + 1))
+        return {"row": batch.column(0), "id": batch.column(1), "n_words": length.tolist(), "outputs": np.bincount(row, each, len(numbers)).tolist(), "room": room.sum(1).tolist()}
+
+    id_type = encoded.schema["id"].dataType.simpleString()
+    return map_rows(encoded.select("row", "id", "numbers"), score, f"row bigint, id {id_type}, n_words bigint, outputs double, room double", slice_rows=256)
+
+
+def score_encoded(encoded: DataFrame, model: Model, id_col: str = "doc_id") -> DataFrame:
+    """Scores of encoded rows (see ``score_documents``)."""
+    # both sides grow with the documents, so this join must not turn into a broadcast at some sizes
+    met = encoded.select("row", F.inline(F.arrays_zip("h", "k"))).join(model.counts.hint("shuffle_hash"), "h", "left")
+    elsewhere = F.greatest(F.coalesce("n", F.lit(0)) - F.col("k"), F.lit(0)) + ADDED
+    within = met.select("row", (F.col("k") * F.log(elsewhere)).cast("float").alias("x")).groupBy("row").agg(F.sum("x").alias("within"))
+    both = network_scores(encoded, model).join(within.hint("merge"), "row", "left")
+    out = both.select("id", "n_words", (F.col("outputs") - F.col("room") + F.coalesce("within", F.lit(0.0))).alias("log_likelihood"))
+    return out.withColumn("per_word", F.col("log_likelihood") / F.nullif(F.col("n_words"), F.lit(0))).withColumnRenamed("id", id_col)
 
 
 def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -354,14 +380,10 @@ def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
     words and a sum of 0; a null id stays null; repeated rows are scored each, as other documents of the same text; an empty
     table gives no rows; further columns are ignored. Texts are scored whole, in blocks of bounded size.
     """
-    scored, _ = persist_table(network_scores(docs, model, id_col, text_col).withColumn("row", F.monotonically_increasing_id()))
-    size, words = F.lit(model.group_size.tolist()), F.lit(model.group_words.tolist())
-    used = scored.select("row", F.inline("rare"))
-    # both sides grow with the documents, so this join must not turn into a broadcast at some sizes
-    met = used.join(model.counts.hint("shuffle_hash"), "h", "left")
-    elsewhere = F.greatest(F.coalesce("n", F.lit(0)) - F.col("k"), F.lit(0)) + ADDED
-    room = F.greatest(F.element_at(size, F.col("grp") + 1) - F.col("own"), F.lit(0.0)) + ADDED * (F.element_at(words, F.col("grp") + 1) + 1)
-    within = met.select("row", (F.col("k") * F.log(elsewhere / room)).alias("x")).groupBy("row").agg(F.sum("x").alias("within"))
-    both = scored.select("row", "id", "n_words", "outputs").join(within.hint("merge"), "row", "left")
-    out = both.select("id", "n_words", (F.col("outputs") + F.coalesce("within", F.lit(0.0))).alias("log_likelihood"))
-    return out.withColumn("per_word", F.col("log_likelihood") / F.nullif(F.col("n_words"), F.lit(0))).withColumnRenamed("id", id_col)
+    return score_encoded(encoded_documents(docs, model.vocabulary, id_col, text_col), model, id_col)
+
+
+def fit_and_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The scores of documents under the model of all of them, splitting texts once for both."""
+    model, encoded = fit_encoded(docs, id_col, text_col)
+    return score_encoded(encoded, model, id_col)

@@ -13,7 +13,7 @@ from .decontaminate import find_leaks
 from .fingerprints import fingerprint_edits
 from .html_text import extract_pages
 from .near_dedup import near_duplicate_classes
-from .pseudo_likelihood import fit_network, score_documents
+from .pseudo_likelihood import fit_and_score
 from .quality import fit_quality, score_quality
 from .secrets import scan_secrets
 from .toxicity import fit_toxicity, score_toxicity
@@ -29,8 +29,7 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return score_documents(docs, fit_network(docs))
+    return fit_and_score(table(spark, sf_dir, "documents"))
 
 
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

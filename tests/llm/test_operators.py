@@ -237,8 +237,9 @@ def test_network_learns_and_scores_equal_the_definition(spark, documents, texts)
     assert vocabulary.words == [w for _, w in counted[: pseudo_likelihood.WORDS - 1]]
     groups = pseudo_likelihood.group_counts(words, vocabulary)
     start = pseudo_likelihood.start_network()
-    trained = pseudo_likelihood.train_round(documents, "doc_id", "text", vocabulary, start, 0)
-    mean = lambda net: sum(r.outputs for r in pseudo_likelihood.network_scores(documents, pseudo_likelihood.Model(vocabulary, net, *groups)).collect())
+    encoded = pseudo_likelihood.encoded_documents(documents, vocabulary)
+    trained = pseudo_likelihood.train_round(encoded, start, 0)
+    mean = lambda net: sum(r.outputs for r in pseudo_likelihood.network_scores(encoded, pseudo_likelihood.Model(vocabulary, net, *groups)).collect())
     assert mean(trained) > 0.85 * mean(start)
     got = by_id(pseudo_likelihood.score_documents(documents, pseudo_likelihood.Model(vocabulary, trained, *groups)))
     short = sorted(texts, key=lambda i: len(texts[i]))[:150]
@@ -248,11 +249,10 @@ def test_network_learns_and_scores_equal_the_definition(spark, documents, texts)
         assert got[i].n_words == n and abs(got[i].log_likelihood - score) < 1e-3 * abs(score) + 1e-6
 
 
-def test_word_hashes_are_those_of_spark(spark):
+def test_word_hashes_are_the_same_everywhere(spark):
     words = ["", "a", "word", "ü" * 40, "日本語", "x" * 333]
-    hashes = pseudo_likelihood._WordHashes()
-    got = spark.createDataFrame([(w,) for w in words], "w string").select("w", F.xxhash64("w").alias("h")).collect()
-    assert all(hashes[r.w] == r.h for r in got)
+    got = spark.createDataFrame([(w,) for w in words], "w string").repartition(3).mapInPandas(lambda fs: (f.assign(h=pseudo_likelihood.word_hashes(f.w.tolist())) for f in fs), "w string, h bigint").collect()
+    assert {r.w: r.h for r in got} == dict(zip(words, pseudo_likelihood.word_hashes(words).tolist(), strict=True)) and len({r.h for r in got}) == len(words)
 
 
 def test_gibberish_scores_below_words_that_others_use(spark):
