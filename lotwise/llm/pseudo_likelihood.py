@@ -32,7 +32,7 @@ VOCABULARY = WORDS + RARE
 CLASSES = 32
 IN_CLASS = VOCABULARY // CLASSES
 RADIUS, DIM, HIDDEN = 2, 8, 16
-ROUNDS, BATCH, STEP = 2, 4096, 0.15
+ROUNDS, BATCH, STEP = 2, 8192, 0.25
 #: Words that a task counts before it sends them on.
 COUNT_MOST = 400_000
 #: What is added to the count of each word of a group, seen elsewhere or not.
@@ -103,14 +103,23 @@ def windows(numbers: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def hidden(net: dict, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    x = net["embed"][context].reshape(len(context), -1)
-    return x, np.tanh(x @ net["mix"] + net["mix_bias"])
+    x = np.take(net["embed"], context.ravel(), axis=0).reshape(len(context), -1)
+    h = x @ net["mix"]
+    h += net["mix_bias"]
+    return x, np.tanh(h, out=h)
 
 
-def softmax(z: np.ndarray) -> np.ndarray:
-    z -= z.max(1, keepdims=True)
+def reach(net: dict) -> float:
+    """The greatest absolute value that an output can have before the exponential: hidden values are below 1."""
+    return max(float((np.abs(net[f"of_{k}"]).sum(1) + np.abs(net[f"{k}_bias"][:, 0])).max()) for k in ("class", "word"))
+
+
+def softmax(z: np.ndarray, bounded: bool) -> np.ndarray:
+    """``bounded``: no entry can overflow an exponential."""
+    if not bounded:
+        z -= z.max(1, keepdims=True)
     np.exp(z, out=z)
-    z /= z.sum(1, keepdims=True)
+    z *= 1 / (z @ np.ones((z.shape[1], 1), z.dtype))
     return z
 
 
@@ -125,7 +134,7 @@ def log_softmax_at(z: np.ndarray, column: np.ndarray, bounded: bool) -> np.ndarr
 
 def log_probabilities(net: dict, context: np.ndarray, target: np.ndarray) -> np.ndarray:
     """Log-probability of each masked target given both sides."""
-    order = np.argsort(target, kind="stable")  # so that the words of a class stand together
+    order = np.argsort(target.astype(np.int16), kind="stable")  # so that the words of a class stand together
     context, target = context[order], target[order]
     classes, word = target // IN_CLASS, target % IN_CLASS
     mix = net["mix"].reshape(2 * RADIUS, DIM, HIDDEN)
@@ -133,14 +142,14 @@ def log_probabilities(net: dict, context: np.ndarray, target: np.ndarray) -> np.
     for place in range(1, 2 * RADIUS):
         h += np.take(net["embed"] @ mix[place], context[:, place], axis=0)
     np.tanh(h, out=h)
-    reach = max(float((np.abs(net[f"of_{k}"]).sum(1) + np.abs(net[f"{k}_bias"][:, 0])).max()) for k in ("class", "word"))  # |h| < 1
-    found = log_softmax_at(h @ net["of_class"].T + net["class_bias"].T, classes, reach < 80)
+    bounded = reach(net) < 80
+    found = log_softmax_at(h @ net["of_class"].T + net["class_bias"].T, classes, bounded)
     of_word, bias = net["of_word"].reshape(CLASSES, IN_CLASS, HIDDEN), net["word_bias"].reshape(CLASSES, IN_CLASS)
     cuts = np.searchsorted(classes, np.arange(CLASSES + 1))
     for c in range(CLASSES):
         part = slice(cuts[c], cuts[c + 1])
         if cuts[c] < cuts[c + 1]:
-            found[part] += log_softmax_at(h[part] @ of_word[c].T + bias[c], word[part], reach < 80)
+            found[part] += log_softmax_at(h[part] @ of_word[c].T + bias[c], word[part], bounded)
     out = np.empty(len(found))
     out[order] = found
     return out
@@ -160,18 +169,18 @@ class Trainer:
 
     def step(self, context: np.ndarray, target: np.ndarray) -> None:
         net, n = self.net, np.float32(len(target))
-        order = np.argsort(target, kind="stable")  # so that the outputs of a class stand together
-        context, target = context[order], target[order]
+        order = np.argsort(target.astype(np.int16), kind="stable")  # so that the outputs of a class stand together
+        context, target, bounded = context[order], target[order], reach(net) < 80
         x, h = hidden(net, context)
         classes, word, rows = target // IN_CLASS, target % IN_CLASS, np.arange(len(target))
-        error = softmax(h @ net["of_class"].T + net["class_bias"].T)
+        error = softmax(h @ net["of_class"].T + net["class_bias"].T, bounded)
         error[rows, classes] -= 1
         back = error @ net["of_class"]
         grads = {"of_class": error.T @ h / n, "class_bias": error.sum(0)[:, None] / n, "of_word": np.zeros_like(net["of_word"]), "word_bias": np.zeros_like(net["word_bias"])}
         cuts = np.searchsorted(classes, np.arange(CLASSES + 1))
         for c in np.flatnonzero(np.diff(cuts)).tolist():
             part, mine = slice(c * IN_CLASS, (c + 1) * IN_CLASS), slice(cuts[c], cuts[c + 1])
-            e = softmax(h[mine] @ net["of_word"][part].T + net["word_bias"][part].T)
+            e = softmax(h[mine] @ net["of_word"][part].T + net["word_bias"][part].T, bounded)
             e[rows[: len(e)], word[mine]] -= 1
             back[mine] += e @ net["of_word"][part]
             grads["of_word"][part] = e.T @ h[mine] / n
