@@ -52,11 +52,11 @@ class PageSource(Protocol):
 
 
 class IslandPages:
-    """Search pages with a JSON island, project pages with microdata."""
+    """Search pages with a JSON island, project pages with microdata; ``base`` is the address of the site."""
 
     marker = "__NEXT_DATA__"
 
-    def __init__(self, base: str = "https://www.propertyguru.com.sg"):
+    def __init__(self, base: str = ""):
         self.base = base
 
     def search_url(self, group: Column, page: Column, filters: Column, has: list[str]) -> Column:
@@ -84,7 +84,7 @@ class IslandPages:
 
 #: Readers of tables and of sites by name; a new source is one more entry.
 SOURCES = {PARQUET: table}
-SITES: dict[str, PageSource] = {"propertyguru": IslandPages()}
+SITES: dict[str, PageSource] = {"islands": IslandPages()}
 
 
 def source(name: str = ""):

@@ -131,7 +131,7 @@ def test_land_only(spark):
 
 
 def test_sites_keep_their_contract():
-    assert site() is site("propertyguru")
+    assert site() is site("islands")
     assert all(callable(getattr(site(), n)) for n in vars(PageSource) if not n.startswith("_") and n != "marker") and site().marker
     with pytest.raises(ValueError):
         site("other")
