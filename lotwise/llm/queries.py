@@ -10,6 +10,7 @@ from .bpe_codec import encode_documents
 from .bpe_count import count_tokens
 from .common import table
 from .decontaminate import find_leaks
+from .filter_audit import audit_filters
 from .fingerprints import fingerprint_edits
 from .html_text import extract_pages
 from .near_dedup import near_duplicate_classes
@@ -63,6 +64,10 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans", "n_random")
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_html_extraction": op1_html_extraction,
     "op2_toxicity": op2_toxicity,
@@ -74,6 +79,52 @@ QUERIES = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_secret_scans": op10_secret_scans,
+    "op11_filter_audit": op11_filter_audit,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op11_filter_audit": r"""
+with texts as (
+    select doc_id, coalesce(source, '') as part, coalesce(text, '') as text,
+           list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') as words
+    from documents
+), judged as (
+    select doc_id, part,
+           (len(words) < 200)::int as a,
+           (100 * len(list_distinct(words)) < 50 * len(words))::int as b,
+           (100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 2 * length(text))::int as c,
+           regexp_matches(text, '[#$%&*|]')::int as d,
+           coalesce(doc_id > min(doc_id) over (partition by text), false)::int as e
+    from texts
+), marks as (
+    select doc_id, max((quality = 1)::int) as good, max((toxic = 1)::int) as bad from labels group by doc_id
+), rows_ as (
+    select part, [a, b, c, d, e] as f, coalesce(good, 0) as good, coalesce(bad, 0) as bad
+    from judged left join marks using (doc_id)
+), letters as (
+    select unnest(['A', 'B', 'C', 'D', 'E']) as x
+), orders as (
+    select [p.x, q.x, r.x, s.x, t.x] as o
+    from letters p, letters q, letters r, letters s, letters t
+    where len(list_distinct([p.x, q.x, r.x, s.x, t.x])) = 5
+), places as (
+    select array_to_string(o, '') as filter_order, list_transform(o, lambda x: ascii(x) - 64) as k from orders
+), reached as (
+    select part, filter_order, k, good, bad, f,
+           coalesce(list_position(list_transform(k, lambda i: f[i]), 1), 6) as stop
+    from rows_, places
+), steps as (
+    select unnest([1, 2, 3, 4, 5]) as step
+)
+select part, filter_order, step,
+       sum((stop > step)::int)::bigint as kept,
+       sum((stop = step)::int)::bigint as removed,
+       sum((f[k[step]] = 1 and stop < step)::int)::bigint as redundant,
+       sum((f[k[step]] = 1 and list_sum(f) = 1)::int)::bigint as unique_fails,
+       sum((stop = step and good = 1)::int)::bigint as good_lost,
+       sum((stop = step and bad = 1)::int)::bigint as toxic_lost,
+       (sum(sum((stop = step)::int)) over (partition by part, k[step]))::bigint as shapley
+from reached, steps
+group by part, filter_order, step, k
+""",
+}
