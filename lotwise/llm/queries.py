@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from .bpe_codec import encode_documents
 from .bpe_count import count_tokens
+from .collocations import mine_collocations
 from .common import table
 from .decontaminate import find_leaks
 from .filter_audit import audit_filters
@@ -68,6 +69,10 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mine_collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_html_extraction": op1_html_extraction,
     "op2_toxicity": op2_toxicity,
@@ -80,6 +85,7 @@ QUERIES = {
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_secret_scans": op10_secret_scans,
     "op11_filter_audit": op11_filter_audit,
+    "op12_phrase_collocations": op12_phrase_collocations,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -126,5 +132,42 @@ select part, filter_order, step,
        (sum(sum((stop = step)::int)) over (partition by part, k[step]))::bigint as shapley
 from reached, steps
 group by part, filter_order, step, k
+""",
+    "op12_phrase_collocations": r"""
+with pieces as (
+    select coalesce(lang, 'und') as lang,
+           unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece
+    from documents
+), words as (
+    select lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda w: w <> '') as w from pieces
+), places as (
+    select lang, w, k, unnest(range(1, len(w) - k + 2)) as i from words, (select unnest([1, 2, 3]) as k) sizes
+), phrases as (
+    select lang, k, array_to_string(w[i : i + k - 1], ' ') as phrase, count(*) as f from places group by all
+), totals as (
+    select lang, sum(f) as n from phrases where k = 1 group by lang
+), cuts as (
+    select c.lang, c.phrase, c.k as size, c.f as a, cut, string_split(c.phrase, ' ') as w
+    from phrases c, (select unnest([1, 2]) as cut) k where c.k > 1 and c.f >= 10 and cut < c.k
+), scored as (
+    select u.lang, u.phrase, u.size, u.a, u.cut, x.f as l, y.f as r,
+           (1000000::hugeint * u.a * u.a) // (x.f::hugeint * y.f) as score
+    from cuts u
+    join phrases x on x.lang = u.lang and x.phrase = array_to_string(u.w[1 : u.cut], ' ')
+    join phrases y on y.lang = u.lang and y.phrase = array_to_string(u.w[u.cut + 1 :], ' ')
+), lowest as (
+    select * from scored qualify row_number() over (partition by lang, phrase order by score, cut) = 1
+), longer as (
+    select lang, unnest([array_to_string(string_split(phrase, ' ')[1:2], ' '), array_to_string(string_split(phrase, ' ')[2:3], ' ')]) as phrase, f
+    from phrases where k = 3 and f >= 10
+), hiding as (
+    select lang, phrase, max(f) as f from longer group by lang, phrase
+), left_over as (
+    select s.* from lowest s left join hiding h on h.lang = s.lang and h.phrase = s.phrase and s.size = 2
+    where h.f is null or 100 * h.f < 50 * s.a
+)
+select lang, rank, phrase, a::bigint as a, l::bigint as l, r::bigint as r, n::bigint as n, score::bigint as score
+from (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from left_over) join totals using (lang)
+where rank <= 2000
 """,
 }
