@@ -19,6 +19,7 @@ from .pseudo_likelihood import fit_and_score
 from .quality import fit_quality, score_quality
 from .secrets import scan_secrets
 from .toxicity import fit_toxicity, score_toxicity
+from .window_dedup import remove_repeated_windows
 
 
 def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,6 +74,10 @@ def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mine_collocations(table(spark, sf_dir, "documents"))
 
 
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeated_windows(table(spark, sf_dir, "documents")).drop("spans")
+
+
 QUERIES = {
     "op1_html_extraction": op1_html_extraction,
     "op2_toxicity": op2_toxicity,
@@ -86,6 +91,7 @@ QUERIES = {
     "op10_secret_scans": op10_secret_scans,
     "op11_filter_audit": op11_filter_audit,
     "op12_phrase_collocations": op12_phrase_collocations,
+    "op13_suffix_dedup": op13_suffix_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
