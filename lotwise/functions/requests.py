@@ -7,106 +7,31 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .dimensions import DISTANCES, TYPES
-
-#: Fixed values of the request format.
-GROUPS = ("N", "H", "L")
-MOST_VALUES, MOST_PAGES, MOST_KEYWORD = 30, 10, 100
-RANGES = (("minPrice", "maxPrice"), ("minSize", "maxSize"), ("minSizeLand", "maxSizeLand"), ("minTop", "maxTop"), ("minPsf", "maxPsf"))
-LISTS = ("bedrooms", "bathrooms", "propertyTypeCode", "districtCode", "tenureCode", "floorLevel", "furnishing", "unitFeatures", "projectFeatures")
-FLAGS = ("isVerified", "withFloorplans", "withStream")
-SORTS = (("date", "price", "psf", "size"), ("asc", "desc"))
-
+from .dimensions import TYPES
+from .request_rules import FLAGS, LISTS, NUMBER, check_filters, check_request, read_field
 
 def whole_number(value) -> int | None:
-    """A number that isn't negative, infinite or a truth value; a float loses its fraction, a text must be digits."""
-    if value is None or value == "":
-        return None
-    if isinstance(value, bool):
-        raise ValueError("expected a number")
-    if isinstance(value, float):
-        if value != value or value in (float("inf"), float("-inf")):
-            raise ValueError("expected a finite number")
-        value = int(value)
-    number = int(str(value).strip())
-    if number < 0:
-        raise ValueError("expected no negative number")
+    """A number by the rules of requests, or an error."""
+    number, problem = read_field(NUMBER, value)
+    if problem:
+        raise ValueError(problem)
     return number
 
 
-def value_list(value) -> list[str]:
-    """Plain codes: numbers or texts of letters, digits and underscores, with at least one letter or digit."""
-    if value is None or value == [] or value == "":
-        return []
-    if not isinstance(value, list | tuple):
-        raise ValueError("expected a list")
-    codes = []
-    for entry in value:
-        code = "" if isinstance(entry, bool | float) or entry is None else str(entry).strip()
-        if not code or any(c != "_" and not c.isalnum() for c in code) or set(code) == {"_"}:
-            raise ValueError("expected numbers or plain codes")
-        codes.append(code)
-    if len(codes) > MOST_VALUES:
-        raise ValueError(f"expected at most {MOST_VALUES} values")
-    return codes
-
-
-def one_line(value, most: int) -> str:
-    """A text with runs of white space as one space, at most so long."""
-    if value is None or value == "":
-        return ""
-    if not isinstance(value, str):
-        raise ValueError("expected a text")
-    if len(line := " ".join(value.split())) > most:
-        raise ValueError(f"expected at most {most} characters")
-    return line
-
-
 def checked_filters(raw: dict, group: str | None = None) -> dict:
-    """The known filters of one group, with the default order; fields that say nothing are left out."""
-    if not isinstance(raw, dict):
-        raise ValueError("expected filters by name")
-    out: dict = {}
-    for low, high in RANGES:
-        bounds = whole_number(raw.get(low)), whole_number(raw.get(high))
-        if None not in bounds and bounds[0] > bounds[1]:
-            raise ValueError(f"{low} is greater than {high}")
-        out |= {k: v for k, v in zip((low, high), bounds, strict=True) if v is not None}
-    out |= {k: v for k in LISTS if (v := value_list(raw.get(k)))}
-    if group is not None and (strange := set(out.get("propertyTypeCode", ())) - set(TYPES[group])):
-        raise ValueError(f"{sorted(strange)[0]} is no type of group {group}")
-    for k in FLAGS:
-        if raw.get(k) not in (None, "", False, True) or isinstance(raw.get(k), int) and not isinstance(raw.get(k), bool):
-            raise ValueError(f"{k} must be true or false")
-        if raw.get(k):
-            out[k] = True
-    if (days := whole_number(raw.get("lastPosted"))) is not None:
-        out["lastPosted"] = days
-    if keyword := one_line(raw.get("keyword"), MOST_KEYWORD):
-        out["keyword"] = keyword
-    for k, choices, default in (("distanceToMrt", tuple(DISTANCES), None), ("sort", SORTS[0], "date"), ("order", SORTS[1], "desc")):
-        if raw.get(k) not in (None, "") and not isinstance(raw[k], str):
-            raise ValueError(f"{k} must be a text")
-        value = (raw.get(k) or "").strip() or default
-        if value is not None:
-            if value not in choices:
-                raise ValueError(f"{k} must be one of {', '.join(choices)}")
-            out[k] = value
-    return out
+    """The known filters of one group, with the default order; fields that say nothing are left out. The first problem is an error."""
+    checked = check_filters(raw, group)
+    if checked.problems:
+        raise ValueError(checked.problems[0])
+    return checked.filters
 
 
 def checked_searches(body: dict) -> list[dict]:
     """The searches of a request, one a group; the old form without groups is one search of the first group."""
-    searches = body.get("searches")
-    if searches is None:
-        searches = [{"propertyTypeGroup": "N", "maxPages": body.get("maxPages"), "filters": body.get("filters") or {}}]
-    if not searches:
-        raise ValueError("expected a search")
-    groups = [s.get("propertyTypeGroup") for s in searches]
-    if len(set(groups)) < len(groups) or not set(groups) <= set(GROUPS):
-        raise ValueError("expected known groups, each once")
-    pages = lambda s: 1 if s.get("maxPages") is None else min(whole_number(s["maxPages"]) or 0, MOST_PAGES)  # noqa: E731  0: all
-    return [{"propertyTypeGroup": s["propertyTypeGroup"], "maxPages": pages(s), "filters": checked_filters(s.get("filters") or {}, s["propertyTypeGroup"])} for s in searches]
+    searches, problems = check_request(body)
+    if problems:
+        raise ValueError(problems[0])
+    return [{"propertyTypeGroup": s["grp"], "maxPages": s["most"], "filters": s["filters"]} for s in searches]
 
 
 def form_number(text: Column) -> Column:
