@@ -51,12 +51,14 @@ def judged_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{part_col}`").cast("string"), F.lit("")).alias("part"), text.alias("text"))
     rows = rows.withColumn("words", conditions.pop("words"))
     narrow, path = persist_table(rows.select("id", "part", F.unhex(F.sha2("text", 256)).alias("digest"), *(c.alias(k) for k, c in conditions.items())))
-    several = narrow.groupBy("digest").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last").select("digest", "first")
+    # a table of its own, so that both sides of the join are plain exchanges and one text's copies can be split
+    several, of_copies = persist_table(narrow.groupBy("digest").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last").select("digest", "first"))
     marks = labels.filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(*(F.coalesce(F.max(F.col(c) == 1), F.lit(False)).alias(n) for n, c in (("good", "quality"), ("toxic", "toxic"))))
     out = narrow.join(several, "digest", "left").join(marks, "id", "left")
     out = out.select("part", *conditions, F.coalesce(F.col("id") > F.col("first"), F.lit(False)).alias("E"), *(F.coalesce(c, F.lit(False)).alias(c) for c in ("good", "toxic")))
     out = persist_table(out)
-    drop_table(docs.sparkSession, path)
+    for p in (path, of_copies):
+        drop_table(docs.sparkSession, p)
     return out
 
 

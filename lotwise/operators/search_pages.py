@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.pages import listings, total_pages
+from ..sources.pages import card_rows, parsed_pages
 from .listings import first_by_arrival
 
 
@@ -27,9 +27,9 @@ def page_targets(groups: DataFrame) -> DataFrame:
     return got.select("grp", F.explode(F.sequence(F.lit(1).cast("bigint"), "last")).alias("page"), "last", "total", "truncated")
 
 
-def page_problem(html: Column, total: Column, listings_found: Column) -> Column:
+def page_problem(found: Column, total: Column, listings_found: Column) -> Column:
     """Why a group's first page can't be used, or null: it isn't there, or it has no listings though there are pages."""
-    return F.when(F.coalesce(html, F.lit("")) == "", F.lit("no first page")).when((F.coalesce(listings_found, F.lit(0)) == 0) & (F.coalesce(total, F.lit(0)) > 0), F.lit("no listings though there are pages"))
+    return F.when(~F.coalesce(found, F.lit(False)), F.lit("no first page")).when((F.coalesce(listings_found, F.lit(0)) == 0) & (F.coalesce(total, F.lit(0)) > 0), F.lit("no listings though there are pages"))
 
 
 def guarded(rows: DataFrame, problem: Column, what: str = "grp") -> DataFrame:
@@ -38,10 +38,11 @@ def guarded(rows: DataFrame, problem: Column, what: str = "grp") -> DataFrame:
     return rows.filter(F.coalesce(fail.cast("boolean"), F.lit(True)))
 
 
-def fetched_targets(targets: DataFrame, fetched: DataFrame, on: Sequence[str] = ("grp", "page"), body: str = "html") -> DataFrame:
-    """Targets with what was fetched for them; ``found`` is false for those without, which are skipped later, not an error."""
-    got = targets.join(fetched.select(*on, body), list(on), "left")
-    return got.withColumn("found", F.coalesce(F.col(body) != "", F.lit(False)))
+def fetched_targets(targets: DataFrame, fetched: DataFrame, found: Column, on: Sequence[str] = ("grp", "page")) -> DataFrame:
+    """Targets and whether they were fetched (``found``, of the fetched rows); those that weren't are skipped later, not an error. Nothing else of
+    the fetched rows goes through the join."""
+    got = targets.join(fetched.select(*on, found.alias("__found")), list(on), "left")
+    return got.withColumn("found", F.coalesce("__found", F.lit(False))).drop("__found")
 
 
 def scan_totals(targets: DataFrame) -> DataFrame:
@@ -56,12 +57,17 @@ def search_scan(wanted: DataFrame, fetched: DataFrame) -> tuple[DataFrame, DataF
     ``wanted``: ``grp``, ``most`` (pages; 0: all) and ``place`` (the group's turn). ``fetched``: ``grp``, ``page`` and ``html``.
     A group without its first page, or whose first page has no listings while there are pages, is an error; a later page
     that is missing is skipped. The first occurrence of a listing counts, by group, page and place on the page."""
-    cards = listings(fetched.select("grp", "page", "html").withColumnRenamed("grp", "search"), keep=("search", "page"))
-    first = wanted.join(fetched.filter("page = 1").select("grp", "html", total_pages(F.col("html")).cast("bigint").alias("total")), "grp", "left")
-    found = cards.filter("page = 1").groupBy(F.col("search").alias("grp")).agg(F.count("*").alias("n"))
-    first = guarded(first.join(found, "grp", "left"), page_problem(F.col("html"), F.col("total"), F.col("n")))
-    targets = fetched_targets(page_targets(first.select("grp", "most", "total")), fetched)
-    asked = targets.filter("found").select(F.col("grp").alias("search"), "page").join(wanted.select(F.col("grp").alias("search"), "place"), "search")
-    rows = cards.join(asked, ["search", "page"])
+    return scan_parsed(wanted, parsed_pages(fetched, ("grp", "page")))
+
+
+def scan_parsed(wanted: DataFrame, parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The same over pages that are parsed already (``parsed_pages``), stored where they are read several times."""
+    first = wanted.join(parsed.filter("page = 1").select("grp", "found", "total", F.size("cards").alias("n")), "grp", "left")
+    first = guarded(first, page_problem(F.col("found"), F.col("total"), F.col("n")))
+    targets = fetched_targets(page_targets(first.select("grp", "most", "total")), parsed, F.col("found"))
+    # the targets of a group are its pages up to the last one: a bound by group instead of a join by page
+    asked = first.select(F.col("grp").alias("search"), "place", last_page(F.col("total"), F.col("most")).alias("__last"))
+    cards = card_rows(parsed.filter("found").withColumnRenamed("grp", "search"), ("search", "page"))
+    rows = cards.join(asked, "search").filter("page <= __last and page >= 1").drop("__last")
     rows = rows.withColumn("grp", F.coalesce(F.nullif("grp", F.lit("")), "search"))
     return first_by_arrival(rows, ["listing_id"], ["place", "page", "pos"]), scan_totals(targets)

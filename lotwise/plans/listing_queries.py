@@ -186,15 +186,15 @@ def page_fanout(spark, sf_dir):
 SELECT CAST((SELECT sum(last) FROM bounded) AS BIGINT) AS pages_total, (SELECT n FROM scanned) AS pages_scanned, CAST((SELECT sum(total) FROM bounded) AS BIGINT) AS total_pages, (SELECT bool_or(total > 0 AND total > last) FROM bounded) AS truncated""")
 def page_scan_totals(spark, sf_dir):
     """The join of targets with fetched pages: the second page of each group never came and is skipped; sums over the groups."""
-    fetched = H.listings(spark, sf_dir).filter("page <> 2").select("grp", "page").distinct().withColumn("html", F.lit("<html>"))
-    return G.scan_totals(G.fetched_targets(G.page_targets(_wanted(spark, sf_dir)), fetched))
+    fetched = H.listings(spark, sf_dir).filter("page <> 2").select("grp", "page").distinct()
+    return G.scan_totals(G.fetched_targets(G.page_targets(_wanted(spark, sf_dir)), fetched, F.lit(True)))
 
 
 @query("first_page_problems", f"""WITH {FANOUT} SELECT grp, CASE WHEN total = 0 THEN 'no first page' WHEN grp = 'H' THEN 'no listings though there are pages' END AS problem FROM bounded WHERE total = 0 OR grp = 'H'""")
 def first_page_problems(spark, sf_dir):
     """Groups whose first page can't be used: it never came, or nothing was read from it though there are pages."""
-    first = _wanted(spark, sf_dir).withColumn("html", F.when(F.col("total") > 0, "<html>")).withColumn("n", F.when(F.col("grp") != "H", 5))
-    return first.select("grp", G.page_problem(F.col("html"), F.col("total"), F.col("n")).alias("problem")).filter("problem is not null")
+    first = _wanted(spark, sf_dir).withColumn("found", F.col("total") > 0).withColumn("n", F.when(F.col("grp") != "H", 5))
+    return first.select("grp", G.page_problem(F.col("found"), F.col("total"), F.col("n")).alias("problem")).filter("problem is not null")
 
 
 @query("photo_split", f"""WITH {H.UNITS}, p AS (SELECT listing_id, CASE WHEN listing_id % 4 = 0 THEN [] ELSE list_transform(generate_series(1, listing_id % 4), lambda i: listing_id || '-' || i || '.jpg') END AS photos FROM unit)

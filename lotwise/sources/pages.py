@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from ..functions.scalars import first_of, per_area, to_integer, to_number, truthy
 
 #: Where the pages keep their data.
-ISLAND = r'(?s)<script id="__NEXT_DATA__" type="application/json"[^>]*>(.*?)</script>'
+ISLAND_START, ISLAND_END = '<script id="__NEXT_DATA__" type="application/json"', "</script>"
 ATTRIBUTE_ROW = r'(?s)<tr class="property-attr[^"]*">\s*<td class="label-block"[^>]*>\s*(?:<h4[^>]*>)?(.*?)(?:</h4>)?\s*</td>\s*<td class="value-block"[^>]*>(.*?)</td>'
 COVER = r'<meta property="og:image" content="([^"]+)"'
 GALLERY = r'<span class="gallery-item image"[^>]*>\s*<img\b([^>]*)>'
@@ -41,13 +41,45 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("html"))
 
 
+def island_text(html: Column) -> Column:
+    """The text of the page's data island, empty without one: found by its ends, so the page is read once and never backtracked."""
+    after = lambda text, mark: F.when(F.locate(mark, text) > 0, F.substring(text, F.locate(mark, text) + len(mark), F.length(text)))
+    body = after(after(html, ISLAND_START), ">")
+    return F.coalesce(F.when(F.locate(ISLAND_END, body) > 0, F.substring(body, F.lit(1), F.locate(ISLAND_END, body) - 1)), F.lit(""))
+
+
 def island(html: Column) -> Column:
     """The page's data; null fields where the island is missing or no JSON."""
-    return F.from_json(F.regexp_extract(html, ISLAND, 1), PAGE).getField("props").getField("pageProps").getField("pageData").getField("data")
+    return F.from_json(island_text(html), PAGE).getField("props").getField("pageProps").getField("pageData").getField("data")
+
+
+def island_total(data: Column) -> Column:
+    return F.coalesce(to_integer(data.getField("paginationData").getField("totalPages")), F.lit(0))
 
 
 def total_pages(html: Column) -> Column:
-    return F.coalesce(to_integer(island(html).getField("paginationData").getField("totalPages")), F.lit(0))
+    return island_total(island(html))
+
+
+def organic_cards(data: Column) -> Column:
+    """The cards of a page that are no ads, each with its place on the page."""
+    placed = F.transform(F.coalesce(data.getField("listingsData"), F.array()), lambda card, pos: F.struct(pos.alias("pos"), card.alias("card")))
+    return F.filter(placed, lambda c: ~is_ad(c["card"]))
+
+
+def parsed_pages(pages: DataFrame, keep: tuple[str, ...], html_col: str = "html") -> DataFrame:
+    """A row a page, without its text: the kept columns, whether there is a text (``found``), the number of pages (``total``) and the
+    usable ``cards``, flat. The island is parsed once; what comes after (counts, targets, joins) reads this, so no page's text is in a shuffle."""
+    html = F.col(html_col)
+    rows = pages.select(*keep, F.coalesce(html != "", F.lit(False)).alias("found"), island(html).alias("data"))
+    flat = F.transform(organic_cards(F.col("data")), lambda c: F.struct(c["pos"].alias("pos"), *card_fields(c["card"])))
+    usable = F.filter(flat, lambda c: (F.coalesce(c["listing_id"], F.lit(0)) != 0) & (F.coalesce(c["price"], F.lit(0)) != 0))
+    return rows.select(*keep, "found", island_total(F.col("data")).cast("bigint").alias("total"), usable.alias("cards"))
+
+
+def card_rows(parsed: DataFrame, keep: tuple[str, ...]) -> DataFrame:
+    """One row a card of parsed pages."""
+    return parsed.select(*keep, F.inline("cards")).withColumn("psf", per_area(F.col("price"), F.col("floor_area")))
 
 
 def is_ad(card: Column) -> Column:
@@ -60,18 +92,14 @@ def is_ad_flags(marker: Column, promoted: Column, product: Column) -> Column:
     return marker.isNotNull() | F.coalesce(promoted, F.lit(False)) | F.coalesce(product == "promoted", F.lit(False))
 
 
-def listings(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
-    """One row a usable organic card: the kept page columns, its place ``pos`` on the page, and the flat listing."""
-    cards = pages.select(*keep, F.posexplode(F.coalesce(island(F.col(html_col)).getField("listingsData"), F.array())).alias("pos", "card"))
-    cards = cards.filter(~is_ad(F.col("card")))
-    own, meta = F.col("card.listingData"), F.col("card.segment.parameters.metaData.listingData")
+def card_fields(card: Column) -> list[Column]:
+    """The flat listing of a card."""
+    own, meta = card.getField("listingData"), card.getField("segment").getField("parameters").getField("metaData").getField("listingData")
     number = lambda c: to_integer(c)
     either = lambda a, b: F.coalesce(truthy(number(own[a])), number(meta[b]))
     price = F.coalesce(truthy(number(own["price"]["value"])), number(meta["price"]))
     sources = lambda kind: F.filter(F.transform(F.coalesce(own["mediaCarousel"]["previewMedia"][kind]["items"], F.array()), lambda x: x["src"]), lambda s: F.coalesce(s != "", F.lit(False)))
-    flat = cards.select(
-        *keep,
-        "pos",
+    return [
         F.coalesce(truthy(number(own["id"])), number(meta["listingId"])).alias("listing_id"),
         first_of(F.nullif(own["property"]["id"], F.lit("0")), F.nullif(meta["projectId"], F.lit("0"))).alias("property_id"),
         first_of(own["localizedTitle"], meta["listingTitle"]).alias("name"),
@@ -89,8 +117,13 @@ def listings(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...] = (
         sources("images").alias("photos"),
         *(first_of(meta[a]).alias(b) for a, b in (("district", "district"), ("districtName", "district_name"), ("regionName", "region_name"), ("tenure", "tenure_code"), ("propertyType", "property_type"), ("propertyTypeGroup", "grp"))),
         first_of(meta["property"]["developerName"]).alias("developer"),
-    )
-    return flat.filter("coalesce(listing_id, 0) <> 0 and coalesce(price, 0) <> 0").withColumn("psf", per_area(F.col("price"), F.col("floor_area")))
+    ]
+
+
+def listings(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
+    """One row a usable organic card: the kept page columns, its place ``pos`` on the page, and the flat listing."""
+    cards = pages.select(*keep, F.inline(organic_cards(island(F.col(html_col))))).select(*keep, "pos", *card_fields(F.col("card")))
+    return cards.filter("coalesce(listing_id, 0) <> 0 and coalesce(price, 0) <> 0").withColumn("psf", per_area(F.col("price"), F.col("floor_area")))
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
