@@ -10,7 +10,7 @@ from ..operators import records as C
 from ..operators import stores as S
 from ..operators import transcripts as T
 from ..sources.tables import stream_table, table
-from ..sources.sinks import append_new, scratch, turn_sink, write_results
+from ..sources.sinks import append_batch, read_ledger, scratch, turn_sink, write_results
 from ..streaming.acts import once_per_tool, split_stream, turn_stream
 from ..streaming.windows import run_available
 from . import hosts as H
@@ -286,13 +286,21 @@ def tools_once_stream(spark, sf_dir):
 
 @query("turns_appended_once", "SELECT conv_id AS session, turn, role, text FROM conversations")
 def turns_appended_once(spark, sf_dir):
-    """Turns appended by a stream, after a batch of them had been appended before: none is there twice."""
+    """Turns appended by a stream whose batches all run twice, after an attempt that was cut off, and beside turns that were there before: none is
+    there twice."""
     path = scratch(spark) + "/turns"
     rows = table(spark, sf_dir, "conversations").withColumnRenamed("conv_id", "session")
-    append_new(rows.filter("session % 2 = 0"), path, ("session", "turn"))
+    append_batch(rows.filter("session % 2 = 0"), path, -1, ("session", "turn"), ("role", "text"))
+    rows.filter("turn = 1").withColumn("text", F.lit("half")).write.parquet(f"{path}/batch=0")  # no marker: never committed
+    sink = turn_sink(path)
+
+    def twice(batch, number):
+        sink(batch, number)
+        sink(batch, number)
+
     stream = stream_table(spark, sf_dir, "conversations").withColumnRenamed("conv_id", "session")
-    stream.writeStream.foreachBatch(turn_sink(path)).option("checkpointLocation", f"{path}-checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(rows.schema).parquet(path)
+    stream.writeStream.foreachBatch(twice).option("checkpointLocation", f"{path}-checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return read_ledger(spark, path, rows.schema, ("session", "turn"), ("role", "text")).drop("batch")
 
 
 @query("results_by_job", "SELECT o_orderkey, o_custkey, o_orderkey % 4 AS job_id FROM orders WHERE o_orderkey % 4 <> 1 UNION ALL SELECT o_orderkey, -1, 1 FROM orders WHERE o_orderkey % 4 = 1")

@@ -7,6 +7,9 @@ import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
+
+from ..operators.listings import first_by_arrival
 
 
 def _fs(spark: SparkSession, path: str):
@@ -29,18 +32,60 @@ def there(spark: SparkSession, path: str) -> bool:
     return fs.exists(target)
 
 
-def overwrite(df: DataFrame, path: str) -> None:
-    """Write a table beside its place and move it there, so a table may be made of itself, and a write that fails leaves the
-    old one. Readers see the old or the new one, but for the moment between two renames."""
-    spark, part = df.sparkSession, uuid.uuid4().hex
-    df.write.parquet(f"{path}.new-{part}")
+def _move_over(spark: SparkSession, source: str, target: str) -> None:
+    """Rename a file over another one in one step."""
+    jvm, gateway = spark._jvm, spark.sparkContext._gateway
+    option = jvm.org.apache.hadoop.fs.Options.Rename
+    options = gateway.new_array(option, 1)
+    options[0] = option.OVERWRITE
+    a, b = jvm.org.apache.hadoop.fs.Path(source), jvm.org.apache.hadoop.fs.Path(target)
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(b.toUri(), spark._jsc.hadoopConfiguration()).rename(a, b, options)
+
+
+def _write_text(spark: SparkSession, path: str, text: str) -> None:
     fs, target = _fs(spark, path)
-    fresh, old = (spark._jvm.org.apache.hadoop.fs.Path(f"{path}.{kind}-{part}") for kind in ("new", "old"))
-    if fs.exists(target):
-        fs.rename(target, old)
-    if not fs.rename(fresh, target):
-        raise OSError(f"could not move the new table to {path}")
-    fs.delete(old, True)
+    out = fs.create(target, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
+def version(spark: SparkSession, path: str) -> str | None:
+    """The folder of a table's current version, none where it was never written."""
+    fs, pointer = _fs(spark, f"{path}/_current")
+    if not fs.exists(pointer):
+        return None
+    stream = fs.open(pointer)
+    try:
+        return f"{path}/{bytes(stream.readAllBytes()).decode()}"
+    finally:
+        stream.close()
+
+
+def current(spark: SparkSession, path: str, schema=None) -> DataFrame:
+    """The current version of a table that ``overwrite`` writes; with a ``schema``, a table that isn't there is empty."""
+    folder = version(spark, path)
+    if folder is None:
+        if schema is None:
+            raise FileNotFoundError(path)
+        return spark.createDataFrame([], schema)
+    return (spark.read if schema is None else spark.read.schema(schema)).parquet(folder)
+
+
+def overwrite(df: DataFrame, path: str) -> None:
+    """Write a table as a new version in the folder ``path``, then move a pointer to it over the old one: one rename, so readers see the old or
+    the new table at any time, also after a crash. A table may be made of itself. The version before the last stays for those who read it."""
+    spark, name = df.sparkSession, f"v-{uuid.uuid4().hex}"
+    before = version(spark, path)
+    df.write.parquet(f"{path}/{name}")
+    _write_text(spark, f"{path}/_next-{name}", name)
+    _move_over(spark, f"{path}/_next-{name}", f"{path}/_current")
+    fs, folder = _fs(spark, path)
+    keep = {f"{path}/{name}".rsplit("/", 1)[1], before and before.rsplit("/", 1)[1]}
+    for status in fs.listStatus(folder):
+        if status.isDirectory() and status.getPath().getName().startswith("v-") and status.getPath().getName() not in keep:
+            fs.delete(status.getPath(), True)
 
 
 def write_results(results: DataFrame, path: str, job: str = "job_id") -> None:
@@ -48,19 +93,41 @@ def write_results(results: DataFrame, path: str, job: str = "job_id") -> None:
     results.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(job).parquet(path)
 
 
-def append_new(rows: DataFrame, path: str, key: Sequence[str]) -> None:
-    """Append the rows whose key isn't there yet, each key once: repeating a write adds nothing."""
+def append_batch(rows: DataFrame, path: str, batch: int, key: Sequence[str], order: Sequence[str]) -> bool:
+    """Append a batch to a table with a ledger, once: whether it was new.
+
+    Each batch is a folder, and a marker in the ledger commits it. A batch that is there already isn't written again, and what an
+    attempt without a marker left is written over. Of rows with one key the first by ``order`` counts. The table itself is never read,
+    so a batch costs the same however much is there."""
     spark = rows.sparkSession
-    new = rows.dropDuplicates(list(key))
-    if there(spark, path):
-        new = new.join(spark.read.schema(rows.schema).parquet(path).select(*key), list(key), "left_anti").select(*rows.columns)
-    new.write.mode("append").parquet(path)
+    fs, marker = _fs(spark, f"{path}/_ledger/{batch}")
+    if fs.exists(marker):
+        return False
+    first_by_arrival(rows, key, order).write.mode("overwrite").parquet(f"{path}/batch={batch}")
+    fs.create(marker, True).close()
+    return True
+
+
+def ledger(spark: SparkSession, path: str) -> list[int]:
+    """The committed batches, in order."""
+    fs, folder = _fs(spark, f"{path}/_ledger")
+    return sorted(int(s.getPath().getName()) for s in fs.listStatus(folder)) if fs.exists(folder) else []
+
+
+def read_ledger(spark: SparkSession, path: str, schema, key: Sequence[str] = (), order: Sequence[str] = ()) -> DataFrame:
+    """The rows of all committed batches with their ``batch``. With a ``key``, of the same key in several batches the first batch counts."""
+    batches = ledger(spark, path)
+    whole = T.StructType([*schema, T.StructField("batch", T.LongType())])
+    if not batches:
+        return spark.createDataFrame([], whole)
+    rows = spark.read.schema(whole).option("basePath", path).parquet(*(f"{path}/batch={b}" for b in batches))
+    return first_by_arrival(rows, key, ["batch", *order]) if key else rows
 
 
-def turn_sink(path: str, key: Sequence[str] = ("session", "turn")) -> Callable[[DataFrame, int], None]:
+def turn_sink(path: str, key: Sequence[str] = ("session", "turn"), order: Sequence[str] = ("role", "text")) -> Callable[[DataFrame, int], None]:
     """For ``writeStream.foreachBatch``: turns are appended once, whether they ended well or not and however often a batch runs."""
 
-    def write(batch: DataFrame, _: int) -> None:
-        append_new(batch, path, key)
+    def write(batch: DataFrame, number: int) -> None:
+        append_batch(batch, path, number, key, order)
 
     return write

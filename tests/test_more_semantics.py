@@ -98,18 +98,49 @@ def test_windows_over_a_stream(spark, data, tmp_path):
 
 def test_a_table_may_be_made_of_itself(spark, tmp_path):
     path = str(tmp_path / "t")
+    assert sinks.current(spark, path, "id bigint").count() == 0
     sinks.overwrite(spark.range(5), path)
-    sinks.overwrite(spark.read.parquet(path).filter("id > 2"), path)
-    assert sorted(r.id for r in spark.read.parquet(path).collect()) == [3, 4] and [p.name for p in tmp_path.iterdir()] == ["t"]
+    seen = sinks.current(spark, path)
+    sinks.overwrite(seen.filter("id > 2"), path)
+    assert sorted(r.id for r in sinks.current(spark, path).collect()) == [3, 4]
+    assert seen.count() == 5  # who read the version before still can
+    sinks.overwrite(sinks.current(spark, path).filter("id > 3"), path)
+    assert [r.id for r in sinks.current(spark, path).collect()] == [4] and len(list((tmp_path / "t").glob("v-*"))) == 2
 
 
-def test_turns_are_appended_once(spark, tmp_path):
-    path, rows = str(tmp_path / "t"), spark.createDataFrame([("s", 1, "a"), ("s", 1, "a"), ("s", 2, "b")], "session string, turn int, content string")
-    write = sinks.turn_sink(path)
-    for k in range(2):
+def test_a_table_whose_write_is_cut_off_stays(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "t")
+    sinks.overwrite(spark.range(3), path)
+    monkeypatch.setattr(sinks, "_move_over", lambda *_: (_ for _ in ()).throw(OSError("cut off")))
+    with pytest.raises(OSError):
+        sinks.overwrite(spark.range(9), path)
+    monkeypatch.undo()
+    assert sinks.current(spark, path).count() == 3
+    sinks.overwrite(spark.range(4), path)
+    assert sinks.current(spark, path).count() == 4 and len(list((tmp_path / "t").glob("v-*"))) == 2
+
+
+def test_batches_are_appended_once(spark, tmp_path):
+    path, rows = str(tmp_path / "t"), spark.createDataFrame([("s", 1, "b"), ("s", 1, "a"), ("s", 2, "b")], "session string, turn int, content string")
+    write = sinks.turn_sink(path, order=("content",))
+    rows.limit(1).write.parquet(f"{path}/batch=0")  # an attempt that was cut off before its marker
+    assert sinks.read_ledger(spark, path, rows.schema).count() == 0
+    for k in (0, 0, 1):
         write(rows, k)
     write(spark.createDataFrame([("s", 2, "again"), ("s", 3, "c")], rows.schema), 2)
-    assert sorted((r.turn, r.content) for r in spark.read.parquet(path).collect()) == [(1, "a"), (2, "b"), (3, "c")]
+    assert sinks.ledger(spark, path) == [0, 1, 2]
+    assert sorted((r.batch, r.turn, r.content) for r in sinks.read_ledger(spark, path, rows.schema).collect()) == [(0, 1, "a"), (0, 2, "b"), (1, 1, "a"), (1, 2, "b"), (2, 2, "again"), (2, 3, "c")]
+    once = sinks.read_ledger(spark, path, rows.schema, ("session", "turn"), ("content",)).collect()
+    assert sorted((r.turn, r.content) for r in once) == [(1, "a"), (2, "b"), (3, "c")]
+
+
+def test_a_batch_does_not_read_the_table(spark, tmp_path):
+    """A table whose other batches can't be read any more takes a new one."""
+    path, rows = str(tmp_path / "t"), spark.createDataFrame([("s", 1, "a")], "session string, turn int, content string")
+    assert sinks.append_batch(rows, path, 0, ["session"], ["turn"])
+    for f in (tmp_path / "t" / "batch=0").glob("*.parquet"):
+        f.write_text("broken")
+    assert sinks.append_batch(rows, path, 1, ["session"], ["turn"]) and not sinks.append_batch(rows, path, 1, ["session"], ["turn"])
 
 
 def test_fields_are_replaced_in_place(spark):
