@@ -3,7 +3,7 @@
 Every byte of a text starts a suffix, and suffixes are ordered by their first WINDOW bytes only: the groups that are still equal
 then are exactly the repeated windows. The most significant digit of a suffix is its *anchor*: of the runs of ANCHOR bytes inside
 its window, the one with the least hash. Neighbouring suffixes mostly share one, so a run of suffixes with one anchor travels as
-one piece of text (about 66 bytes for 14 suffixes) to the bucket of the anchor's hash.
+one piece of text (about 65 bytes for 16 suffixes) to the bucket of the anchor's hash.
 
 1. The texts are stored as slices of about SLICE_BYTES. Of each slice the anchors' hashes, once each, go to buckets, which send
    back which anchors occur in several documents: other suffixes can't have an equal one and leave the sort.
@@ -32,15 +32,19 @@ from .common import persist_table, slices, small_batches
 from .shingles import mixed
 
 #: Bytes of a window and of an anchor.
-WINDOW, ANCHOR = 50, 24
+WINDOW, ANCHOR = 50, 20
 #: Text of a slice; a longer document is a slice of its own.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 #: Buckets: a power of two, one for each BUCKET_BYTES of text within these bounds.
-BUCKET_BYTES, LEAST_BUCKETS, MOST_BUCKETS = 64 << 20, 1 << 8, 1 << 20
+BUCKET_BYTES, LEAST_BUCKETS, MOST_BUCKETS = 16 << 20, 1 << 8, 1 << 20
+#: Suffixes that a bucket sorts at once.
+PART_SUFFIXES = 1 << 19
 #: From so many pieces (at most 255 counted a slice) an anchor's pieces are cut into single suffixes.
 MANY_PIECES = 2000
 #: Stands for a null id, which is smaller than no other.
 NO_ID = (1 << 63) - 1
+#: Stands for the anchor's place of a single suffix.
+SINGLE = 255
 
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
@@ -65,6 +69,20 @@ def window_hash(words: np.ndarray, at: np.ndarray, seed: np.uint64) -> np.ndarra
     return mixed(h)
 
 
+def anchor_hash(eight: list[np.ndarray]) -> np.ndarray:
+    """Of runs of ANCHOR bytes, from the eight bytes at their places 0, 8 and ANCHOR - 8."""
+    h = eight[0] * _A
+    for more, by in zip(eight[1:], (_B, _C), strict=True):
+        h ^= h >> np.uint64(32)
+        h += more
+        h *= by
+    return mixed(h)
+
+
+#: Places of the numbers that an anchor's hash is made of.
+PLACES = (0, 8, ANCHOR - 8)
+
+
 class Pieces:
     """Runs of windows with one anchor: first and last window, the anchor's place and hash, by place."""
 
@@ -75,12 +93,7 @@ class Pieces:
             self.hash = np.zeros(0, np.uint64)
             return
         eight = words.view("<u8")  # the order of bytes doesn't matter here
-        h = eight[: len(data) - ANCHOR + 1] * _A
-        for off, by in ((8, _B), (16, _C)):
-            h ^= h >> np.uint64(32)
-            h += eight[off : off + len(h)]
-            h *= by
-        h = mixed(h)
+        h = anchor_hash([eight[off : off + len(data) - ANCHOR + 1] for off in PLACES])
         # by 32 bits of the hash, then by place, so that the choice depends on nothing but the window's bytes
         least = (h & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(h), dtype=np.uint64)
         width = 1
@@ -136,32 +149,41 @@ class Slice:
 
 
 class Items:
-    """The pieces that are sorted, single suffixes for anchors of many pieces. Equal ones are one item, kept by its first piece
-    (that of the least document), in a fixed order by bucket."""
+    """The pieces that are sorted, single suffixes for anchors of many pieces. Equal ones (by 128 bits of hashes) are one item, kept by its
+    first piece (that of the least document); items are in the order of their buckets and then of their places."""
 
     def __init__(self, s: Slice, chosen: np.ndarray, many: np.ndarray):
         p = s.pieces
         single = many[s.code[chosen]]
         whole, cut = chosen[~single], chosen[single]
         n = p.last[cut] - p.first[cut] + 1
-        at = np.repeat(p.first[cut] - np.r_[0, np.cumsum(n)[:-1]].astype(np.int64), n) + np.arange(n.sum()) if len(cut) else np.zeros(0, np.int64)
-        self.first, self.last = np.r_[p.first[whole], at], np.r_[p.last[whole], at]
-        self.document = np.r_[s.document[whole], np.repeat(s.document[cut], n)]
-        hashes = [window_hash(s.words, self.first, _B), window_hash(s.words, self.last, _C)]
-        self.key = np.r_[p.hash[whole], hashes[0][len(whole) :]]
-        self.offset = np.r_[p.place[whole] - p.first[whole], np.zeros(len(at), np.int64)]
-        bucket = (self.key >> np.uint64(64 - s.bits)).astype(np.int64)
-        # equal pieces by 128 bits of hashes, then by their bytes
-        order = np.lexsort((self.first, self.last - self.first, hashes[1], hashes[0], self.key, bucket))
-        same = np.zeros(len(order), bool)
-        if len(order) > 1:
-            a, b = order[:-1], order[1:]
-            same[1:] = (bucket[a] == bucket[b]) & (self.key[a] == self.key[b]) & (self.last[a] - self.first[a] == self.last[b] - self.first[b]) & (hashes[0][a] == hashes[0][b]) & (hashes[1][a] == hashes[1][b])
-            for of in (self.first, self.last):
-                for x, y in zip(digits(s.words, of[a]), digits(s.words, of[b]), strict=True):
-                    same[1:] &= x == y
-        self.order, self.item = order, np.cumsum(~same) - 1  # of the pieces in this order
-        self.kept = order[~same]  # one piece an item
+        at = np.repeat(p.first[cut], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        first, last = np.r_[p.first[whole], at], np.r_[p.last[whole], at]
+        order = np.argsort(first, kind="stable")
+        self.first, self.last = first[order], last[order]
+        self.document = np.r_[s.document[whole], np.repeat(s.document[cut], n)][order]
+        hashes = window_hash(s.words, self.first, _B), window_hash(s.words, self.last, _C)
+        is_single = np.r_[np.zeros(len(whole), bool), np.ones(len(at), bool)][order]
+        self.offset = np.where(is_single, SINGLE, np.r_[p.place[whole], at][order] - self.first)
+        key = np.where(is_single, hashes[0], np.r_[p.hash[whole], np.zeros(len(at), np.uint64)][order])
+        bucket = (key >> np.uint64(64 - s.bits)).astype(np.int64)
+        # groups of equal pieces; the sort is stable, so each begins with its first piece
+        shape = ((self.last - self.first) * 512 + self.offset).astype(np.uint64)
+        both = mixed((hashes[0] * _A) ^ mixed(hashes[1] + shape * _C))
+        order = np.argsort(both, kind="stable")
+        new = np.ones(len(order), bool)
+        if len(order):
+            new[1:] = False
+            for x in (both, hashes[0], hashes[1], shape, bucket):
+                x = x[order]
+                new[1:] |= x[1:] != x[:-1]
+        kept = order[new]
+        place = np.lexsort((self.first[kept], bucket[kept]))
+        self.kept = kept[place]  # one piece an item
+        number = np.empty(len(kept), np.int64)
+        number[place] = np.arange(len(kept))
+        self.item = np.empty(len(order), np.int64)  # of each piece
+        self.item[order] = number[np.cumsum(new) - 1]
         self.bucket = bucket[self.kept]
 
     def by_bucket(self) -> Iterator[tuple[int, int, int]]:
@@ -172,31 +194,47 @@ class Items:
 
 
 def packed(s: Slice, items: Items, a: int, b: int) -> bytes:
-    """The items from a to b: keys, ids, anchor places, numbers of suffixes, and texts."""
+    """The items from a to b: steps between their ids, anchor places, numbers of suffixes, and texts."""
     at = items.kept[a:b]
     n = items.last[at] - items.first[at] + 1
-    text = b"".join(s.data[f : f + k + WINDOW - 1].tobytes() for f, k in zip(items.first[at], n, strict=True))
-    return zstandard.compress(items.key[at].tobytes() + s.id[items.document[at]].tobytes() + items.offset[at].astype(np.uint8).tobytes() + n.astype(np.uint8).tobytes() + text, 1)
+    ids = s.id[items.document[at]]
+    text = b"".join(s.data[f : f + k + WINDOW - 1].tobytes() for f, k in zip(items.first[at].tolist(), n.tolist(), strict=True))
+    return zstandard.compress(np.diff(ids, prepend=0).astype("<i8").tobytes() + items.offset[at].astype(np.uint8).tobytes() + n.astype(np.uint8).tobytes() + text, 3)
 
 
-def sort_suffixes(blobs: list[tuple[int, bytes]]) -> list[np.ndarray]:
-    """For each ``(number of items, packed items)`` of a bucket: which suffixes, in order, are in a smaller document too."""
-    keys, ids, offsets, sizes, texts, counts = [], [], [], [], [], []
+def sort_suffixes(blobs: list[tuple[int, bytes]], most: int = PART_SUFFIXES) -> list[np.ndarray]:
+    """For each ``(number of items, packed items)`` of a bucket: which suffixes, in order, are in a smaller document too. Suffixes of one anchor are
+    sorted together, and of several anchors about ``most`` at once."""
+    ids, offsets, sizes, texts = [], [], [], []
     for m, blob in blobs:
         raw = np.frombuffer(zstandard.decompress(blob), np.uint8)
-        keys.append(raw[: 8 * m].view(np.uint64))
-        ids.append(raw[8 * m : 16 * m].view(np.int64))
-        offsets.append(raw[16 * m : 17 * m])
-        sizes.append(raw[17 * m : 18 * m])
-        texts.append(raw[18 * m :])
-        counts.append(int(sizes[-1].sum()))
-    n = np.concatenate(sizes).astype(np.int64)
+        ids.append(np.cumsum(raw[: 8 * m].view("<i8")))
+        offsets.append(raw[8 * m : 9 * m])
+        sizes.append(raw[9 * m : 10 * m])
+        texts.append(raw[10 * m :])
+    counts = [int(n.sum()) for n in sizes]
+    n, ids, offset = np.concatenate(sizes).astype(np.int64), np.concatenate(ids), np.concatenate(offsets).astype(np.int64)
     words = words_at(np.concatenate(texts))
     begin = np.cumsum(n + WINDOW - 1) - (n + WINDOW - 1)
-    inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    at, doc = np.repeat(begin, n) + inner, np.repeat(np.concatenate(ids), n)
-    anchor = np.repeat(np.concatenate(keys), n) + (np.repeat(np.concatenate(offsets).astype(np.int64), n) - inner).astype(np.uint64) * _A
+    single = offset == SINGLE
+    eight, place = words.view("<u8"), begin + np.where(single, 0, offset)
+    key = np.where(single, window_hash(words, begin, _B), anchor_hash([eight[place + off] for off in PLACES]))
+    found, at = np.zeros(n.sum(), bool), np.cumsum(n) - n
+    parts = -(-len(found) // most)
+    part = (mixed(key * _C) % np.uint64(parts)).astype(np.int64)
+    for k in range(parts):
+        own = np.flatnonzero(part == k) if parts > 1 else np.arange(len(n))
+        inner = np.arange(n[own].sum()) - np.repeat(np.cumsum(n[own]) - n[own], n[own])
+        digit = np.repeat(key[own], n[own]) + (np.repeat(np.where(single, 0, offset)[own], n[own]) - inner).astype(np.uint64) * _A
+        found[np.repeat(at[own], n[own]) + inner] = _sorted_part(words, np.repeat(begin[own], n[own]) + inner, np.repeat(ids[own], n[own]), digit)
+    return np.split(found, np.cumsum(counts)[:-1])
+
+
+def _sorted_part(words: np.ndarray, at: np.ndarray, doc: np.ndarray, anchor: np.ndarray) -> np.ndarray:
+    """The passes over the suffixes at ``at``: first by the anchor and its place, then by eight bytes each."""
     found = np.zeros(len(at), bool)
+    if not len(at):
+        return found
     order = np.argsort(anchor, kind="stable")
     new = np.r_[True, anchor[order][1:] != anchor[order][:-1]]
 
@@ -216,17 +254,17 @@ def sort_suffixes(blobs: list[tuple[int, bytes]]) -> list[np.ndarray]:
         if not split.any():
             continue
         group = np.cumsum(new) - 1
-        mixed_group = np.zeros(group[-1] + 1, bool)
-        mixed_group[group[split]] = True
-        part = np.flatnonzero(mixed_group[group])
-        part_order = part[np.lexsort((digit[part], group[part]))]
-        order[part], digit[part] = order[part_order], digit[part_order]
+        uneven = np.zeros(group[-1] + 1, bool)
+        uneven[group[split]] = True
+        part = np.flatnonzero(uneven[group])
+        by_digit = part[np.lexsort((digit[part], group[part]))]
+        order[part], digit[part] = order[by_digit], digit[by_digit]
         new |= np.r_[False, digit[1:] != digit[:-1]]
         order, new = several(order, new)
     if len(order):
         d = doc[order]
         found[order] = d > np.minimum.reduceat(d, np.flatnonzero(new))[np.cumsum(new) - 1]
-    return np.split(found, np.cumsum(counts)[:-1])
+    return found
 
 
 def removed_bytes(s: Slice, items: Items, answers: list[dict]) -> np.ndarray:
@@ -241,12 +279,12 @@ def removed_bytes(s: Slice, items: Items, answers: list[dict]) -> np.ndarray:
     edges = np.zeros(len(s.data) + WINDOW + 1, np.int32)
     # a piece of a greater id than its item's own is covered wholly, others as the item is
     own, item = s.id[items.document[items.kept]], items.item
-    whole = s.id[items.document[items.order]] > own[item]
-    np.add.at(edges, items.first[items.order[whole]], 1)
-    np.add.at(edges, items.last[items.order[whole]] + WINDOW, -1)
-    rest, m = items.order[~whole], n[item[~whole]]
+    whole = s.id[items.document] > own[item]
+    np.add.at(edges, items.first[whole], 1)
+    np.add.at(edges, items.last[whole] + WINDOW, -1)
+    rest, m = np.flatnonzero(~whole), n[item[~whole]]
     inner = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
-    hit = found[np.repeat(begin[item[~whole]], m) + inner]
+    hit = found[np.repeat(begin[item[rest]], m) + inner]
     at = (np.repeat(items.first[rest], m) + inner)[hit]
     np.add.at(edges, at, 1)
     np.add.at(edges, at + WINDOW, -1)
@@ -336,7 +374,7 @@ def found_suffixes(marked: DataFrame, bits: int) -> DataFrame:
             yield bucket, r["slice"], b - a, packed(s, items, a, b)
 
     def decide(t: pa.Table) -> pa.Table:
-        found = sort_suffixes(list(zip(t.column("n").to_pylist(), t.column("items").to_pylist(), strict=True)))
+        found = sort_suffixes(list(zip(t.column("n").to_pylist(), t.column("items").to_pylist(), strict=True)), PART_SUFFIXES)
         rows = [(s, b, np.packbits(x).tobytes()) for s, b, x in zip(t.column("slice").to_pylist(), t.column("bucket").to_pylist(), found, strict=True) if x.any()]
         columns = list(zip(*rows, strict=True)) or [[]] * 3
         return pa.table([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["slice", "bucket", "found"])

@@ -63,10 +63,11 @@ def test_against_all_windows(spark, seed):
     assert got(spark, rows) == expected(rows)
 
 
-@pytest.mark.parametrize(("slice_bytes", "many"), [(300, 2000), (1 << 20, 2), (300, 1), (1, 3)])
-def test_slices_and_single_suffixes_change_nothing(spark, monkeypatch, slice_bytes, many):
+@pytest.mark.parametrize(("slice_bytes", "many", "part"), [(300, 2000, 40), (1 << 20, 2, 7), (300, 1, 1000), (1, 3, 1)])
+def test_slices_and_single_suffixes_change_nothing(spark, monkeypatch, slice_bytes, many, part):
     monkeypatch.setattr(window_dedup, "SLICE_BYTES", slice_bytes)
     monkeypatch.setattr(window_dedup, "MANY_PIECES", many)
+    monkeypatch.setattr(window_dedup, "PART_SUFFIXES", part)
     rows = odd_rows(7)
     assert got(spark, rows) == expected(rows)
 
@@ -82,7 +83,7 @@ def test_a_line_in_all_texts_and_many_copies(spark, monkeypatch):
 
 def test_different_windows_of_one_digit_are_split_by_their_bytes(spark, monkeypatch):
     """With an anchor hash of two values only the passes over the bytes can tell suffixes apart."""
-    monkeypatch.setattr(window_dedup, "mixed", lambda h: (h & np.uint64(1)) << np.uint64(63))
+    monkeypatch.setattr(window_dedup, "anchor_hash", lambda eight: (eight[0] & np.uint64(1)) << np.uint64(63))
     rows = odd_rows(3, 25)
     items = []
     s = lambda i, t: window_dedup.Slice([i], [len(t.encode())], window_dedup.zstandard.compress(t.encode()), 8)
