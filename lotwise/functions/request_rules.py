@@ -217,7 +217,8 @@ def field_columns(shape: Shape, v: Column) -> tuple[Column, Column]:
 
 def searches_of(requests: DataFrame, key: str, body: str = "body") -> DataFrame:
     """One row a search of a request: ``key``, ``place``, ``grp``, ``most``, ``filters`` (a struct with a column for each field of FILTERS) and ``problems``
-    (an array of ``field: reason``). A request whose searches can't be told has one row, of place 0, with its problem."""
+    (an array of ``field: reason``). A request whose searches can't be told has one row, of place 0, with its problem; so has one whose JSON can't be
+    read, also because a name is in an object twice."""
     v = requests.select(F.col(key).alias("key"), F.try_parse_json(body).alias("v"))
     v = v.withColumn("kind", kind_of(F.col("v"))).withColumn("raw", _get(F.col("v"), "searches"))
     v = v.withColumn("raw_kind", kind_of(F.col("raw"))).withColumn("listed", F.try_variant_get("raw", "$", "array<variant>"))

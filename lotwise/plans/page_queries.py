@@ -13,9 +13,8 @@ from . import hosts as H
 from .registry import query
 
 
-def search_pages(spark, sf_dir):
-    """A page an order, a card a line: some cards are ads, some have their facts in the second place only."""
-    rows = H.listings(spark, sf_dir)
+def _cards(rows):
+    """Listings as cards: some are ads, some have their facts in the second place only."""
     text = lambda c: F.col(c).cast("string")
     second = F.col("listing_id") % 4 == 0
     meta = F.struct(
@@ -29,12 +28,35 @@ def search_pages(spark, sf_dir):
         F.struct(((F.col("line") == 2) & (F.col("part_key") % 5 == 0)).alias("isPromoted"), (F.col("line") == 3).alias("isPromotedListing")).alias("products"),
     )
     card = F.struct(F.when(F.col("listing_id") % 11 == 0, "k").alias("kevel"), own.alias("listingData"), F.struct(F.struct(F.struct(meta.alias("listingData")).alias("metaData")).alias("parameters")).alias("segment"))
-    cards = rows.select(F.floor(F.col("listing_id") / 10).alias("page_id"), card.alias("card")).groupBy("page_id").agg(F.collect_list("card").alias("listingsData"))
-    data = F.struct("listingsData", F.struct((F.col("page_id") % 9).cast("string").alias("totalPages")).alias("paginationData"))
+    return rows.withColumn("card", card)
+
+
+def _page(cards, total):
+    """A page with an array of cards in its island."""
+    data = F.struct(cards.alias("listingsData"), F.struct(total.cast("string").alias("totalPages")).alias("paginationData"))
     island = F.to_json(F.struct(F.struct(F.struct(F.struct(data.alias("data")).alias("pageData")).alias("pageProps")).alias("props")))
-    return cards.select("page_id", F.concat(F.lit('<html><body><script id="__NEXT_DATA__" type="application/json">'), island, F.lit("</script></body></html>")).alias("html"))
+    return F.concat(F.lit('<html><body><script id="__NEXT_DATA__" type="application/json">'), island, F.lit("</script></body></html>"))
+
+
+def search_pages(spark, sf_dir):
+    """A page an order, a card a line."""
+    cards = _cards(H.listings(spark, sf_dir)).select(F.floor(F.col("listing_id") / 10).alias("page_id"), "card").groupBy("page_id").agg(F.collect_list("card").alias("cards"))
+    return cards.select("page_id", _page(F.col("cards"), F.col("page_id") % 9).alias("html"))
+
+
+def result_pages(spark, sf_dir):
+    """Result pages of three groups: a page an order and group, numbered by the order from the group's first one with a usable listing; orders without a
+    listing of the group are pages that never came."""
+    rows = _cards(H.listings(spark, sf_dir)).withColumn("order_key", F.floor(F.col("listing_id") / 10))
+    usable = rows.filter(NO_AD).filter("price <> 0")
+    bounds = usable.groupBy("grp").agg(F.min("order_key").alias("first")).join(rows.groupBy("grp").agg(F.max("order_key").alias("last")), "grp")
+    pages = rows.groupBy("grp", "order_key").agg(F.array_sort(F.collect_list(F.struct(*ON_PAGE, "card"))).alias("cards")).join(bounds, "grp")
+    html = _page(F.transform("cards", lambda c: c["card"]), F.col("last") - F.col("first") + 1)
+    return pages.select("grp", (F.col("order_key") - F.col("first") + 1).alias("page"), html.alias("html")).filter("page >= 1")
 
 
+#: The order of cards on a page.
+ON_PAGE = ["listing_id", "part_key", "supp_key", "raw_price", "listed_at", "floor_area", "tenure_code"]
 NO_AD = "NOT (listing_id % 11 = 0 OR (line = 2 AND part_key % 5 = 0) OR supp_key % 9 = 0)"
 
 

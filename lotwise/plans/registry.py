@@ -19,6 +19,6 @@ def query(name: str, sql: str | None = None):
 
 
 def load() -> tuple[dict[str, Callable], dict[str, str]]:
-    from . import form_queries, listing_queries, page_queries, report_queries, request_queries, store_queries, text_queries, view_queries  # noqa: F401
+    from . import form_queries, listing_queries, page_queries, report_queries, request_queries, run_queries, store_queries, text_queries, view_queries  # noqa: F401
 
     return QUERIES, SQL

@@ -32,6 +32,11 @@ def there(spark: SparkSession, path: str) -> bool:
     return fs.exists(target)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    fs, target = _fs(spark, path)
+    fs.delete(target, True)
+
+
 def _move_over(spark: SparkSession, source: str, target: str) -> None:
     """Rename a file over another one in one step."""
     jvm, gateway = spark._jvm, spark.sparkContext._gateway
@@ -99,15 +104,18 @@ def append_batch(rows: DataFrame, path: str, batch: int, key: Sequence[str], ord
     Each batch is a folder, and a marker in the ledger commits it. A batch that is there already isn't written again, and what an
     attempt without a marker left is written over. Of rows with one key the first by ``order`` counts. The table itself is never read,
     so a batch costs the same however much is there."""
-    spark = rows.sparkSession
-    fs, marker = _fs(spark, f"{path}/_ledger/{batch}")
-    if fs.exists(marker):
+    if committed(rows.sparkSession, path, batch):
         return False
     first_by_arrival(rows, key, order).write.mode("overwrite").parquet(f"{path}/batch={batch}")
+    fs, marker = _fs(rows.sparkSession, f"{path}/_ledger/{batch}")
     fs.create(marker, True).close()
     return True
 
 
+def committed(spark: SparkSession, path: str, batch: int) -> bool:
+    return there(spark, f"{path}/_ledger/{batch}")
+
+
 def ledger(spark: SparkSession, path: str) -> list[int]:
     """The committed batches, in order."""
     fs, folder = _fs(spark, f"{path}/_ledger")

@@ -45,6 +45,7 @@ class PageSource(Protocol):
     def search_url(self, group: Column, page: Column, filters: Column, has: list[str]) -> Column: ...
     def total_pages(self, html: Column) -> Column: ...
     def listings(self, pages: DataFrame, keep: tuple[str, ...]) -> DataFrame: ...
+    def parsed(self, pages: DataFrame, keep: tuple[str, ...]) -> DataFrame: ...
     def project_path(self, name: Column, key: Column) -> Column: ...
     def projects(self, pages: DataFrame, keep: tuple[str, ...]) -> DataFrame: ...
     def search_fields(self) -> str: ...
@@ -68,6 +69,9 @@ class IslandPages:
     def listings(self, rows: DataFrame, keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
         return pages.listings(rows, keep=keep)
 
+    def parsed(self, rows: DataFrame, keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
+        return pages.parsed_pages(rows, keep)
+
     def project_path(self, name: Column, key: Column) -> Column:
         return scalars.project_path(name, key)
 
