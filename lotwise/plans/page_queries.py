@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.requests import search_url
 from ..functions.scalars import page_number, path_head, slug, to_integer, to_number
 from ..sources import pages as P
+from ..sources.captured import captured
+from ..sources.sinks import scratch
 from ..sources.tables import table
 from . import hosts as H
 from .registry import query
@@ -146,3 +148,12 @@ def page_links(spark, sf_dir):
     fields = {"minPrice": F.when(k % 2 == 0, k), "minTop": F.lit(1999), "keyword": F.lit("a b"), "propertyTypeCode": F.array(F.lit("APT"), F.lit("SEMI")), "isVerified": k % 5 == 0, "sort": F.when(k % 7 == 0, "price")}
     url = search_url("https://x.example", group, 1 + k % 4, F.struct(*(c.alias(n) for n, c in fields.items())), list(fields))
     return table(spark, sf_dir, "customer").select("c_custkey", url.alias("url"))
+
+
+@query("captured_scan", "SELECT page_id, 's' || page_id % 4 AS site_dir, octet_length(encode(html)) + 1 AS bytes, html, CAST(0 AS BIGINT) AS total FROM pages WHERE length(html) > 0")
+def captured_scan(spark, sf_dir):
+    """Pages written as files, one a page, and read by the data source of captured pages, whose filters choose files before any is read."""
+    path = scratch(spark)
+    table(spark, sf_dir, "pages").select(F.concat(F.lit("s"), F.col("page_id") % 4).alias("site"), "page_id", F.col("html")).write.partitionBy("site", "page_id").text(path)
+    got = captured(spark, path, fields="site_dir,name,bytes,html,total").filter("bytes > 1 and site_dir like 's%'")
+    return got.select(F.regexp_extract("name", r"page_id=(\d+)/", 1).cast("bigint").alias("page_id"), "site_dir", "bytes", F.rtrim("html", F.lit("\n")).alias("html"), "total")
