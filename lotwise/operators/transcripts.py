@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import MOST_STEP
+
 STEPS = ("reasoning", "tool", "error")
 
 
@@ -98,16 +100,26 @@ def unframed(frames: DataFrame, frame: str, *keep: str) -> DataFrame:
     return got.filter("e.type is not null").select(*keep, F.col("e.type").alias("kind"), F.col("e.content").alias("content"))
 
 
+#: What a failed turn without a reason says, what one that ended well says, and the most characters of a reason.
+NO_REASON, COMPLETE, MOST_REASON = "The assistant could not finish this turn.", "complete", 1000
+
+
 def mapped_events(events: DataFrame, session: str = "session", order: str = "seq") -> DataFrame:
-    """Raw events as the reader sees them: deltas as they come, a full text only where no delta was seen before it, a tool
-    once per id, the end as status or error."""
+    """Raw events (``kind``, ``tool_id``, ``content``, ``failed``, ``subtype``) as the reader sees them, by the rules of ``streaming.acts.TurnMapper``: fragments
+    that say something as they come, a full text, trimmed, only where no such fragment came before it, a tool once per id, the end as status or as an error
+    with its reason (one that only repeats the subtype is none). Events of other kinds are left out."""
+    kind, content = F.col("kind"), F.coalesce("content", F.lit(""))
+    plain = F.regexp_replace(content, r"(?U)^\s+|\s+$", "")
     w = Window.partitionBy(session).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    deltas = F.coalesce(F.max((F.col("kind") == "text_delta").cast("int")).over(w), F.lit(0)) > 0
+    fragments = F.coalesce(F.max(((kind == "text_delta") & (content != "")).cast("int")).over(w), F.lit(0)) > 0
     tools = Window.partitionBy(session, "kind", "tool_id").orderBy(order)
-    seen = events.withColumn("__deltas", deltas).withColumn("__nth", F.row_number().over(tools))
-    kept = seen.filter(~((F.col("kind") == "text_full") & F.col("__deltas")) & ~((F.col("kind") == "tool") & (F.col("__nth") > 1)))
-    kind = F.when(F.col("kind").isin("text_delta", "text_full"), "text").when(F.col("kind") == "thinking_delta", "reasoning").when(F.col("kind") == "result", F.when(F.col("failed"), "error").otherwise("status")).otherwise(F.col("kind"))
-    return kept.withColumn("kind", kind).drop("__deltas", "__nth")
+    seen = events.withColumn("__fragments", fragments).withColumn("__nth", F.row_number().over(tools))
+    kept = F.when(kind.isin("text_delta", "thinking_delta"), content != "").when(kind == "text_full", ~F.col("__fragments") & (plain != "")).when(kind == "tool", F.col("__nth") == 1).otherwise(kind == "result")
+    failed = F.coalesce("failed", F.lit(False))
+    reason = F.when((plain == "") | plain.eqNullSafe(F.col("subtype")), NO_REASON).otherwise(F.substring(plain, 1, MOST_REASON))
+    what = F.when(kind.isin("text_delta", "text_full"), "text").when(kind == "thinking_delta", "reasoning").when(kind == "tool", "tool").otherwise(F.when(failed, "error").otherwise("status"))
+    says = F.when(kind == "text_full", plain).when(kind == "tool", F.substring(content, 1, MOST_STEP)).when(kind == "result", F.when(failed, reason).otherwise(COMPLETE)).otherwise(content)
+    return seen.filter(F.coalesce(kept, F.lit(False))).select(*(says.alias("content") if c == "content" else what.alias("kind") if c == "kind" else F.col(c) for c in events.columns))
 
 
 #: A tag of up to nine characters, nine characters that can't be one any more, plain text, or an open end.

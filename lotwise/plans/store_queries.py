@@ -221,17 +221,27 @@ def running_prose_length(spark, sf_dir):
     return T.so_far_length(prose(spark, sf_dir), "user_id", "event_id").select("user_id", "event_id", "length_so_far")
 
 
-MAPPED = """WITH e AS (SELECT user_id, event_id, value, CASE event_type WHEN 'view' THEN 'text_delta' WHEN 'click' THEN 'text_full' WHEN 'signup' THEN 'thinking_delta' WHEN 'purchase' THEN 'tool' ELSE 'result' END AS kind, regexp_extract(props, '"k":\\s*(\\d+)', 1) AS k FROM events),
- m AS (SELECT *, coalesce(max(CASE WHEN kind = 'text_delta' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS seen, row_number() OVER (PARTITION BY user_id, kind, k ORDER BY event_id) AS nth FROM e)
-SELECT user_id, event_id, CASE WHEN kind IN ('text_delta', 'text_full') THEN 'text' WHEN kind = 'thinking_delta' THEN 'reasoning' WHEN kind = 'result' THEN CASE WHEN value > 50 THEN 'error' ELSE 'status' END ELSE kind END AS kind, k AS tool_id
-FROM m WHERE NOT (kind = 'text_full' AND seen > 0) AND NOT (kind = 'tool' AND nth > 1)"""
+RAW_CONTENT = """CASE kind WHEN 'text_delta' THEN CASE WHEN event_id % 5 = 0 THEN '' ELSE k END WHEN 'text_full' THEN CASE WHEN event_id % 5 = 1 THEN '  ' ELSE ' ' || k || ' ' END WHEN 'thinking_delta' THEN CASE WHEN event_id % 5 <> 0 THEN k END
+   WHEN 'tool' THEN CASE WHEN event_id % 5 = 2 THEN repeat(k || '-', 150) ELSE k END ELSE CASE event_id % 3 WHEN 0 THEN '' WHEN 1 THEN ' over ' ELSE k END END"""
+MAPPED = f"""WITH e AS (SELECT user_id, event_id, value, CASE event_type WHEN 'view' THEN 'text_delta' WHEN 'click' THEN 'text_full' WHEN 'signup' THEN 'thinking_delta' WHEN 'purchase' THEN 'tool' ELSE 'result' END AS kind, regexp_extract(props, '"k":\\s*(\\d+)', 1) AS k FROM events),
+ c AS (SELECT *, {RAW_CONTENT} AS content FROM e),
+ m AS (SELECT *, coalesce(max(CASE WHEN kind = 'text_delta' AND content <> '' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS seen, row_number() OVER (PARTITION BY user_id, kind, k ORDER BY event_id) AS nth FROM c),
+ mapped AS (SELECT user_id, event_id, k AS tool_id, CASE kind WHEN 'text_delta' THEN 'text' WHEN 'text_full' THEN 'text' WHEN 'thinking_delta' THEN 'reasoning' WHEN 'tool' THEN 'tool' ELSE CASE WHEN value > 50 THEN 'error' ELSE 'status' END END AS kind,
+   CASE kind WHEN 'text_full' THEN trim(content) WHEN 'tool' THEN substr(content, 1, 300) WHEN 'result' THEN CASE WHEN value > 50 THEN CASE WHEN trim(content) IN ('', 'over') THEN '{T.NO_REASON}' ELSE trim(content) END ELSE 'complete' END ELSE content END AS content
+   FROM m WHERE CASE kind WHEN 'text_delta' THEN content <> '' WHEN 'text_full' THEN seen = 0 AND trim(content) <> '' WHEN 'thinking_delta' THEN coalesce(content, '') <> '' WHEN 'tool' THEN nth = 1 ELSE true END)"""
+
+
+def raw_turns(events):
+    """Events as the raw ones of a conversation: some fragments are empty, some texts blank, some steps long, some reasons none."""
+    kind = F.when(F.col("event_type") == "view", "text_delta").when(F.col("event_type") == "click", "text_full").when(F.col("event_type") == "signup", "thinking_delta").when(F.col("event_type") == "purchase", "tool").otherwise("result")
+    k = F.regexp_extract("props", r'"k":\s*(\d+)', 1)
+    rows = events.select(F.col("user_id").cast("string").alias("session"), F.col("event_id").alias("seq"), "event_id", kind.alias("kind"), k.alias("k"), (F.col("value") > 50).alias("failed"))
+    return rows.select("session", "seq", "kind", F.col("k").alias("tool_id"), F.expr(RAW_CONTENT).alias("content"), "failed", F.lit("over").alias("subtype"))
 
 
-@query("event_mapping", MAPPED)
+@query("event_mapping", MAPPED + " SELECT CAST(user_id AS VARCHAR) AS session, event_id AS seq, kind, tool_id, content FROM mapped")
 def event_mapping(spark, sf_dir):
-    kind = F.when(F.col("event_type") == "view", "text_delta").when(F.col("event_type") == "click", "text_full").when(F.col("event_type") == "signup", "thinking_delta").when(F.col("event_type") == "purchase", "tool").otherwise("result")
-    raw = H.actions(spark, sf_dir).select("user_id", "event_id", kind.alias("kind"), F.col("k").alias("tool_id"), (F.col("value") > 50).alias("failed"))
-    return T.mapped_events(raw, "user_id", "event_id").select("user_id", "event_id", "kind", "tool_id")
+    return T.mapped_events(raw_turns(table(spark, sf_dir, "events"))).select("session", "seq", "kind", "tool_id", "content")
 
 
 def act_events(rows):
@@ -268,13 +278,10 @@ def event_stream_availablenow(spark, sf_dir):
     return rows.groupBy("session", "kind").agg(joined.alias("content"))
 
 
-@query("turn_stream_availablenow", f"""{MAPPED.replace('SELECT user_id, event_id, CASE WHEN kind IN', 'SELECT CAST(user_id AS VARCHAR) AS session, event_id AS seq, CASE WHEN kind IN').replace("THEN 'text'", "THEN 'message'").replace(', k AS tool_id', ", CASE WHEN kind = 'result' THEN CASE WHEN value > 50 THEN k ELSE 'complete' END ELSE k END AS content")}""")
+@query("turn_stream_availablenow", MAPPED + " SELECT CAST(user_id AS VARCHAR) AS session, event_id AS seq, CASE kind WHEN 'text' THEN 'message' ELSE kind END AS kind, content FROM mapped")
 def turn_stream_availablenow(spark, sf_dir):
-    """Mapping and splitting as one stateful stream over raw events."""
-    kind = F.when(F.col("event_type") == "view", "text_delta").when(F.col("event_type") == "click", "text_full").when(F.col("event_type") == "signup", "thinking_delta").when(F.col("event_type") == "purchase", "tool").otherwise("result")
-    k = F.regexp_extract("props", r'"k":\s*(\d+)', 1)
-    raw = stream_table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("session"), F.col("event_id").alias("seq"), kind.alias("kind"), k.alias("tool_id"), k.alias("content"), (F.col("value") > 50).alias("failed"))
-    return run_available(turn_stream(raw, idle_ms=None), spark, scratch(spark)).drop("part")
+    """Mapping and splitting as one stateful stream over raw events, by the rules of the batch form."""
+    return run_available(turn_stream(raw_turns(stream_table(spark, sf_dir, "events")), idle_ms=None), spark, scratch(spark)).drop("part")
 
 
 @query("tools_once_stream", """SELECT DISTINCT CAST(user_id AS VARCHAR) AS session, regexp_extract(props, '"k":\\s*(\\d+)', 1) AS tool_id FROM events""")
