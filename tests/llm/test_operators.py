@@ -152,7 +152,7 @@ def test_quality_of_rows_in_neither_fit_nor_calibration(spark):
     folder = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
     model = quality.fit_quality(docs, labels, most_labelled=1200)
-    assert len(model.taught) == quality.ROUNDS and all(t[1] > 0 for t in model.taught)
+    assert len(model.taught) == quality.ROUNDS and all(t[0] > 0 and t[1] > 0 for t in model.taught)
     used = quality.labelled_sample(labels, most_labelled=1200).select(F.col("id").alias("doc_id"))
     got = quality.score_quality(docs, model).join(labels, "doc_id").join(used, "doc_id", "left_anti").collect()
     assert len(got) > 500
@@ -160,17 +160,60 @@ def test_quality_of_rows_in_neither_fit_nor_calibration(spark):
     assert sum(r.keep for r in got if r.quality == 1) / sum(r.quality for r in got) > 0.99
 
 
+def bounds_prior(features):
+    known = [r.label for r in features.filter("label >= 0 and fold = 0").groupBy("id").agg(F.min("label").alias("label")).collect()]
+    return float(np.clip(np.mean(known), 1e-3, 1 - 1e-3))
+
+
+def test_a_pupil_that_is_surer_is_not_taught_the_other_label():
+    b = quality.Bounds(last=quality.BINS // 2 - 1, first=quality.BINS // 2, worth=(1.0, 1.0))
+    teacher, pupil = np.array([3.0, 3.0, 3.0, -3.0, -3.0, -3.0]), np.array([-4.0, -2.0, 9.0, 4.0, 2.0, -9.0])
+    zero, one = quality.taught_rows(teacher, pupil, b)
+    assert one.tolist() == [False, True, True, False, False, False] and zero.tolist() == [False, False, False, False, True, True]
+
+
+def test_bounds_of_what_a_view_teaches():
+    counts = np.zeros(quality.BINS, np.int64)
+    middle = quality.BINS // 2
+    counts[[5, 9, middle - 1, middle, middle + 7, middle + 90]] = [3, 10, 100, 1000, 50, 40]
+    b = quality.taught_bounds(counts, 0.9)  # 12 rows of label 0 and 108 of label 1: the bins until then
+    assert (b.last, b.first) == (9, middle) and b.worth[0] > 0.99 and b.worth[1] == 0  # even odds are less than a prior of 0.9
+    b = quality.taught_bounds(counts, 0.2)
+    assert (b.last, b.first) == (middle - 1, middle + 90) and 0 < b.worth[1] < 1
+    b = quality.taught_bounds(np.zeros(quality.BINS, np.int64), 0.5)
+    assert (b.last, b.first, b.worth) == (middle - 1, middle, (0.0, 0.0))
+
+
+@pytest.mark.parametrize("sf", ["0.01", "0.1"])
+def test_both_views_teach_in_every_round(spark, sf):
+    """An exchange that one view only takes part in is none."""
+    folder = f"/root/testdata/sf{sf}"
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    taught = quality.fit_quality(docs, labels).taught
+    assert len(taught) == quality.ROUNDS and all(min(t) > 0 for t in taught), taught
+
+
 def test_taught_rows_are_added_up_as_if_in_one_place(spark, documents, data):
     """The executors' sums equal those over all rows in memory, however the rows are split."""
     labels = spark.read.parquet(f"{data}/labels.parquet")
     seen, real = [], quality._taught_sums
 
-    def spy(features, views, pupils):
+    def spy(features, views, bounds, pupils):
         rows = quality._matrices(features.filter("label < 0").select("text_f", "meta_f").toArrow())
-        got = real(features.repartition(5), views, pupils)
+        got = real(features.repartition(5), views, bounds, pupils)
+        for v, counts in enumerate(quality._histograms(features.repartition(3), views)):
+            assert (counts == np.bincount(quality.logit_bins(views[v].logit(rows[v])), minlength=quality.BINS)).all()
+            assert bounds[v] == quality.taught_bounds(counts, bounds_prior(features))
         for v, pupil in enumerate(pupils):
             p = quality.sigmoid(views[1 - v].logit(rows[1 - v]))
-            for label, sure in enumerate((p <= 1 - quality.SURE, p >= quality.SURE)):
+            own, b = views[v].logit(rows[v]), bounds[1 - v]
+            for label, sure in enumerate(quality.taught_rows(views[1 - v].logit(rows[1 - v]), own, b)):
+                assert not sure.any() or (p[sure] > 0.49 if label else p[sure] < 0.51).all()
+                others = (p < 0.5) & (own <= 0) if not label else (p > 0.5) & (own >= 0)  # the pupil doesn't contradict
+                surer = p[sure].max() if not label and sure.any() else p[sure].min() if sure.any() else None
+                if surer is not None:  # whoever isn't taught is not surer than who is
+                    rest = p[others & ~sure]
+                    assert (rest >= surer - 1e-9).all() if not label else (rest <= surer + 1e-9).all()
                 gradient, curvature = pupil.sums(rows[v][sure], float(label))
                 n, g, c = got[v][label]
                 assert n == sure.sum() and np.allclose(g, gradient) and np.allclose(c, curvature)
