@@ -11,6 +11,7 @@ from __future__ import annotations
 import math
 import random
 import re
+from collections import Counter
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,6 +33,8 @@ ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 #: Least mean log-likelihood ratio of a secret, in nats a character: twice the least tenth that no ordinary string of part 1 of
 #: ``labelled_strings`` reaches (0.4), since words of other languages than English score higher.
 THRESHOLD = 0.8
+#: How far an ordinary string predicts itself.
+REPEATS = 0.3
 #: Words that ordinary identifiers are made of. Of four, one is for the choice of the threshold and one for tests.
 PLAIN_WORDS = (
     "account address after agua alert amigo answer array asset aujourd beaucoup bedeutung bench block border bridge buffer bureau button calendar camino channel chart chemin child ciudad class client cluster collection complete connect contact content control copy country dashboard date default delivery derecho design device digest driver editor einheit ejemplo email enable entry entwicklung escuela event exchange fahrzeug feuille filter finish flag folder footer forward freundschaft function geschichte gesellschaft gobierno gouvernement growth header height herkunft heureux history home hour icon instance island izquierda jeunesse journal kirche label large layout lectura length list location lumiere machine maison market matrix mayor memory mercado message money month mount moyenne mujer music nachricht network niveau noche node number oiseau order output package panel parser password pattern pflicht plan point pool port posible power price private public pueblo quality quelque question quick range reader region reset response return richtung right road root sample schule script season section sender server servicio session share siempre social space stage start station stock store strasse supplier switch system tambien target team tenant test tool total toujours trabajo traffic travail tree type update user verbindung versicherung volume watch week widget window wirtschaft wissenschaft worker writer zeitung zwischen"
@@ -63,7 +66,34 @@ def labelled_strings(part: int, per_class: int = 4000) -> tuple[list[str], list[
                 f"{date}T{rnd.randint(0, 23):02}-{rnd.randint(0, 59):02}-{rnd.randint(0, 59):02}-{digits(3)}Z", digits(rnd.randint(16, 24)), digits(rnd.choice((1, 2))) + "0" * rnd.randint(14, 20), f"{date}/{parts[0]}/{digits(4)}", f"{parts[0]}-{digits(6)}-{digits(4)}", f"{'-'.join(parts)}-{date}", rnd.choice("-=_") * rnd.randint(16, 60), f"v{digits(1)}_{digits(2)}_{digits(1)}-{parts[0]}-{parts[1]}", f"{digits(3)}-{digits(4)}-{digits(4)}-{digits(4)}", f"{parts[0]}/{digits(4)}/{digits(2)}/{digits(2)}/{'-'.join(parts[1:])}",
             )[n % 18]
         )
-    return secret, plain
+    return secret, plain + regular_strings(rnd, words, per_class // 2)
+
+
+#: Short parts of product, host and file names, and rows of keys.
+NAME_PARTS = "b2b k8s ec2 s3 x86 h264 mp4 utf8 i18n aws gcp saas sdk api v2 ipv6 sha2 web3 mp3 t5 a11y e2e db2 c3 r2 p2p us1 eu2 srv01 node12 cpu4 gpu8 rev3 b12 q4 fy24 xl pro max mini usb3 hdmi2".split()
+KEY_ROWS = ("qwertyuiop", "asdfghjkl", "zxcvbnm", "qwertzuiop", "azertyuiop", "1234567890", "0123456789", "abcdefghijklmnopqrstuvwxyz")
+
+
+def regular_strings(rnd: random.Random, words: list[str], n: int) -> list[str]:
+    """Ordinary strings without words, or with drawn-out ones: one character over and over, short units repeated, alphabets and rows of keys,
+    sequence data, and names of products, hosts and files."""
+    any_of = lambda s, low, high: "".join(rnd.choices(s, k=rnd.randint(low, high)))
+    digits = lambda k: any_of("0123456789", k, k)
+    out = []
+    for k in range(n):
+        row = rnd.choice(KEY_ROWS)
+        if rnd.random() < 0.5:
+            row = row[::-1] if rnd.random() < 0.3 else row.upper()
+        word = rnd.choice(words)
+        at = rnd.randrange(len(word))
+        out.append(
+            (
+                rnd.choice(ALPHABET) * rnd.randint(16, 60), any_of(ALPHABET, 2, 5) * 30, (row * 6)[rnd.randrange(5) :], any_of("ACGT", 16, 60), any_of(rnd.choice(("acgt", "ACGU", "01", "XO", "GATC")), 16, 60),
+                "-".join(rnd.choices(NAME_PARTS, k=rnd.randint(5, 9))), "-".join(x for pair in zip(rnd.choices(NAME_PARTS, k=3), rnd.choices(words, k=3), strict=True) for x in pair), word[:at] + word[at] * rnd.randint(12, 30) + word[at:],
+                f"{rnd.choice(('IMG', 'DSC', 'VID', 'PXL', 'Screenshot', 'scan', 'WA'))}_20{digits(2)}{rnd.randint(1, 12):02}{rnd.randint(1, 28):02}_{digits(6)}", "".join(w[: rnd.randint(2, 5)].title() for w in rnd.choices(words, k=6)), f"{word}_{rnd.choice(words)}_{digits(4)}-{digits(2)}_v{digits(1)}_final", "".join(x * rnd.randint(1, 4) for x in word) * 3,
+            )[k % 12][:60]
+        )
+    return [s for s in out if len(s) >= 16]
 
 
 def training_samples(per_class: int = 4000) -> tuple[list[str], list[str]]:
@@ -94,12 +124,20 @@ class SecretScanner:
     def __init__(self, samples: tuple[list[str], list[str]] | None = None, threshold: float = THRESHOLD):
         secret, plain = samples or training_samples()
         self.secret, self.plain, self.threshold = MarkovModel(secret), MarkovModel(plain), threshold
-        self.ratio = {pair: self.secret.log[pair] - self.plain.log[pair] for pair in self.secret.log}
+        self.likely = {pair: math.exp(log) for pair, log in self.plain.log.items()}
 
     def likelihood_ratio(self, run: str) -> float:
-        """Mean log-likelihood ratio of a run: above 0 it is rather random than ordinary."""
-        ratio = self.ratio
-        return (ratio[run[0]] + sum(ratio[run[i : i + 2]] for i in range(len(run) - 1))) / len(run)
+        """Mean log-likelihood ratio of a run: above 0 it is rather random than ordinary. Ordinary strings may repeat themselves: where a character came
+        before in the run, REPEATS of its next one's probability is what followed it there."""
+        total = self.secret.log[run[0]] - self.plain.log[run[0]]
+        follows: Counter = Counter()
+        for pair in map("".join, zip(run, run[1:], strict=False)):
+            a = pair[0]
+            likely = self.likely[pair] if not follows[a] else (1 - REPEATS) * self.likely[pair] + REPEATS * follows[pair] / follows[a]
+            total += self.secret.log[pair] - math.log(likely)
+            follows[pair] += 1
+            follows[a] += 1
+        return total / len(run)
 
     def base(self, text: str) -> list[tuple[int, int, int]]:
         found = []
