@@ -91,11 +91,21 @@ def _overview() -> list[Column]:
 def unit_order(rows: DataFrame, arrival: Sequence[str]) -> DataFrame:
     """Places of units: ``unit_place`` within their type (no price first), ``flat_place`` within the property (no price last)."""
     keyed = rows.withColumn("property_key", property_key(F.col("property_id"), F.col("listing_id")))
-    units = Window.partitionBy("property_key", F.coalesce("bedrooms", F.lit(0))).orderBy(F.coalesce("price", F.lit(0)), *arrival)
-    flat = Window.partitionBy("property_key").orderBy(truthy(F.col("price")).asc_nulls_last(), *arrival)
+    units = Window.partitionBy("property_key", F.coalesce("bedrooms", F.lit(0))).orderBy(*within_type(arrival))
+    flat = Window.partitionBy("property_key").orderBy(*within_property(arrival))
     return keyed.withColumn("unit_place", F.row_number().over(units)).withColumn("flat_place", F.row_number().over(flat))
 
 
+def within_type(arrival: Sequence[str]) -> list:
+    """The order of units of one type: by price, no price first."""
+    return [F.coalesce("price", F.lit(0)), *arrival]
+
+
+def within_property(arrival: Sequence[str]) -> list:
+    """The order of units of one property: by price, no price last."""
+    return [truthy(F.col("price")).asc_nulls_last(), *arrival]
+
+
 def top_units(rows: DataFrame, arrival: Sequence[str], n: int = 10) -> DataFrame:
     """The n cheapest units of each property with their place, and how many more there are."""
     keyed = rows.withColumn("property_key", property_key(F.col("property_id"), F.col("listing_id")))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import first_of, tenure_label
 from ..operators import listings as L
+from ..operators.spread import medians, ranked
 from ..operators import search_pages as G
 from ..operators import stores as S
 from . import hosts as H
@@ -47,13 +48,31 @@ def property_group(spark, sf_dir):
     return L.properties(H.units(spark, sf_dir), H.ARRIVAL).orderBy("price_min", "name", "property_key")
 
 
-@query("unit_order", f"""WITH {H.UNITS} SELECT listing_id, property_key,
+UNIT_ORDER = f"""WITH {H.UNITS} SELECT listing_id, property_key,
   CAST(row_number() OVER (PARTITION BY property_key, coalesce(bedrooms, 0) ORDER BY coalesce(price, 0), {H.ORDER}) AS INTEGER) AS unit_place,
-  CAST(row_number() OVER (PARTITION BY property_key ORDER BY nullif(price, 0) NULLS LAST, {H.ORDER}) AS INTEGER) AS flat_place FROM unit""")
+  CAST(row_number() OVER (PARTITION BY property_key ORDER BY nullif(price, 0) NULLS LAST, {H.ORDER}) AS INTEGER) AS flat_place FROM unit"""
+
+
+@query("unit_order", UNIT_ORDER)
 def unit_order(spark, sf_dir):
     return L.unit_order(H.units(spark, sf_dir), H.ARRIVAL).select("listing_id", "property_key", "unit_place", "flat_place")
 
 
+@query("unit_order_spread", UNIT_ORDER)
+def unit_order_spread(spark, sf_dir):
+    """The same places with a property of any size spread over many tasks."""
+    units = H.units(spark, sf_dir).withColumn("rooms", F.coalesce("bedrooms", F.lit(0)))
+    slim = units.select("property_key", "rooms", "price", *H.ARRIVAL)
+    return ranked(ranked(slim, ["property_key", "rooms"], L.within_type(H.ARRIVAL), "unit_place"), ["property_key"], L.within_property(H.ARRIVAL), "flat_place").select("listing_id", "property_key", "unit_place", "flat_place")
+
+
+@query("median_sizes_spread", f"""WITH {H.UNITS} SELECT district, grp, CAST(round_even(median(nullif(floor_area, 0)), 0) AS BIGINT) AS typical_sqft FROM unit GROUP BY district, grp""")
+def median_sizes_spread(spark, sf_dir):
+    """Exact medians of large groups: a district and group has a share of all units."""
+    return medians(H.units(spark, sf_dir), ["district", "grp"], F.nullif("floor_area", F.lit(0)), "typical_sqft")
+
+
+
 @query("top10_units_with_remainder", f"""WITH {H.UNITS},
  ranked AS (SELECT property_key, listing_id, price, CAST(row_number() OVER (PARTITION BY property_key ORDER BY nullif(price, 0) NULLS LAST, {H.ORDER}) AS INTEGER) AS place, count(*) OVER (PARTITION BY property_key) AS n FROM unit)
 SELECT property_key, listing_id, price, place, greatest(n - 10, 0) AS remainder FROM ranked WHERE place <= 10""")
