@@ -206,8 +206,12 @@ SORT_COLUMNS = {"date": "listed_at", "price": "price", "psf": "psf", "size": "fl
 
 def ordered_by(rows: DataFrame, sort: str = "date", order: str = "desc", tie: Sequence[str] = ("listing_id",)) -> DataFrame:
     """Rows in one of the orders of a source, the newest first by default; missing values come last."""
+    return rows.orderBy(*order_of(sort, order, tie))
+
+
+def order_of(sort: str = "date", order: str = "desc", tie: Sequence[str] = ("listing_id",)) -> list:
     column = F.col(SORT_COLUMNS[sort])
-    return rows.orderBy(column.asc_nulls_last() if order == "asc" else column.desc_nulls_last(), *tie)
+    return [column.asc_nulls_last() if order == "asc" else column.desc_nulls_last(), *tie]
 
 
 def split_photos(rows: DataFrame, key: str = "listing_id", photos: str = "photos") -> tuple[DataFrame, DataFrame]:

@@ -43,6 +43,35 @@ def _numbered(rows: DataFrame, section: str, order: list, start: int) -> DataFra
     return rows.select(F.lit(section).alias("section"), (F.row_number().over(Window.orderBy(*order)) + start).alias("ord"), "text")
 
 
+def keyed_report(entries: DataFrame, readers: DataFrame, key: str, title: Column, none: str, order: list) -> DataFrame:
+    """One row a reader (``key``, ``text``, ``lines``): a heading (a column over ``key`` and ``n``, the number of lines) and a line an entry (``text``), in
+    order, or one line that there is none. A report is as long as its reader's own entries; readers are grouped like any key."""
+    numbered = entries.select(key, F.row_number().over(Window.partitionBy(key).orderBy(*order)).alias("ord"), "text")
+    lines = numbered.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("ord", "text"))).alias("t"), F.count("*").alias("n"))
+    body = F.concat(title, F.lit("\n"), F.array_join(F.transform("t", lambda x: x["text"]), "\n"))
+    return readers.select(key).distinct().join(lines, key, "left").select(key, F.coalesce(body, F.lit(none)).alias("text"), (F.coalesce("n", F.lit(0)) + 1).alias("lines"))
+
+
+def phase_text(phase: Column, status: Column, error: Column) -> Column:
+    """What a search says that has no results to show; null for one that has."""
+    return (
+        F.when(phase == "running", F.concat(F.lit("The scrape is running: "), F.coalesce(F.nullif(status, F.lit("")), F.lit("starting")), F.lit(".")))
+        .when(phase == "failed", F.concat(F.lit("The scrape failed: "), F.coalesce(F.nullif(error, F.lit("")), F.lit("no reason was given")), F.lit(".")))
+        .when(phase == "cancelled", "The user cancelled this search before it finished, so there are no results.")
+        .when(phase == "expired", "These results have expired and are no longer available.")
+    )
+
+
+def filters_text(filters: Column) -> Column:
+    return F.when(F.coalesce(filters, F.lit("")) != "", F.concat(F.lit("The filters that ran this search: "), filters)).otherwise("The filters that ran this search are not on record. Do not guess at them.")
+
+
+def phase_reports(jobs: DataFrame, key: str) -> DataFrame:
+    """Per job without results to show (``phase``, ``status``, ``error``, ``filters``): its two sections."""
+    said = jobs.select(key, phase_text(F.col("phase"), F.col("status"), F.col("error")).alias("phase"), filters_text(F.col("filters")).alias("filters")).filter("phase is not null")
+    return said.select(key, F.inline(F.array(F.struct(F.lit("1 phase").alias("section"), F.col("phase").alias("text")), F.struct(F.lit("2 filters").alias("section"), F.col("filters").alias("text")))))
+
+
 def _headed(entries: DataFrame, section: str, title: str, none: str, order: list) -> DataFrame:
     """A heading and one line an entry, or one line that there is none. ``entries`` has ``text``."""
     head = entries.agg(F.count("*").alias("n")).select(F.lit(section).alias("section"), F.lit(0).alias("ord"), F.when(F.col("n") == 0, F.lit(none)).otherwise(F.concat(F.lit(title), F.lit(""))).alias("text"))
@@ -69,15 +98,10 @@ def result_report(phase: dict, props: DataFrame, units: DataFrame, arrival: list
     aren't hidden; the entries have ``scope``, ``id``, ``label`` and ``created_at``."""
     spark = props.sparkSession
     line = lambda section, text: spark.range(1).select(F.lit(section).alias("section"), F.lit(0).alias("ord"), F.lit(text).alias("text"))
-    filters = f"The filters that ran this search: {phase['filters']}" if phase.get("filters") else "The filters that ran this search are not on record. Do not guess at them."
-    stopped = {
-        "running": f"The scrape is running: {phase.get('status') or 'starting'}.",
-        "failed": f"The scrape failed: {phase.get('error') or 'no reason was given'}.",
-        "cancelled": "The user cancelled this search before it finished, so there are no results.",
-        "expired": "These results have expired and are no longer available.",
-    }
-    if phase["phase"] in stopped:
-        return report(line("1 phase", stopped[phase["phase"]]).union(line("2 filters", filters)))
+    if phase["phase"] != "done":
+        job = spark.createDataFrame([(0, phase["phase"], phase.get("status"), phase.get("error"), phase.get("filters"))], "job int, phase string, status string, error string, filters string")
+        return report(phase_reports(job, "job").select("section", F.lit(0).alias("ord"), "text"))
+    filters = line("2 filters", phase.get("filters")).withColumn("text", filters_text(F.col("text").cast("string")))
     saved = (
         f'These results are the saved search "{phase["name"]}", so hiding, unhiding or bookmarking anything updates it straight away.'
         if phase.get("name")
@@ -111,7 +135,7 @@ def result_report(phase: dict, props: DataFrame, units: DataFrame, arrival: list
         _headed(always.withColumn("text", entity_text()), "9 always hidden", "Always hidden items in these results, left out of every search rather than only this one:", "Always hidden items in these results: none.", order),
         _headed(bookmarked.withColumn("text", entity_text(False)), "A bookmarked", "Bookmarked properties in these results, pinned to the top in this order:", "Bookmarked properties in these results: none.", order),
     ]
-    return report(reduce(DataFrame.union, [done, line("2 filters", filters), line("3 saved", saved), screen, property_rows, here, fresh, *entries]))
+    return report(reduce(DataFrame.union, [done, filters, line("3 saved", saved), screen, property_rows, here, fresh, *entries]))
 
 
 def _plural(n: Column, one: str, many: str) -> Column:
@@ -123,13 +147,14 @@ def last_run(at: Column, now: int) -> Column:
     return F.when(F.coalesce(at, F.lit(0)) == 0, F.lit("Never run")).otherwise(F.concat(F.lit("Last run "), day_label(at, now, "on ")))
 
 
-def saved_search_report(saved: DataFrame, now: int) -> DataFrame:
-    """A line for each saved search (``search_id``, ``name``, ``full``, ``hidden``, ``bookmarked``, ``last_run_at``, ``created_at``), newest first."""
+def saved_search_report(saved: DataFrame, readers: DataFrame, key: str, now: int) -> DataFrame:
+    """For each reader a line for each of their saved searches (``key``, ``search_id``, ``name``, ``full``, ``hidden``, ``bookmarked``, ``last_run_at``,
+    ``created_at``), newest first."""
     text = F.concat(
         F.lit("- "), F.col("name"), F.lit(" (savedSearchId "), F.col("search_id").cast("string"), F.lit("): "), F.col("full"), F.lit(", hiding "), _plural(F.col("hidden"), "item", "items"),
         F.lit(", bookmarking "), _plural(F.col("bookmarked"), "property", "properties"), F.lit(". "), last_run(F.col("last_run_at"), now), F.lit("."),
     )
-    return report(_headed(saved.withColumn("text", text), "saved", "Saved searches:", "Saved searches: none.", [F.desc("created_at"), F.col("search_id")]))
+    return keyed_report(saved.withColumn("text", text), readers, key, F.lit("Saved searches:"), "Saved searches: none.", [F.desc("created_at"), F.col("search_id")])
 
 
 def shortlist_lines(entries: DataFrame, props: DataFrame, arrival: list[str], now: int) -> DataFrame:
@@ -141,11 +166,10 @@ def shortlist_lines(entries: DataFrame, props: DataFrame, arrival: list[str], no
     return props.join(texts, "property_key").select("property_key", "shortlisted_at", text.alias("text"))
 
 
-def always_hidden_report(entities: DataFrame) -> DataFrame:
-    """The entries hidden in every search, newest first."""
-    rows = entities.withColumn("text", entity_text())
-    head = rows.agg(F.count("*").alias("n")).select(F.lit("always hidden").alias("section"), F.lit(0).alias("ord"), F.when(F.col("n") == 0, F.lit("Nothing is always hidden.")).otherwise(F.concat(F.lit("Always hidden: "), F.col("n").cast("string"), F.lit(" items, newest first."))).alias("text"))
-    return report(head.union(_numbered(rows, "always hidden", [F.desc("created_at"), F.col("scope"), F.col("id")], 0)))
+def always_hidden_report(entities: DataFrame, readers: DataFrame, key: str) -> DataFrame:
+    """For each reader the entries that they hide in every search, newest first."""
+    title = F.concat(F.lit("Always hidden: "), F.col("n").cast("string"), F.lit(" items, newest first."))
+    return keyed_report(entities.withColumn("text", entity_text()), readers, key, title, "Nothing is always hidden.", [F.desc("created_at"), F.col("scope"), F.col("id"), F.col("label")])
 
 
 def hidden_table(here: DataFrame, always: DataFrame) -> DataFrame:

@@ -226,11 +226,9 @@ def photo_split(spark, sf_dir):
     return slim.join(side, "listing_id", "left").select("listing_id", F.col("photo_count").cast("bigint").alias("photo_count"), F.explode_outer("photos").alias("photo"))
 
 
-@query("source_order", f"WITH {H.UNITS} SELECT listing_id, psf, CAST(row_number() OVER (ORDER BY psf DESC NULLS LAST, listing_id) AS BIGINT) AS place FROM unit ORDER BY psf DESC NULLS LAST, listing_id LIMIT 100")
+@query("source_order", f"WITH {H.UNITS} SELECT listing_id, psf, CAST(row_number() OVER (ORDER BY psf DESC NULLS LAST, listing_id) AS BIGINT) AS place FROM unit")
 def source_order(spark, sf_dir):
-    """The first hundred units by rate, the highest first."""
-    from pyspark.sql import Window
-
-    first = L.ordered_by(H.units(spark, sf_dir).select("listing_id", "psf"), "psf").limit(100)
-    return first.withColumn("place", F.row_number().over(Window.orderBy(F.col("psf").desc_nulls_last(), "listing_id")).cast("bigint"))  # of a hundred rows
+    """All units by rate, the highest first, with their places: one group of all rows, spread over all tasks."""
+    units = H.units(spark, sf_dir).select("listing_id", "psf", F.lit(1).alias("all"))
+    return ranked(units, ["all"], L.order_of("psf"), "place").drop("all")
 

@@ -2,33 +2,40 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import first_of, tenure_label
 from ..operators import listings as L
 from ..operators import reports as P
 from ..sources.sinks import scratch
+from ..sources.tables import table
 from . import hosts as H
 from .listing_queries import PROPERTY
 from .registry import query
 
 #: A screen: the properties of one district, with all their units; entries from what users did.
 SCREEN_DISTRICT = "D04"
+ONLY_HERE = f" WHERE district = '{SCREEN_DISTRICT}'"
 
 
 def _units(spark, sf_dir):
     """The screen's units, as the stored table that a finished search leaves."""
-    path = scratch(spark)
-    _screen(spark, sf_dir).write.parquet(path)
-    return spark.read.parquet(path)
+    return _stored(_labelled(H.units(spark, sf_dir).filter(F.col("district") == SCREEN_DISTRICT)))
 
 
-def _screen(spark, sf_dir):
-    return H.units(spark, sf_dir).filter(F.col("district") == SCREEN_DISTRICT).withColumn("listed_label", F.when(F.col("line") % 2 == 0, "Listed recently"))
+def _labelled(units):
+    return units.withColumn("listed_label", F.when(F.col("line") % 2 == 0, "Listed recently"))
+
+
+def _stored(units):
+    path = scratch(units.sparkSession)
+    units.write.parquet(path)
+    return units.sparkSession.read.parquet(path)
 
 
 UNIT_TEXT = "'listingId ' || listing_id || ', ' || CASE WHEN coalesce(bedrooms, 0) = 0 THEN 'Studio or unlisted' ELSE bedrooms || ' bedroom' END || ' at S$ ' || format('{:,}', price) || ', ' || CASE WHEN floor_area IS NULL THEN 'Not available' ELSE format('{:,}', floor_area) || ' sqft' END"
-SCREEN = PROPERTY + ", " + H.PROJECT + f""", here AS (SELECT *, listing_id % 50 = 1 AS short, row_number() OVER (PARTITION BY property_key ORDER BY nullif(price, 0) NULLS LAST, {H.ORDER}) AS place, count(*) OVER (PARTITION BY property_key) AS n FROM unit WHERE district = '{SCREEN_DISTRICT}'),
+SCREEN = PROPERTY + ", " + H.PROJECT + f""", here AS (SELECT *, listing_id % 50 = 1 AS short, row_number() OVER (PARTITION BY property_key ORDER BY nullif(price, 0) NULLS LAST, {H.ORDER}) AS place, count(*) OVER (PARTITION BY property_key) AS n FROM unit{ONLY_HERE}),
  lead2 AS (SELECT property_key, name, address, tenure_code FROM here QUALIFY row_number() OVER (PARTITION BY property_key ORDER BY {H.ORDER}) = 1),
  low AS (SELECT property_key, min(nullif(price, 0)) AS price_min FROM here GROUP BY property_key),
  shown AS (SELECT l.property_key, coalesce(nullif(CASE WHEN starts_with(l.property_key, 'listing:') THEN coalesce(nullif(l.address, ''), nullif(l.name, ''), '') ELSE coalesce(nullif(l.name, ''), '') END, ''), 'Unknown property') AS name, r.property_id IS NOT NULL AS found, r.top_year,
@@ -37,21 +44,30 @@ SCREEN = PROPERTY + ", " + H.PROJECT + f""", here AS (SELECT *, listing_id % 50
  facts AS (SELECT *, CASE WHEN found THEN 'TOP year ' || coalesce(CAST(top_year AS VARCHAR), 'Not available') || ', tenure ' || coalesce(nullif(tenure, ''), 'Not available') || ', ' || format('{{:,}}', total_units) || ' total units' ELSE 'project details could not be scraped' END AS facts FROM placed)"""
 
 
-def _props(units, spark, sf_dir):
-    from pyspark.sql import Window
-
+def _facts(units, spark, sf_dir):
     props = L.properties(units, H.ARRIVAL).join(H.project_records(spark, sf_dir).withColumnRenamed("property_id", "property_key").withColumnRenamed("tenure", "stated"), "property_key", "left")
     tenure, number = first_of(F.col("stated"), tenure_label(F.col("tenure_code"))), F.when(F.col("found"), F.col("property_key").try_cast("bigint"))
-    # a screen's properties, numbered in its order
-    return props.select("property_key", "name", F.coalesce("found", F.lit(False)).alias("found"), "top_year", tenure.alias("tenure"), number.alias("total_units"), F.row_number().over(Window.orderBy("price_min", "name", "property_key")).alias("place"))
+    return props.select("property_key", "name", F.coalesce("found", F.lit(False)).alias("found"), "top_year", tenure.alias("tenure"), number.alias("total_units"), "price_min")
+
+
+def _props(units, spark, sf_dir):
+    """A screen's properties, numbered in its order."""
+    return _facts(units, spark, sf_dir).withColumn("place", F.row_number().over(Window.orderBy("price_min", "name", "property_key"))).drop("price_min")
 
 
-ENTITIES = H.ACTION + """, entry AS (SELECT event_type, scope, k AS id, 'entry ' || event_id AS label, at_s AS created_at FROM action WHERE event_id % 97 = 0)"""
+ENTITIES = H.ACTION + """, every AS (SELECT event_type, user_id, scope, k AS id, 'entry ' || event_id AS label, at_s AS created_at FROM action),
+ entry AS (SELECT * FROM every WHERE id IN (SELECT property_key FROM shown) QUALIFY row_number() OVER (PARTITION BY event_type, scope, id ORDER BY created_at DESC, label) = 1)"""
 
 
-def _entries(spark, sf_dir, kind):
-    a = H.actions(spark, sf_dir).filter(F.col("event_id") % 97 == 0).filter(F.col("event_type") == kind)
-    return a.select("scope", F.col("k").alias("id"), F.concat(F.lit("entry "), F.col("event_id").cast("string")).alias("label"), F.col("at_s").alias("created_at"))
+def _every(spark, sf_dir, kind):
+    a = H.actions(spark, sf_dir).filter(F.col("event_type") == kind)
+    return a.select("user_id", "scope", F.col("k").alias("id"), F.concat(F.lit("entry "), F.col("event_id").cast("string")).alias("label"), F.col("at_s").alias("created_at"))
+
+
+def _entries(spark, sf_dir, kind, props):
+    """The entries of one kind that are about what is on the screen, the newest of each."""
+    here = _every(spark, sf_dir, kind).join(props.select(F.col("property_key").alias("id")), "id", "left_semi")
+    return L.first_by_arrival(here, ["scope", "id"], [F.desc("created_at"), F.col("label")]).select("scope", "id", "label", "created_at")
 
 
 _KEYED = "'- ' || label || ' (entityKey ' || scope || '#' || id || ', scope ' || scope || ', id ' || id || ')'"
@@ -80,42 +96,47 @@ def results_report(spark, sf_dir):
     """All sections of a result screen."""
     units = _units(spark, sf_dir)
     short = units.filter("listing_id % 50 = 1").select("listing_id")
-    phase = {"phase": "done", "filters": FILTERS, "name": "mine"}
-    return P.result_report(phase, _props(units, spark, sf_dir), units, H.ARRIVAL, short, _entries(spark, sf_dir, "error"), _entries(spark, sf_dir, "signup"), _entries(spark, sf_dir, "click"), 907_545_600)
+    phase, props = {"phase": "done", "filters": FILTERS, "name": "mine"}, _props(units, spark, sf_dir)
+    return P.result_report(phase, props, units, H.ARRIVAL, short, *(_entries(spark, sf_dir, kind, props) for kind in ("error", "signup", "click")), 907_545_600)
 
 
-@query("result_phases", """SELECT phase || ' ' || section AS section, text FROM (VALUES ('running', '1 phase', 'The scrape is running: searching.'), ('failed', '1 phase', 'The scrape failed: no reason was given.'), ('cancelled', '1 phase', 'The user cancelled this search before it finished, so there are no results.'), ('expired', '1 phase', 'These results have expired and are no longer available.'),
- ('running', '2 filters', 'The filters that ran this search are not on record. Do not guess at them.'), ('failed', '2 filters', 'The filters that ran this search are not on record. Do not guess at them.'), ('cancelled', '2 filters', 'The filters that ran this search are not on record. Do not guess at them.'), ('expired', '2 filters', 'The filters that ran this search are not on record. Do not guess at them.')) t(phase, section, text)""")
+@query("result_phases", """WITH j AS (SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 'running' WHEN 1 THEN 'failed' WHEN 2 THEN 'cancelled' WHEN 3 THEN 'expired' ELSE 'done' END AS phase, CASE WHEN o_orderkey % 3 = 0 THEN 'status ' || o_orderstatus END AS status,
+  CASE WHEN o_orderkey % 4 = 1 THEN 'error ' || o_custkey WHEN o_orderkey % 4 = 2 THEN '' END AS error, CASE WHEN o_orderkey % 7 <> 0 THEN 'price up to ' || CAST(floor(o_totalprice) AS BIGINT) END AS filters FROM orders WHERE o_orderkey IS NOT NULL)
+SELECT o_orderkey, '1 phase' AS section, CASE phase WHEN 'running' THEN 'The scrape is running: ' || coalesce(status, 'starting') || '.' WHEN 'failed' THEN 'The scrape failed: ' || coalesce(nullif(error, ''), 'no reason was given') || '.' WHEN 'cancelled' THEN 'The user cancelled this search before it finished, so there are no results.'
+  ELSE 'These results have expired and are no longer available.' END AS text FROM j WHERE phase <> 'done' UNION ALL SELECT o_orderkey, '2 filters', coalesce('The filters that ran this search: ' || filters, 'The filters that ran this search are not on record. Do not guess at them.') FROM j WHERE phase <> 'done'""")
 def result_phases(spark, sf_dir):
-    """Reports of searches that have no results to show."""
-    from functools import reduce
-
-    units = H.units(spark, sf_dir)
-    none = _entries(spark, sf_dir, "click")
-    made = [P.result_report({"phase": p, "status": "searching"}, units, units, H.ARRIVAL, none, none, none, none, None).select(F.concat(F.lit(p + " "), "section").alias("section"), "text") for p in ("running", "failed", "cancelled", "expired")]
-    return reduce(lambda a, b: a.union(b), made)
-
-
-@query("saved_search_report", f"""WITH {H.ACTION}, s AS (SELECT user_id, min(at_s) AS created_at, count(*) FILTER (event_type = 'error') AS hidden, count(*) FILTER (event_type = 'click') AS bookmarked, max(at_s) FILTER (event_type = 'purchase') AS last_run_at FROM action GROUP BY user_id), d AS (SELECT *, ({H.EVENTS_NOW} - last_run_at) // 86400 AS days FROM s)
-SELECT 'saved' AS section, 'Saved searches:' || chr(10) || string_agg('- search ' || user_id || ' (savedSearchId ' || user_id || '): no filters set, hiding ' || hidden || CASE WHEN hidden = 1 THEN ' item' ELSE ' items' END || ', bookmarking ' || bookmarked || CASE WHEN bookmarked = 1 THEN ' property. ' ELSE ' properties. ' END
- || CASE WHEN last_run_at IS NULL THEN 'Never run' WHEN days <= 0 THEN 'Last run today' WHEN days = 1 THEN 'Last run yesterday' WHEN days < 7 THEN 'Last run ' || days || ' days ago' ELSE 'Last run on ' || strftime(to_timestamp(last_run_at) AT TIME ZONE 'UTC', '%-d %b %Y') END || '.', chr(10) ORDER BY created_at DESC, user_id) AS text, count(*) + 1 AS lines FROM d""")
+    """What the searches of all jobs say that have no results to show."""
+    k = F.col("o_orderkey")
+    phase = F.when(k % 5 == 0, "running").when(k % 5 == 1, "failed").when(k % 5 == 2, "cancelled").when(k % 5 == 3, "expired").otherwise("done")
+    error = F.when(k % 4 == 1, F.concat(F.lit("error "), F.col("o_custkey").cast("string"))).when(k % 4 == 2, "")
+    filters = F.when(k % 7 != 0, F.concat(F.lit("price up to "), F.floor("o_totalprice").cast("bigint").cast("string")))
+    jobs = table(spark, sf_dir, "orders").select("o_orderkey", phase.alias("phase"), F.when(k % 3 == 0, F.concat(F.lit("status "), "o_orderstatus")).alias("status"), error.alias("error"), filters.alias("filters"))
+    return P.phase_reports(jobs, "o_orderkey")
+
+
+@query("saved_search_report", f"""WITH {H.ACTION}, s AS (SELECT user_id, event_id % 7 AS search_id, min(at_s) AS created_at, count(*) FILTER (event_type = 'error') AS hidden, count(*) FILTER (event_type = 'click') AS bookmarked, max(at_s) FILTER (event_type = 'purchase') AS last_run_at FROM action WHERE event_type <> 'signup' GROUP BY ALL), d AS (SELECT *, ({H.EVENTS_NOW} - last_run_at) // 86400 AS days FROM s),
+ t AS (SELECT user_id, 'Saved searches:' || chr(10) || string_agg('- search ' || search_id || ' (savedSearchId ' || search_id || '): no filters set, hiding ' || hidden || CASE WHEN hidden = 1 THEN ' item' ELSE ' items' END || ', bookmarking ' || bookmarked || CASE WHEN bookmarked = 1 THEN ' property. ' ELSE ' properties. ' END
+ || CASE WHEN last_run_at IS NULL THEN 'Never run' WHEN days <= 0 THEN 'Last run today' WHEN days = 1 THEN 'Last run yesterday' WHEN days < 7 THEN 'Last run ' || days || ' days ago' ELSE 'Last run on ' || strftime(to_timestamp(last_run_at) AT TIME ZONE 'UTC', '%-d %b %Y') END || '.', chr(10) ORDER BY created_at DESC, search_id) AS text, count(*) + 1 AS lines FROM d GROUP BY user_id)
+SELECT user_id, coalesce(text, 'Saved searches: none.') AS text, coalesce(lines, 1) AS lines FROM (SELECT DISTINCT user_id FROM action) LEFT JOIN t USING (user_id)""")
 def saved_search_report(spark, sf_dir):
-    """The list of saved searches (one reader's, so a small table)."""
+    """The list of their saved searches for every reader."""
     kind = F.col("event_type")
-    saved = H.actions(spark, sf_dir).groupBy(F.col("user_id").alias("search_id")).agg(F.min("at_s").alias("created_at"), F.count_if(kind == "error").alias("hidden"), F.count_if(kind == "click").alias("bookmarked"), F.max(F.when(kind == "purchase", F.col("at_s"))).alias("last_run_at"))
-    return P.saved_search_report(saved.withColumn("name", F.concat(F.lit("search "), F.col("search_id").cast("string"))).withColumn("full", F.lit("no filters set")), H.EVENTS_NOW)
+    actions = H.actions(spark, sf_dir)
+    saved = actions.filter(kind != "signup").groupBy("user_id", (F.col("event_id") % 7).alias("search_id")).agg(F.min("at_s").alias("created_at"), F.count_if(kind == "error").alias("hidden"), F.count_if(kind == "click").alias("bookmarked"), F.max(F.when(kind == "purchase", F.col("at_s"))).alias("last_run_at"))
+    return P.saved_search_report(saved.withColumn("name", F.concat(F.lit("search "), F.col("search_id").cast("string"))).withColumn("full", F.lit("no filters set")), actions, "user_id", H.EVENTS_NOW)
 
 
-@query("always_hidden_report", f"""WITH {ENTITIES} SELECT 'always hidden' AS section, CASE WHEN count(*) = 0 THEN 'Nothing is always hidden.' ELSE 'Always hidden: ' || count(*) || ' items, newest first.' || chr(10) || string_agg({_KEYED}, chr(10) ORDER BY created_at DESC, scope, id) END AS text, count(*) + 1 AS lines FROM entry WHERE event_type = 'view'""")
+@query("always_hidden_report", f"""WITH {H.ACTION}, every AS (SELECT event_type, user_id, scope, k AS id, 'entry ' || event_id AS label, at_s AS created_at FROM action), t AS (SELECT user_id, 'Always hidden: ' || count(*) || ' items, newest first.' || chr(10) || string_agg({_KEYED}, chr(10) ORDER BY created_at DESC, scope, id, label) AS text, count(*) + 1 AS lines FROM every WHERE event_type = 'view' GROUP BY user_id)
+SELECT user_id, coalesce(text, 'Nothing is always hidden.') AS text, coalesce(lines, 1) AS lines FROM (SELECT DISTINCT user_id FROM action) LEFT JOIN t USING (user_id)""")
 def always_hidden_report(spark, sf_dir):
-    return P.always_hidden_report(_entries(spark, sf_dir, "view"))
+    return P.always_hidden_report(_every(spark, sf_dir, "view"), H.actions(spark, sf_dir), "user_id")
 
 
-@query("shortlist_report", f"""WITH {SCREEN}, units10 AS (SELECT property_key, string_agg({UNIT_TEXT}, ' | ' ORDER BY place) AS listed, any_value(n) AS n FROM here WHERE place <= 10 GROUP BY property_key),
- s AS (SELECT f.*, listed, n, {H.NOW} - p_place % 12 * 86400 AS saved_at, p_place % 12 AS days FROM facts f JOIN units10 u ON u.property_key = f.property_key)
+@query("shortlist_report", f"""WITH {SCREEN.replace(ONLY_HERE, '')}, units10 AS (SELECT property_key, string_agg({UNIT_TEXT}, ' | ' ORDER BY place) AS listed, any_value(n) AS n FROM here WHERE place <= 10 GROUP BY property_key),
+ s AS (SELECT f.*, listed, n, {H.NOW} - n % 12 * 86400 AS saved_at, n % 12 AS days FROM facts f JOIN units10 u ON u.property_key = f.property_key)
 SELECT property_key, saved_at AS shortlisted_at, '- ' || name || ' (propertyId ' || property_key || '), saved ' || CASE WHEN days = 0 THEN 'today' WHEN days = 1 THEN 'yesterday' WHEN days < 7 THEN days || ' days ago' ELSE 'on ' || strftime(to_timestamp(saved_at) AT TIME ZONE 'UTC', '%-d %b %Y') END || ', ' || facts || '. ' || n || ' shortlisted units: ' || listed || CASE WHEN n > 10 THEN ', and ' || (n - 10) || ' more rows not listed here' ELSE '' END AS text FROM s""")
 def shortlist_report(spark, sf_dir):
-    """A line for each shortlisted property."""
-    units = _units(spark, sf_dir)
-    props = _props(units, spark, sf_dir).withColumn("shortlisted_at", F.lit(H.NOW).cast("bigint") - F.col("place") % 12 * 86_400)
-    return P.shortlist_lines(units, props, H.ARRIVAL, H.NOW)
+    """A line for each shortlisted property; all are on the list."""
+    units = _stored(_labelled(H.units(spark, sf_dir)))
+    when = units.groupBy("property_key").agg((F.lit(H.NOW).cast("bigint") - F.count("*") % 12 * 86_400).alias("shortlisted_at"))
+    return P.shortlist_lines(units, _facts(units, spark, sf_dir).join(when, "property_key"), H.ARRIVAL, H.NOW)

@@ -52,10 +52,10 @@ def saved_search_summary(spark, sf_dir):
     return c.select("scope", "id", X.count_phrases((F.col("h"), "items hidden"), (F.col("b"), "bookmarked")).alias("summary"))
 
 
-@query("set_ops_except", "SELECT n_name FROM nation EXCEPT SELECT n_name FROM nation WHERE n_nationkey IN (SELECT s_nationkey FROM supplier WHERE s_suppkey < 40)")
+@query("set_ops_except", "SELECT p_partkey FROM part EXCEPT SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity >= 40")
 def set_ops_except(spark, sf_dir):
-    nation, supplier = table(spark, sf_dir, "nation"), table(spark, sf_dir, "supplier").filter("s_suppkey < 40")
-    return nation.join(supplier, F.col("n_nationkey") == F.col("s_nationkey"), "left_anti").select("n_name").distinct()
+    part, returned = table(spark, sf_dir, "part"), table(spark, sf_dir, "lineitem").filter("l_returnflag = 'R' and l_quantity >= 40")
+    return part.join(returned, F.col("p_partkey") == F.col("l_partkey"), "left_anti").select("p_partkey").distinct()
 
 
 @query("set_ops_intersect", "SELECT c_mktsegment, c_nationkey FROM customer WHERE c_custkey % 2 = 0 INTERSECT SELECT c_mktsegment, c_nationkey FROM customer WHERE c_custkey % 2 = 1")
