@@ -11,6 +11,7 @@ from ..operators import stores as S
 from ..operators import views as V
 from ..operators.listings import matches_unit
 from ..sources.tables import table
+from ..operators.polygons import points_in_polygons
 from . import hosts as H
 from .listing_queries import ENRICHED, PROPERTY, enriched
 from .registry import query
@@ -199,3 +200,21 @@ def active_result_filters(spark, sf_dir):
 def unit_filter_floorplans(spark, sf_dir):
     rows = H.units(spark, sf_dir).withColumn("floorplans", F.when(F.col("line") % 2 == 0, F.array(F.lit("plan"))).when(F.col("line") % 3 == 0, F.array().cast("array<string>")))
     return rows.filter(matches_unit(price=(15000, None), floorplans=True)).select("listing_id")
+
+
+#: The corners of a nation's area, from its middle, in degrees: fixed, uneven and not convex.
+CORNERS = [(0.05, 0.0), (0.02, 0.02), (0.0, 0.035), (-0.04, 0.01), (-0.03, -0.03), (0.01, -0.01)]
+
+
+@query("points_in_areas", f"""WITH {H.PROJECT}, corner(k, dx, dy) AS (VALUES {", ".join(f"({k}, CAST({dx} AS DOUBLE), CAST({dy} AS DOUBLE))" for k, (dx, dy) in enumerate(CORNERS))}),
+ spot AS (SELECT n_nationkey, k, CAST(103.6 AS DOUBLE) + (n_nationkey % 5) * CAST(0.11 AS DOUBLE) + dx AS x, CAST(1.18 AS DOUBLE) + (n_nationkey // 5) * CAST(0.07 AS DOUBLE) + dy AS y FROM nation, corner),
+ edge AS (SELECT n_nationkey, x AS x1, y AS y1, lead(x, 1, first) OVER w AS x2, lead(y, 1, first_y) OVER w AS y2 FROM (SELECT *, first_value(x) OVER (PARTITION BY n_nationkey ORDER BY k) AS first, first_value(y) OVER (PARTITION BY n_nationkey ORDER BY k) AS first_y FROM spot) WINDOW w AS (PARTITION BY n_nationkey ORDER BY k))
+SELECT property_id, n_nationkey FROM project, edge WHERE longitude IS NOT NULL AND (y1 > latitude) <> (y2 > latitude) AND longitude < (x2 - x1) * (latitude - y1) / (y2 - y1) + x1 GROUP BY property_id, n_nationkey HAVING count(*) % 2 = 1""")
+def points_in_areas(spark, sf_dir):
+    """Which area every project's place lies in: a join by grid cells."""
+    k = F.col("n_nationkey")
+    x, y = F.lit(103.6) + (k % 5) * F.lit(0.11), F.lit(1.18) + F.floor(k / 5) * F.lit(0.07)
+    ring = F.array(*(F.struct((x + F.lit(dx)).alias("x"), (y + F.lit(dy)).alias("y")) for dx, dy in CORNERS))
+    areas = table(spark, sf_dir, "nation").select("n_nationkey", ring.alias("ring"))
+    places = H.project_records(spark, sf_dir).select("property_id", F.col("longitude").alias("x"), F.col("latitude").alias("y"))
+    return points_in_polygons(places, areas, "n_nationkey", 0.02).select("property_id", "n_nationkey")
