@@ -41,9 +41,9 @@ def running_sum(rows: DataFrame, keys: Sequence[str], order: Sequence[Column | s
     ranged = in_ranges(rows.withColumn(_VALUE, amount), keys, order, partitions)
     along, inside = Window.partitionBy(*keys).orderBy(_PART), Window.partitionBy(*keys, _PART).orderBy(*order)
     sums = ranged.groupBy(*keys, _PART).agg(F.sum(_VALUE).alias("__sum"))
-    before = sums.withColumn("__before", F.sum("__sum").over(along.rowsBetween(Window.unboundedPreceding, -1)))
-    got = _with_parts(ranged.withColumn("__own", F.sum(_VALUE).over(inside.rowsBetween(Window.unboundedPreceding, 0))), before, keys, "__before")
-    return got.withColumn(name, F.coalesce("__before", F.lit(0)) + F.col("__own")).drop(_PART, _VALUE, "__own", "__before")
+    before = sums.withColumn("__part_before", F.sum("__sum").over(along.rowsBetween(Window.unboundedPreceding, -1)))
+    got = _with_parts(ranged.withColumn("__part_own", F.sum(_VALUE).over(inside.rowsBetween(Window.unboundedPreceding, 0))), before, keys, "__part_before")
+    return got.withColumn(name, F.coalesce("__part_before", F.lit(0)) + F.col("__part_own")).drop(_PART, _VALUE, "__part_own", "__part_before")
 
 
 def ranked(rows: DataFrame, keys: Sequence[str], order: Sequence[Column | str], name: str, partitions: int | None = None) -> DataFrame:
@@ -56,10 +56,10 @@ def previous(rows: DataFrame, keys: Sequence[str], order: Sequence[Column | str]
     ranged = in_ranges(rows.withColumn(_VALUE, value), keys, order, partitions)
     inside, along = Window.partitionBy(*keys, _PART).orderBy(*order), Window.partitionBy(*keys).orderBy(_PART)
     lasts = ranged.withColumn("__at", F.row_number().over(inside)).groupBy(*keys, _PART).agg(F.max_by(_VALUE, F.when(F.col(_VALUE).isNotNull(), F.col("__at"))).alias("__last"))
-    before = lasts.withColumn("__before", F.last("__last", True).over(along.rowsBetween(Window.unboundedPreceding, -1)))
+    before = lasts.withColumn("__part_before", F.last("__last", True).over(along.rowsBetween(Window.unboundedPreceding, -1)))
     own = F.last(_VALUE, True).over(inside.rowsBetween(Window.unboundedPreceding, -1))
-    got = _with_parts(ranged.withColumn("__own", own), before, keys, "__before")
-    return got.withColumn(name, F.coalesce("__own", "__before")).drop(_PART, _VALUE, "__own", "__before")
+    got = _with_parts(ranged.withColumn("__part_own", own), before, keys, "__part_before")
+    return got.withColumn(name, F.coalesce("__part_own", "__part_before")).drop(_PART, _VALUE, "__part_own", "__part_before")
 
 
 def medians(rows: DataFrame, keys: Sequence[str], value: Column, name: str, partitions: int | None = None) -> DataFrame:

@@ -8,31 +8,44 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import MOST_STEP
+from .spread import previous, running_sum
 
 STEPS = ("reasoning", "tool", "error")
 
 
+def _before(rows: DataFrame, session: str, order: Sequence[str], value: Column, name: str, spread: bool) -> DataFrame:
+    """The last value that isn't null before each row of its session: in one window a session, or over ranges (``spread``)."""
+    if spread:
+        return previous(rows, [session], order, value, name)
+    return rows.withColumn(name, F.last(value, True).over(Window.partitionBy(session).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)))
+
+
+def _so_far(rows: DataFrame, session: str, order: Sequence[str], amount: Column, name: str, spread: bool) -> DataFrame:
+    """The sum of an amount over the rows of a session up to each of them."""
+    if spread:
+        return running_sum(rows, [session], order, amount, name)
+    return rows.withColumn(name, F.sum(amount).over(Window.partitionBy(session).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+
+
 def last_turns(turns: DataFrame, n: int = 24, session: str = "session", order: str = "turn", content: str = "content") -> DataFrame:
     """The last n turns of each session that aren't blank."""
     w = Window.partitionBy(session).orderBy(F.desc(order))
     return turns.filter(F.regexp_replace(F.coalesce(F.col(content), F.lit("")), r"\s+", "") != "").withColumn("__n", F.row_number().over(w)).filter(F.col("__n") <= n).drop("__n")
 
 
-def merged_runs(events: DataFrame, kind: Column, session: str = "session", order: str = "seq", content: str = "content", merge: str = "reasoning", sep: str = "") -> DataFrame:
+def merged_runs(events: DataFrame, kind: Column, session: str = "session", order: str = "seq", content: str = "content", merge: str = "reasoning", sep: str = "", spread: bool = False) -> DataFrame:
     """Steps of a session: fragments of the kind ``merge`` with no other step between them are one, every other step stands
-    alone. Prose and status are no steps, so they neither count nor break a run. A session is one task."""
-    w = Window.partitionBy(session).orderBy(order)
-    marked = events.withColumn("kind", kind).filter(F.col("kind").isin(*STEPS)).withColumn("__start", ~((F.col("kind") == merge) & F.coalesce(F.lag("kind").over(w) == merge, F.lit(False))))
-    runs = marked.withColumn("step", F.sum(F.col("__start").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("bigint"))
+    alone. Prose and status are no steps, so they neither count nor break a run. With ``spread`` a session is many tasks, else one."""
+    steps = _before(events.withColumn("kind", kind).filter(F.col("kind").isin(*STEPS)), session, [order], F.col("kind"), "__before", spread)
+    start = ~((F.col("kind") == merge) & F.coalesce(F.col("__before") == merge, F.lit(False)))
+    runs = _so_far(steps, session, [order], start.cast("bigint"), "step", spread)
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, content))), lambda x: x[content]), sep)
     return runs.groupBy(session, "step").agg(F.min("kind").alias("kind"), F.count("*").alias("n"), F.min(order).alias("first"), text.alias("content"))
 
 
-def separated(events: DataFrame, session: str = "session", order: str = "seq", kind: str = "kind", content: str = "content", prose: str = "message", quiet: str = "status") -> DataFrame:
-    """Prose with a blank line before it where something else than prose came before; quiet events don't count."""
-    w = Window.partitionBy(session).orderBy(order)
-    before = F.lag(kind).over(w)
-    seen = events.filter(F.col(kind) != quiet).withColumn("__before", before)
+def separated(events: DataFrame, session: str = "session", order: str = "seq", kind: str = "kind", content: str = "content", prose: str = "message", quiet: str = "status", spread: bool = False) -> DataFrame:
+    """Prose with a blank line before it where something else than prose came before; quiet events don't count. With ``spread`` a session is many tasks."""
+    seen = _before(events.filter(F.col(kind) != quiet), session, [order], F.col(kind), "__before", spread)
     return seen.filter(F.col(kind) == prose).withColumn("piece", F.concat(F.when(F.coalesce(F.col("__before") != prose, F.lit(False)), F.lit("\n\n")).otherwise(F.lit("")), content)).drop("__before")
 
 
@@ -126,18 +139,16 @@ def mapped_events(events: DataFrame, session: str = "session", order: str = "seq
 TOKENS = r"<[^>]{0,7}>|<[^>]{8}|[^<]+|<[^>]*$"
 
 
-def split_actions(events: DataFrame, session: str = "session", order: str = "seq", kind: str = "kind", content: str = "content") -> DataFrame:
+def split_actions(events: DataFrame, session: str = "session", order: str = "seq", kind: str = "kind", content: str = "content", spread: bool = False) -> DataFrame:
     """Text events split into prose (``message``) and proposed actions (``action``) at their tags, in batch.
 
     The text between two other events is one run, so its chunks don't matter; whether an action is open outlasts the run.
-    Rows: session, ``run``, ``piece``, kind and content."""
-    w = Window.partitionBy(session).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    runs = events.withColumn("run", F.sum((F.col(kind) != "text").cast("int")).over(w)).filter(F.col(kind) == "text")
+    Rows: session, ``run``, ``piece``, kind and content. With ``spread`` a session is many tasks, and a run one row."""
+    runs = _so_far(events, session, [order], (F.col(kind) != "text").cast("bigint"), "run", spread).filter(F.col(kind) == "text")
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, content))), lambda x: x[content]), "")
     tokens = runs.groupBy(session, "run").agg(text.alias("text")).select(session, "run", F.posexplode(F.regexp_extract_all("text", F.lit("(?s)" + TOKENS), F.lit(0))).alias("at", "token"))
     tag = F.when(F.lower("token") == "<act>", F.lit("action")).when(F.lower("token") == "</act>", F.lit("message"))
-    order_of = Window.partitionBy(session).orderBy("run", "at")
-    so_far = order_of.rowsBetween(Window.unboundedPreceding, 0)
-    marked = tokens.withColumn("tag", tag).withColumn("state", F.coalesce(F.last("tag", True).over(so_far), F.lit("message"))).withColumn("piece", F.count("tag").over(so_far))
+    tagged = _before(tokens.withColumn("tag", tag), session, ["run", "at"], F.col("tag"), "__before", spread)
+    marked = _so_far(tagged, session, ["run", "at"], F.col("tag").isNotNull().cast("bigint"), "piece", spread).withColumn("state", F.coalesce("tag", "__before", F.lit("message")))
     plain = marked.filter("tag is null").groupBy(session, "run", "piece", F.col("state").alias("kind"))
     return plain.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "token"))), lambda x: x["token"]), "").alias("content")).filter("content <> ''")

@@ -173,16 +173,29 @@ def transcript_tail24(spark, sf_dir):
 KIND = "CASE event_type WHEN 'view' THEN 'reasoning' WHEN 'click' THEN 'message' WHEN 'signup' THEN 'status' WHEN 'purchase' THEN 'tool' ELSE event_type END"
 
 
-@query("reasoning_islands", f"""WITH {H.ACTION}, e AS (SELECT user_id, event_id, k, {KIND} AS kind FROM action),
+ISLANDS = f"""WITH {H.ACTION}, e AS (SELECT user_id, event_id, k, {KIND} AS kind FROM action),
  step AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS nth, CASE WHEN kind = 'reasoning' THEN row_number() OVER (PARTITION BY user_id, kind ORDER BY event_id) END AS of_kind FROM e WHERE kind NOT IN ('message', 'status')),
  island AS (SELECT *, CASE WHEN kind = 'reasoning' THEN 'r' || (nth - of_kind) ELSE 's' || nth END AS g FROM step),
  merged AS (SELECT user_id, g, min(kind) AS kind, count(*) AS n, min(event_id) AS first, string_agg(k, '' ORDER BY event_id) AS content FROM island GROUP BY user_id, g)
-SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY first) AS step, kind, n, first, content FROM merged""")
-def reasoning_islands(spark, sf_dir):
-    """Fragments of reasoning with no tool or error between them are one step; prose and status don't break them."""
+SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY first) AS step, kind, n, first, content FROM merged"""
+
+
+def _islands(spark, sf_dir, spread):
     a = H.actions(spark, sf_dir).select("user_id", "event_id", "event_type", "k")
     kind = F.when(F.col("event_type") == "view", "reasoning").when(F.col("event_type") == "click", "message").when(F.col("event_type") == "signup", "status").when(F.col("event_type") == "purchase", "tool").otherwise(F.col("event_type"))
-    return T.merged_runs(a, kind, "user_id", "event_id", "k")
+    return T.merged_runs(a, kind, "user_id", "event_id", "k", spread=spread)
+
+
+@query("reasoning_islands", ISLANDS)
+def reasoning_islands(spark, sf_dir):
+    """Fragments of reasoning with no tool or error between them are one step; prose and status don't break them."""
+    return _islands(spark, sf_dir, False)
+
+
+@query("reasoning_islands_spread", ISLANDS)
+def reasoning_islands_spread(spark, sf_dir):
+    """The same with a session of any length spread over many tasks."""
+    return _islands(spark, sf_dir, True)
 
 
 @query("recorded_turns", """WITH e AS (SELECT user_id, event_id // 40 AS turn, event_id, CASE event_type WHEN 'view' THEN 'message' WHEN 'click' THEN 'message' WHEN 'signup' THEN 'status' WHEN 'purchase' THEN 'tool' ELSE 'error' END AS kind, regexp_extract(props, '"k":\\s*(\\d+)', 1) AS k, CAST(floor(epoch(ts)) AS BIGINT) * 1000 AS ms FROM events),

@@ -90,3 +90,42 @@ def test_an_expired_id_passes_again_and_an_idle_session_is_drained(rocks, tmp_pa
         assert ("idle", 1, "action", "half") in last and len(last) == 6
     finally:
         q.stop()
+
+
+def one_session(spark, data):
+    """All turns of all conversations as one session: text in small pieces with tags cut anywhere, and other events between them."""
+    events, seq = [], 0
+    for r in spark.read.parquet(f"{data}/conversations.parquet").orderBy("conv_id", "turn").collect():
+        text = f"{r.text or ''} a < b <b>x</b> <ACT>do {r.turn}</act> and <act" + ("> open" if r.turn % 5 == 0 else "ed </ac")
+        for at in range(0, len(text), 7 + r.turn):
+            events.append(("all", seq, "text", text[at : at + 7 + r.turn]))
+            seq += 1
+        events.append(("all", seq, ("reasoning", "tool", "status", "reasoning", "error")[seq % 5], f"e{seq}"))
+        seq += 1
+    return spark.createDataFrame(events, "session string, seq bigint, kind string, content string"), events
+
+
+def test_one_long_session_over_many_tasks_equals_the_state_machine(spark, data):
+    rows, events = one_session(spark, data)
+    splitter, want, run = A.ActionSplitter(), {}, 0
+    for _, _, kind, content in events:
+        pieces = splitter.feed(content) if kind == "text" else splitter.drain()
+        for what, said in pieces:
+            want.setdefault((run, what), []).append(said)
+        if kind != "text":
+            run += 1
+    for what, said in splitter.drain():
+        want.setdefault((run, what), []).append(said)
+    got: dict = {}
+    for r in T.split_actions(rows, spread=True).orderBy("run", "piece").collect():
+        got.setdefault((r.run, r.kind), []).append(r.content)
+    assert {k: "".join(v) for k, v in got.items()} == {k: "".join(v) for k, v in want.items()} and len(got) > 100
+
+
+def test_spread_steps_and_separators_are_those_of_a_window(spark, data):
+    rows, _ = one_session(spark, data)
+    steps = [T.merged_runs(rows, F.col("kind"), spread=x).select("step", "kind", "n", "first", "content") for x in (True, False)]
+    assert sorted(map(tuple, steps[0].collect())) == sorted(map(tuple, steps[1].collect()))
+    prose = rows.withColumn("kind", F.when(F.col("kind") == "text", "message").otherwise(F.col("kind")))
+    pieces = [T.separated(prose, spread=x).select("seq", "piece") for x in (True, False)]
+    assert sorted(map(tuple, pieces[0].collect())) == sorted(map(tuple, pieces[1].collect()))
