@@ -30,15 +30,20 @@ def refused(old: DataFrame, new: DataFrame, key: str, cap: int) -> DataFrame:
 def capped_upsert(old: DataFrame, new: DataFrame, key: str, cap: int, refuse: bool = True) -> DataFrame:
     """Rows of known keys are replaced; new keys come in, least key first, while fewer than ``cap`` keys are there.
 
-    A key for which there is no room is an error, so nothing that was to be kept vanishes; with ``refuse`` false such rows
+    A key for which there is no room is an error when the result is read, so nothing that was to be kept vanishes; with ``refuse`` false such rows
     are left out, and ``refused`` has them."""
-    if refuse and (bad := refused(old, new, key, cap).select(key).first()) is not None:
-        raise ValueError(f"the store is full: {cap} keys are there, and {bad[0]} is new")
     room = old.agg(F.greatest(F.lit(cap) - F.count("*"), F.lit(0)).alias("room"))
     known = new.join(old.select(key), key, "left_semi").select(*old.columns)
     unknown = new.join(old.select(key), key, "left_anti").select(*old.columns)
     fits = unknown.orderBy(key).limit(cap).withColumn("__n", F.row_number().over(Window.orderBy(key))).crossJoin(F.broadcast(room)).filter("__n <= room").select(*old.columns)  # at most cap rows
-    return upsert(old, known.unionByName(fits), key)
+    stored = upsert(old, known.unionByName(fits), key)
+    if not refuse:
+        return stored
+    # the plan fails by itself when it is read, so nothing runs before; one row says whether a key has no room
+    left = unknown.join(fits.select(key), key, "left_anti").agg(F.min(key).alias("__key"))
+    full = F.raise_error(F.concat(F.lit(f"the store is full: {cap} keys are there, and "), F.col("__key").cast("string"), F.lit(" is new")))
+    refusal = left.filter(F.when(F.col("__key").isNotNull(), full).cast("boolean"))  # no row, or the error
+    return stored.unionByName(refusal.select(*(F.lit(None).cast(f.dataType).alias(f.name) for f in old.schema)))
 
 
 def replace_fields(old: DataFrame, new: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:

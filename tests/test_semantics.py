@@ -89,10 +89,14 @@ def test_capped_upsert_replaces_known_keys_when_full(spark):
     new = spark.createDataFrame([(2, "B"), (3, "c"), (4, "d")], "k int, v string")
     assert {r.k: r.v for r in S.capped_upsert(old, new, "k", 4).collect()} == {1: "a", 2: "B", 3: "c", 4: "d"}
     for cap, fit, left in ((3, {1: "a", 2: "B", 3: "c"}, [4]), (2, {1: "a", 2: "B"}, [3, 4])):
-        with pytest.raises(ValueError, match="full"):
-            S.capped_upsert(old, new, "k", cap)
+        full = S.capped_upsert(old, new, "k", cap)  # nothing runs before it is read
+        for read in (full.collect, full.count):
+            with pytest.raises(Exception, match="the store is full: .* and [34] is new"):
+                read()
         assert {r.k: r.v for r in S.capped_upsert(old, new, "k", cap, refuse=False).collect()} == fit
         assert sorted(r.k for r in S.refused(old, new, "k", cap).collect()) == left
+    with pytest.raises(Exception, match="the store is full: 0 keys"):
+        S.capped_upsert(old.limit(0), new, "k", 0).count()
 
 
 def test_first_terminal_state_wins_and_null_patches_count(spark):
