@@ -69,6 +69,6 @@ def test_each_set_of_filters_is_visited_once(spark, tmp_path):
     rows = spark.createDataFrame([("p", True, False, True)] * 3 + [("p", False, True, False)], "part string, A boolean, B boolean, C boolean")
     states = walk_edges(rows, ["A", "B", "C"], [], f"{tmp_path}/edges")
     assert states == [0, 1, 3, 7, 5, 2, 6, 4]  # depth first, each once
-    edges = {r.state: r for r in spark.read.parquet(f"{tmp_path}/edges").collect()}
+    edges = {r.state: r for r in spark.read.option("mergeSchema", "true").parquet(f"{tmp_path}/edges").collect()}
     assert [edges[s].n for s in (0, 1, 2, 4)] == [4, 1, 3, 1] and edges[0].removed_0 == 3 and edges[4].removed_1 == 1 and 5 in edges
     assert not spark.sparkContext._jsc.getPersistentRDDs()
