@@ -148,12 +148,15 @@ def list_updates(rows: DataFrame, items: str, most: int = MOST_HIDDEN, *keep: st
     return _rows(rows, c, *keep)
 
 
+#: Characters of the parts of an action.
+MOST_OF_ACTION = {"name": 100, "description": 1000, "example": 500}
+
+
 def actions(rows: DataFrame, *keep: str) -> DataFrame:
     """Action definitions, reduced to name, description, parameters (a map of texts) and example."""
     c = Checked()
-    c.text("name", F.col("name"), 100, needed=True)
-    c.text("description", F.col("description"), 1000)
-    c.text("example", F.col("example"), 500)
+    for part, most in MOST_OF_ACTION.items():
+        c.text(part, F.col(part), most, needed=part == "name")
     clean = F.transform_values(F.coalesce(F.col("parameters"), F.create_map().cast("map<string,string>")), lambda k, v: F.coalesce(squeezed(v), F.lit("")))
     c.columns["parameters"] = clean
     c.rule(F.exists(F.map_values(clean), lambda v: F.length(v) > 500), "a parameter is too long")
@@ -161,7 +164,8 @@ def actions(rows: DataFrame, *keep: str) -> DataFrame:
 
 
 def chat_requests(rows: DataFrame, *keep: str) -> DataFrame:
-    """Turns of a conversation: a prompt, a session, and the page it is about."""
+    """Turns of a conversation: a prompt, a session, the page it is about, and, where ``rows`` has them, its ``actions`` (an array of structs as ``actions``
+    takes them), each reduced and checked in the same way."""
     c = Checked()
     c.columns["prompt"] = F.regexp_replace(F.coalesce(F.col("prompt"), F.lit("")), r"^\s+|\s+$", "")
     c.rule(c.columns["prompt"] == "", "prompt is required")
@@ -169,6 +173,16 @@ def chat_requests(rows: DataFrame, *keep: str) -> DataFrame:
     c.text("sessionId", F.col("sessionId"), MOST_SESSION, needed=True)
     c.columns["pageContext"] = F.coalesce(F.col("pageContext"), F.lit(""))
     c.rule(F.length("pageContext") > MOST_CONTEXT, "pageContext is too large")
+    if "actions" in rows.columns:
+        given = F.coalesce(F.col("actions"), F.array().cast(rows.schema["actions"].dataType))
+        said = lambda v: F.coalesce(squeezed(v), F.lit(""))
+        clean = F.transform(given, lambda a: F.struct(said(a["name"]).alias("name"), said(a["description"]).alias("description"), F.transform_values(F.coalesce(a["parameters"], F.create_map().cast("map<string,string>")), lambda k, v: said(v)).alias("parameters"), said(a["example"]).alias("example")))
+        c.columns["actions"] = clean
+        c.rule(F.exists(clean, lambda a: a["name"] == ""), "an action's name is required")
+        for part, most in MOST_OF_ACTION.items():
+            longest = F.array_max(F.transform(clean.getField(part), F.length))
+            c.rule(longest > most, f"an action's {part} is too long")
+        c.rule(F.exists(clean, lambda a: F.exists(F.map_values(a["parameters"]), lambda v: F.length(v) > 500)), "an action's parameter is too long")
     return _rows(rows, c, *keep)
 
 

@@ -177,10 +177,22 @@ def action_definitions(spark, sf_dir):
     return got.select("c_custkey", "name", F.col("parameters")["p"].alias("p"), F.length(F.col("parameters")["q"]).alias("q_length"), F.array_join("reasons", ",").alias("reasons"))
 
 
-@query("chat_requests", """SELECT conv_id, turn, length(trim(text, ' ' || chr(10))) AS prompt_length, concat_ws(',', CASE WHEN trim(text, ' ' || chr(10)) = '' THEN 'prompt is required' END, CASE WHEN length(text) > 20000 THEN 'prompt is too long' END, CASE WHEN turn = 1 THEN 'sessionId is required' END) AS reasons FROM conversations WHERE text IS NOT NULL""")
+@query("chat_requests", """SELECT conv_id, turn, length(trim(text, ' ' || chr(10))) AS prompt_length, concat_ws(',', CASE WHEN trim(text, ' ' || chr(10)) = '' THEN 'prompt is required' END, CASE WHEN length(text) > 20000 THEN 'prompt is too long' END, CASE WHEN turn = 1 THEN 'sessionId is required' END, CASE WHEN turn % 4 = 2 THEN 'an action''s name is required' END, CASE WHEN turn % 4 = 3 AND length(role) * 100 > 500 THEN 'an action''s example is too long' END) AS reasons,
+ CASE WHEN turn % 3 = 0 THEN '' ELSE CASE WHEN turn % 4 = 2 THEN '' ELSE 'act of ' || role END || '|' || turn || '|second|' END AS actions FROM conversations WHERE text IS NOT NULL""".replace("turn % 4 = 2 THEN 'an", "turn % 3 <> 0 AND turn % 4 = 2 THEN 'an").replace("turn % 4 = 3 AND length", "turn % 3 <> 0 AND turn % 4 = 3 AND length"))
 def chat_requests(spark, sf_dir):
-    rows = table(spark, sf_dir, "conversations").filter("text is not null").select("conv_id", "turn", F.col("text").alias("prompt"), F.when(F.col("turn") != 1, F.col("conv_id").cast("string")).alias("sessionId"), F.lit(None).cast("string").alias("pageContext"))
-    return C.chat_requests(rows, "conv_id", "turn").select("conv_id", "turn", F.length("prompt").cast("bigint").alias("prompt_length"), F.array_join("reasons", ",").alias("reasons"))
+    rows = table(spark, sf_dir, "conversations").filter("text is not null").select("conv_id", "turn", F.col("text").alias("prompt"), F.when(F.col("turn") != 1, F.col("conv_id").cast("string")).alias("sessionId"), F.lit(None).cast("string").alias("pageContext"), _turn_actions().alias("actions"))
+    shown = F.array_join(F.flatten(F.transform("actions", lambda a: F.array(a["name"], F.coalesce(F.try_element_at(a["parameters"], F.lit("p")), F.lit(""))))), "|")
+    return C.chat_requests(rows, "conv_id", "turn").select("conv_id", "turn", F.length("prompt").cast("bigint").alias("prompt_length"), F.array_join("reasons", ",").alias("reasons"), shown.alias("actions"))
+
+
+def _turn_actions():
+    """No actions, or two: the first with or without a name and with an example that may be too long."""
+    text = lambda c: c.cast("string")
+    turn = F.col("turn")
+    example = F.when(turn % 4 == 3, F.repeat("role", 100)).otherwise(F.lit(" x "))
+    first = F.struct(F.when(turn % 4 == 2, F.lit(" ")).otherwise(F.concat(F.lit(" act  of "), "role")).alias("name"), F.lit("what it does").alias("description"), F.create_map(F.lit("p"), F.concat(F.lit(" "), text(turn))).alias("parameters"), example.alias("example"))
+    second = F.struct(F.lit("second").alias("name"), text(F.lit(None)).alias("description"), F.lit(None).cast("map<string,string>").alias("parameters"), text(F.lit(None)).alias("example"))
+    return F.when(turn % 3 != 0, F.array(first, second))
 
 
 @query("saved_search_names", "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE 'my search ' || c_custkey END AS name, CASE WHEN c_custkey % 3 = 0 THEN 'name is required' ELSE '' END AS reasons FROM customer")
