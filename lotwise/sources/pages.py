@@ -49,8 +49,12 @@ def island_text(html: Column) -> Column:
 
 
 def island(html: Column) -> Column:
-    """The page's data; null fields where the island is missing or no JSON."""
-    return F.from_json(island_text(html), PAGE).getField("props").getField("pageProps").getField("pageData").getField("data")
+    """The page's data; null fields where the island is missing or no JSON. A value of another type than the schema's is null by itself; where that is a whole
+    card, which would take the list with it, the cards are read one by one."""
+    text = island_text(html)
+    data = lambda schema: F.from_json(text, schema).getField("props").getField("pageProps").getField("pageData").getField("data")
+    one_by_one = F.transform(data(PAGE.replace(CARD, "string")).getField("listingsData"), lambda c: F.from_json(c, CARD))
+    return F.struct(F.coalesce(data(PAGE).getField("listingsData"), one_by_one).alias("listingsData"), data(PAGE).getField("paginationData").alias("paginationData"))
 
 
 def island_total(data: Column) -> Column:

@@ -141,6 +141,31 @@ def test_search_pages_with_broken_or_missing_data(spark):
     assert [r.n for r in pages.select(P.total_pages(F.col("html")).alias("n")).collect()] == [12, 0, 0, 0]
 
 
+def test_a_value_of_another_type_costs_itself_only(spark):
+    """Neither its page nor the cards beside it are lost; a missing key and a null are both none."""
+    import json
+
+    base = {"price": {"value": "1,250"}, "floorArea": 100, "bedrooms": 2}
+    card = lambda i, **more: {"listingData": base | {"id": i} | more}
+    odd = [
+        card(6, property="x"), card(7, agent=5, postedOn=[1]), card(8, products={"isPromoted": "no"}), card(9, mediaCarousel={"previewMedia": {"images": {"items": {"src": "a"}}}}), card(10) | {"segment": "s"}, card(11, bedrooms=None),
+        "card", 5, None, {"listingData": "x"}, [], card(12, price=77),
+    ]
+    page = lambda cards, **more: '<script id="__NEXT_DATA__" type="application/json">' + json.dumps({"props": {"pageProps": {"pageData": {"data": {"listingsData": cards, "paginationData": {"totalPages": 12}} | more}}}}) + "</script>"
+    rows = [(k, page([card(1), x, card(99)])) for k, x in enumerate(odd)] + [(50, page([card(1)], paginationData="x")), (51, page({"a": 1})), (52, page(None)), (53, page([*odd, card(99)]))]
+    pages = spark.createDataFrame(rows, "page_id int, html string")
+    got: dict = {}
+    for r in P.listings(pages).collect():
+        got.setdefault(r.page_id, []).append((r.listing_id, r.bedrooms))
+    for k in range(len(odd)):
+        own = [(6 + k, None if k == 5 else 2)] if k < 6 else []
+        assert got[k] == [(1, 2), *own, (99, 2)], odd[k]
+    assert got[50] == [(1, 2)] and 51 not in got and 52 not in got and [i for i, _ in got[53]] == [6, 7, 8, 9, 10, 11, 99]
+    totals = {r.page_id: r.n for r in pages.select("page_id", P.total_pages(F.col("html")).alias("n")).collect()}
+    assert totals[0] == totals[6] == totals[53] == 12 and totals[50] == 0
+    assert {(r.page_id, r.total, len(r.cards)) for r in P.parsed_pages(pages.filter("page_id in (6, 53)"), ("page_id",)).collect()} == {(6, 12, 2), (53, 12, 7)}
+
+
 def test_project_page_facts(spark):
     row = '<tr class="property-attr"><td class="label-block">{}</td><td class="value-block">{}</td></tr>'
     html = row.format("Completion Year", "N/A") + row.format("<h4>Total Units</h4>", "1,238") + row.format("Tenure", "a &amp; b") + row.format("Tenure", "c")
