@@ -22,6 +22,8 @@ from .shingles import shingle_hashes
 K = 128
 #: Text that one task reads, and the most ranges of ids.
 RANGE_BYTES, MOST_RANGES = 8 << 20, 1 << 16
+#: Rows, picked by a hash, that the cuts of a range are taken from; so the driver gets at most about 1.3 million numbers, whatever the size of the table.
+PICKED = 20
 
 
 def bottom_k(text: str, k: int = K) -> np.ndarray:
@@ -80,14 +82,21 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
     return out.withColumnRenamed("id", id_col)
 
 
-def id_ranges(docs: DataFrame, key: str, size_col: str) -> list[int]:
+def id_ranges(docs: DataFrame, key: str, tie: str, size_col: str) -> list[int]:
     """Ascending bounds that cut the integer ``key`` into ranges of about RANGE_BYTES; a key that fills several ranges is there
-    as often."""
-    total = docs.agg(F.sum(F.octet_length(size_col))).first()[0] or 0
+    as often. They are those of PICKED rows a range, picked by a hash of ``key`` and ``tie``: cuts only balance the ranges, so nothing else
+    depends on which rows are picked."""
+    total, rows = docs.agg(F.coalesce(F.sum(F.octet_length(size_col)), F.lit(0)), F.count("*")).first()
     n = int(min(MOST_RANGES, -(-total // RANGE_BYTES)))
     if n < 2:
         return []
-    return sorted(docs.agg(F.percentile_approx(key, [i / n for i in range(1, n)], 20 * n)).first()[0] or [])
+    share = -(-PICKED * n * (1 << 30) // rows)
+    # repeated rows are picked together, so they come counted
+    picked = docs.filter(F.pmod(F.xxhash64(key, tie), F.lit(1 << 30)) < share).groupBy(key, tie).agg(F.count("*").alias("n")).select(key, "n").toArrow()
+    keys, weights = picked.column(0).to_numpy(), picked.column(1).to_numpy()
+    order = np.argsort(keys, kind="stable")
+    upto = np.cumsum(weights[order])
+    return [int(keys[order[np.searchsorted(upto, upto[-1] * i // n, "right")]]) for i in range(1, n)] if len(keys) else []
 
 
 def with_range(docs: DataFrame, key: str, tie: str, bounds: list[int]) -> DataFrame:
@@ -126,7 +135,7 @@ def with_next(docs: DataFrame, id_col: str, text_col: str, fn, schema: str) -> D
     least = -(1 << 63)
     rows = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     rows = rows.withColumn("key", F.coalesce("id", F.lit(least))).withColumn("tie", F.shiftrightunsigned(F.xxhash64("text"), 1))
-    bounds = id_ranges(rows, "key", "text")
+    bounds = id_ranges(rows, "key", "tie", "text")
     keyed = with_range(rows, "key", "tie", bounds)
     firsts = sorted((r["range"], r["first"]) for r in keyed.groupBy("range").agg(F.min(F.struct("key", "tie")).alias("first")).collect())  # a row a range
     target = F.array(F.struct(F.col("range").alias("range"), F.lit(0).alias("after")))

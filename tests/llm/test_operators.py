@@ -499,7 +499,7 @@ def test_null_and_equal_ids_are_spread_over_ranges(spark, monkeypatch):
     rows = [(None if n % 3 == 0 else 50 if n % 3 == 1 else n, " ".join(f"w{rnd.randrange(999)}" for _ in range(12))) for n in range(300)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     keyed = docs.selectExpr("coalesce(doc_id, -9223372036854775808) as key", "text", "shiftrightunsigned(xxhash64(text), 1) as tie")
-    bounds = fingerprints.id_ranges(keyed, "key", "text")
+    bounds = fingerprints.id_ranges(keyed, "key", "tie", "text")
     sizes = fingerprints.with_range(keyed, "key", "tie", bounds).groupBy("range").count().collect()
     assert len(bounds) > 5 and max(r["count"] for r in sizes) < 80
     tie = {r.text: r.tie for r in keyed.collect()}
