@@ -66,7 +66,7 @@ def epoch_seconds(ts: Column) -> Column:
 
 def to_integer(text: Column) -> Column:
     """The first number of a text, thousands separators left out, halves to even; null without one or beyond 64 bits."""
-    number = F.replace(F.nullif(F.regexp_extract(text, r"-?\d[\d,]*(\.\d+)?", 0), F.lit("")), F.lit(","), F.lit("")).try_cast("double")
+    number = F.replace(F.regexp_extract(text, r"-?\d[\d,]*(\.\d+)?", 0), F.lit(","), F.lit("")).try_cast("double")
     return F.bround(number).try_cast("bigint")
 
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import html as html_entities
+import re
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -33,7 +35,9 @@ _META = (
     " tenure: string, projectId: string, propertyType: string, propertyTypeGroup: string, adProduct: string, property: struct<developerName: string>>"
 )
 CARD = f"struct<kevel: string, listingData: {_OWN}, segment: struct<parameters: struct<metaData: struct<listingData: {_META}>>>>"
-PAGE = f"props struct<pageProps: struct<pageData: struct<data: struct<listingsData: array<{CARD}>, paginationData: struct<totalPages: string>>>>>"
+_DATA = "props struct<pageProps: struct<pageData: struct<data: struct<{}>>>>"
+_TOTAL = "paginationData: struct<totalPages: string>"
+PAGE = _DATA.format(f"listingsData: array<{CARD}>, {_TOTAL}")
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
@@ -41,20 +45,30 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("html"))
 
 
+#: From the first start to the first end after it, tried at the text's begin only; what was passed is not tried again.
+_ISLAND = rf"(?s)\A(?>.*?{re.escape(ISLAND_START)})(?>[^>]*>)(.*?){re.escape(ISLAND_END)}"
+
+
 def island_text(html: Column) -> Column:
-    """The text of the page's data island, empty without one: found by its ends, so the page is read once and never backtracked."""
-    after = lambda text, mark: F.when(F.locate(mark, text) > 0, F.substring(text, F.locate(mark, text) + len(mark), F.length(text)))
-    body = after(after(html, ISLAND_START), ">")
-    return F.coalesce(F.when(F.locate(ISLAND_END, body) > 0, F.substring(body, F.lit(1), F.locate(ISLAND_END, body) - 1)), F.lit(""))
+    """The text of the page's data island, empty without one: found by its ends in one pass over the page that never backtracks."""
+    return F.coalesce(F.regexp_extract(html, _ISLAND, 1), F.lit(""))
+
+
+def _with(value: Column, of: Callable[[Column], Column]) -> Column:
+    """``of(value)`` where ``of`` uses the value several times and it is to be computed once: Spark shares no expressions below lambdas and conditions."""
+    return F.get(F.transform(F.array(value), of), F.lit(0))
+
+
+def _data(text: Column, schema: str) -> Column:
+    return F.from_json(text, schema).getField("props").getField("pageProps").getField("pageData").getField("data")
 
 
 def island(html: Column) -> Column:
     """The page's data; null fields where the island is missing or no JSON. A value of another type than the schema's is null by itself; where that is a whole
-    card, which would take the list with it, the cards are read one by one."""
-    text = island_text(html)
-    data = lambda schema: F.from_json(text, schema).getField("props").getField("pageProps").getField("pageData").getField("data")
-    one_by_one = F.transform(data(PAGE.replace(CARD, "string")).getField("listingsData"), lambda c: F.from_json(c, CARD))
-    return F.struct(F.coalesce(data(PAGE).getField("listingsData"), one_by_one).alias("listingsData"), data(PAGE).getField("paginationData").alias("paginationData"))
+    card, which would take the list with it, the cards are read one by one. The island is found once and parsed once, the second time only for such a list."""
+    one_by_one = lambda text: F.transform(_data(text, PAGE.replace(CARD, "string")).getField("listingsData"), lambda c: F.from_json(c, CARD))
+    read = lambda text, data: F.struct(F.coalesce(data.getField("listingsData"), one_by_one(text)).alias("listingsData"), data.getField("paginationData").alias("paginationData"))
+    return _with(island_text(html), lambda text: _with(_data(text, PAGE), lambda data: read(text, data)))
 
 
 def island_total(data: Column) -> Column:
@@ -62,7 +76,8 @@ def island_total(data: Column) -> Column:
 
 
 def total_pages(html: Column) -> Column:
-    return island_total(island(html))
+    """The number of pages that a page states; its cards are not read for it."""
+    return island_total(_data(island_text(html), _DATA.format(_TOTAL)))
 
 
 def organic_cards(data: Column) -> Column:
