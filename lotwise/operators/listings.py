@@ -38,8 +38,8 @@ def property_name(key: Column, name: Column, address: Column) -> Column:
 
 def recheck(rows: DataFrame, filters: DataFrame, group: str = "grp") -> DataFrame:
     """Rows that nothing stated contradicts: each row is held against its own group's bounds and districts; a missing
-    value passes, and a group without filters passes whole. ``filters`` has one row a group."""
-    got = rows.join(filters.withColumnRenamed(group, "__group"), F.col(group) == F.col("__group"), "left")
+    value passes, and a group without filters passes whole. ``filters`` has one row a group, which goes to all tasks."""
+    got = rows.join(F.broadcast(filters.withColumnRenamed(group, "__group")), F.col(group) == F.col("__group"), "left")
     ok = F.lit(True)
     for value, low, high in (("price", "min_price", "max_price"), ("floor_area", "min_size", "max_size"), ("psf", "min_psf", "max_psf")):
         ok = ok & in_range_tolerant(F.col(value), F.col(low), F.col(high))
@@ -50,7 +50,7 @@ def recheck(rows: DataFrame, filters: DataFrame, group: str = "grp") -> DataFram
 
 def top_year_recheck(rows: DataFrame, filters: DataFrame, group: str = "grp") -> DataFrame:
     """The same for a property's completion year."""
-    got = rows.join(filters.select(F.col(group).alias("__group"), "min_top", "max_top"), F.col(group) == F.col("__group"), "left")
+    got = rows.join(F.broadcast(filters.select(F.col(group).alias("__group"), "min_top", "max_top")), F.col(group) == F.col("__group"), "left")
     return got.filter(in_range_tolerant(F.col("top_year"), F.col("min_top"), F.col("max_top"))).select(*rows.columns)
 
 

@@ -65,9 +65,10 @@ def scan_parsed(wanted: DataFrame, parsed: DataFrame) -> tuple[DataFrame, DataFr
     first = wanted.join(parsed.filter("page = 1").select("grp", "found", "total", F.size("cards").alias("n")), "grp", "left")
     first = guarded(first, page_problem(F.col("found"), F.col("total"), F.col("n")))
     targets = fetched_targets(page_targets(first.select("grp", "most", "total")), parsed, F.col("found"))
-    # the targets of a group are its pages up to the last one: a bound by group instead of a join by page
+    # the targets of a group are its pages up to the last one: a bound by group instead of a join by page; a row a group goes to all tasks,
+    # as a shuffle by group would put all cards in as many tasks as there are groups
     asked = first.select(F.col("grp").alias("search"), "place", last_page(F.col("total"), F.col("most")).alias("__last"))
     cards = card_rows(parsed.filter("found").withColumnRenamed("grp", "search"), ("search", "page"))
-    rows = cards.join(asked, "search").filter("page <= __last and page >= 1").drop("__last")
+    rows = cards.join(F.broadcast(asked), "search").filter("page <= __last and page >= 1").drop("__last")
     rows = rows.withColumn("grp", F.coalesce(F.nullif("grp", F.lit("")), "search"))
     return first_by_arrival(rows, ["listing_id"], ["place", "page", "pos"]), scan_totals(targets)

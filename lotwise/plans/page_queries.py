@@ -52,7 +52,7 @@ def result_pages(spark, sf_dir):
     rows = _cards(H.listings(spark, sf_dir)).withColumn("order_key", F.floor(F.col("listing_id") / 10))
     usable = rows.filter(NO_AD).filter("price <> 0")
     bounds = usable.groupBy("grp").agg(F.min("order_key").alias("first")).join(rows.groupBy("grp").agg(F.max("order_key").alias("last")), "grp")
-    pages = rows.groupBy("grp", "order_key").agg(F.array_sort(F.collect_list(F.struct(*ON_PAGE, "card"))).alias("cards")).join(bounds, "grp")
+    pages = rows.groupBy("grp", "order_key").agg(F.array_sort(F.collect_list(F.struct(*ON_PAGE, "card"))).alias("cards")).join(F.broadcast(bounds), "grp")  # a row a group: a shuffle by group would put all pages in three tasks
     html = _page(F.transform("cards", lambda c: c["card"]), F.col("last") - F.col("first") + 1)
     return pages.select("grp", (F.col("order_key") - F.col("first") + 1).alias("page"), html.alias("html")).filter("page >= 1")
 

@@ -128,7 +128,7 @@ class Run:
 
     def scan(self, searches: list[dict]) -> tuple[DataFrame, dict]:
         wanted = self.spark.createDataFrame([(s["grp"], s["most"], k) for k, s in enumerate(searches)], "grp string, most bigint, place int")
-        parsed = self.stored(self.site.parsed(self.fetched.join(wanted.select("grp"), "grp", "left_semi"), ("grp", "page")), "pages", F.count_if("found").alias("pages"), F.sum(F.size("cards")).alias("cards"))
+        parsed = self.stored(self.site.parsed(self.fetched.join(F.broadcast(wanted.select("grp")), "grp", "left_semi"), ("grp", "page")), "pages", F.count_if("found").alias("pages"), F.sum(F.size("cards")).alias("cards"))
         found, totals = scan_parsed(wanted, parsed)
         total = totals.first().asDict()
         self.event(pages_fetched=total["pages_scanned"], pages_total=total["pages_total"])
