@@ -119,13 +119,13 @@ def description(pages: str | None = "maxPages") -> Column:
     return clauses(*parts)
 
 
-def search_lines(forms: DataFrame, key: str, pages: str | None = "maxPages") -> DataFrame:
-    """Per search (``key``, one row a group): ``full``, all groups described, and ``summary``, one line of a list: a single
-    group in full, several with the number of their filters."""
+def search_lines(forms: DataFrame, key: str, arrival: Sequence[str] = (), pages: str | None = "maxPages") -> DataFrame:
+    """Per search (``key``, a row a form): ``full``, all forms described by group, and ``summary``, one line of a list: a single
+    form in full, several with the number of their filters. Forms of one group come in the order of ``arrival``."""
     n = count_set()
     count = F.when(n == 0, F.lit("no filters")).otherwise(F.concat(n.cast("string"), F.when(n == 1, " filter").otherwise(" filters")))
     label, place = D.label_of(D.GROUP_LABELS, F.col("grp")), F.array_position(F.lit(list(D.TYPES)), F.col("grp"))
-    rows = forms.select(key, place.alias("place"), label.alias("label"), description(pages).alias("text"), count.alias("count"))
+    rows = forms.select(key, F.struct(place.alias("group"), *arrival).alias("place"), label.alias("label"), description(pages).alias("text"), count.alias("count"))
     groups = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("place", "label", "text", "count"))).alias("g"))
     bracketed = lambda what: F.array_join(F.transform("g", lambda x: F.concat(x["label"], F.lit(" ("), x[what], F.lit(")"))), ", ")
     only = F.element_at("g", 1)

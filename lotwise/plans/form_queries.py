@@ -95,7 +95,7 @@ SELECT search, string_agg(label || ' (' || text || ')', ', ' ORDER BY place) AS
 def search_summaries(spark, sf_dir):
     """Searches of several groups in full, and as one line of a list."""
     rows = forms(spark, sf_dir).withColumn("search", F.when(F.col("k") % 10 == 1, 100_000 + F.col("k")).otherwise(F.floor(F.col("k") / 3)))
-    return M.search_lines(rows, "search")
+    return M.search_lines(rows, "search", ["k"])
 
 
 @query("more_filters_count", f"""WITH {FORM} SELECT k, {' + '.join(f"CAST({n} <> '' AS BIGINT)" for n in ('minPsf', 'maxPsf', 'districtCode', 'listingFeatures', 'lastPosted', 'distanceToMrt', 'keyword'))} + CASE WHEN grp <> 'L' AND floorLevel <> '' THEN 1 ELSE 0 END
