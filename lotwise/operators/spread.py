@@ -28,12 +28,14 @@ def in_ranges(rows: DataFrame, keys: Sequence[str], order: Sequence[Column | str
 
 
 def _with_parts(ranged: DataFrame, parts: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """The rows with ``value`` of their key and range; null keys are keys."""
+    """The rows with ``value`` of their key and range; null keys are keys. Only keys that go on from an earlier range have a value: the first of a range, at
+    most, as rows are put in ranges by key first. So ``parts`` goes to all tasks and the rows stay where they are."""
+    parts = parts.filter(F.col(value).isNotNull())
     other = parts.select(*(F.col(k).alias(f"__of_{k}") for k in keys), F.col(_PART).alias("__of_part"), value)
     on = F.col(_PART) == F.col("__of_part")
     for k in keys:
         on = on & F.col(k).eqNullSafe(F.col(f"__of_{k}"))
-    return ranged.join(other, on, "left").drop("__of_part", *(f"__of_{k}" for k in keys))
+    return ranged.join(F.broadcast(other), on, "left").drop("__of_part", *(f"__of_{k}" for k in keys))
 
 
 def running_sum(rows: DataFrame, keys: Sequence[str], order: Sequence[Column | str], amount: Column, name: str, partitions: int | None = None) -> DataFrame:
@@ -51,6 +53,20 @@ def ranked(rows: DataFrame, keys: Sequence[str], order: Sequence[Column | str],
     return running_sum(rows, keys, order, F.lit(1).cast("bigint"), name, partitions)
 
 
+def ranked_within(rows: DataFrame, keys: Sequence[str], kind: str, order: Sequence[Column | str], names: tuple[str, str], partitions: int | None = None) -> DataFrame:
+    """The rows with two places in one order, from 1: among those of their key, and among those of their key and ``kind``. Both come from the same ranges of
+    key and order, which are made and stored once. A range goes on with the kinds of one key at most."""
+    ranged = in_ranges(rows, keys, order, partitions)
+    got = ranged
+    for name, of in zip(names, (list(keys), [*keys, kind]), strict=True):
+        got = got.withColumn(f"__{name}", F.row_number().over(Window.partitionBy(*of, _PART).orderBy(*order)))
+    for name, of in zip(names, (list(keys), [*keys, kind]), strict=True):
+        along = Window.partitionBy(*of).orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)
+        before = ranged.groupBy(*of, _PART).agg(F.count("*").alias("__n")).withColumn("__before", F.sum("__n").over(along))
+        got = _with_parts(got, before, of, "__before").withColumn(name, F.coalesce("__before", F.lit(0)) + F.col(f"__{name}")).drop("__before", f"__{name}")
+    return got.drop(_PART)
+
+
 def previous(rows: DataFrame, keys: Sequence[str], order: Sequence[Column | str], value: Column, name: str, partitions: int | None = None) -> DataFrame:
     """The rows with the last ``value`` that isn't null among the rows of their key before them; null where there is none."""
     ranged = in_ranges(rows.withColumn(_VALUE, value), keys, order, partitions)

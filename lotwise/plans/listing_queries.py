@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import first_of, tenure_label
 from ..operators import listings as L
-from ..operators.spread import medians, ranked
+from ..operators.spread import medians, ranked, ranked_within
 from ..operators import search_pages as G
 from ..operators import stores as S
 from . import hosts as H
@@ -60,10 +60,10 @@ def unit_order(spark, sf_dir):
 
 @query("unit_order_spread", UNIT_ORDER)
 def unit_order_spread(spark, sf_dir):
-    """The same places with a property of any size spread over many tasks."""
+    """The same places with a property of any size spread over many tasks. All units have a price, so both orders are one."""
     units = H.units(spark, sf_dir).withColumn("rooms", F.coalesce("bedrooms", F.lit(0)))
     slim = units.select("property_key", "rooms", "price", *H.ARRIVAL)
-    return ranked(ranked(slim, ["property_key", "rooms"], L.within_type(H.ARRIVAL), "unit_place"), ["property_key"], L.within_property(H.ARRIVAL), "flat_place").select("listing_id", "property_key", "unit_place", "flat_place")
+    return ranked_within(slim, ["property_key"], "rooms", L.within_property(H.ARRIVAL), ("flat_place", "unit_place")).select("listing_id", "property_key", "unit_place", "flat_place")
 
 
 @query("median_sizes_spread", f"""WITH {H.UNITS} SELECT district, grp, CAST(round_even(median(nullif(floor_area, 0)), 0) AS BIGINT) AS typical_sqft FROM unit GROUP BY district, grp""")

@@ -53,3 +53,13 @@ def test_a_hot_key_is_spread_over_all_tasks(spark, rows):
     sizes = {r["__part"]: r.n for r in ranged.groupBy("__part").agg(F.count("*").alias("n")).collect()}
     of_hot = ranged.filter("k = 'hot'").select("__part").distinct().count()
     assert max(sizes.values()) < 4000 / 20 * 3 and of_hot >= 9
+
+
+@pytest.mark.parametrize("partitions", [1, 7, 300])
+def test_two_places_come_from_one_set_of_ranges(spark, rows, partitions, monkeypatch):
+    made, make = [], P.in_ranges
+    monkeypatch.setattr(P, "in_ranges", lambda *a: made.append(1) or make(*a))
+    one, two = Window.partitionBy("k").orderBy(*order()), Window.partitionBy("k", "w").orderBy(*order())
+    got = P.ranked_within(rows, ["k"], "w", order(), ("a", "b"), partitions)
+    same(got.select("id", "a", "b"), rows.select("id", F.row_number().over(one).alias("a"), F.row_number().over(two).alias("b")))
+    assert made == [1]
