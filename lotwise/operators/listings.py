@@ -54,17 +54,25 @@ def top_year_recheck(rows: DataFrame, filters: DataFrame, group: str = "grp") ->
     return got.filter(in_range_tolerant(F.col("top_year"), F.col("min_top"), F.col("max_top"))).select(*rows.columns)
 
 
-def properties(rows: DataFrame, arrival: Sequence[str]) -> DataFrame:
-    """One row a property: facts of the first listing, least price (0: none stated), number of units."""
-    order = F.struct(*arrival)
+#: What a property takes from its first listing, besides its name.
+OF_FIRST = ("district", "tenure_code", "property_type", "developer", "grp")
+
+
+def properties(rows: DataFrame, arrival: Sequence[str], said: Sequence[str] = OF_FIRST) -> DataFrame:
+    """One row a property: facts of the first listing (its name, and those of ``said``), least price (0: none stated), number of units."""
     keyed = rows.withColumn("property_key", property_key(F.col("property_id"), F.col("listing_id")))
-    facts = F.struct("name", "address", "district", "tenure_code", "property_type", "developer", "grp")
-    grouped = keyed.groupBy("property_key").agg(
-        F.min_by(facts, order).alias("first"),
-        F.coalesce(F.min(truthy(F.col("price"))), F.lit(0)).cast("bigint").alias("price_min"),
-        F.count("*").alias("unit_count"),
-    )
-    return grouped.select("property_key", property_name(F.col("property_key"), F.col("first.name"), F.col("first.address")).alias("name"), *(F.col(f"first.{c}").alias(c) for c in ("district", "tenure_code", "property_type", "developer", "grp")), "price_min", "unit_count")
+    grouped = keyed.groupBy("property_key").agg(*(c.alias(n) for n, c in property_sums(arrival, said).items()))
+    return grouped.select("property_key", *property_facts(said))
+
+
+def property_sums(arrival: Sequence[str], said: Sequence[str] = OF_FIRST) -> dict[str, Column]:
+    """What ``property_facts`` needs of a property's units, for a grouping or for a window over them."""
+    return {"first": F.min_by(F.struct("name", "address", *said), F.struct(*arrival)), "price_min": F.min(truthy(F.col("price"))), "unit_count": F.count("*")}
+
+
+def property_facts(said: Sequence[str] = OF_FIRST) -> list[Column]:
+    name = property_name(F.col("property_key"), F.col("first.name"), F.col("first.address"))
+    return [name.alias("name"), *(F.col(f"first.{c}").alias(c) for c in said), F.coalesce("price_min", F.lit(0)).cast("bigint").alias("price_min"), "unit_count"]
 
 
 def unit_types(rows: DataFrame) -> DataFrame:
@@ -106,12 +114,13 @@ def within_property(arrival: Sequence[str]) -> list:
     return [truthy(F.col("price")).asc_nulls_last(), *arrival]
 
 
-def top_units(rows: DataFrame, arrival: Sequence[str], n: int = 10) -> DataFrame:
-    """The n cheapest units of each property with their place, and how many more there are."""
+def top_units(rows: DataFrame, arrival: Sequence[str], n: int = 10, sums: dict[str, Column] | None = None) -> DataFrame:
+    """The n cheapest units of each property with their place, and how many more there are; and ``sums`` over all units of the property."""
     keyed = rows.withColumn("property_key", property_key(F.col("property_id"), F.col("listing_id")))
     flat = Window.partitionBy("property_key").orderBy(truthy(F.col("price")).asc_nulls_last(), *arrival)
     # one shuffle and one sort: the count is a window over the same rows
     ranked = keyed.withColumn("place", F.row_number().over(flat)).withColumn("remainder", F.greatest(F.count("*").over(Window.partitionBy("property_key")) - n, F.lit(0)))
+    ranked = ranked.withColumns({name: c.over(Window.partitionBy("property_key")) for name, c in (sums or {}).items()})
     return ranked.filter(F.col("place") <= n)
 
 

@@ -30,12 +30,12 @@ def unit_text(shortlisted: Column | None = None, listed: bool = True) -> Column:
     return F.concat(*parts)
 
 
-def property_lines(units: DataFrame, arrival: list[str], text: Column) -> DataFrame:
-    """Per property: its ten cheapest units as one text with how many more there are, and their number."""
-    best = top_units(units, arrival, MOST_UNITS)
-    rows = best.withColumn("text", text).groupBy("property_key").agg(F.array_sort(F.collect_list(F.struct("place", "text"))).alias("t"), F.max("remainder").alias("more"), F.count("*").alias("shown"))
+def property_lines(units: DataFrame, arrival: list[str], text: Column, sums: dict[str, Column] | None = None) -> DataFrame:
+    """Per property: its ten cheapest units as one text with how many more there are, and their number; and ``sums`` over its units, of the same shuffle."""
+    best, sums = top_units(units, arrival, MOST_UNITS, sums), sums or {}
+    rows = best.withColumn("text", text).groupBy("property_key").agg(F.array_sort(F.collect_list(F.struct("place", "text"))).alias("t"), F.max("remainder").alias("more"), F.count("*").alias("shown"), *(F.first(c).alias(c) for c in sums))
     more = F.when(F.col("more") > 0, F.concat(F.lit(", and "), F.col("more").cast("string"), F.lit(" more rows not listed here"))).otherwise(F.lit(""))
-    return rows.select("property_key", F.concat(F.array_join(F.transform("t", lambda x: x["text"]), " | "), more).alias("listed"), (F.col("shown") + F.col("more")).alias("n"))
+    return rows.select("property_key", F.concat(F.array_join(F.transform("t", lambda x: x["text"]), " | "), more).alias("listed"), (F.col("shown") + F.col("more")).alias("n"), *sums)
 
 
 def _numbered(rows: DataFrame, section: str, order: list, start: int) -> DataFrame:
@@ -157,13 +157,12 @@ def saved_search_report(saved: DataFrame, readers: DataFrame, key: str, now: int
     return keyed_report(saved.withColumn("text", text), readers, key, F.lit("Saved searches:"), "Saved searches: none.", [F.desc("created_at"), F.col("search_id")])
 
 
-def shortlist_lines(entries: DataFrame, props: DataFrame, arrival: list[str], now: int) -> DataFrame:
+def shortlist_lines(props: DataFrame, now: int) -> DataFrame:
     """A line for each property of a shortlist: when it was saved, its facts, and its units. ``props``: ``property_key``, ``name``,
-    ``found``, ``top_year``, ``tenure``, ``total_units`` and ``shortlisted_at``."""
-    texts = property_lines(entries, arrival, unit_text(listed=False))
+    ``found``, ``top_year``, ``tenure``, ``total_units`` and ``shortlisted_at``, and what ``property_lines`` gives of its units."""
     saved = F.concat(F.lit("saved "), day_label(F.col("shortlisted_at"), now, "on "))
     text = F.concat(F.lit("- "), F.col("name"), F.lit(" (propertyId "), F.col("property_key"), F.lit("), "), saved, F.lit(", "), facts(F.col("found"), F.col("top_year"), F.col("tenure"), F.col("total_units")), F.lit(". "), F.col("n").cast("string"), F.lit(" shortlisted units: "), F.col("listed"))
-    return props.join(texts, "property_key").select("property_key", "shortlisted_at", text.alias("text"))
+    return props.select("property_key", "shortlisted_at", text.alias("text"))
 
 
 def always_hidden_report(entities: DataFrame, readers: DataFrame, key: str) -> DataFrame:
