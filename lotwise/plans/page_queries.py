@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from ..functions.requests import search_url
 from ..functions.scalars import page_number, path_head, slug, to_integer, to_number
 from ..sources import pages as P
-from ..sources.captured import captured
+from ..sources.captured import captured, keep_pages
 from ..sources.sinks import scratch
-from ..sources.tables import table
+from ..sources.tables import dealt, table
 from . import hosts as H
 from .registry import query
 
@@ -89,7 +89,8 @@ def project_pages(spark, sf_dir):
     year = F.when(size % 5 == 0, F.lit("N/A")).otherwise((1960 + size).cast("string"))
     gallery = F.concat(F.lit('<span class="gallery-item image"><img src="/placeholder.png" data-original="/a'), key.cast("string"), F.lit('.jpg"></span><span class="gallery-item image"><img src="/b.jpg"></span><span class="gallery-item image"><img src="/b.jpg"></span><span class="gallery-item image"><img src="/placeholder.png"></span>'))
     html = F.concat(F.lit('<meta property="og:image" content="/o.jpg"><table>'), row("Completion Year", F.lit("1900")), row("Completion Year", year), row("Total Units", F.format_number(key, 0)), row("Developer", F.concat(F.col("p_brand"), F.lit(" &amp; <b>Caf&eacute;</b> &#x27;&euro;&#39;"))), row("Tenure", F.lit("99-year Leasehold")), F.lit("</table>"), shown, gallery)
-    return table(spark, sf_dir, "part").select(key.cast("string").alias("property_id"), html.alias("html"))
+    part = dealt(table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_brand"), "p_partkey")
+    return part.select(key.cast("string").alias("property_id"), html.alias("html"))
 
 
 @query("project_html_roundtrip", """WITH p AS (SELECT *, CAST(1.15 AS DOUBLE) + (p_partkey % 50) * CAST(0.01 AS DOUBLE) AS lat, CAST(103.55 AS DOUBLE) + (p_partkey % 60) * CAST(0.01 AS DOUBLE) AS lng FROM part),
@@ -154,6 +155,7 @@ def page_links(spark, sf_dir):
 def captured_scan(spark, sf_dir):
     """Pages written as files, one a page, and read by the data source of captured pages, whose filters choose files before any is read."""
     path = scratch(spark)
-    table(spark, sf_dir, "pages").select(F.concat(F.lit("s"), F.col("page_id") % 4).alias("site"), "page_id", F.col("html")).write.partitionBy("site", "page_id").text(path)
+    pages = dealt(table(spark, sf_dir, "pages").select(F.concat(F.lit("s"), F.col("page_id") % 4).alias("site_dir"), F.format_string("page_id=%d.html", "page_id").alias("name"), "html"), "name")
+    keep_pages(pages, path)
     got = captured(spark, path, fields="site_dir,name,bytes,html,total").filter("bytes > 1 and site_dir like 's%'")
-    return got.select(F.regexp_extract("name", r"page_id=(\d+)/", 1).cast("bigint").alias("page_id"), "site_dir", "bytes", F.rtrim("html", F.lit("\n")).alias("html"), "total")
+    return got.select(F.regexp_extract("name", r"page_id=(-?\d+)\.", 1).cast("bigint").alias("page_id"), "site_dir", "bytes", F.rtrim("html", F.lit("\n")).alias("html"), "total")

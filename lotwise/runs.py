@@ -23,7 +23,7 @@ from .operators import listings as L
 from .operators import stores as S
 from .operators.search_pages import scan_parsed
 from .sources import sinks
-from .sources.tables import site
+from .sources.tables import dealt, site
 
 #: Times to live in seconds (records, failures, photos), and the version of records.
 DAY = 86_400
@@ -143,7 +143,7 @@ class Run:
         total = self.observed["missing"]["missing"]
         self.event(details_fetched=0, details_total=total)
         if total:
-            pages = self.site.projects(missing.join(self.projects.filter("html <> ''"), "property_id"), keep=("property_id",))
+            pages = self.site.projects(dealt(missing, "property_id").join(self.projects.filter("html <> ''"), "property_id"), keep=("property_id",))
             fresh = self.stored(pages.select("property_id", F.lit(RECORD_VERSION).alias("schema_version"), *FACTS), "fresh", F.count(F.lit(1)).alias("fresh"))
             failed = missing.join(fresh.select("property_id"), "property_id", "left_anti")
             self.stores.put("records", S.upsert_with_tombstones(cache, fresh, failed, "property_id", self.now))

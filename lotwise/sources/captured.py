@@ -13,6 +13,7 @@ from __future__ import annotations
 import json
 import re
 import time
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from urllib.parse import unquote
@@ -188,6 +189,24 @@ class CapturedPages(DataSource):
         return StreamReader(_Pages(self.options, schema.fieldNames()), float(self.options.get("settle", 1)))
 
 
+def keep_pages(pages: DataFrame, path: str) -> None:
+    """Write pages (``site_dir``, ``name``, ``html``) as files below ``path``, one a page, each with a line break at its end. The tasks write them themselves, as
+    Spark's writer makes a folder a page and the driver moves them. A file is moved into place when it is whole, so a task can run again."""
+    fs, root = _Pages({"path": path}, []).filesystem()
+    for r in pages.select("site_dir").distinct().collect():  # sites are few: a folder each
+        fs.create_dir(f"{root}/{r.site_dir}", recursive=True)
+
+    def write(rows: Iterator) -> None:
+        to, top = _Pages({"path": path}, []).filesystem()
+        for r in rows:
+            half = f"{top}/{r.site_dir}/.{r.name}-{uuid.uuid4().hex}"
+            with to.open_output_stream(half) as f:
+                f.write(((r.html or "") + "\n").encode())
+            to.move(half, f"{top}/{r.site_dir}/{r.name}")
+
+    pages.select("site_dir", "name", "html").foreachPartition(write)
+
+
 PUSHDOWN = "spark.sql.python.filterPushdown.enabled"
 
 

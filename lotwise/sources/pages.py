@@ -161,11 +161,15 @@ def plain_text(cell: Column) -> Column:
     return F.element_at(plain_texts(F.array(cell)), 1)
 
 
-def project_record(html: Column) -> list[Column]:
-    """The eleven facts of a project page."""
+def project_pairs(html: Column) -> Column:
+    """The rows of a project page's table with a label and a value: labels in lower case, both as plain text."""
     labels, values = F.regexp_extract_all(html, F.lit(ATTRIBUTE_ROW), F.lit(1)), F.regexp_extract_all(html, F.lit(ATTRIBUTE_ROW), F.lit(2))
     pairs = F.zip_with(plain_texts(labels), plain_texts(values), lambda a, b: F.struct(F.lower(a).alias("label"), b.alias("value")))
-    pairs = F.filter(pairs, lambda p: (p["label"] != "") & (p["value"] != ""))
+    return F.filter(pairs, lambda p: (p["label"] != "") & (p["value"] != ""))
+
+
+def project_record(html: Column, pairs: Column) -> list[Column]:
+    """The eleven facts of a project page, of its text and the pairs of its table."""
     fact = lambda label: F.try_element_at(F.filter(pairs, lambda p: p["label"] == label), F.lit(-1))["value"]  # noqa: E731  the last one counts
     source = lambda a: F.when(F.regexp_extract(a, r'\bdata-original="([^"]*)"', 1) != "", F.regexp_extract(a, r'\bdata-original="([^"]*)"', 1)).otherwise(F.regexp_extract(a, r'(?<![\w-])src="([^"]*)"', 1))
     gallery = F.array_distinct(F.filter(F.transform(F.regexp_extract_all(html, F.lit(GALLERY), F.lit(1)), source), lambda u: (u != "") & ~u.contains("placeholder")))
@@ -187,7 +191,10 @@ def project_record(html: Column) -> list[Column]:
 
 
 def projects(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("property_id",)) -> DataFrame:
-    return pages.select(*keep, *project_record(F.coalesce(F.col(html_col), F.lit(""))))
+    """One row a page: the kept columns and its facts. The table is read once, then looked up for each fact."""
+    html = F.coalesce(F.col(html_col), F.lit(""))
+    read = pages.select(*keep, html.alias("__html"), project_pairs(html).alias("__pairs"))
+    return read.select(*keep, *project_record(F.col("__html"), F.col("__pairs")))
 
 
 def landed(status: Column, html: Column, marker: str) -> Column:

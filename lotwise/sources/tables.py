@@ -17,6 +17,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def dealt(rows: DataFrame, *key: str) -> DataFrame:
+    """The rows over all cores by a key, before work that is large beside their bytes: a few MB of rows would be one task, however long each of them takes.
+    The number of partitions is fixed, as Spark would put small ones together again."""
+    spark = rows.sparkSession
+    return rows.repartition(max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), *key)
+
+
 def stream_table(spark: SparkSession, folder: str, name: str, files_a_batch: int = 100) -> DataFrame:
     """The files of a table as a stream, whether it is one file or a folder of them."""
     path = f"{folder}/{name}.parquet"
