@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import request_rules as R
 from ..runs import RECORD, RECORD_VERSION, Run, Stores
 from ..sources.sinks import scratch
-from ..sources.tables import table
+from ..sources.tables import dealt, table
 from . import hosts as H
 from .page_queries import NO_AD, ON_PAGE, project_pages, result_pages
 from .registry import query
@@ -143,4 +143,4 @@ _VALUE = "TRY_CAST(trunc(TRY_CAST(replace(json_extract_string(s, '$.filters.' ||
 SELECT * FROM (SELECT * FROM whole UNION ALL SELECT c_custkey, place, 'search', 'object' FROM search WHERE json_type(s) <> 'OBJECT' UNION ALL SELECT * FROM own UNION ALL SELECT * FROM strange UNION ALL SELECT * FROM crossed UNION ALL SELECT * FROM grouped UNION ALL SELECT * FROM paged) WHERE reason IS NOT NULL""")
 def request_rejects(spark, sf_dir):
     """The requests of all customers against the table of rules: every reason why one is rejected."""
-    return R.split_requests(R.searches_of(request_bodies(spark, sf_dir), "c_custkey"), "c_custkey")[1]
+    return R.split_requests(R.searches_of(dealt(request_bodies(spark, sf_dir), "c_custkey"), "c_custkey"), "c_custkey")[1]
