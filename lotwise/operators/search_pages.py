@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.pages import card_rows, parsed_pages
+from ..sources.tables import shuffled
 from .listings import first_by_arrival
 
 
@@ -40,8 +41,8 @@ def guarded(rows: DataFrame, problem: Column, what: str = "grp") -> DataFrame:
 
 def fetched_targets(targets: DataFrame, fetched: DataFrame, found: Column, on: Sequence[str] = ("grp", "page")) -> DataFrame:
     """Targets and whether they were fetched (``found``, of the fetched rows); those that weren't are skipped later, not an error. Nothing else of
-    the fetched rows goes through the join."""
-    got = targets.join(fetched.select(*on, found.alias("__found")), list(on), "left")
+    the fetched rows goes through the join, which is a shuffle: a row a page is too much for the driver."""
+    got = targets.join(shuffled(fetched.select(*on, found.alias("__found"))), list(on), "left")
     return got.withColumn("found", F.coalesce("__found", F.lit(False))).drop("__found")
 
 

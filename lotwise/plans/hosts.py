@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import epoch_seconds, half_even, per_area
-from ..sources.tables import table
+from ..sources.tables import shuffled, table
 
 #: "Now" of the listings (2001-11-05) and of the events (2024-01-31), in epoch seconds.
 NOW, EVENTS_NOW = 1_004_918_400, 1_706_659_200
@@ -14,9 +14,10 @@ ARRIVAL = ["listed_at", "part_key", "supp_key", "raw_price", "listing_id", "line
 DAY = 86_400
 
 
-def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
+def listings(spark: SparkSession, sf_dir: str, parts_shuffled: bool = False) -> DataFrame:
+    """``parts_shuffled``: parts are joined by a shuffle at any size, for queries that read the listings more than once."""
     li, part, supplier, nation, region = (table(spark, sf_dir, t) for t in ("lineitem", "part", "supplier", "nation", "region"))
-    rows = li.join(part, li.l_partkey == part.p_partkey).join(supplier, li.l_suppkey == supplier.s_suppkey).join(nation, F.col("s_nationkey") == F.col("n_nationkey")).join(region, F.col("n_regionkey") == F.col("r_regionkey"))
+    rows = li.join(shuffled(part, "shuffle_hash") if parts_shuffled else part, li.l_partkey == part.p_partkey).join(supplier, li.l_suppkey == supplier.s_suppkey).join(nation, F.col("s_nationkey") == F.col("n_nationkey")).join(region, F.col("n_regionkey") == F.col("r_regionkey"))
     price = F.when((F.col("l_linenumber") == 7) & (F.col("l_quantity") == 1), F.lit(0).cast("bigint")).otherwise(half_even(F.col("l_extendedprice")))
     area = F.nullif(F.col("l_quantity") * 40, F.lit(400)).cast("bigint")
     district = F.when(F.col("s_nationkey") != 7, F.concat(F.lit("D"), F.lpad((1 + F.col("s_nationkey") % 28).cast("string"), 2, "0")))

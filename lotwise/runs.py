@@ -23,7 +23,7 @@ from .operators import listings as L
 from .operators import stores as S
 from .operators.search_pages import scan_parsed
 from .sources import sinks
-from .sources.tables import dealt, site
+from .sources.tables import dealt, shuffled, site
 
 #: Times to live in seconds (records, failures, photos), and the version of records.
 DAY = 86_400
@@ -138,23 +138,24 @@ class Run:
     def enrich(self, listings: DataFrame) -> DataFrame:
         """Current records of the listings' properties; records that are missing come from project pages, and those and the failures go to the cache."""
         wanted = listings.filter("property_id <> ''").select("property_id").distinct()
-        cache = self.stores.table("records", RECORD)
+        cache = shuffled(self.stores.table("records", RECORD))
         missing = self.stored(S.to_fetch(wanted, cache, "property_id", *self.limits), "missing", F.count(F.lit(1)).alias("missing"))
         total = self.observed["missing"]["missing"]
         self.event(details_fetched=0, details_total=total)
         if total:
-            pages = self.site.projects(dealt(missing, "property_id").join(self.projects.filter("html <> ''"), "property_id"), keep=("property_id",))
-            fresh = self.stored(pages.select("property_id", F.lit(RECORD_VERSION).alias("schema_version"), *FACTS), "fresh", F.count(F.lit(1)).alias("fresh"))
+            asked = shuffled(dealt(missing, "property_id"), "shuffle_hash")  # keys are looked up, so no page is sorted
+            pages = self.site.projects(asked.join(self.projects.filter("html <> ''"), "property_id"), keep=("property_id",))
+            fresh = shuffled(self.stored(pages.select("property_id", F.lit(RECORD_VERSION).alias("schema_version"), *FACTS), "fresh", F.count(F.lit(1)).alias("fresh")))
             failed = missing.join(fresh.select("property_id"), "property_id", "left_anti")
             self.stores.put("records", S.upsert_with_tombstones(cache, fresh, failed, "property_id", self.now))
             self.event(details_fetched=self.observed["fresh"]["fresh"], details_total=total)
-        known, _ = S.cache_lookup(wanted, self.stores.table("records", RECORD), "property_id", *self.limits)
-        return known.select("property_id", *FACTS, F.lit(True).alias("found"))
+        known, _ = S.cache_lookup(wanted, shuffled(self.stores.table("records", RECORD)), "property_id", *self.limits)
+        return shuffled(known.select("property_id", *FACTS, F.lit(True).alias("found")))
 
     def keep_photos(self, listings: DataFrame) -> DataFrame:
         slim, photos = L.split_photos(listings)
         new = photos.withColumn("captured_at", F.lit(self.now).cast("bigint"))
-        self.stores.put("photos", S.upsert(self.stores.table("photos", PHOTO).filter(S.fresh(self.now, PHOTO_TTL, "captured_at")), new, "listing_id"))
+        self.stores.put("photos", S.upsert(shuffled(self.stores.table("photos", PHOTO)).filter(S.fresh(self.now, PHOTO_TTL, "captured_at")), new, "listing_id"))
         return slim
 
     def tree(self, listings: DataFrame, records: DataFrame, searches: list[dict]) -> DataFrame:

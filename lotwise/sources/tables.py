@@ -24,6 +24,13 @@ def dealt(rows: DataFrame, *key: str) -> DataFrame:
     return rows.repartition(max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), *key)
 
 
+def shuffled(rows: DataFrame, how: str = "merge") -> DataFrame:
+    """The rows for a join that shuffles both sides (``how``: ``merge``, or ``shuffle_hash`` with these rows as the side that is looked up), before joins of what
+    grows with the input. Spark takes sizes from compressed files and from the types of columns, so a million pages can pass for small, and what passes
+    for small goes through the driver whole."""
+    return rows.hint(how)
+
+
 def stream_table(spark: SparkSession, folder: str, name: str, files_a_batch: int = 100) -> DataFrame:
     """The files of a table as a stream, whether it is one file or a folder of them."""
     path = f"{folder}/{name}.parquet"
