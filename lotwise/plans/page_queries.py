@@ -49,10 +49,11 @@ def search_pages(spark, sf_dir):
 def result_pages(spark, sf_dir):
     """Result pages of three groups: a page an order and group, numbered by the order from the group's first one with a usable listing; orders without a
     listing of the group are pages that never came."""
-    rows = _cards(H.listings(spark, sf_dir, parts_shuffled=True)).withColumn("order_key", F.floor(F.col("listing_id") / 10))
+    rows = H.listings(spark, sf_dir, parts_shuffled=True).withColumn("order_key", F.floor(F.col("listing_id") / 10))
     usable = F.expr(NO_AD) & (F.col("price") != 0)
     bounds = rows.groupBy("grp").agg(F.min(F.when(usable, F.col("order_key"))).alias("first"), F.max("order_key").alias("last")).filter("first is not null")
-    pages = rows.groupBy("grp", "order_key").agg(F.array_sort(F.collect_list(F.struct(*ON_PAGE, "card"))).alias("cards")).join(F.broadcast(bounds), "grp")  # a row a group: a shuffle by group would put all pages in three tasks
+    cards = _cards(dealt(rows, "grp", "order_key"))  # listings go through the shuffle, as cards say most of them twice
+    pages = cards.groupBy("grp", "order_key").agg(F.array_sort(F.collect_list(F.struct(*ON_PAGE, "card"))).alias("cards")).join(F.broadcast(bounds), "grp")  # a row a group: a shuffle by group would put all pages in three tasks
     html = _page(F.transform("cards", lambda c: c["card"]), F.col("last") - F.col("first") + 1)
     return pages.select("grp", (F.col("order_key") - F.col("first") + 1).alias("page"), html.alias("html")).filter("page >= 1")
 

@@ -25,6 +25,13 @@ def test_parts_are_joined_to_pages_by_a_shuffle(spark, data):
     assert not [b for b in broadcasts(plan) if "l_partkey" in b]
 
 
+def test_listings_are_shuffled_before_they_are_cards(spark, data):
+    """A card says most of a listing twice; cards were put in pages through a shuffle, and spilled before it."""
+    plan = planned(page_queries.result_pages(spark, data))
+    by_page = [m.start() for m in re.finditer(r"Exchange hashpartitioning\(grp#\w+, order_key#", plan)]
+    assert len(by_page) == 1 and 0 < plan.index("kevel") < by_page[0] and "kevel" not in plan[by_page[0] :]
+
+
 def test_totals_of_a_scan_join_pages_by_a_shuffle(spark, tmp_path):
     spark.createDataFrame([("N", 1, True, 2, [1]), ("N", 2, True, 2, [1])], "grp string, page bigint, found boolean, total bigint, cards array<int>").write.parquet(f"{tmp_path}/parsed")
     parsed = spark.read.parquet(f"{tmp_path}/parsed")
